@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taproot.llm.bpe import encode
 from taproot.llm.packing import pack
+from taproot.llm.sentences import learn, sentences
 from taproot.llm.termweight import LATIN_6, log_entropy
 from taproot.operators.current import current_rows
 from taproot.sources.tables import table
@@ -32,6 +33,33 @@ def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("document_id", "term", "tf", F.col("n_records").alias("n_documents"), F.round("score", 6).alias("score"))
 
 
+def _running(nodes: DataFrame) -> DataFrame:
+    """Rows of running text."""
+    return nodes.where("label in ('text', 'list_item')")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each sentence but the first of a text starts, in documents that aren't scans."""
+    nodes = table(spark, folder, "snippet_nodes")
+    model = learn(_running(nodes), "text")
+    # Every delivered row is split before its newest state is chosen, so that no text goes through the shuffle.
+    running = F.when(F.col("label").isin("text", "list_item"), F.col("text")).alias("text")
+    split = sentences(nodes.select("document_id", "snippet_id", "extracted_at", running), ["document_id", "snippet_id", "extracted_at"], "text", model)
+    starts = split.withColumn("starts", F.expr("transform(slice(spans, 2, greatest(size(spans) - 1, 0)), x -> x.start_at)"))
+    newest = current_rows(starts, ["document_id", "snippet_id"], ["extracted_at"], ["starts"])
+    scans = table(spark, folder, "documents_meta").where("document_type = 'scan'").select("document_id").distinct()
+    return newest.join(scans, "document_id", "left_anti").select("document_id", "snippet_id", F.explode("starts").alias("start_at"))
+
+
+def p5_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of the current running texts with its position."""
+    nodes = _running(_current(spark, folder, "label", "text"))
+    model = learn(nodes, "text")
+    split = sentences(nodes.withColumn("body", F.col("text")), ["document_id", "snippet_id", "body"], "text", model)
+    each = split.select("document_id", "snippet_id", "body", F.posexplode("spans").alias("sentence_no", "s"))
+    return each.select("document_id", "snippet_id", "sentence_no", "s.start_at", "s.end_at", F.expr("substring(body, s.start_at + 1, s.end_at - s.start_at)").alias("sentence"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, folder, "documents"), "doc_id", "text", name="byte_bpe_50k")
@@ -51,7 +79,7 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p6_ids": p6_ids, "p7_packing": p7_packing}
+QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing}
 
 _CURRENT = "(SELECT * FROM snippet_nodes QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1)"
 
