@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm.bpe import encode
+from taproot.llm.langid import languages, train
 from taproot.llm.packing import pack
 from taproot.llm.sentences import learn, sentences
 from taproot.llm.termweight import LATIN_6, log_entropy
@@ -17,12 +18,41 @@ def _current(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], list(columns))
 
 
+def _language_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Current text nodes and chunks: unit_table, document_id, unit_id, the label's language and the stretches."""
+    codes = table(spark, folder, "language_codes").select(F.col("code").alias("label_code"), F.col("lang").alias("labelled"))
+    nodes = table(spark, folder, "snippet_nodes").select("document_id", F.col("snippet_id").alias("unit_id"), F.col("extracted_at").alias("at"), "lang", F.when(F.col("label") == "text", F.col("text")).alias("text"))
+    # An enriched chunk starts with a line of titles, which isn't part of its text; line breaks of it stay out with it.
+    body = F.when(F.col("variant") == "enriched", F.regexp_replace("text", r"\A[^\r\n]*(\r\n|\r|\n|\z)", "")).otherwise(F.col("text"))
+    chunks = table(spark, folder, "chunks").select("document_id", F.col("chunk_id").alias("unit_id"), F.col("loaded_at").alias("at"), "lang", body.alias("text"))
+    units = nodes.withColumn("unit_table", F.lit("snippet_nodes")).unionByName(chunks.withColumn("unit_table", F.lit("chunks")))
+    model = train(nodes.join(F.broadcast(codes), F.col("lang") == F.col("label_code")), "text", "labelled")
+    marks = learn(units, "text")
+    # Delivered rows are read before the newest is chosen, so that no text goes through the shuffle.
+    found = languages(units, ["unit_table", "document_id", "unit_id", "at", "lang"], "text", model, marks)
+    newest = current_rows(found, ["unit_table", "document_id", "unit_id"], ["at"], ["lang", "stretches"])
+    return newest.join(F.broadcast(codes), F.col("lang") == F.col("label_code"), "left").drop("label_code", "lang")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of texts whose label is missing or wrong, or that mix languages."""
+    units = _language_stretches(spark, folder).withColumn("langs", F.expr("array_distinct(transform(stretches, x -> x.lang))")).where(F.size("langs") > 0)
+    case = F.col("labelled").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("labelled"))
+    return units.where(case).select("unit_table", "document_id", "unit_id", F.explode("langs").alias("lang"))
+
+
+def p1_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of one language of every text node and chunk, with its confidence."""
+    units = _language_stretches(spark, folder).select("unit_table", "document_id", "unit_id", F.posexplode("stretches").alias("stretch_no", "s"))
+    return units.select("unit_table", "document_id", "unit_id", "stretch_no", "s.start_at", "s.end_at", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of six or more Latin letters that mark a document: in four or more of its nodes, in at most three documents."""
     nodes = _current(spark, folder, "text")
     scored = log_entropy(nodes, "document_id", "text", pattern=LATIN_6)
     # No such term scores less than this: tf is at least 4 and the entropy at most that of three equal shares.
-    size = F.broadcast(nodes.agg(F.countDistinct("document_id").alias("size")))
+    size = F.broadcast(table(spark, folder, "snippet_nodes").agg(F.countDistinct("document_id").alias("size")))
     least = F.log(F.lit(5.0)) * (1 - F.least(F.lit(1.0), F.log(F.lit(3.0)) / F.log(F.greatest(F.col("size"), F.lit(2)).cast("double")))) - 1e-9
     return scored.crossJoin(size).where(F.col("score") >= least).where("n_texts >= 4 and n_records <= 3").select("document_id", "term")
 
@@ -79,7 +109,7 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing}
+QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing}
 
 _CURRENT = "(SELECT * FROM snippet_nodes QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1)"
 

@@ -8,19 +8,24 @@ spans wins.  What opens and closes sentences is learned from the first and last
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taproot.plans.lineage import cut
+
 #: A first or last word counts from this share of the texts on, so at most 1 / SHARE words of each kind are kept.
 SHARE = 1e-5
 #: Candidates that one sentence may run over.
 SPAN = 64
 #: What every further sentence costs.
 PRIOR = 0.5
+#: Characters below which a sentence is too short and above which it is too long to be likely.
+SHORT, LONG = 10, 600
 
 _THAI = "฀-๿"
 _KANA = "ぁ-ヿ"
@@ -30,11 +35,15 @@ _OPENING = "\"'„“”‟«»‹›‘‚’¿¡「『（(\\["
 _CLOSING = "\"'”“»’›」』）)\\]"
 _MARK = r"•·▪◦‣*–—\-"
 
-# First word of a text: the word itself, "# word" after a number, six characters of Thai.
+# First word of a text.
 _FIRST = rf"^[{_SPACE}{_MARK}{_OPENING}]*([^{_SPACE},;:.!?…。！？、，]+)(?:[.,]\d+)*(?:[{_SPACE}]+([^{_SPACE},;:.!?…]+))?"
-_LAST = rf"([^{_SPACE}{_CLOSING}.!?…。！？]+(?:\.[^{_SPACE}{_CLOSING}.!?…。！？]+)*)[{_SPACE}{_CLOSING}.!?…。！？]*$"
+# Stripped from either side of a last word.
+_TAIL = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029\u3000​﻿\"'”“»’›」』）)].!?…。！？"
+_HEAD = '"„“”«»‘(¿¡['
 
-_first = re.compile(_FIRST).match
+_first = re.compile(_FIRST[1:]).match
+_cjk = re.compile(f"[{_CJK}]").match
+_kana = re.compile(f"[{_KANA}]").match
 _right = re.compile(rf"[{_OPENING}]*[{_SPACE}]?").match
 _candidate = re.compile(
     rf"(?P<end>[.!?…。！？]+)(?P<quote>(?:[{_CLOSING}]|[\s ]?[»›])*)(?P<gap>[{_SPACE}]*)"
@@ -44,6 +53,7 @@ _candidate = re.compile(
 _mark = re.compile(rf"[•·▪◦‣][{_SPACE}]*|[*–—-][{_SPACE}]+").match
 _word = re.compile(rf"[^{_SPACE}]+").match
 _quotes = re.compile("[\"„“”«»「」『』]").search
+_each_quote = re.compile("[\"„“”«»「」『』]").findall
 _lead = re.compile(rf"(?:[{_SPACE}]|[•·▪◦‣]|[*–—-](?=[{_SPACE}]))*").match
 _breaks = re.compile("[\n\r  \x85\x0b\x0c]+").split
 _number = re.compile(r"\d+(?:[.,:]\d+)*\Z").match
@@ -58,21 +68,9 @@ class SentenceModel:
     last: frozenset[str] = field(default_factory=frozenset)
 
 
-def first_word(text: Column) -> Column:
-    """What opens a text, as :func:`opener` sees it."""
-    head = F.substring(text, 1, 200)
-    one, two = (F.regexp_extract(head, "(?U)" + _FIRST, i) for i in (1, 2))
-    return F.when(one.rlike(rf"^[{_THAI}]"), F.substring(one, 1, 6)).when(one.rlike(r"^\d+$"), F.concat(F.lit("# "), two)).otherwise(one)
-
-
-def last_word(text: Column) -> Column:
-    """What closes a text, as :func:`closer` sees it."""
-    word = F.regexp_extract(F.substring(text, -80, 80), "(?U)" + _LAST, 1)
-    return F.when(word.rlike(rf"[{_THAI}]$"), F.substring(word, -5, 5)).otherwise(word)
-
-
 def opener(text: str, at: int) -> str:
-    m = _first(text[at : at + 200])
+    """What opens a sentence at ``at``: its first word, "# word" after a number, six characters of Thai."""
+    m = _first(text, at, at + 200)
     if not m:
         return ""
     one = m[1]
@@ -81,18 +79,40 @@ def opener(text: str, at: int) -> str:
     return f"# {m[2] or ''}" if one.isdecimal() else one
 
 
+def closer(text: str) -> str:
+    part = text[-80:].rstrip(_TAIL)
+    word = part.split()[-1].lstrip(_HEAD) if part else ""
+    return word[-5:] if "฀" <= word[-1:] <= "๿" else word
+
+
 def learn(df: DataFrame, text: str) -> SentenceModel:
     """The words that open or close at least ``SHARE`` of the non-blank texts, and at least two of them.
 
-    Counting covers all texts and stays in the JVM.  Only frequent words come to the driver: as their counts add up to
-    the number of texts, there are at most 1 / SHARE of each kind.
+    All texts are counted, each worker combining its own.  Only frequent words come to the driver: as their counts add
+    up to the number of texts, there are at most 1 / SHARE of each kind.
     """
-    texts = df.select(F.col(text).alias("t")).where(F.col("t").rlike(r"\S"))
-    words = texts.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), first_word(F.col("t")).alias("word")), F.struct(F.lit(1).alias("kind"), last_word(F.col("t")).alias("word")))).alias("w")).select("w.*")
-    counted = words.groupBy("kind", "word").agg(F.count("*").alias("n"))
-    total = F.broadcast(texts.agg(F.count("*").alias("total")))
-    kept = counted.crossJoin(total).where((F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * SHARE)) & (F.length("word") > 0)).select("kind", "word").collect()
-    return SentenceModel(frozenset(r.word for r in kept if r.kind == 0), frozenset(r.word for r in kept if r.kind == 1))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            for t in batch["t"]:
+                if t and not t.isspace():
+                    held[0, ""] += 1
+                    held[1, opener(t, 0)] += 1
+                    held[2, closer(t)] += 1
+            if len(held) > 200_000:
+                yield frame(held)
+                held = Counter()
+        yield frame(held)
+
+    def frame(held: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(kind, word, n) for (kind, word), n in held.items()], columns=["kind", "word", "n"])
+
+    parts = df.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInPandas(count, "kind int, word string, n long")
+    counted = cut(parts.groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    total = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    kept = counted.where((F.col("kind") > 0) & (F.col("n") >= max(2.0, total * SHARE)) & (F.length("word") > 0)).select("kind", "word").collect()
+    return SentenceModel(frozenset(r.word for r in kept if r.kind == 1), frozenset(r.word for r in kept if r.kind == 2))
 
 
 def _opening(text: str, at: int, model: SentenceModel) -> float | None:
@@ -121,10 +141,7 @@ def _closing(text: str, at: int, end: str, model: SentenceModel) -> float:
     if not end.strip("."):
         if len(end) >= 3:
             return 1.5
-        start = at
-        while start and at - start < 60 and not text[start - 1].isspace():
-            start -= 1
-        word = text[start:at].lstrip('"„“”«»‘(¿¡[')
+        word = _word_before(text, at).lstrip(_HEAD)
         if word[-1:] in (")", "]"):
             return 2.0
         if _number(word):
@@ -140,10 +157,8 @@ def _closing(text: str, at: int, end: str, model: SentenceModel) -> float:
 
 
 def _word_before(text: str, at: int) -> str:
-    start = at
-    while start and at - start < 60 and not text[start - 1].isspace():
-        start -= 1
-    return text[start:at]
+    part = text[max(0, at - 60) : at]
+    return part.split()[-1] if part and not part[-1].isspace() else ""
 
 
 def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
@@ -172,13 +187,13 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
                 # No white space: within numbers, addresses and abbreviations unless a sentence plainly opens.
                 if nxt.isdecimal() and text[m.start() - 1 : m.start()].isdecimal() and not m["quote"]:
                     continue
-                if m["quote"] and m["quote"][-1] in "」』" and re.match(f"[{_KANA}]", nxt):
+                if m["quote"] and m["quote"][-1] in "」』" and _kana(nxt):
                     continue
             opened = _opening(text, at, model)
             if opened is None:
                 continue
             closed = _closing(text, m.start(), m["end"], model)
-            if not m["gap"] and not re.match(f"[{_CJK}]", nxt) and closed < 4:
+            if not m["gap"] and not _cjk(nxt) and closed < 4:
                 closed -= 1.0 if nxt.isupper() else 2.0
             cuts.append((m.end("quote"), at, opened + closed))
         elif m["line"]:
@@ -201,16 +216,19 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
             if opened is not None and opened >= 3:
                 left = _word_before(text, m.start())
                 cuts.append((m.start(), at, 3.0 if left[-5:] in model.last else -3.0))
+    if stop - begin <= LONG:
+        # Leaving out a cut that doesn't pay for itself never costs length or balance, unless the span becomes long.
+        cuts = [c for c in cuts if c[2] > PRIOR]
     if not cuts:
         return [(begin, stop)]
     # Quotations: parity of each kind of mark up to every candidate.
     edges = [(begin, begin, 0.0), *cuts, (stop, stop, 0.0)]
     parity = None
     if _quotes(text):
-        parity, state, at = [], 0, begin
-        for _, start, _ in edges:
-            for c in text[at:start]:
-                state ^= _pairs.get(c, 0)
+        parity, state, at = [0], 0, begin
+        for _, start, _ in edges[1:]:
+            for c in _each_quote(text, at, start):
+                state ^= _pairs[c]
             parity.append(state)
             at = start
     best = [0.0] + [float("-inf")] * (len(edges) - 1)
@@ -223,9 +241,9 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
             if size <= 0:
                 continue
             score = best[i] + evidence - PRIOR
-            if size < 10 and not re.match(f"[{_CJK}]", text[start]):
+            if size < SHORT and not _cjk(text, start):
                 score -= 2.5
-            elif size > 600:
+            elif size > LONG:
                 score -= min(3.0, size / 2000)
             if parity and parity[i] != parity[j]:
                 score -= 5.0
