@@ -99,9 +99,12 @@ def bundle(texts: dict[str, list[str]], dimension: int = DIMENSION) -> LanguageM
     letters, languages = Letters(dimension), tuple(sorted(k for k, v in texts.items() if v))
     counts = [Counter(g for t in texts[k] for w in telling(t) for g in ngrams(w)) for k in languages]
     rows = np.zeros((len(languages), dimension), np.float32)
-    for gram in sorted(set().union(*counts)):
-        weights = np.array([np.sqrt(c[gram] / max(1, c.total())) for c in counts], np.float32)
-        rows += weights[:, None] * letters.ngram(gram)
+    grams = sorted(set().union(*counts))
+    totals = np.array([max(1, c.total()) for c in counts], np.float32)
+    for i in range(0, len(grams), 1024):
+        part = grams[i : i + 1024]
+        shares = np.array([[c[g] for g in part] for c in counts], np.float32) / totals[:, None]
+        rows += np.sqrt(shares) @ np.stack([letters.ngram(g) for g in part])
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
     if len(languages) > 1:
         rows -= rows.mean(axis=0)
