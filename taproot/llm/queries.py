@@ -9,6 +9,7 @@ from taproot.llm.bpe import encode
 from taproot.llm.langid import languages, train
 from taproot.llm.packing import pack
 from taproot.llm.sentences import learn, sentences
+from taproot.llm.stuffing import stuffing
 from taproot.llm.termweight import LATIN_6, log_entropy
 from taproot.operators.current import current_rows
 from taproot.sources.tables import table
@@ -109,7 +110,20 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_stretches": p1_stretches, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that consist of repeated keywords, links or product tags for more than half of their characters."""
+    return stuffing(table(spark, folder, "documents"), "doc_id", "text").where("stuffed").select("doc_id")
+
+
+def p8_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of stuffing of every page, and the shape of lines that holds most of it."""
+    return stuffing(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.round("share", 6).alias("share"), "shape", "stuffed")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_stretches": p1_stretches, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing,
+    "p8_found": p8_found, "p8_shapes": p8_shapes,
+}
 
 _CURRENT = "(SELECT * FROM snippet_nodes QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1)"
 

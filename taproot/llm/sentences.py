@@ -47,7 +47,7 @@ _kana = re.compile(f"[{_KANA}]").match
 _right = re.compile(rf"[{_OPENING}]*[{_SPACE}]?").match
 _candidate = re.compile(
     rf"(?P<end>[.!?…。！？]+)(?P<quote>(?:[{_CLOSING}]|[\s ]?[»›])*)(?P<gap>[{_SPACE}]*)"
-    rf"|(?P<line>[^\S\n\r]*[\n\r  \x85\x0b\x0c][{_SPACE}]*)"
+    rf"|(?P<line>[^\S\n\r]*[\n\r\u2028\u2029\x85\x0b\x0c][{_SPACE}]*)"
     rf"|(?<=[{_THAI}])(?P<thai>[^\S\n\r]+)(?=\S)"
 ).finditer
 _mark = re.compile(rf"[•·▪◦‣][{_SPACE}]*|[*–—-][{_SPACE}]+").match
@@ -55,7 +55,7 @@ _word = re.compile(rf"[^{_SPACE}]+").match
 _quotes = re.compile("[\"„“”«»「」『』]").search
 _each_quote = re.compile("[\"„“”«»「」『』]").findall
 _lead = re.compile(rf"(?:[{_SPACE}]|[•·▪◦‣]|[*–—-](?=[{_SPACE}]))*").match
-_breaks = re.compile("[\n\r  \x85\x0b\x0c]+").split
+_breaks = re.compile("[\n\r\u2028\u2029\x85\x0b\x0c]+").split
 _number = re.compile(r"\d+(?:[.,:]\d+)*\Z").match
 _pairs = {'"': 1, "„": 2, "“": 2, "”": 2, "«": 4, "»": 4, "「": 8, "」": 8, "『": 16, "』": 16}
 
