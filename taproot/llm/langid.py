@@ -245,15 +245,16 @@ def languages(df: DataFrame, keys: list[str], text: str, model: LanguageModel, s
     """
     shared = df.sparkSession.sparkContext.broadcast((model, sentence_model))
 
-    @F.pandas_udf("array<struct<start_at:int,end_at:int,lang:string,confidence:double>>")
-    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles, marks = shared.value
         classifier = Classifier(profiles)
         for part in parts:
-            texts = part.tolist()
-            runs: list[list[dict]] = []
-            for i in range(0, len(texts), 2000):
-                runs += stretches(texts[i : i + 2000], classifier, marks)
-            yield pd.Series([[{k: r[k] for k in ("start_at", "end_at", "lang", "confidence")} for r in row] for row in runs])
-
-    return df.select(*keys, F.col(text).cast("string").alias("_text")).select(*keys, found("_text").alias("stretches"))
+            for i in range(0, len(part), 2000):
+                block = part.iloc[i : i + 2000]
+                runs = stretches(block["_text"].tolist(), classifier, marks)
+                yield block.drop(columns="_text").assign(stretches=[[{k: r[k] for k in ("start_at", "end_at", "lang", "confidence")} for r in row] for row in runs])
+
+    # A map and not a column, so that no later filter has the texts read once more.
+    rows = df.select(*keys, F.col(text).cast("string").alias("_text"))
+    kept = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "_text")
+    return rows.mapInPandas(found, f"{kept}, stretches array<struct<start_at:int,end_at:int,lang:string,confidence:double>>")

@@ -29,10 +29,9 @@ def _language_stretches(spark: SparkSession, folder: str) -> DataFrame:
     units = nodes.withColumn("unit_table", F.lit("snippet_nodes")).unionByName(chunks.withColumn("unit_table", F.lit("chunks")))
     model = train(nodes.join(F.broadcast(codes), F.col("lang") == F.col("label_code")), "text", "labelled")
     marks = learn(units, "text")
-    # Delivered rows are read before the newest is chosen, so that no text goes through the shuffle.
-    found = languages(units, ["unit_table", "document_id", "unit_id", "at", "lang"], "text", model, marks)
-    newest = current_rows(found, ["unit_table", "document_id", "unit_id"], ["at"], ["lang", "stretches"])
-    return newest.join(F.broadcast(codes), F.col("lang") == F.col("label_code"), "left").drop("label_code", "lang")
+    newest = current_rows(units, ["unit_table", "document_id", "unit_id"], ["at"], ["lang", "text"])
+    found = languages(newest.where("text is not null"), ["unit_table", "document_id", "unit_id", "lang"], "text", model, marks)
+    return found.join(F.broadcast(codes), F.col("lang") == F.col("label_code"), "left").drop("label_code", "lang")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
