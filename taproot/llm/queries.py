@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from taproot.llm.bpe import encode
 from taproot.llm.langid import languages, train
 from taproot.llm.packing import pack
+from taproot.llm.scans import learn as learn_lines
+from taproot.llm.scans import repaired
 from taproot.llm.sentences import learn, sentences
 from taproot.llm.stuffing import stuffing
 from taproot.llm.termweight import LATIN_6, log_entropy
-from taproot.operators.current import current_rows
+from taproot.operators.current import current_rows, newest
 from taproot.sources.tables import table
 
 
@@ -47,6 +49,30 @@ def p1_stretches(spark: SparkSession, folder: str) -> DataFrame:
     return units.select("unit_table", "document_id", "unit_id", "stretch_no", "s.start_at", "s.end_at", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
 
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned documents with their titles: the newest of documents_meta and that of the first title node."""
+    meta = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest("document_type", "ingested_at").alias("kind"), newest("title", "ingested_at").alias("named"))
+    first = table(spark, folder, "graph_snippets").where("label = 'title' and text is not null").groupBy("document_id").agg(F.min(F.struct("sequence_no", "text"))["text"].alias("heading"))
+    return meta.where("kind = 'scan'").join(first, "document_id", "left").select("document_id", F.array("named", "heading").alias("titles"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of noise in the texts of scanned documents."""
+    snippets = table(spark, folder, "graph_snippets").select("document_id", "snippet_id", "text").where("text is not null").distinct()
+    model = learn_lines(snippets, "text")
+    found = repaired(snippets.join(_scans(spark, folder), "document_id"), ["snippet_id"], "text", "titles", model)
+    return found.select("snippet_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Current texts of scanned documents as continuous paragraphs."""
+    nodes = _current(spark, folder, "text")
+    scanned = nodes.join(_scans(spark, folder), "document_id")
+    model = learn_lines(nodes, "text")
+    found = repaired(scanned, ["document_id", "snippet_id"], "text", "titles", model)
+    return found.select("document_id", "snippet_id", F.array_join("kinds", ",").alias("kinds"), "repaired")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of six or more Latin letters that mark a document: in four or more of its nodes, in at most three documents."""
     nodes = _current(spark, folder, "text")
@@ -120,7 +146,7 @@ def p8_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_stretches": p1_stretches, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing,
+    "p1_found": p1_found, "p1_stretches": p1_stretches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing,
     "p8_found": p8_found, "p8_shapes": p8_shapes,
 }
 
