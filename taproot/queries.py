@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taproot.operators.current import newest
+from taproot.functions.ids import snippet_id
+from taproot.functions.text import cosine, n_chars, n_words, token_count
+from taproot.operators import graph, reports, retrieval, weights
+from taproot.operators.current import current_rows, newest
 from taproot.operators.hierarchy import descendants, hierarchy
 from taproot.sources.tables import table
 
@@ -66,7 +69,234 @@ sizes AS (SELECT document_id, unnest(path) AS snippet_id FROM down),
 subtree AS (SELECT document_id, snippet_id, count(*) AS subtree FROM sizes GROUP BY 1, 2)
 """
 
+
+# --- graphs -------------------------------------------------------------------
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.nodes(table(spark, folder, "graph_snippets"))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.edges(table(spark, folder, "edges"))
+
+
+def _both(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return _nodes(spark, folder), _edges(spark, folder)
+
+
+def _tree(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.tree(*_both(spark, folder))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def current_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    return current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["label", "sequence_no", "text"])
+
+
+def snippet_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "graph_snippets").select("document_id", "local_ref", snippet_id(F.col("document_id"), F.col("local_ref")).alias("node_id")).distinct()
+
+
+def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(_edges(spark, folder), "weight")
+
+
+def supply_relations(spark: SparkSession, folder: str) -> DataFrame:
+    context = graph.contexts(*_both(spark, folder))
+    return context.select("document_id", "parent_id", "child_id", graph.supply_relation(context).alias("supply_relation"))
+
+
+def resolved_parents(spark: SparkSession, folder: str) -> DataFrame:
+    items = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "level"])
+    return graph.resolve_parents(items.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), "level"))
+
+
+def document_roots(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.root_ids(_nodes(spark, folder), table(spark, folder, "documents_meta"))
+
+
+def media_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.mentions(_nodes(spark, folder))
+
+
+def component_edges(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return graph.connect(n, e, graph.root_ids(n, table(spark, folder, "documents_meta")))
+
+
+# --- weights ------------------------------------------------------------------
+
+
+def structural_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return weights.structural(_edges(spark, folder))
+
+
+def idf_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.idf(_nodes(spark, folder)), "idf")
+
+
+def bm25_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.bm25(*_both(spark, folder)), "weight")
+
+
+def bm25_symmetric(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.bm25(*_both(spark, folder), scoring="symmetric_max"), "weight")
+
+
+def embedding_cosines(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of each vector with the one before it of the same label."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, folder, "embeddings").withColumns({"before": F.lag("vec_id").over(order), "other": F.lag("embedding").over(order)})
+    return rows.where("before is not null").select("vec_id", "before", F.round(cosine(F.col("embedding"), F.col("other")), 5).alias("weight"))
+
+
+def reference_needs(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.reference_need(_nodes(spark, folder)), "need")
+
+
+def syntactic_needs(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.syntactic_need(graph.contexts(*_both(spark, folder))), "need")
+
+
+def antecedent_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return _rounded(weights.coverage(n, e, weights.idf(n)), "coverage")
+
+
+def complementarity(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return _rounded(weights.complementarity(n, e, weights.idf(n)), "complementarity")
+
+
+def supply_components(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return _rounded(weights.supply(n, e, weights.idf(n)), "coverage", "complementarity", "measured", "supply")
+
+
+def recentred_complementarity(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    terms = weights.idf(n)
+    stand_ins = weights.controls(n, e, retrieval.ancestors(retrieval.tree(n, e)))
+    return _rounded(weights.recentred(lambda rows: weights.complementarity(n, rows, terms), e, stand_ins, "complementarity"), "complementarity")
+
+
+def evidence_weights(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return _rounded(weights.evidence(n, e, weights.idf(n)), "need", "supply", "confidence", "weight")
+
+
+def product_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.compute("product", *_both(spark, folder)), "weight")
+
+
+def combined_weights(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return _rounded(weights.combine(e, weights.bm25(n, e), "mean"), "weight")
+
+
+# --- retrieval ----------------------------------------------------------------
+
+
+def node_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    n = _nodes(spark, folder)
+    return n.select("document_id", "node_id", token_count(n_words(F.col("text")), n_chars(F.col("text"))).alias("tokens"))
+
+
+def tree_parents(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(graph.best_parents(_edges(spark, folder)), "weight")
+
+
+def tree_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(retrieval.ancestors(_tree(spark, folder)), "cumulative")
+
+
+def _merged(strategy: str, **settings):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        units = retrieval.merge_units(_tree(spark, folder), retrieval.MergePolicy(strategy=strategy, **settings))
+        return units.select("document_id", "unit_id", "text", F.array_join("member_ids", ",").alias("members"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), "token_count")
+
+    query.__name__ = f"merge_{strategy}"
+    return query
+
+
+def merge_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean size of the units at a range of thresholds."""
+    return _rounded(retrieval.means_at(_tree(spark, folder), [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], retrieval.MergePolicy()), "mean_tokens")
+
+
+def merge_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """Threshold of the weights that brings the units nearest to twice the size that they have unmerged."""
+    n, e = _both(spark, folder)
+    rows = retrieval.tree(n, e)
+    bare = retrieval.mean_unit_tokens(retrieval.merge_units(rows, retrieval.MergePolicy(strategy="none"))).first().mean_tokens
+    c = retrieval.calibrate(rows, e, max(1.0, 2 * bare))
+    return spark.createDataFrame([(c.min_weight, c.target, c.achieved, c.evaluated, c.exhaustive)], "min_weight double, target double, achieved double, evaluated int, exhaustive boolean")
+
+
+def _expanded(mode: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        n, e = _both(spark, folder)
+        words = n.select("document_id", "node_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
+        asked = {"insulin": ["insulin", "insulintherapie", "insuline"], "control": ["control", "kontrolle", "contrôle"]}
+        hit = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.size(F.array_intersect("w", F.array(*map(F.lit, terms)))).alias("n")) for q, terms in asked.items()])).alias("h")
+        hits = words.select("document_id", "node_id", F.size("w").alias("size"), hit).where("h.n > 0").select(F.col("h.q").alias("query_id"), "document_id", "node_id", F.round(F.col("h.n") / F.col("size"), 6).alias("score"))
+        references = e.where("relation = 'list_item'")
+        got = retrieval.expand(hits, retrieval.tree(n, e), retrieval.ExpansionPolicy(mode=mode), references)
+        return got.select("query_id", "document_id", "unit_id", "score", "reason", F.array_join("member_ids", ",").alias("members"), F.array_join("absorbed_ids", ",").alias("absorbed"), "added_tokens")
+
+    query.__name__ = f"expand_{mode}"
+    return query
+
+
+# --- reports ------------------------------------------------------------------
+
+
+def relation_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.relation_mix(*_both(spark, folder))
+
+
+def graph_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.summary(_tree(spark, folder))
+
+
+def graph_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.checks(_tree(spark, folder))
+
+
+def metric_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.agreement({"structural": weights.structural(e), "bm25": weights.bm25(n, e)})
+
+
+def chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.chunk_sizes(table(spark, folder, "chunks"))
+
+
+def fragmentation(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.fragmentation(_nodes(spark, folder))
+
+
+def edge_sample(spark: SparkSession, folder: str) -> DataFrame:
+    context = graph.contexts(*_both(spark, folder))
+    return reports.stratified_sample(context.select("document_id", "parent_id", "child_id", graph.supply_relation(context).alias("cell")), 20)
+
+
 QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        current_snippets, snippet_ids, graph_edges, supply_relations, resolved_parents, document_roots, media_mentions, component_edges, structural_weights, idf_terms,
+        bm25_weights, bm25_symmetric, embedding_cosines, reference_needs, syntactic_needs, antecedent_coverage, complementarity, supply_components,
+        recentred_complementarity, evidence_weights, product_weights, combined_weights, node_tokens, tree_parents, tree_ancestors, _merged("none"), _merged("all_ancestors"),
+        _merged("weighted"), _merged("subtree"), merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
+        relation_mix, graph_summary, graph_checks, metric_agreement, chunk_sizes, fragmentation, edge_sample,
+    )
+}
+
 
 SQL = {
     "p2_found": _FOREST + "SELECT document_id, snippet_id, cycle_id FROM cycles",
@@ -82,3 +312,104 @@ LEFT JOIN lost_sizes s ON c.document_id = s.document_id AND c.snippet_id = s.sni
 SELECT document_id, path[i] AS ancestor_id, snippet_id, CAST(depth - i + 1 AS INTEGER) AS distance
 FROM (SELECT document_id, snippet_id, depth, path, unnest(range(1, depth + 1)) AS i FROM down)""",
 }
+
+
+_NODES = """nodes AS (
+  SELECT document_id, snippet_id AS node_id, trim(replace(coalesce(text, ''), chr(0), ''), ' ') AS text, sequence_no AS seq, level, level_label, snippet_type AS kind, label = 'list_item' AS grouped
+  FROM graph_snippets QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1)"""
+_EDGES = """links AS (
+  SELECT document_id, parent_id, child_id, coalesce(max(weight), CASE max(relation) WHEN 'section' THEN 1.0 WHEN 'list_item' THEN 0.6 WHEN 'root' THEN 0.1 ELSE 0.8 END) AS weight, max(relation) AS relation
+  FROM edges GROUP BY 1, 2, 3)"""
+_RELATION = """CASE WHEN e.relation IN ('reference', 'unreferenced_media', 'root') THEN e.relation WHEN c.kind = 'table' THEN 'media_table' WHEN c.kind = 'image' THEN 'media_figure'
+  WHEN p.h AND c.h THEN 'section' WHEN c.grouped AND p.h THEN 'heading_list' WHEN c.grouped THEN 'text_list' WHEN p.h THEN 'heading_text' ELSE 'text_text' END"""
+_CONTEXT = f"""{_NODES}, {_EDGES}, named AS (SELECT *, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h FROM nodes),
+related AS (SELECT e.document_id, e.parent_id, e.child_id, e.weight, {_RELATION} AS supply_relation FROM links e
+  JOIN named p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN named c ON e.document_id = c.document_id AND e.child_id = c.node_id)"""
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_BEST = "best AS (SELECT document_id, child_id AS node_id, max({'weight': weight, 'parent_id': parent_id}) AS b FROM links GROUP BY 1, 2)"
+_CHAIN = f"""{_NODES}, {_EDGES}, {_BEST},
+tied AS (SELECT n.document_id, n.node_id, p.node_id AS up_id, b.b.weight AS up FROM nodes n LEFT JOIN best b ON n.document_id = b.document_id AND n.node_id = b.node_id
+  LEFT JOIN nodes p ON p.document_id = n.document_id AND p.node_id = b.b.parent_id),
+rooted AS (
+  SELECT document_id, node_id FROM tied WHERE up_id IS NULL
+  UNION ALL
+  SELECT t.document_id, t.node_id FROM tied t JOIN rooted r ON t.document_id = r.document_id AND t.up_id = r.node_id),
+sized AS (SELECT n.*, CASE WHEN r.node_id IS NOT NULL THEN t.up_id END AS up_id, t.up, len(regexp_extract_all(text, '\\S+')) AS words, length(text) AS chars, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h
+  FROM nodes n JOIN tied t USING (document_id, node_id) LEFT JOIN rooted r USING (document_id, node_id)),
+far AS (
+  SELECT document_id, node_id, node_id AS spot, 0 AS distance, 1.0::DOUBLE AS cumulative FROM sized
+  UNION ALL
+  SELECT f.document_id, f.node_id, s.up_id, f.distance + 1, f.cumulative * s.up FROM far f JOIN sized s ON f.document_id = s.document_id AND f.spot = s.node_id WHERE s.up_id IS NOT NULL)"""
+
+
+def _merge_sql(gate: str) -> str:
+    """Units by a recursion that stops at the first ancestor that isn't let in or doesn't fit."""
+    return f"""WITH RECURSIVE {_CHAIN},
+grown AS (
+  SELECT document_id, node_id, node_id AS spot, words::BIGINT AS w, chars::BIGINT AS c, 1 AS k, 1.0::DOUBLE AS cum, greatest(words, chars // 4)::BIGINT AS token_count, text, node_id AS members, 0 AS n
+  FROM sized WHERE text <> '' AND coalesce(kind, '') <> 'root'
+  UNION ALL
+  SELECT g.document_id, g.node_id, t.node_id, g.w + t.words, g.c + t.chars, g.k + (t.text <> '')::INT, g.cum * s.up,
+         greatest(g.w + t.words, (g.c + t.chars + 2 * (g.k + (t.text <> '')::INT - 1)) // 4), CASE WHEN t.text = '' THEN g.text ELSE t.text || chr(10) || chr(10) || g.text END, t.node_id || ',' || g.members, g.n + 1
+  FROM grown g JOIN sized s ON g.document_id = s.document_id AND g.spot = s.node_id JOIN sized t ON t.document_id = s.document_id AND t.node_id = s.up_id
+  WHERE g.token_count <= 1024 AND {gate} AND greatest(g.w + t.words, (g.c + t.chars + 2 * (g.k + (t.text <> '')::INT - 1)) // 4) <= 1024),
+crumbs AS (SELECT f.document_id, f.node_id, string_agg(s.text, ' > ' ORDER BY f.distance DESC) AS breadcrumb FROM far f JOIN sized s ON f.document_id = s.document_id AND f.spot = s.node_id
+  WHERE f.distance > 0 AND s.h AND s.text <> '' GROUP BY 1, 2)
+SELECT g.document_id, g.node_id AS unit_id, g.text, g.members, coalesce(breadcrumb, '') AS breadcrumb, g.token_count FROM grown g
+LEFT JOIN crumbs USING (document_id, node_id) QUALIFY row_number() OVER (PARTITION BY g.document_id, g.node_id ORDER BY g.n DESC) = 1"""
+
+
+_IDF = f"""stems AS (SELECT document_id, node_id, list_distinct(list_transform({_WORDS}, lambda x: x[1:6])) AS t FROM nodes),
+idf AS (SELECT term, ln(((SELECT count(*) FROM nodes) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(t) AS term FROM stems) GROUP BY 1)"""
+
+SQL |= {
+    "current_snippets": "SELECT document_id, snippet_id, label, sequence_no, text FROM snippet_nodes QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1",
+    "snippet_ids": "SELECT DISTINCT document_id, local_ref, snippet_id AS node_id FROM graph_snippets",
+    "graph_edges": f"WITH {_EDGES} SELECT document_id, parent_id, child_id, round(weight, 6) AS weight, relation FROM links",
+    "supply_relations": f"WITH {_CONTEXT} SELECT document_id, parent_id, child_id, supply_relation FROM related",
+    "resolved_parents": """
+WITH items AS (SELECT document_id, snippet_id AS node_id, sequence_no AS seq, least(coalesce(level, 12), 12) AS level FROM snippet_nodes
+  QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1),
+near AS (SELECT a.document_id, a.node_id, max({'seq': b.seq, 'node_id': b.node_id}).node_id AS parent_id FROM items a
+  JOIN items b ON a.document_id = b.document_id AND b.level < a.level AND (b.seq, b.node_id) < (a.seq, a.node_id) GROUP BY 1, 2),
+top AS (SELECT document_id, min({'seq': seq, 'node_id': node_id}).node_id AS top FROM items WHERE level = 0 GROUP BY 1)
+SELECT i.document_id, i.node_id, coalesce(n.parent_id, nullif(t.top, i.node_id)) AS parent_id
+FROM items i LEFT JOIN near n ON i.document_id = n.document_id AND i.node_id = n.node_id LEFT JOIN top t ON i.document_id = t.document_id""",
+    "document_roots": f"""
+WITH {_NODES}, named AS (SELECT document_id, max(lower(trim(title))) AS title FROM documents_meta GROUP BY 1)
+SELECT document_id, coalesce(arg_min(node_id, {{'a': seq, 'b': node_id}}) FILTER (lower(trim(text)) = title), arg_min(node_id, {{'a': seq, 'b': node_id}}) FILTER (level_label = 'Title'), '#/document-root') AS root_id
+FROM nodes LEFT JOIN named USING (document_id) GROUP BY 1""",
+    "structural_weights": f"WITH {_EDGES} SELECT document_id, parent_id, child_id, CASE relation WHEN 'section' THEN 1.0 WHEN 'text' THEN 0.8 WHEN 'list_item' THEN 0.6 WHEN 'root' THEN 0.1 ELSE 0.8 END::DOUBLE AS weight FROM links",
+    "idf_terms": f"WITH {_NODES}, {_IDF} SELECT term, round(idf, 6) AS idf FROM idf",
+    "bm25_weights": f"""
+WITH {_NODES}, {_EDGES}, words AS (SELECT document_id, node_id, {_WORDS} AS t FROM nodes),
+stats AS (SELECT document_id, count(*) AS n, avg(len(t)) AS avgdl FROM words GROUP BY 1),
+tf AS (SELECT document_id, node_id, term, count(*) AS tf FROM (SELECT document_id, node_id, unnest(t) AS term FROM words) GROUP BY 1, 2, 3),
+df AS (SELECT document_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
+scored AS (SELECT e.document_id, e.parent_id, e.child_id, greatest(0, sum(ln((n - df + 0.5) / (df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len(w.t) / avgdl)))) AS score
+  FROM links e JOIN tf c ON e.document_id = c.document_id AND e.child_id = c.node_id JOIN tf p ON e.document_id = p.document_id AND e.parent_id = p.node_id AND p.term = c.term
+  JOIN df ON df.document_id = e.document_id AND df.term = c.term JOIN words w ON w.document_id = e.document_id AND w.node_id = e.parent_id JOIN stats s ON s.document_id = e.document_id GROUP BY 1, 2, 3),
+filled AS (SELECT e.document_id, e.parent_id, e.child_id, coalesce(score, 0) AS score FROM links e LEFT JOIN scored USING (document_id, parent_id, child_id))
+SELECT document_id, parent_id, child_id, round(CASE WHEN max(score) OVER d > 0 THEN score / max(score) OVER d ELSE 0 END, 6) AS weight FROM filled WINDOW d AS (PARTITION BY document_id)""",
+    "embedding_cosines": """
+SELECT vec_id, before, round(greatest(0, least(1, list_dot_product(a, b) / (CASE WHEN list_dot_product(a, a) = 0 THEN 1 ELSE sqrt(list_dot_product(a, a)) END * CASE WHEN list_dot_product(b, b) = 0 THEN 1 ELSE sqrt(list_dot_product(b, b)) END))), 5) AS weight
+FROM (SELECT vec_id, lag(vec_id) OVER w AS before, embedding::DOUBLE[] AS a, lag(embedding) OVER w::DOUBLE[] AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE before IS NOT NULL""",
+    "complementarity": f"""
+WITH {_NODES}, {_EDGES}, {_IDF},
+pairs AS (SELECT e.document_id, e.parent_id, e.child_id, p.t AS pt, c.t AS ct FROM links e JOIN stems p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN stems c ON e.document_id = c.document_id AND e.child_id = c.node_id),
+novel AS (SELECT document_id, parent_id, child_id, sum(idf) AS novel FROM (SELECT document_id, parent_id, child_id, idf, row_number() OVER (PARTITION BY document_id, parent_id, child_id ORDER BY idf DESC) AS r
+  FROM (SELECT document_id, parent_id, child_id, unnest(pt) AS term, ct FROM pairs) JOIN idf USING (term) WHERE NOT list_contains(ct, term)) WHERE r <= 8 GROUP BY 1, 2, 3),
+mass AS (SELECT document_id, node_id AS child_id, sum(idf) AS mass FROM (SELECT document_id, node_id, unnest(t) AS term FROM stems) JOIN idf USING (term) GROUP BY 1, 2)
+SELECT e.document_id, e.parent_id, e.child_id, round(CASE WHEN coalesce(novel, 0) + coalesce(mass, 0) > 0 THEN coalesce(novel, 0) / (coalesce(novel, 0) + coalesce(mass, 0)) ELSE 0 END, 6) AS complementarity
+FROM links e LEFT JOIN novel USING (document_id, parent_id, child_id) LEFT JOIN mass USING (document_id, child_id)""",
+    "node_tokens": f"WITH {_NODES} SELECT document_id, node_id, greatest(len(regexp_extract_all(text, '\\S+')), length(text) // 4)::BIGINT AS tokens FROM nodes",
+    "tree_parents": f"WITH {_EDGES}, {_BEST} SELECT document_id, node_id, b.parent_id AS parent_id, round(b.weight, 6) AS weight FROM best",
+    "tree_ancestors": f"WITH RECURSIVE {_CHAIN} SELECT document_id, node_id, spot AS ancestor_id, distance, round(cumulative, 6) AS cumulative FROM far WHERE distance > 0",
+    "merge_none": _merge_sql("false"),
+    "merge_all_ancestors": _merge_sql("true"),
+    "merge_weighted": _merge_sql("s.up >= 0.5 AND g.cum * s.up >= 0"),
+    "relation_mix": f"WITH {_CONTEXT} SELECT supply_relation, count(*) AS edges, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(weight), 6) AS mean_weight FROM related GROUP BY 1",
+    "chunk_sizes": r"""
+WITH newest AS (SELECT variant, text FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1)
+SELECT variant, count(*) AS chunks, round(avg(greatest(len(regexp_extract_all(coalesce(text, ''), '\S+')), length(coalesce(text, '')) // 4)), 6) AS mean_tokens FROM newest GROUP BY 1""",
+}
