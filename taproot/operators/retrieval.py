@@ -198,10 +198,18 @@ def _subtrees(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
     carried = cut(sums.withColumn("stopped", stopped).where("stopped = 0"))
     made = carried.groupBy("document_id", F.col("head").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "text"))).alias("m"), F.max("t").alias("token_count"))
     made = made.select("document_id", "unit_id", F.array_join(F.transform("m", lambda x: x["text"]), policy.separator).alias("text"), F.transform("m", lambda x: x["node_id"]).alias("member_ids"), "token_count")
-    left = units.join(carried.select(*ID).distinct(), ID, "left_anti")
-    # What no heading carries stands alone, small nodes with their host where it is left too.
-    alone = _fitted(_with_tails(left, replace(policy, strategy="none")), F.lit(0.0), replace(policy, strategy="none", max_tokens=2**31 - 1))
-    rest = alone.select("document_id", F.col("node_id").alias("unit_id"), F.array_join(F.concat(F.array(own["text"]), "tail_texts"), policy.separator).alias("text"), F.concat(F.array("node_id"), "tail").alias("member_ids"), F.col("fit.tokens").alias("token_count"))
+    done = carried.select(*ID).distinct()
+    # What no heading carries stands alone, with the small nodes that belong to it; so do small ones whose host is gone.
+    alone = _with_tails(tree_rows, policy).join(done, ID, "left_anti")
+    if folded is not None:
+        hosts = _hosts(tree_rows, policy).join(done, ID, "left_anti")
+        stray = hosts.join(alone.select("document_id", F.col("node_id").alias("host")), ["document_id", "host"], "left_anti").select(*ID)
+        alone = alone.unionByName(_with_tails(units.join(stray, ID, "left_semi"), replace(policy, min_tokens=0)))
+    free = replace(policy, strategy="none", max_tokens=2**31 - 1)
+    rest = _fitted(alone, F.lit(0.0), free).select(
+        "document_id", F.col("node_id").alias("unit_id"), F.array_join(F.concat(F.array(own["text"]), "tail_texts"), policy.separator).alias("text"),
+        F.concat(F.array("node_id"), "tail").alias("member_ids"), F.col("fit.tokens").alias("token_count"),
+    )
     crumbs = tree_rows.select("document_id", F.col("node_id").alias("unit_id"), "seq", breadcrumb(F.col("chain")).alias("breadcrumb"))
     return made.unionByName(rest).join(crumbs, ["document_id", "unit_id"]).select("document_id", "unit_id", "seq", "text", "member_ids", "breadcrumb", "token_count")
 
