@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from taproot.functions.ids import snippet_id
 from taproot.functions.text import cosine, n_chars, n_words, token_count
-from taproot.operators import graph, reports, retrieval, weights
+from taproot.operators import chunks, graph, layout, levels, reports, retrieval, weights
+from taproot.sources import graphs
 from taproot.operators.current import current_rows, newest
 from taproot.operators.hierarchy import descendants, hierarchy
 from taproot.sources.tables import table
@@ -285,6 +286,72 @@ def edge_sample(spark: SparkSession, folder: str) -> DataFrame:
     return reports.stratified_sample(context.select("document_id", "parent_id", "child_id", graph.supply_relation(context).alias("cell")), 20)
 
 
+# --- pages and levels -----------------------------------------------------------
+
+
+def _boxed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Current text items with their boxes from the bottom left, and the pages."""
+    pages = table(spark, folder, "page_geometry").groupBy("document_id", "page_no").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "page_no", "text", "bbox", "region"])
+    rows = rows.join(pages.select("document_id", "page_no", F.col("height").alias("_h")), ["document_id", "page_no"]).where("bbox is not null")
+    box = layout.bottom_left(F.col("bbox"), F.col("_h"))
+    parent = F.when(F.col("region") == "figure", "#/pictures/0").otherwise("#/body")
+    items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b")
+    return items, pages
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    items, pages = _boxed(spark, folder)
+    shapes = items.where("label = 'title'").select("document_id", "page_no", F.lit(0.0).alias("l"), F.col("b").alias("t"), F.lit(2000.0).alias("r"), F.col("b").alias("b"))
+    return layout.placed(items, pages, shapes)
+
+
+def page_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Block, column and repaired place of every text item; the foot of a title counts as a rule."""
+    return _placed(spark, folder).select("document_id", "node_id", "page_no", "block", "column", "place")
+
+
+def stitched_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.stitch(_placed(spark, folder)).select("document_id", "place", "page_no", "label", "text", "parts")
+
+
+def page_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.regions(_placed(spark, folder)).select("document_id", "node_id", "region")
+
+
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "font_key", "line_heights"])
+    return rows.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), "label", "font_key", "line_heights")
+
+
+def heading_styles(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.heading_levels(_typed(spark, folder).where("label in ('title', 'section_header')"))
+
+
+def text_levels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _typed(spark, folder)
+    deepest = levels.heading_levels(rows.where("label in ('title', 'section_header')")).groupBy("document_id").agg(F.max("level").alias("level"))
+    return levels.text_levels(rows.where("label not in ('title', 'section_header')"), deepest)
+
+
+def height_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.height_histogram(_typed(spark, folder))
+
+
+def baseline_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.baseline_chunks(_tree(spark, folder)).withColumn("node_ids", F.array_join("node_ids", ","))
+
+
+def graph_gexf(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.gexf(*_both(spark, folder))
+
+
+def graph_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    meta = table(spark, folder, "documents_meta").select("document_id", "filename", "title")
+    return graphs.property_graph(meta, n, e, graph.root_ids(n, meta))["relationships"]
+
+
 QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}
 QUERIES |= {
     f.__name__: f
@@ -294,6 +361,7 @@ QUERIES |= {
         recentred_complementarity, evidence_weights, product_weights, combined_weights, node_tokens, tree_parents, tree_ancestors, _merged("none"), _merged("all_ancestors"),
         _merged("weighted"), _merged("subtree"), merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
         relation_mix, graph_summary, graph_checks, metric_agreement, chunk_sizes, fragmentation, edge_sample,
+        page_places, stitched_paragraphs, page_regions, heading_styles, text_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships,
     )
 }
 

@@ -1 +1 @@
-
+"""Streams of delivered rows."""

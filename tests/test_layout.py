@@ -1,0 +1,64 @@
+from pyspark.sql import functions as F
+
+from taproot.operators import chunks, layout, levels
+from taproot.sources import graphs
+from taproot.streaming import ingest
+
+
+def test_continuations(spark):
+    pages = spark.createDataFrame([("d", 1, 600.0, 800.0)], "document_id string, page_no int, width double, height double")
+    rows = [
+        ("d", 0, 1, "text", "Die Dosis wird täg-", "#/body", 50.0, 700.0, 280.0, 100.0), ("d", 1, 1, "text", "lich gemessen.", "#/body", 320.0, 700.0, 550.0, 600.0),
+        ("d", 2, 1, "text", "Ein Absatz.", "#/body", 320.0, 590.0, 550.0, 500.0),
+    ]
+    items = spark.createDataFrame(rows, "document_id string, ord int, page_no int, label string, text string, parent_ref string, l double, t double, r double, b double")
+    shapes = items.limit(0).select("document_id", "page_no", "l", "t", "r", "b")
+    placed = layout.placed(items, pages, shapes)
+    assert [r.column for r in placed.orderBy("ord").collect()] == [0, 1, 1]
+    assert sorted((r.text, r.parts) for r in layout.stitch(placed).collect()) == [("Die Dosis wird täglich gemessen.", 2), ("Ein Absatz.", 1)]
+    assert {r.region for r in layout.regions(placed).collect()} == {"body"}
+    joined = spark.range(1).select(layout.join_continuation(F.lit("Vor-"), F.lit("und Nachteile")).alias("x"), layout.join_continuation(F.lit("Vor­"), F.lit("teil")).alias("y")).first()
+    assert (joined.x, joined.y) == ("Vor- und Nachteile", "Vorteil")
+
+
+def test_pictures_and_cells(spark):
+    pictures = spark.createDataFrame([("d", p, 10.0, 60.0, 50.0, 20.0) for p in (1, 2, 3)] + [("d", 1, 0.0, 10.0, 9.0, 0.0), ("d", 1, 100.0, 300.0, 300.0, 100.0)], "document_id string, page_no int, l double, t double, r double, b double")
+    assert layout.decorative(pictures).count() == 4
+    items = spark.createDataFrame([("d", 0, 1, 0.0, 100.0, 100.0, 0.0)], "document_id string, ord int, page_no int, l double, t double, r double, b double")
+    cells = spark.createDataFrame([("d", 1, "a", 0.0, 20.0, 50.0, 10.0), ("d", 1, "b", 60.0, 20.0, 90.0, 10.0), ("d", 1, "c", 0.0, 40.0, 50.0, 30.0), ("d", 1, "x", 90.0, 40.0, 150.0, 30.0)], "document_id string, page_no int, text string, l double, t double, r double, b double")
+    found = layout.cells_in(items, cells)
+    assert {r.c_text for r in found.collect()} == {"a", "b", "c"} and layout.rows_of_text(found).first().rows == 2
+
+
+def test_heading_levels(spark):
+    rows = [("d", 0, "F1", [18.0]), ("d", 1, "F2", [11.0, 11.2]), ("d", 2, "F2", [11.0]), ("d", 3, "F3", [8.0]), ("d", 4, None, [])]
+    df = spark.createDataFrame(rows, "document_id string, seq int, font_key string, line_heights array<double>")
+    assert {r.font_key: r.level for r in levels.heading_levels(df).collect()} == {"F1": 0, "F2": 1, "F3": 2}
+    assert levels.clusters([12.0, 11.0, 10.6, 8.0]) == [[12.0, 11.0, 10.6], [8.0]]
+    assert levels.heading_levels(df.limit(0)).count() == 0
+
+
+def test_chunks_and_sources(spark, tmp_path):
+    from taproot.operators import retrieval
+
+    n = spark.createDataFrame([("d", "t", "Titel", 0, 0, "Title", "text", False, 1)] + [("d", f"p{i}", "eins zwei drei vier", i + 1, 1, "Body", "text", False, 1) for i in range(5)], "document_id string, node_id string, text string, seq int, level int, level_label string, kind string, grouped boolean, page_no int")
+    e = spark.createDataFrame([("d", "t", f"p{i}", 0.8, "text") for i in range(5)], "document_id string, parent_id string, child_id string, weight double, relation string")
+    got = chunks.baseline_chunks(retrieval.tree(n, e), max_tokens=8).collect()
+    assert sorted((r.variant, r.chunk_index, len(r.node_ids)) for r in got) == [(v, i, k) for v in ("baseline", "enriched") for i, k in enumerate((2, 2, 1))]
+    assert all(r.text.startswith("Titel\n") for r in got if r.variant == "enriched")
+    meta = spark.createDataFrame([("d", "f.pdf", "Titel", "t")], "document_id string, filename string, title string, root_id string")
+    pages = spark.createDataFrame([("d", 1, 600.0, 800.0)], "document_id string, page_no int, width double, height double")
+    graphs.write_graphs(meta, n, e, pages, str(tmp_path / "g"))
+    back = graphs.read_graphs(spark, str(tmp_path / "g"))
+    assert back["nodes"].select(n.columns).exceptAll(n).count() == 0 and back["edges"].select(e.columns).exceptAll(e).count() == 0 and back["pages"].count() == 1
+    assert graphs.gexf(n, e).first().xml.count("<edge ") == 5
+    assert graphs.property_graph(meta, n, e, meta.select("document_id", "root_id"))["relationships"].count() == 6
+
+
+def test_stream(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, at int, v string"
+    for rows in ([("a", 1, "old"), ("b", 1, "x")], [("a", 2, "new")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        ingest.follow(spark, source, schema, target, str(tmp_path / "mark"), ["k"], ["at"]).awaitTermination()
+    assert sorted(map(tuple, ingest.snapshot(spark, target, ["k"], ["at"]).select("k", "v").collect())) == [("a", "new"), ("b", "x")]
