@@ -14,6 +14,7 @@ from taproot.llm.sentences import learn, sentences
 from taproot.llm.stuffing import stuffing
 from taproot.llm.termweight import LATIN_6, log_entropy
 from taproot.operators.current import current_rows, newest
+from taproot.plans.lineage import cut
 from taproot.sources.tables import table
 
 
@@ -128,7 +129,8 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     counted: dict[str, DataFrame] = {}
     for row in table(spark, folder, "pack_capacity").orderBy("capacity_id").collect():
         if row.tokenizer not in counted:
-            counted[row.tokenizer] = encode(documents, "doc_id", "text", name=row.tokenizer, ids=None, count="n_tokens")
+            # Written once, so that not every capacity has the texts encoded again.
+            counted[row.tokenizer] = cut(encode(documents, "doc_id", "text", name=row.tokenizer, ids=None, count="n_tokens"))
         packed = pack(counted[row.tokenizer], "doc_id", "n_tokens", row.capacity)
         part = packed.select(F.lit(row.capacity_id).alias("capacity_id"), F.col("container").alias("container_id"), "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
         out = part if out is None else out.unionByName(part)
