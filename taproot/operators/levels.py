@@ -8,7 +8,6 @@ heights decide, not its items, so what is gathered for a document is small.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +46,13 @@ def heading_levels(headings: DataFrame) -> DataFrame:
 
     def rank(own: pd.DataFrame) -> pd.DataFrame:
         of, size, first = {}, {}, {}
-        for font, rows in own.groupby("font_key"):
-            for i, cluster in enumerate(clusters(rows["height"].tolist())):
-                inside = rows[rows["height"].isin(cluster)]
-                size[font, i] = float(np.average(inside["height"], weights=inside["n"]))
-                first[font, i] = int(inside["first"].min())
+        fonts: dict[str, dict[float, tuple[int, int]]] = {}
+        for font, height, n, at in zip(*(own[c].tolist() for c in ("font_key", "height", "n", "first"))):
+            fonts.setdefault(font, {})[height] = (n, at)
+        for font, met in sorted(fonts.items()):
+            for i, cluster in enumerate(clusters(list(met))):
+                size[font, i] = sum(h * met[h][0] for h in cluster) / sum(met[h][0] for h in cluster)
+                first[font, i] = min(met[h][1] for h in cluster)
                 for h in cluster:
                     of[font, h] = (font, i)
         order = sorted(size, key=lambda s: (-size[s], first[s]))
