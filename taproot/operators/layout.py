@@ -32,16 +32,27 @@ def structure(shapes: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def sized(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sizes of all pages of the items.  One that isn't known is what the items of the document span with equal margins."""
+    span = items.groupBy("document_id").agg((F.min("l") + F.max("r")).alias("_w"), F.abs(F.min("b") + F.max("t")).alias("_h"))
+    rows = items.select("document_id", "page_no").distinct().join(pages.select("document_id", "page_no", "width", "height"), ["document_id", "page_no"], "left").join(span, "document_id", "left")
+    return rows.select("document_id", "page_no", F.coalesce("width", "_w").alias("width"), F.coalesce("height", "_h").alias("height"))
+
+
 def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
     """Items with their ``block`` (dividers above), ``column`` (0 left, 1 right of the middle) and repaired ``place``.
 
-    The place orders by page and block and keeps the given order inside.
+    The place orders by page and block and keeps the given order inside; of equal ``ord`` the lesser ``node_id``, if
+    there is one, comes first.  Every item is kept: a page without a size gets that of :func:`sized`, an item without a
+    page is in block 0 and column 0.
     """
-    rows = items.join(pages.select("document_id", "page_no", "width", "height"), ["document_id", "page_no"], "left").join(structure(shapes, pages), ["document_id", "page_no"], "left")
+    pages = sized(items, pages)
+    rows = items.join(pages, ["document_id", "page_no"], "left").join(structure(shapes, pages), ["document_id", "page_no"], "left")
     block = F.size(F.filter(F.coalesce("dividers", F.array().cast("array<double>")), lambda d: F.col("t") < d))
-    column = F.when((F.col("l") + F.col("r")) / 2 < F.col("width") / 2, 0).otherwise(1)
+    column = F.when(F.col("width").isNull() | ((F.col("l") + F.col("r")) / 2 < F.col("width") / 2), 0).otherwise(1)
     rows = rows.withColumns({"block": block, "column": column})
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("page_no", "block", "ord")))
+    order = ["page_no", "block", "ord", *[c for c in ("node_id",) if c in items.columns]]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
 
 
 def unfinished(text: Column) -> Column:

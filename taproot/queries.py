@@ -290,11 +290,14 @@ def edge_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _boxed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Current text items with their boxes from the bottom left, and the pages."""
+    """Current text items with their boxes from the bottom left, and the pages.
+
+    Without a height a box from the top left is measured down from the top edge, which keeps the order on its page.
+    """
     pages = table(spark, folder, "page_geometry").groupBy("document_id", "page_no").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "page_no", "text", "bbox", "region"])
-    rows = rows.join(pages.select("document_id", "page_no", F.col("height").alias("_h")), ["document_id", "page_no"]).where("bbox is not null")
-    box = layout.bottom_left(F.col("bbox"), F.col("_h"))
+    rows = rows.join(pages.select("document_id", "page_no", F.col("height").alias("_h")), ["document_id", "page_no"], "left").where("bbox is not null")
+    box = layout.bottom_left(F.col("bbox"), F.coalesce("_h", F.lit(0.0)))
     parent = F.when(F.col("region") == "figure", "#/pictures/0").otherwise("#/body")
     items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b")
     return items, pages

@@ -21,6 +21,28 @@ def test_continuations(spark):
     assert (joined.x, joined.y) == ("Vor- und Nachteile", "Vorteil")
 
 
+def test_pages_without_geometry(spark, tmp_path):
+    from taproot import queries
+
+    box = lambda l, t, r, b, o="BOTTOMLEFT": (l, t, r, b, o)
+    rows = [
+        (d, n, i, label, p, text, b, "body", 1)
+        for d in ("d", "e")
+        for i, (n, label, p, text, b) in enumerate([
+            ("a", "title", 1, "Titel", box(50.0, 750.0, 550.0, 700.0)), ("b", "text", 1, "Die Dosis wird täg-", box(50.0, 690.0, 280.0, 100.0)),
+            ("c", "text", 1, "lich gemessen.", box(320.0, 690.0, 550.0, 600.0)), ("e", "text", 2, "Unten.", box(50.0, 100.0, 280.0, 90.0, "TOPLEFT")),
+        ])
+    ]
+    schema = "document_id string, snippet_id string, sequence_no int, label string, page_no int, text string, bbox struct<l:double,t:double,r:double,b:double,coord_origin:string>, region string, extracted_at int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "snippet_nodes.parquet"))
+    spark.createDataFrame([("d", p, 600.0, 800.0) for p in (1, 2)], "document_id string, page_no int, width double, height double").write.parquet(str(tmp_path / "page_geometry.parquet"))
+    places = {d: {tuple(r[1:]) for r in queries.page_places(spark, str(tmp_path)).where(F.col("document_id") == d).collect()} for d in ("d", "e")}
+    assert places["d"] == places["e"] and len(places["e"]) == 4 and ("c", 1, 1, 1, 3) in places["e"]
+    texts = [r.text for r in queries.stitched_paragraphs(spark, str(tmp_path)).where("document_id = 'e'").collect()]
+    assert sorted(texts) == ["Die Dosis wird täglich gemessen.", "Titel", "Unten."]
+    assert queries.page_regions(spark, str(tmp_path)).where("document_id = 'e'").count() == 4
+
+
 def test_pictures_and_cells(spark):
     pictures = spark.createDataFrame([("d", p, 10.0, 60.0, 50.0, 20.0) for p in (1, 2, 3)] + [("d", 1, 0.0, 10.0, 9.0, 0.0), ("d", 1, 100.0, 300.0, 300.0, 100.0)], "document_id string, page_no int, l double, t double, r double, b double")
     assert layout.decorative(pictures).count() == 4
