@@ -6,6 +6,10 @@ parent_id, child_id, weight, relation``.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,20 +84,31 @@ def best_parents(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.groupBy("document_id", "child_id").agg(F.max(F.struct("weight", "parent_id")).alias("b")).select("document_id", F.col("child_id").alias("node_id"), F.col("b.parent_id"), F.col("b.weight"))
 
 
-def resolve_parents(items: DataFrame, levels: int = 12) -> DataFrame:
+def resolve_parents(items: DataFrame) -> DataFrame:
     """Parent of each item in reading order: the nearest item before it with a lower level; else the first of level 0.
 
-    ``items`` have ``document_id, node_id, seq, level``.  For each level the last item before is carried along by one
-    window, so no pairs are made.  Levels above ``levels`` count as that level.
+    ``items`` have ``document_id, node_id, seq, level``.  A null level counts as deeper than all others.  The items of a
+    document pass in order by a stack of rising levels, so no pairs are made and no more is held than the levels in use.
     """
-    level = F.least(F.coalesce("level", F.lit(levels)), F.lit(levels))
-    order = Window.partitionBy("document_id").orderBy("seq", "node_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(level == k, F.struct(F.col("seq"), F.col("node_id")))).over(before).alias(f"_l{k}") for k in range(levels)]
-    rows = items.select("*", level.alias("_level"), *last, F.first(F.when(level == 0, F.col("node_id")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"))
-    nearest = F.greatest(*[F.when(F.col("_level") > k, F.col(f"_l{k}")) for k in range(levels)])
-    found = F.coalesce(nearest["node_id"], F.when(F.col("_top") != F.col("node_id"), F.col("_top")))
-    return rows.select("document_id", "node_id", found.alias("parent_id"))
+    key = Window.partitionBy("document_id")
+    order = key.orderBy("seq", "node_id")
+    top = F.first(F.when(F.col("level") == 0, F.col("node_id")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = items.select("document_id", "node_id", "seq", "level").repartition("document_id").select("*", top.alias("top"), F.row_number().over(order).alias("at"))
+
+    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[tuple[float, str]] = []
+        for batch in batches:
+            found = []
+            for node, level, first, at in zip(batch["node_id"].tolist(), batch["level"].astype(float).fillna(math.inf).tolist(), batch["top"].tolist(), batch["at"].tolist()):
+                if at == 1:
+                    stack = []
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                found.append(stack[-1][1] if stack else first if first != node else None)
+                stack.append((level, node))
+            yield batch[["document_id", "node_id"]].assign(parent_id=pd.Series(found, batch.index, object))
+
+    return rows.sortWithinPartitions("document_id", "at").mapInPandas(climb, "document_id string, node_id string, parent_id string")
 
 
 def root_ids(node_rows: DataFrame, titles: DataFrame) -> DataFrame:
