@@ -22,6 +22,8 @@ SHARE = 0.5
 REPEATED = 0.5
 #: Longest token that can be a keyword; clauses of scripts without spaces are longer.
 KEYWORD = 20
+#: Longest line of contents that may lack its page number, and how many of them make contents.
+LISTED, LISTING = 120, 3
 
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"), None)
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -40,7 +42,7 @@ _thai = re.compile("[฀-๿]").search
 
 # Honest lists by their form.
 _reference = re.compile(r"\s*(?:\[?\d+[.)\]])\s+\w[\w'’-]*\s+\w{1,3}\b.*\(|.*/doi/").match
-_contents = re.compile(r".*(?:\.{3,}|…|·{3,}|_{3,})\s*\d*\s*$").match
+_contents = re.compile(r".*(?:\.{3,}|…|·{3,}|_{3,})\s*(\d*)\s*$").match
 _contact = re.compile(r"\s*[^\W\d_][\w'’ .-]*,\s*[^\W\d_][\w'’ .-]*\s\d{4,6}\b").match
 _cells = re.compile(r"\s*\|.*\|\s*$").match
 _term = re.compile(r"\s*[^\t]{1,40}\t\s*\S").match
@@ -55,11 +57,6 @@ def plain(text: str) -> str:
     return text.translate(_INVISIBLE)
 
 
-def honest(line: str) -> bool:
-    """Whether the line has the form of references, contents, terms, doses (table rows) or contacts."""
-    return bool(_contents(line) or _cells(line) or _contact(line) or _reference(line) or (_term(line) and line.count("\t") <= 3 and not _price(line)))
-
-
 def tokens(line: str) -> list[str]:
     """Words in lower case, digits that stand for letters read as letters."""
     return [w if w.isalpha() or w.isdecimal() else w.translate(_LEET) for w in _word(line.lower())]
@@ -73,16 +70,56 @@ def repetition(words: list[str]) -> float:
     return sum(n for n in counts.values() if n >= 3) / len(words)
 
 
+def _passes(line: str, form: str) -> bool:
+    """Whether a line of an honest form is free of repetition, lists of links and product tags."""
+    n = links(line)
+    if n and (form in ("contents", "cells", "term") or n >= 2 and len(_word(_link.sub(" ", line))) < 5 * n):
+        return False
+    if form in ("cells", "term") and (_price(line) or _tags(line) or len(_hash(line)) >= 2):
+        return False
+    return repetition(tokens(line)) < REPEATED
+
+
+def honest(lines: list[str]) -> list[bool]:
+    """Which lines of a page have the form of references, contents, terms, doses (table rows) or contacts.
+
+    A form alone isn't enough: its line must pass the tests of repetition, links and tags.  Leaders without a page number
+    count if several short lines have them; rows between pipes if there are two or more, and rows without any digit only
+    if they aren't the same few words again and again.
+    """
+    bare = [x for x in lines if len(x) <= LISTED and (m := _contents(x)) and not m[1]]
+    listed = len(bare) >= LISTING and repetition([w for x in bare for w in tokens(x)]) < REPEATED
+    table = [x for x in lines if _cells(x)]
+    loose = [x for x in table if not any(c.isdecimal() for c in x)]
+    heads = {x.split("|")[1].strip().casefold() for x in loose}
+    same = 2 * len(heads) <= len(loose) and repetition([w for x in loose for w in tokens(x)]) >= REPEATED
+    out = []
+    for x in lines:
+        form, leader = None, _contents(x)
+        if leader and (leader[1] or listed and len(x) <= LISTED):
+            form = "contents"
+        elif _cells(x):
+            form = "cells" if len(table) > 1 and not (same and not any(c.isdecimal() for c in x)) else None
+        elif _contact(x):
+            form = "contact"
+        elif _reference(x):
+            form = "reference"
+        elif _term(x) and x.count("\t") <= 3:
+            form = "term"
+        out.append(form is not None and _passes(x, form))
+    return out
+
+
 def _grade(n: int) -> str:
     return "0" if n == 0 else "1" if n == 1 else "2" if n <= 3 else "4" if n <= 7 else "8" if n <= 15 else "m"
 
 
-def shape(line: str) -> str:
-    """Shape of a line: grades of its words, capitals, items and links, its marks and its end."""
+def shape(line: str, exempt: bool) -> str:
+    """Shape of a line: grades of its words, capitals, items and links, its marks (H if it is ``exempt``) and its end."""
     words = _word(line)
     capitals = sum(w[0].isupper() for w in words)
     items = [x for x in _items(line.strip()) if x]
-    marks = "".join(m for m, there in (("T", _tags(line)), ("P", _price(line)), ("#", "#" in line and _hash(line)), ("C", _counter(line)), ("H", honest(line))) if there)
+    marks = "".join(m for m, there in (("T", _tags(line)), ("P", _price(line)), ("#", "#" in line and _hash(line)), ("C", _counter(line)), ("H", exempt)) if there)
     end = "." if _ended(line) else "-"
     return f"w{_grade(len(words))}c{_grade(capitals)}i{_grade(len(items))}l{_grade(links(line))}{marks}{end}"
 
@@ -145,7 +182,7 @@ def share_stuffed(text: str) -> tuple[float, str | None]:
     total = sum(size)
     if not total:
         return 0.0, None
-    forms = [shape(x) for x in lines]
+    forms = [shape(x, exempt) for x, exempt in zip(lines, honest(lines))]
     groups: dict[str, list[int]] = {}
     for i, form in enumerate(forms):
         groups.setdefault(form, []).append(i)

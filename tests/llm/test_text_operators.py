@@ -175,6 +175,22 @@ def test_honest(text):
     assert stuffing.share_stuffed(text)[0] <= 0.5
 
 
+def test_stuffing_in_honest_forms():
+    from itertools import permutations
+
+    found = [
+        "Abnehm Kapseln " * 84 + "…", "foot cream best price " * 20 + "...", "foot cream best price " * 20 + "..... 3", "\n".join([" ".join(x) + " …" for x in permutations(("foot", "cream", "deal"))] * 2),
+        "\n".join(["| foot cream | lancet set | pen needles |"] * 9), "| foot cream | lancet set | pen needles | test strips | diet pills |",
+        "\n".join(f"| foot cream {i} | SKU {i}123 | 3,{i}0 € |" for i in range(10, 20)), "\n".join(f"| lancet set | https://shop.example/k/{i} |" for i in range(9)),
+    ]
+    assert [stuffing.share_stuffed(x)[0] > 0.5 for x in found] == [True] * len(found)
+    kept = [
+        "\n".join(f"{x} ........" for x in ("Drug treatment", "Diagnosis", "Education", "Wound care")), "Whether it falls for good remains open …",
+        "| Drug | Dose | Days |\n| --- | --- | --- |\n" + "\n".join(f"| Pardiglin {i} | {i} mg | daily |" for i in range(9)), "\n".join(f"| Drug{x} | taken daily |" for x in "abcdefghi"),
+    ]
+    assert [stuffing.share_stuffed(x)[0] for x in kept] == [0.0] * len(kept)
+
+
 def test_stuffing_operator(spark):
     df = spark.createDataFrame([(1, SPAM[0], 1), (1, SPAM[0], 1), (2, None, 1), (3, " \n", 1), (4, HONEST[0] * 500, 1)], "id int, text string, share int")
     assert sorted((r.id, r.stuffed) for r in stuffing.stuffing(df, "id", "text").collect()) == [(1, True), (1, True), (2, False), (3, False), (4, False)]
