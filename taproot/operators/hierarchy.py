@@ -244,7 +244,28 @@ def hierarchy(
 def descendants(tree: DataFrame) -> DataFrame:
     """The pairs ``group, ancestor, node, distance`` of a :func:`hierarchy` with paths, an ancestor's descendants.
 
-    They come from each node's own path, so no ancestor's list is ever gathered in one place.
+    They come from each node's own path, so no ancestor's list is ever gathered in one place.  Nodes that reach no root
+    have none; their pairs are those of :func:`looped_descendants`.
     """
     far = tree.where(F.size("path") > 1).select("group", "node", "depth", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("at", "ancestor"))
     return far.select("group", "ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def looped_descendants(tree: DataFrame) -> DataFrame:
+    """The pairs of :func:`descendants` for nodes that reach no root: all other nodes that their way up passes.
+
+    The way leads up to the cycle and once around it, so every node of the cycle is an ancestor of what hangs from it and
+    of the others on it; ``distance`` is that of the first visit.  Each cycle is opened above its least node, which makes
+    a forest of these nodes: what lies on the way after that node is the part of the cycle deeper than the entry.
+    """
+    key = F.coalesce(F.concat(F.lit("g"), "group"), F.lit("n")).alias("group")
+    looped = cut(tree.where("cycle is not null").select(key, "node", "parent", "cycle", F.col("subtree").isNull().alias("ring")))
+    opened = looped.select("group", "node", F.when(F.col("node") != F.col("cycle"), F.col("parent")).alias("parent"))
+    forest = cut(hierarchy(opened, "group", "node", "parent").select("group", "node", "root", "depth", "path"))
+    ring = cut(forest.join(looped.where("ring").select("group", "node"), ["group", "node"]).select("group", "root", F.col("node").alias("ancestor"), F.col("depth").alias("at")))
+    length = ring.groupBy("group", "root").agg((F.max("at") + 1).alias("length"))
+    steps = forest.select("group", "node", "root", "depth", F.explode("path").alias("ancestor"))
+    entry = steps.join(ring, ["group", "root", "ancestor"]).groupBy("group", "node", "root", "depth").agg(F.max("at").alias("entry"))
+    after = entry.join(ring, ["group", "root"]).where(F.col("at") > F.col("entry")).join(length, ["group", "root"])
+    pairs = descendants(forest).unionByName(after.select("group", "ancestor", "node", (F.col("depth") + F.col("length") - F.col("at")).alias("distance")))
+    return pairs.withColumn("group", F.when(F.substring("group", 1, 1) == "g", F.expr("substring(group, 2)")))

@@ -10,7 +10,7 @@ from taproot.functions.text import cosine, n_chars, n_words, token_count
 from taproot.operators import chunks, graph, layout, levels, reports, retrieval, weights
 from taproot.sources import graphs
 from taproot.operators.current import current_rows, newest
-from taproot.operators.hierarchy import descendants, hierarchy
+from taproot.operators.hierarchy import descendants, hierarchy, looped_descendants
 from taproot.sources.tables import table
 
 
@@ -35,9 +35,9 @@ def p2_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of a node and one of its descendants."""
+    """Every pair of a node and one of its descendants, those on and below cycles too."""
     tree = hierarchy(_links(spark, folder), "document_id", "snippet_id", "parent_id")
-    return descendants(tree).select(F.col("group").alias("document_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("snippet_id"), "distance")
+    return descendants(tree).unionByName(looped_descendants(tree)).select(F.col("group").alias("document_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("snippet_id"), "distance")
 
 
 _FOREST = r"""

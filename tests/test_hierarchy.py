@@ -3,7 +3,7 @@ import random
 import pytest
 
 from taproot.operators.current import current_rows
-from taproot.operators.hierarchy import descendants, hierarchy
+from taproot.operators.hierarchy import descendants, hierarchy, looped_descendants
 
 
 def brute(rows):
@@ -56,6 +56,24 @@ def test_subtrees_and_descendants(spark):
         assert pairs == {("r", "a", 1), ("r", "b", 2), ("r", "c", 2), ("a", "b", 1), ("a", "c", 1)}
 
 
+@pytest.mark.parametrize("limit,rounds", [(1000, 40), (5, 2)])
+def test_descendants_on_and_below_cycles(spark, limit, rounds):
+    rows = random_rows(7, 30) + [("c", f"n{i}", f"n{(i + 1) % 6}") for i in range(6)] + [("c", "x", "n3"), ("c", "y", "x"), ("c", "own", "own"), ("c", "z", "own")]
+    up, looped = {}, brute(rows)
+    for g, n, p in rows:
+        up[g, n] = max(up.get((g, n), ""), (p or "").strip())
+    want = set()
+    for (g, n), found in looped.items():
+        met, x = [n], up[g, n]
+        while found[2] and x not in met:
+            met.append(x)
+            want.add((g, x, n, len(met) - 1))
+            x = up[g, x]
+    tree = hierarchy(spark.createDataFrame(rows, "g string, n string, p string"), "g", "n", "p", local_limit=limit, max_rounds=rounds)
+    got = [tuple(r) for r in looped_descendants(tree).select("group", "ancestor", "node", "distance").collect()]
+    assert len(got) == len(want) and set(got) == want and ("c", "n2", "y", 7) in want
+
+
 def test_deep_chain(spark):
     df = spark.createDataFrame([("d", f"{i:04}", f"{i - 1:04}") for i in range(300)], "g string, n string, p string")
     deepest = hierarchy(df, "g", "n", "p", local_limit=50, max_rounds=3).orderBy("depth", ascending=False).first()
