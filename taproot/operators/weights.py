@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taproot.functions import linguistic as ling
 from taproot.functions.text import cosine, stems, tokens
 from taproot.operators.graph import STRUCTURAL_WEIGHTS, SUPPLY_PRIORS, contexts, is_heading, lookup, supply_relation
+from taproot.plans.lineage import cut
 
 KEY = ["document_id", "parent_id", "child_id"]
 
@@ -200,19 +201,34 @@ def supply(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, comb
 def controls(node_rows: DataFrame, edge_rows: DataFrame, ancestor_rows: DataFrame, k: int = 8) -> DataFrame:
     """Up to ``k`` stand-in parents of every edge: parents of the same document, of the same relation, nearest in length.
 
-    Only parents whose number of stems lies in the same or a neighbouring power of two are compared, by an equi-join.
+    The child, its parent and its ancestors are none.  Parents are ranked by length, and as many are taken from either
+    side of an edge's length as it needs with all of these blocked; so the nearest are exact without pairs of all parents.
     """
     context = contexts(node_rows, edge_rows)
     size = F.size(stems(F.col("text")))
-    edge = context.select(*KEY, supply_relation(context).alias("rel"), F.size(stems(F.col("p_text"))).alias("len"), F.col("c_kind"), F.col("c_grouped"), F.col("c_level_label"))
-    stand = edge_rows.select("document_id", F.col("parent_id").alias("node_id")).distinct().join(node_rows, ["document_id", "node_id"]).where("text <> ''")
-    stand = stand.select("document_id", F.col("node_id").alias("control"), is_heading(F.col("level_label")).alias("k_heading"), size.alias("k_len")).withColumn("band", F.floor(F.log2(F.col("k_len") + 1)))
-    near = edge.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.log2(F.col("len") + 1)))))
     p_heading = F.col("rel").isin("section", "heading_list", "heading_text")
-    pairs = near.join(stand, ["document_id", "band"]).where((F.col("control") != F.col("parent_id")) & (F.col("control") != F.col("child_id")) & (F.col("k_heading") == p_heading))
-    up = ancestor_rows.select("document_id", F.col("node_id").alias("child_id"), F.col("ancestor_id").alias("control"))
+    edge = context.select(*KEY, supply_relation(context).alias("rel"), F.size(stems(F.col("p_text"))).alias("len")).select(*KEY, p_heading.alias("k_heading"), "len")
+    edge = cut(edge)
+    stand = edge_rows.select("document_id", F.col("parent_id").alias("node_id")).distinct().join(node_rows, ["document_id", "node_id"]).where("text <> ''")
+    stand = cut(stand.select("document_id", F.col("node_id").alias("control"), is_heading(F.col("level_label")).alias("k_heading"), size.alias("k_len")))
+    pool = ["document_id", "k_heading"]
+    # How many parents are shorter than each length in use.
+    met = stand.select(*pool, F.col("k_len").alias("len"), F.lit(1).alias("n")).unionByName(edge.select(*pool, "len", F.lit(0).alias("n"))).groupBy(*pool, "len").agg(F.sum("n").alias("n"))
+    by_length = Window.partitionBy(*pool).orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.select(*pool, "len", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy(*pool)).alias("total"))
+    up = cut(ancestor_rows.select("document_id", F.col("node_id").alias("child_id"), F.col("ancestor_id").alias("control")))
+    blocked = up.groupBy("document_id", "child_id").agg(F.count("*").alias("n"))
+    edge = edge.join(met, [*pool, "len"]).join(blocked, ["document_id", "child_id"], "left").withColumn("need", F.coalesce("n", F.lit(0)) + k + 2)
+
+    def side(longer: bool) -> DataFrame:
+        before = F.col("below") if longer else F.col("total") - F.col("below")
+        wanted = edge.where(before < F.col("total")).select(*KEY, "k_heading", "len", F.explode(F.sequence(before + 1, F.least(before + F.col("need"), F.col("total")))).alias("at"))
+        order = Window.partitionBy(*pool).orderBy("k_len" if longer else F.desc("k_len"), "control")
+        return wanted.join(stand.withColumn("at", F.row_number().over(order).cast("long")), [*pool, "at"])
+
+    pairs = side(True).unionByName(side(False)).where((F.col("control") != F.col("parent_id")) & (F.col("control") != F.col("child_id")))
     ranked = Window.partitionBy(*KEY).orderBy(F.abs(F.col("k_len") - F.col("len")), "control")
-    return pairs.join(up, ["document_id", "child_id", "control"], "left_anti").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(*KEY, "control")
+    return cut(pairs.join(up, ["document_id", "child_id", "control"], "left_anti").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(*KEY, "control"))
 
 
 def recentred(scores: Callable[[DataFrame], DataFrame], edge_rows: DataFrame, control_rows: DataFrame, value: str) -> DataFrame:
