@@ -1,7 +1,8 @@
 """Levels of headings and texts from their type: fonts and line heights of a document.
 
 Headings of a font are clustered by height, largest first; a new cluster begins where a height is clearly smaller than the
-first of the cluster.  Styles (font and cluster) are ranked by size, and by which style encloses which where sizes agree.
+first of the cluster.  Styles (font and cluster) are ranked by size, and by first appearance where sizes agree; which
+style encloses which isn't worked out.
 Texts get the levels below the headings by how their heights lie to those of the body.  A document's distinct styles and
 heights decide, not its items, so what is gathered for a document is small.
 """
