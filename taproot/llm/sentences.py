@@ -20,12 +20,12 @@ from taproot.plans.lineage import cut
 
 #: A first or last word counts from this share of the texts on, so at most 1 / SHARE words of each kind are kept.
 SHARE = 1e-5
-#: Candidates that one sentence may run over.
-SPAN = 64
 #: What every further sentence costs.
 PRIOR = 0.5
 #: Characters below which a sentence is too short and above which it is too long to be likely.
 SHORT, LONG = 10, 600
+#: Characters from which the penalty of a long sentence grows no more.
+FAR = 6000
 
 _THAI = "฀-๿"
 _KANA = "ぁ-ヿ"
@@ -233,14 +233,23 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
             at = start
     best = [0.0] + [float("-inf")] * (len(edges) - 1)
     back = [0] * len(edges)
+    # Starts too far back for any span but one of the greatest length penalty: only the best of each parity can win.
+    far: dict[int, tuple[float, int]] = {}
+    low = 0
     for j in range(1, len(edges)):
         end, _, evidence = edges[j]
-        for i in range(j - 1, max(-1, j - 1 - SPAN), -1):
+        while low < j and end - edges[low][1] >= FAR:
+            state = parity[low] if parity else 0
+            if state not in far or best[low] >= far[state][0]:
+                far[state] = best[low], low
+            low += 1
+        near = [(i, best[i]) for i in range(j - 1, low - 1, -1)]
+        for i, before in [*near, *((i, v) for v, i in sorted(far.values(), key=lambda x: -x[1]))]:
             start = edges[i][1]
             size = end - start
             if size <= 0:
                 continue
-            score = best[i] + evidence - PRIOR
+            score = before + evidence - PRIOR
             if size < SHORT and not _cjk(text, start):
                 score -= 2.5
             elif size > LONG:

@@ -25,6 +25,11 @@ def test_sentences():
     assert len(cuts(long)) == 5000
 
 
+def test_sentence_over_many_candidates():
+    authors = "Die Liste nennt " + "".join(f"Nr. Ab. Cd. Zarnhoff{i}, " for i in range(60)) + "und das Team."
+    assert len(authors) > sentences.LONG and cuts(authors + " Die Zahl steigt.") == [authors, "Die Zahl steigt."]
+
+
 def test_sentence_operator(spark):
     df = spark.createDataFrame([(1, "Die Zahl ist nötig. Die Zahl steigt.", "x"), (1, "Die Zahl ist nötig. Die Zahl steigt.", "x"), (2, None, "y"), (3, "", "z")], "id int, text string, spans string")
     got = sentences.sentences(df, ["id"], "text", sentences.learn(df, "text")).collect()
