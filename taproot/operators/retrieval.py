@@ -331,7 +331,11 @@ def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None
         asked = _candidates(known, tree_rows, policy, reference_rows)
     sized = asked.join(size, ["document_id", "member"])
     run = Window.partitionBy("document_id", "query_id", "node_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("before", F.coalesce(F.sum(token_count(F.col("words"), F.col("chars"))).over(run), F.lit(0))).where(F.col("before") <= policy.max_added_tokens)
+    before = {c: F.coalesce(F.sum(c).over(run), F.lit(0)) for c in ("words", "chars")}
+    sized = sized.join(size.select("document_id", F.col("member").alias("node_id"), F.col("words").alias("own_words"), F.col("chars").alias("own_chars")), ID)
+    # The joined cost of those before, separators aside, is never more than what the walk finds; the walk decides.
+    least = token_count(F.col("own_words") + before["words"], F.col("own_chars") + before["chars"]) - token_count(F.col("own_words"), F.col("own_chars"))
+    sized = sized.withColumn("least", least).where(F.col("least") <= policy.max_added_tokens)
     own = known.join(size.withColumnRenamed("member", "node_id"), ID).select("query_id", *ID, "score", F.lit(None).cast("string").alias("member"), F.lit(-1).alias("rank"), "m_seq", "words", "chars")
     rows = own.unionByName(sized.join(known, ["query_id", *ID]).select("query_id", *ID, "score", "member", "rank", "m_seq", "words", "chars"))
     gap, mode = len(policy.separator), policy.mode
