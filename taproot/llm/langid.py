@@ -1,11 +1,12 @@
 """Language of texts and of the stretches of mixed texts, by hyperdimensional profiles.
 
 Every letter has a random vector of +1 and -1.  An n-gram is its letters' vectors, each permuted by its position and
-bound by multiplication; a text is the bundle (sum) of its n-grams; a language prototype is the bundle of its training
-texts.  A text has the language whose prototype has the greatest cosine with it.
+bound by multiplication; a text is the bundle (weighted sum) of its n-grams; a language prototype is the bundle of its
+training texts.  A text has the language whose prototype has the greatest cosine with it.
 
 As bundling is linear, the dot product of a text and a prototype is the sum of the dot products of its n-grams, which
-are worked out once for each distinct n-gram and word.  So a text costs one lookup a word, whatever the dimension.
+are worked out once for each distinct n-gram and word.  So a text costs one lookup a word, whatever the dimension.  The
+length of its bundle comes from how often each n-gram stands in it, as vectors of different n-grams are all but orthogonal.
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taproot.llm.sentences import SentenceModel, split
+from taproot.llm.sentences import SentenceModel, frequent, split, tally
+from taproot.plans.lineage import cut
 
 #: Dimension of the vectors, and lengths of the n-grams.
 DIMENSION, LENGTHS, UNSPACED_LENGTHS = 4096, (2, 3, 4), (1, 2, 3)
-#: Labelled texts of each language that prototypes are bundled from, at most.
+#: Labelled texts of each language that prototypes are bundled from, at most; all of them distinct.
 TRAIN_ROWS = 500
-#: How sharply the confidence falls with the distance between cosines.
-SHARPNESS = 60.0
+#: Weight of a capitalised word inside a sentence, which may be a name.
+NAME = 0.25
+#: How sharply the confidence may fall with the distance between cosines; the labelled texts choose.
+SHARPNESS = (15.0, 20.0, 30.0, 40.0, 60.0, 80.0, 120.0)
+#: Share of the labels that may be wrong when the sharpness is chosen.
+WRONG = 0.05
 #: Confidence below which a sentence is doubtful.
 DOUBT = 0.6
 #: Words and n-grams that a worker remembers.
@@ -61,23 +68,23 @@ class Letters:
         return out.astype(np.float32)
 
 
-def telling(text: str) -> list[str]:
-    """The words of a text that tell its language, in lower case.
+def telling(text: str) -> tuple[list[str], list[bool]]:
+    """The words of a text that tell its language, in lower case, and which of them may be names.
 
-    Names tell little: Latin words beside another script, and capitalised words inside a sentence, stay out as long as
-    three other words are left.
+    Latin words beside another script stay out.  Capitalised words but the first may be names, unless all words are in
+    capitals; so may a first word of capitals alone.
     """
     words = _words(text)
     if not text.isascii():
         other = [w for w in words if w[0] > "ʯ"]
         if other and len(other) < len(words) and 2 * sum(map(len, other)) >= sum(map(len, words)) - sum(map(len, other)):
             words = other
-    small = [w for w in words[1:] if not w[0].isupper()]
-    if len(small) >= 3:
-        if len(words[0]) < 4 or not words[0].isupper():
-            small.append(words[0].lower())
-        return small if text.islower() else [w.lower() for w in small]
-    return [w.lower() for w in words]
+    if text.islower() or text.isupper():
+        return [w.lower() for w in words], [False] * len(words)
+    names = [w[0].isupper() for w in words]
+    if names and (len(words[0]) < 4 or not words[0].isupper()):
+        names[0] = False
+    return [w.lower() for w in words], names
 
 
 def ngrams(word: str) -> list[str]:
@@ -88,22 +95,30 @@ def ngrams(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Prototypes, one row for each language, of length 1 each and centred on their mean."""
+    """Prototypes, one row for each language, of length 1 each and centred on their mean; and the sharpness of confidence."""
 
     languages: tuple[str, ...]
     prototypes: np.ndarray
+    sharpness: float = 60.0
 
 
 def bundle(texts: dict[str, list[str]], dimension: int = DIMENSION) -> LanguageModel:
     """Prototypes of the languages that have texts.  The square root of its share keeps no n-gram from drowning others."""
     letters, languages = Letters(dimension), tuple(sorted(k for k, v in texts.items() if v))
-    counts = [Counter(g for t in texts[k] for w in telling(t) for g in ngrams(w)) for k in languages]
+    counts: list[dict[str, float]] = []
+    for k in languages:
+        held: dict[str, float] = {}
+        for t in texts[k]:
+            for w, name in zip(*telling(t)):
+                for g in ngrams(w):
+                    held[g] = held.get(g, 0.0) + (NAME if name else 1.0)
+        counts.append(held)
     rows = np.zeros((len(languages), dimension), np.float32)
     grams = sorted(set().union(*counts))
-    totals = np.array([max(1, c.total()) for c in counts], np.float32)
+    totals = np.array([max(1.0, sum(c.values())) for c in counts], np.float32)
     for i in range(0, len(grams), 1024):
         part = grams[i : i + 1024]
-        shares = np.array([[c[g] for g in part] for c in counts], np.float32) / totals[:, None]
+        shares = np.array([[c.get(g, 0.0) for g in part] for c in counts], np.float32) / totals[:, None]
         rows += np.sqrt(shares) @ np.stack([letters.ngram(g) for g in part])
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
     if len(languages) > 1:
@@ -121,41 +136,64 @@ class Classifier:
         self._forget()
 
     def _forget(self) -> None:
-        self.grams: dict[str, np.ndarray] = {}
+        self.grams: dict[str, int] = {}
+        self.dots: list[np.ndarray] = []
         self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages) + 1), np.float32)
+        self.table = np.zeros((1024, len(self.model.languages)), np.float32)
+        # The n-grams of each word: where they begin in the pool, and how many there are.
+        self.pool, self.used = np.zeros(1 << 16, np.int64), 0
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def _add(self, word: str) -> int:
         at = self.place[word] = len(self.place)
         if at >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table, self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.first, self.size))
         found = ngrams(word)
-        for gram in found:
-            dots = self.grams.get(gram)
-            if dots is None:
-                dots = self.grams[gram] = self.model.prototypes @ self.letters.ngram(gram)
-            self.table[at, :-1] += dots
-        self.table[at, -1] = len(found)
+        while self.used + len(found) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        for i, gram in enumerate(found, self.used):
+            no = self.grams.get(gram)
+            if no is None:
+                no = self.grams[gram] = len(self.dots)
+                self.dots.append(self.model.prototypes @ self.letters.ngram(gram))
+            self.table[at] += self.dots[no]
+            self.pool[i] = no
+        self.first[at], self.size[at] = self.used, len(found)
+        self.used += len(found)
         return at
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cosine of each text with each prototype, and its number of words; a text without letters has zeros."""
         if len(self.place) > REMEMBERED or len(self.grams) > REMEMBERED:
             self._forget()
-        ids, counts = [], np.zeros(len(texts), np.int64)
+        ids, light, counts = [], [], np.zeros(len(texts), np.int64)
         get, add = self.place.get, self._add
         for i, text in enumerate(texts):
-            words = telling(text)
+            words, names = telling(text)
             counts[i] = len(words)
             ids += [at if (at := get(w)) is not None else add(w) for w in words]
-        sums = np.zeros((len(texts), self.table.shape[1]), np.float32)
+            light += names
+        cosines = np.zeros((len(texts), len(self.model.languages)), np.float32)
         full = np.flatnonzero(counts)
         if len(full):
+            word, name = np.array(ids), np.array(light)
             starts = (np.cumsum(counts) - counts)[full]
-            sums[full] = np.add.reduceat(self.table[ids], starts, axis=0)
-        # Distinct n-grams are all but orthogonal, so a bundle of m has length sqrt(m x dimension).
-        norm = np.sqrt(np.maximum(sums[:, -1:], 1) * self.letters.dimension)
-        return sums[:, :-1] / norm, counts
+            sums = np.add.reduceat(self.table[word] * np.where(name, np.float32(NAME), np.float32(1))[:, None], starts, axis=0)
+            length = np.sqrt(self._squares(word, name, counts) * self.letters.dimension)[full]
+            cosines[full] = sums / np.maximum(length, 1e-9)[:, None]
+        return cosines, counts
+
+    def _squares(self, word: np.ndarray, name: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of the squared weights of the distinct n-grams of each text."""
+        sizes = self.size[word]
+        ends = np.cumsum(sizes)
+        grams = self.pool[np.repeat(self.first[word] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        text = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
+        # Text, n-gram and kind of word in one number, so that one sort brings equal n-grams of a text together.
+        keys = np.sort(((text << 32) + grams) * 2 + np.repeat(name, sizes))
+        fresh = np.flatnonzero(np.append(True, keys[1:] >> 1 != keys[:-1] >> 1))
+        weight = np.add.reduceat(np.where(keys & 1, NAME, 1.0), fresh)
+        return np.bincount(keys[fresh] >> 33, weight * weight, len(counts))
 
 
 def is_whole(sentence: str, words: int) -> bool:
@@ -173,7 +211,7 @@ def stretches(texts: list[str | None], classifier: Classifier, model: SentenceMo
     parts = [t[a:b] for t, found in zip(texts, spans) for a, b in found]
     cosines, words = classifier(parts)
     whole = np.array([bool(n) and is_whole(p, n) for p, n in zip(parts, words.tolist())], bool)
-    odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
+    odds = np.exp(classifier.model.sharpness * (cosines - cosines.max(axis=1, keepdims=True)))
     shares = odds / odds.sum(axis=1, keepdims=True)
     best, confidence = shares.argmax(axis=1), shares.max(axis=1)
     k = 0
@@ -205,27 +243,54 @@ def stretches(texts: list[str | None], classifier: Classifier, model: SentenceMo
     return out
 
 
-def train(df: DataFrame, text: str, lang: str, *, rows: int = TRAIN_ROWS, least_length: int = 40) -> LanguageModel:
-    """Prototypes from at most ``rows`` texts of each language of the labels in ``lang`` (null: not labelled).
+def learn(df: DataFrame, text: str, lang: str, *, rows: int = TRAIN_ROWS, least_length: int = 40) -> tuple[LanguageModel, SentenceModel]:
+    """Both models in one pass over the texts: prototypes, and what opens and closes sentences.
 
+    Prototypes come from at most ``rows`` distinct texts of each label of ``lang`` (null: not labelled), those of the least
+    hashes; copies of a text count once, however many there are.  Each task sends no more than ``rows`` texts of a label.
     Labels may be wrong here and there: after a first round only texts whose prototype agrees with their label count.
     """
-    labelled = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") >= least_length))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return LanguageModel((), np.zeros((0, DIMENSION), np.float32))
-    # A hash of the text thins each language out to about twice the rows before they are ranked.
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, 2 * rows / n)))])
-    mixed = F.xxhash64("text", F.lit(17))
-    thin = labelled.where(F.pmod(mixed, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).withColumn("_h", mixed)
-    ranked = thin.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text")))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        kept: dict[str, dict[str, int]] = {}
+        bar: dict[str, int] = {}
+        for batch in batches:
+            tally(batch["t"], held)
+            for t, label in zip(batch["t"], batch["lang"]):
+                if label and t and len(t) >= least_length and (h := xxhash.xxh3_64_intdigest(t) >> 1) < bar.get(label, 1 << 63):
+                    own = kept.setdefault(label, {})
+                    own[t] = h
+                    if len(own) >= 2 * rows:
+                        own = kept[label] = dict(sorted(own.items(), key=lambda x: (x[1], x[0]))[:rows])
+                        bar[label] = max(own.values())
+            if len(held) > 200_000:
+                yield frame(held, {})
+                held = Counter()
+        yield frame(held, kept)
+
+    def frame(held: Counter, kept: dict[str, dict[str, int]]) -> pd.DataFrame:
+        found = [(kind, word, None, n, 0) for (kind, word), n in held.items()]
+        for label, own in kept.items():
+            found += [(3, t, label, 1, h) for t, h in sorted(own.items(), key=lambda x: (x[1], x[0]))[:rows]]
+        return pd.DataFrame(found, columns=["kind", "word", "lang", "n", "h"])
+
+    parts = df.select(F.col(text).cast("string").alias("t"), F.col(lang).alias("lang")).where("t is not null").mapInPandas(count, "kind int, word string, lang string, n long, h long")
+    counted = cut(parts.groupBy("kind", "word", "lang").agg(F.sum("n").alias("n"), F.min("h").alias("h")))
+    ranked = counted.where("kind = 3").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "word")))
     texts: dict[str, list[str]] = {}
-    for row in ranked.where(F.col("_rank") <= rows).select("lang", "text").collect():
-        texts.setdefault(row.lang, []).append(row.text)
-    return refine(texts)
+    for row in ranked.where(F.col("rank") <= rows).select("lang", "word").collect():
+        texts.setdefault(row.lang, []).append(row.word)
+    return refine(texts), frequent(counted.where("kind < 3"))
 
 
 def refine(texts: dict[str, list[str]]) -> LanguageModel:
+    """Prototypes from the texts that agree with those of all, with the sharpness under which the labels are likeliest.
+
+    For the sharpness every other text is held out and judged by prototypes of the rest.
+    """
+    if not any(texts.values()):
+        return LanguageModel((), np.zeros((0, DIMENSION), np.float32))
     first = bundle(texts)
     judge = Classifier(first)
     kept: dict[str, list[str]] = {}
@@ -233,7 +298,21 @@ def refine(texts: dict[str, list[str]]) -> LanguageModel:
         cosines, _ = judge(own)
         agreed = [t for t, x in zip(own, cosines.argmax(axis=1)) if first.languages[x] == lang]
         kept[lang] = agreed or own
-    return bundle(kept)
+    whole = bundle(kept)
+    half = Classifier(bundle({k: sorted(v)[::2] for k, v in kept.items()}))
+    held = [(t, k) for k, v in texts.items() for t in sorted(v)[1::2] if k in half.model.languages]
+    if not held or len(half.model.languages) < 2:
+        return whole
+    cosines, _ = half([t for t, _ in held])
+    own = np.array([half.model.languages.index(k) for _, k in held])
+    best, least = whole.sharpness, np.inf
+    for sharpness in SHARPNESS:
+        odds = np.exp(sharpness * (cosines - cosines.max(axis=1, keepdims=True)))
+        share = (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(own)), own]
+        loss = -np.log((1 - WRONG) * share + WRONG / len(half.model.languages)).mean()
+        if loss < least:
+            best, least = sharpness, loss
+    return LanguageModel(whole.languages, whole.prototypes, best)
 
 
 def languages(df: DataFrame, keys: list[str], text: str, model: LanguageModel, sentence_model: SentenceModel) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm.bpe import encode
-from taproot.llm.langid import languages, train
+from taproot.llm.langid import languages
+from taproot.llm.langid import learn as learn_languages
 from taproot.llm.packing import pack
 from taproot.llm.scans import learn as learn_lines
 from taproot.llm.scans import repaired
@@ -24,17 +25,16 @@ def _current(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def _language_stretches(spark: SparkSession, folder: str) -> DataFrame:
     """Current text nodes and chunks: unit_table, document_id, unit_id, the label's language and the stretches."""
-    codes = table(spark, folder, "language_codes").select(F.col("code").alias("label_code"), F.col("lang").alias("labelled"))
+    codes = F.broadcast(table(spark, folder, "language_codes").select(F.col("code").alias("lang"), F.col("lang").alias("labelled")))
     nodes = table(spark, folder, "snippet_nodes").select("document_id", F.col("snippet_id").alias("unit_id"), F.col("extracted_at").alias("at"), "lang", F.when(F.col("label") == "text", F.col("text")).alias("text"))
     # An enriched chunk starts with a line of titles, which isn't part of its text; line breaks of it stay out with it.
     body = F.when(F.col("variant") == "enriched", F.regexp_replace("text", r"\A[^\r\n]*(\r\n|\r|\n|\z)", "")).otherwise(F.col("text"))
     chunks = table(spark, folder, "chunks").select("document_id", F.col("chunk_id").alias("unit_id"), F.col("loaded_at").alias("at"), "lang", body.alias("text"))
-    units = nodes.withColumn("unit_table", F.lit("snippet_nodes")).unionByName(chunks.withColumn("unit_table", F.lit("chunks")))
-    model = train(nodes.join(F.broadcast(codes), F.col("lang") == F.col("label_code")), "text", "labelled")
-    marks = learn(units, "text")
-    newest = current_rows(units, ["unit_table", "document_id", "unit_id"], ["at"], ["lang", "text"])
-    found = languages(newest.where("text is not null"), ["unit_table", "document_id", "unit_id", "lang"], "text", model, marks)
-    return found.join(F.broadcast(codes), F.col("lang") == F.col("label_code"), "left").drop("label_code", "lang")
+    units = nodes.withColumn("unit_table", F.lit("snippet_nodes")).unionByName(chunks.withColumn("unit_table", F.lit("chunks"))).join(codes, "lang", "left")
+    model, marks = learn_languages(units.withColumn("taught", F.when(F.col("unit_table") == "snippet_nodes", F.col("labelled"))), "text", "taught")
+    # Every delivered row is judged before its newest state is chosen, so that texts are read once and never shuffled.
+    found = cut(languages(units, ["unit_table", "document_id", "unit_id", "at", "labelled"], "text", model, marks))
+    return current_rows(found, ["unit_table", "document_id", "unit_id"], ["at"], ["labelled", "stretches"])
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -85,6 +85,22 @@ def closer(text: str) -> str:
     return word[-5:] if "฀" <= word[-1:] <= "๿" else word
 
 
+def tally(texts: Iterable[str | None], held: Counter) -> None:
+    """Count the non-blank texts, what opens them and what closes them."""
+    for t in texts:
+        if t and not t.isspace():
+            held[0, ""] += 1
+            held[1, opener(t, 0)] += 1
+            held[2, closer(t)] += 1
+
+
+def frequent(counted: DataFrame) -> SentenceModel:
+    """Model of counts (``kind, word, n``); they may be spread over several rows no more."""
+    total = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    kept = counted.where((F.col("kind") > 0) & (F.col("n") >= max(2.0, total * SHARE)) & (F.length("word") > 0)).select("kind", "word").collect()
+    return SentenceModel(frozenset(r.word for r in kept if r.kind == 1), frozenset(r.word for r in kept if r.kind == 2))
+
+
 def learn(df: DataFrame, text: str) -> SentenceModel:
     """The words that open or close at least ``SHARE`` of the non-blank texts, and at least two of them.
 
@@ -95,11 +111,7 @@ def learn(df: DataFrame, text: str) -> SentenceModel:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
         for batch in batches:
-            for t in batch["t"]:
-                if t and not t.isspace():
-                    held[0, ""] += 1
-                    held[1, opener(t, 0)] += 1
-                    held[2, closer(t)] += 1
+            tally(batch["t"], held)
             if len(held) > 200_000:
                 yield frame(held)
                 held = Counter()
@@ -109,10 +121,7 @@ def learn(df: DataFrame, text: str) -> SentenceModel:
         return pd.DataFrame([(kind, word, n) for (kind, word), n in held.items()], columns=["kind", "word", "n"])
 
     parts = df.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInPandas(count, "kind int, word string, n long")
-    counted = cut(parts.groupBy("kind", "word").agg(F.sum("n").alias("n")))
-    total = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    kept = counted.where((F.col("kind") > 0) & (F.col("n") >= max(2.0, total * SHARE)) & (F.length("word") > 0)).select("kind", "word").collect()
-    return SentenceModel(frozenset(r.word for r in kept if r.kind == 1), frozenset(r.word for r in kept if r.kind == 2))
+    return frequent(cut(parts.groupBy("kind", "word").agg(F.sum("n").alias("n"))))
 
 
 def _opening(text: str, at: int, model: SentenceModel) -> float | None:

@@ -48,25 +48,43 @@ SAMPLES = {
 def test_languages(spark):
     rows = [(t, lang) for lang, texts in SAMPLES.items() for t in texts] + [(None, "de"), ("kurz", None)]
     df = spark.createDataFrame(rows, "text string, lang string")
-    model = langid.train(df, "text", "lang", least_length=5)
-    assert model.languages == ("de", "en", "ja")
+    model, marks = langid.learn(df, "text", "lang", least_length=5)
+    assert model.languages == ("de", "en", "ja") and marks == sentences.learn(df, "text")
     mixed = "Die Dosis wird nach der Mahlzeit gemessen. The dose should be noted in the diary."
     units = spark.createDataFrame([(1, mixed), (2, None), (3, " "), (4, "[1] 12"), (5, SAMPLES["ja"][0])], "id int, text string")
-    got = {r.id: [s.lang for s in r.stretches] for r in langid.languages(units, ["id"], "text", model, sentences.learn(df, "text")).collect()}
+    got = {r.id: [s.lang for s in r.stretches] for r in langid.languages(units, ["id"], "text", model, marks).collect()}
     assert got == {1: ["de", "en"], 2: [], 3: [], 4: [], 5: ["ja"]}
     assert langid.languages(units.limit(0), ["id"], "text", model, MODEL).count() == 0
-    nothing = langid.train(df.limit(0), "text", "lang")
+    nothing, _ = langid.learn(df.limit(0), "text", "lang")
     assert langid.languages(units, ["id"], "text", nothing, MODEL).where("size(stretches) > 0").count() == 0
 
 
-def test_bundling_is_linear():
+def test_copies_teach_a_language_once(spark):
+    german = [f"Die {x} wird nach der {y} gemessen und in das Heft eingetragen." for x in ("Dosis", "Menge", "Zahl", "Rate") for y in ("Mahlzeit", "Nacht", "Messung", "Pause")]
+    english = [f"The {x} should be measured after the {y} and noted in the diary." for x in ("dose", "amount", "number", "rate") for y in ("meal", "night", "visit", "break")]
+    copy = "Empfohlen werden Bewegung, Gewichtsabnahme, Rauchverzicht usw."
+    rows = [(t, "de") for t in german] + [(t, "en") for t in english] + [(copy, "de")] * 400
+    few, _ = langid.learn(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", rows=16)
+    judge = langid.Classifier(few)
+    for lang, texts in (("de", german), ("en", english)):
+        assert [few.languages[i] for i in judge(texts)[0].argmax(axis=1)] == [lang] * len(texts)
+    many, _ = langid.learn(spark.createDataFrame(rows[:32] + [(copy, "de")], "text string, lang string"), "text", "lang", rows=16)
+    assert np.allclose(few.prototypes, many.prototypes)
+
+
+def test_cosine_is_that_of_the_bundle():
     model = langid.bundle(SAMPLES)
     judge = langid.Classifier(model)
-    text = "the dose of the patients"
-    direct = sum(judge.letters.ngram(g) for w in langid.telling(text) for g in langid.ngrams(w))
-    cosines, _ = judge([text])
-    n = sum(len(langid.ngrams(w)) for w in langid.telling(text))
-    assert np.allclose(model.prototypes @ direct / np.sqrt(n * langid.DIMENSION), cosines[0], atol=1e-4)
+    texts = ["the dose of the patients the dose the dose the dose", "Die Dosis wird nach der Mahlzeit gemessen", "", "12", "食事の前に血糖を測る"]
+    cosines, counts = judge(texts)
+    for text, found, n in zip(texts, cosines, counts):
+        words, names = langid.telling(text)
+        assert n == len(words)
+        if not words:
+            assert not found.any()
+            continue
+        direct = sum((langid.NAME if name else 1.0) * judge.letters.ngram(g) for w, name in zip(words, names) for g in langid.ngrams(w))
+        assert np.allclose(model.prototypes @ direct / np.linalg.norm(direct), found, rtol=0.15, atol=0.01)
 
 
 def repair(text, titles=()):
