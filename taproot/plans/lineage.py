@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,19 +12,46 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share.
+
+    Where the session names none, a local master gets a temporary one; on a cluster that would be another disk on every
+    machine, so there it is an error.
+    """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named
     here = spark.sparkContext._jsc.sc().getCheckpointDir()
     if here.isDefined():
         return here.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "taproot-checkpoints")
 
 
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """Have a path deleted when the application ends."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that a lost executor costs nothing."""
+    """``df`` written to the shared checkpoint folder and read again, so that a lost executor costs nothing.
+
+    For small results and those whose partitioning matters; :func:`stored` is smaller on disk.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+        _until_exit(df.sparkSession, sc._jsc.sc().getCheckpointDir().get())
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: columns are read as needed, and compressed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/taproot-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
