@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +33,7 @@ TRAIN_ROWS = 500
 #: Weight of a capitalised word inside a sentence, which may be a name.
 NAME = 0.25
 #: How sharply the confidence may fall with the distance between cosines; the labelled texts choose.
-SHARPNESS = (15.0, 20.0, 30.0, 40.0, 60.0, 80.0, 120.0)
-#: Share of the labels that may be wrong when the sharpness is chosen.
-WRONG = 0.05
+SHARPNESS = (4.0, 6.0, 9.0, 13.0, 20.0, 30.0, 45.0, 65.0, 100.0)
 #: Confidence below which a sentence is doubtful.
 DOUBT = 0.6
 #: Words and n-grams that a worker remembers.
@@ -47,44 +46,45 @@ _ended = re.compile(r"[.!?…。！？][\"'“”»’›」』)\]\s]*\Z").searc
 
 
 class Letters:
-    """Random vectors of letters, made from their code points alone."""
+    """Random vectors of letters, made from their code points alone, and permuted by a letter's position in its n-gram."""
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[tuple[str, int], np.ndarray] = {}
 
-    def __call__(self, letter: str) -> np.ndarray:
-        v = self.known.get(letter)
+    def __call__(self, letter: str, position: int = 0) -> np.ndarray:
+        v = self.known.get((letter, position))
         if v is None:
-            bits = np.random.default_rng(ord(letter)).integers(0, 2, self.dimension, np.int8)
-            v = self.known[letter] = bits * np.int8(2) - np.int8(1)
+            if position:
+                v = np.roll(self(letter), position)
+            else:
+                v = np.random.default_rng(ord(letter)).integers(0, 2, self.dimension, np.int8) * np.int8(2) - np.int8(1)
+            self.known[letter, position] = v
         return v
 
     def ngram(self, letters: str) -> np.ndarray:
         out = self(letters[0])
         for i, letter in enumerate(letters[1:], 1):
-            v = self(letter)
-            out = out * np.concatenate([v[-i:], v[:-i]])
+            out = out * self(letter, i)
         return out.astype(np.float32)
 
 
-def telling(text: str) -> tuple[list[str], list[bool]]:
-    """The words of a text that tell its language, in lower case, and which of them may be names.
+def telling(text: str) -> tuple[list[str], bool]:
+    """The words of a text that tell its language, and whether capitals may mark names in it.
 
-    Latin words beside another script stay out.  Capitalised words but the first may be names, unless all words are in
-    capitals; so may a first word of capitals alone.
+    Latin words beside another script stay out.  In a text all of capitals they mark nothing.
     """
     words = _words(text)
     if not text.isascii():
         other = [w for w in words if w[0] > "ʯ"]
         if other and len(other) < len(words) and 2 * sum(map(len, other)) >= sum(map(len, words)) - sum(map(len, other)):
             words = other
-    if text.islower() or text.isupper():
-        return [w.lower() for w in words], [False] * len(words)
-    names = [w[0].isupper() for w in words]
-    if names and (len(words[0]) < 4 or not words[0].isupper()):
-        names[0] = False
-    return [w.lower() for w in words], names
+    return words, not text.isupper()
+
+
+def is_name(word: str, first: bool) -> bool:
+    """Whether a word may be a name: it is capitalised, as a first word all of capitals."""
+    return word[0].isupper() and (not first or len(word) >= 4 and word.isupper())
 
 
 def ngrams(word: str) -> list[str]:
@@ -109,9 +109,11 @@ def bundle(texts: dict[str, list[str]], dimension: int = DIMENSION) -> LanguageM
     for k in languages:
         held: dict[str, float] = {}
         for t in texts[k]:
-            for w, name in zip(*telling(t)):
-                for g in ngrams(w):
-                    held[g] = held.get(g, 0.0) + (NAME if name else 1.0)
+            words, named = telling(t)
+            for i, w in enumerate(words):
+                weight = NAME if named and is_name(w, i == 0) else 1.0
+                for g in ngrams(w.lower()):
+                    held[g] = held.get(g, 0.0) + weight
         counts.append(held)
     rows = np.zeros((len(languages), dimension), np.float32)
     grams = sorted(set().union(*counts))
@@ -143,12 +145,16 @@ class Classifier:
         # The n-grams of each word: where they begin in the pool, and how many there are.
         self.pool, self.used = np.zeros(1 << 16, np.int64), 0
         self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # Whether each word may be a name inside a sentence, and at its beginning.
+        self.inside, self.leading = np.zeros(1024, bool), np.zeros(1024, bool)
 
     def _add(self, word: str) -> int:
         at = self.place[word] = len(self.place)
         if at >= len(self.table):
-            self.table, self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.first, self.size))
-        found = ngrams(word)
+            own = (self.table, self.first, self.size, self.inside, self.leading)
+            self.table, self.first, self.size, self.inside, self.leading = (np.concatenate([x, np.zeros_like(x)]) for x in own)
+        self.inside[at], self.leading[at] = is_name(word, False), is_name(word, True)
+        found = ngrams(word.lower())
         while self.used + len(found) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         for i, gram in enumerate(found, self.used):
@@ -166,18 +172,21 @@ class Classifier:
         """Cosine of each text with each prototype, and its number of words; a text without letters has zeros."""
         if len(self.place) > REMEMBERED or len(self.grams) > REMEMBERED:
             self._forget()
-        ids, light, counts = [], [], np.zeros(len(texts), np.int64)
+        ids: list[int] = []
+        counts, named = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
         get, add = self.place.get, self._add
         for i, text in enumerate(texts):
-            words, names = telling(text)
+            words, named[i] = telling(text)
             counts[i] = len(words)
             ids += [at if (at := get(w)) is not None else add(w) for w in words]
-            light += names
         cosines = np.zeros((len(texts), len(self.model.languages)), np.float32)
         full = np.flatnonzero(counts)
         if len(full):
-            word, name = np.array(ids), np.array(light)
+            word = np.array(ids)
             starts = (np.cumsum(counts) - counts)[full]
+            name = self.inside[word]
+            name[starts] = self.leading[word[starts]]
+            name &= np.repeat(named, counts)
             sums = np.add.reduceat(self.table[word] * np.where(name, np.float32(NAME), np.float32(1))[:, None], starts, axis=0)
             length = np.sqrt(self._squares(word, name, counts) * self.letters.dimension)[full]
             cosines[full] = sums / np.maximum(length, 1e-9)[:, None]
@@ -196,6 +205,16 @@ class Classifier:
         return np.bincount(keys[fresh] >> 33, weight * weight, len(counts))
 
 
+_held: list[Classifier] = []
+
+
+def judge_of(model: LanguageModel) -> Classifier:
+    """The classifier of a model, kept from task to task of a worker."""
+    if not _held or _held[0].model is not model:
+        _held[:] = [Classifier(model)]
+    return _held[0]
+
+
 def is_whole(sentence: str, words: int) -> bool:
     """Whether a span reads as a sentence, not a heading, label or name: it ends like one or has enough words."""
     if _unspaced(sentence):
@@ -203,41 +222,49 @@ def is_whole(sentence: str, words: int) -> bool:
     return words >= 4 and (words >= 6 or _ended(sentence) is not None)
 
 
-def stretches(texts: list[str | None], classifier: Classifier, model: SentenceModel) -> list[list[dict]]:
-    """Runs of whole sentences of one language in each text, with their confidence (the mean over their letters)."""
+Run = tuple[int, int, str, float]
+
+
+def stretches(texts: list[str | None], classifier: Classifier, model: SentenceModel) -> list[list[Run]]:
+    """Runs of whole sentences of one language in each text: start, end, language, confidence (the mean over their letters)."""
     spans = [split(t, model) if t else [] for t in texts]
     if not len(classifier.model.languages):
         return [[] for _ in texts]
-    parts = [t[a:b] for t, found in zip(texts, spans) for a, b in found]
+    # Each distinct sentence is judged once.
+    seen: dict[str, int] = {}
+    place = [seen.setdefault(t[a:b], len(seen)) for t, found in zip(texts, spans) for a, b in found]
+    parts = list(seen)
     cosines, words = classifier(parts)
-    whole = np.array([bool(n) and is_whole(p, n) for p, n in zip(parts, words.tolist())], bool)
     odds = np.exp(classifier.model.sharpness * (cosines - cosines.max(axis=1, keepdims=True)))
     shares = odds / odds.sum(axis=1, keepdims=True)
-    best, confidence = shares.argmax(axis=1), shares.max(axis=1)
-    k = 0
-    for found in spans:
-        own = np.arange(k, k + len(found))
-        own = own[whole[own]]
-        sure = own[confidence[own] >= DOUBT]
-        if 0 < len(sure) < len(own):
-            # A doubtful sentence takes the likeliest language of the sure ones around it.
-            there = np.unique(best[sure])
-            for i in own[confidence[own] < DOUBT]:
-                best[i] = there[shares[i, there].argmax()]
-                confidence[i] = shares[i, best[i]]
-        k += len(found)
+    good = [bool(n) and is_whole(p, n) for p, n in zip(parts, words.tolist())]
+    first, sure_of = shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist()
+    whole, best, confidence = [good[i] for i in place], [first[i] for i in place], [sure_of[i] for i in place]
+    names = classifier.model.languages
     out, k = [], 0
     for found in spans:
-        runs: list[dict] = []
+        if len(found) > 1:
+            own = [i for i in range(k, k + len(found)) if whole[i]]
+            sure = [i for i in own if confidence[i] >= DOUBT]
+            if 0 < len(sure) < len(own):
+                # A doubtful sentence takes the likeliest language of the sure ones around it.
+                there = sorted({best[i] for i in sure})
+                for i in own:
+                    if confidence[i] < DOUBT:
+                        best[i] = max(there, key=shares[place[i]].__getitem__)
+                        confidence[i] = float(shares[place[i], best[i]])
+        runs: list[Run] = []
+        weight = 0
         for a, b in found:
             if whole[k]:
-                lang, sure = classifier.model.languages[best[k]], float(confidence[k])
-                if runs and runs[-1]["lang"] == lang:
-                    last = runs[-1]
-                    last["confidence"] = (last["confidence"] * last["weight"] + sure * (b - a)) / (last["weight"] + b - a)
-                    last["end_at"], last["weight"] = b, last["weight"] + b - a
+                lang, own_share = names[best[k]], confidence[k]
+                if runs and runs[-1][2] == lang:
+                    start, _, _, before = runs[-1]
+                    runs[-1] = (start, b, lang, (before * weight + own_share * (b - a)) / (weight + b - a))
+                    weight += b - a
                 else:
-                    runs.append({"start_at": a, "end_at": b, "lang": lang, "confidence": sure, "weight": b - a})
+                    runs.append((a, b, lang, own_share))
+                    weight = b - a
             k += 1
         out.append(runs)
     return out
@@ -305,11 +332,13 @@ def refine(texts: dict[str, list[str]]) -> LanguageModel:
         return whole
     cosines, _ = half([t for t, _ in held])
     own = np.array([half.model.languages.index(k) for _, k in held])
+    # As many labels are taken for wrong as disagree with the judge.
+    wrong = min(0.5, max(0.01, float((cosines.argmax(axis=1) != own).mean())))
     best, least = whole.sharpness, np.inf
     for sharpness in SHARPNESS:
         odds = np.exp(sharpness * (cosines - cosines.max(axis=1, keepdims=True)))
         share = (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(own)), own]
-        loss = -np.log((1 - WRONG) * share + WRONG / len(half.model.languages)).mean()
+        loss = -np.log((1 - wrong) * share + wrong / len(half.model.languages)).mean()
         if loss < least:
             best, least = sharpness, loss
     return LanguageModel(whole.languages, whole.prototypes, best)
@@ -324,16 +353,21 @@ def languages(df: DataFrame, keys: list[str], text: str, model: LanguageModel, s
     """
     shared = df.sparkSession.sparkContext.broadcast((model, sentence_model))
 
-    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, marks = shared.value
-        classifier = Classifier(profiles)
-        for part in parts:
-            for i in range(0, len(part), 2000):
-                block = part.iloc[i : i + 2000]
-                runs = stretches(block["_text"].tolist(), classifier, marks)
-                yield block.drop(columns="_text").assign(stretches=[[{k: r[k] for k in ("start_at", "end_at", "lang", "confidence")} for r in row] for row in runs])
+        classifier = judge_of(profiles)
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.slice(at, 2000)
+                rows = stretches(batch.column(len(keys)).to_pylist(), classifier, marks)
+                runs = [r for row in rows for r in row]
+                offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+                start, end, lang, sure = zip(*runs) if runs else ((), (), (), ())
+                fields = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())]
+                own = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["start_at", "end_at", "lang", "confidence"]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], own], names=[*keys, "stretches"])
 
     # A map and not a column, so that no later filter has the texts read once more.
     rows = df.select(*keys, F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "_text")
-    return rows.mapInPandas(found, f"{kept}, stretches array<struct<start_at:int,end_at:int,lang:string,confidence:double>>")
+    return rows.mapInArrow(found, f"{kept}, stretches array<struct<start_at:int,end_at:int,lang:string,confidence:double>>")

@@ -45,11 +45,12 @@ _first = re.compile(_FIRST[1:]).match
 _cjk = re.compile(f"[{_CJK}]").match
 _kana = re.compile(f"[{_KANA}]").match
 _right = re.compile(rf"[{_OPENING}]*[{_SPACE}]?").match
-_candidate = re.compile(
-    rf"(?P<end>[.!?…。！？]+)(?P<quote>(?:[{_CLOSING}]|[\s ]?[»›])*)(?P<gap>[{_SPACE}]*)"
-    rf"|(?P<line>[^\S\n\r]*[\n\r\u2028\u2029\x85\x0b\x0c][{_SPACE}]*)"
-    rf"|(?<=[{_THAI}])(?P<thai>[^\S\n\r]+)(?=\S)"
-).finditer
+_END = rf"(?P<end>[.!?…。！？]+)(?P<quote>(?:[{_CLOSING}]|[\s ]?[»›])*)(?P<gap>[{_SPACE}]*)"
+_LINE = r"[\n\r\u2028\u2029\x85\x0b\x0c]"
+# The same groups in each, so that a text without lines or Thai is searched for its full stops alone.
+_ends = re.compile(rf"{_END}|(?P<line>(?!))|(?P<thai>(?!))").finditer
+_any = re.compile(rf"{_END}|(?P<line>[^\S\n\r]*{_LINE}[{_SPACE}]*)|(?<=[{_THAI}])(?P<thai>[^\S\n\r]+)(?=\S)").finditer
+_more = re.compile(f"{_LINE}|[{_THAI}]").search
 _mark = re.compile(rf"[•·▪◦‣][{_SPACE}]*|[*–—-][{_SPACE}]+").match
 _word = re.compile(rf"[^{_SPACE}]+").match
 _quotes = re.compile("[\"„“”«»「」『』]").search
@@ -126,7 +127,8 @@ def learn(df: DataFrame, text: str) -> SentenceModel:
 
 def _opening(text: str, at: int, model: SentenceModel) -> float | None:
     """Evidence that a sentence opens here; None if none can."""
-    core = _right(text, at).end()
+    c = text[at]
+    core = at if c.isalnum() else _right(text, at).end()
     if core >= len(text):
         return None
     c = text[core]
@@ -167,7 +169,7 @@ def _closing(text: str, at: int, end: str, model: SentenceModel) -> float:
 
 def _word_before(text: str, at: int) -> str:
     part = text[max(0, at - 60) : at]
-    return part.split()[-1] if part and not part[-1].isspace() else ""
+    return part.rsplit(None, 1)[-1] if part and not part[-1].isspace() else ""
 
 
 def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
@@ -182,32 +184,33 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
     # Candidates: where the last sentence ends, where the next begins, and the evidence of both.
     cuts: list[tuple[int, int, float]] = []
     width = 0
-    for m in _candidate(text, begin, stop):
+    for m in (_any if _more(text) else _ends)(text, begin, stop):
         at = m.end()
         if at >= stop:
             break
-        marked = _mark(text, at) if m["line"] or (m["gap"] and "\n" in m["gap"]) else None
+        end, quote, gap, line, _ = m.groups()
+        marked = _mark(text, at) if line or (gap and "\n" in gap) else None
         if marked and marked.end() < stop:
-            cuts.append((m.start() if m["line"] else m.end("quote"), marked.end(), 8.0))
+            cuts.append((m.start() if line else m.end("quote"), marked.end(), 8.0))
             continue
-        if m["end"]:
+        if end:
             nxt = text[at]
-            if not m["gap"]:
+            if not gap:
                 # No white space: within numbers, addresses and abbreviations unless a sentence plainly opens.
-                if nxt.isdecimal() and text[m.start() - 1 : m.start()].isdecimal() and not m["quote"]:
+                if nxt.isdecimal() and text[m.start() - 1 : m.start()].isdecimal() and not quote:
                     continue
-                if m["quote"] and m["quote"][-1] in "」』" and _kana(nxt):
+                if quote and quote[-1] in "」』" and _kana(nxt):
                     continue
             opened = _opening(text, at, model)
             if opened is None:
                 continue
-            closed = _closing(text, m.start(), m["end"], model)
-            if not m["gap"] and not _cjk(nxt) and closed < 4:
+            closed = _closing(text, m.start(), end, model)
+            if not gap and not _cjk(nxt) and closed < 4:
                 closed -= 1.0 if nxt.isupper() else 2.0
             cuts.append((m.end("quote"), at, opened + closed))
-        elif m["line"]:
+        elif line:
             opened = _opening(text, at, model)
-            if "\n\n" in m["line"].replace("\r", "").replace(" ", ""):
+            if "\n\n" in line.replace("\r", "").replace(" ", ""):
                 cuts.append((m.start(), at, 4.0 if opened is not None else 1.0))
                 continue
             if opened is None or opened < 3:
@@ -240,6 +243,9 @@ def split(text: str, model: SentenceModel) -> list[tuple[int, int]]:
                 state ^= _pairs[c]
             parity.append(state)
             at = start
+    elif stop - begin <= LONG and all(b[0] - a[1] >= SHORT for a, b in zip(edges, edges[1:])):
+        # Every cut pays for itself, and neither length nor balance says otherwise.
+        return [(a[1], b[0]) for a, b in zip(edges, edges[1:])]
     best = [0.0] + [float("-inf")] * (len(edges) - 1)
     back = [0] * len(edges)
     # Starts too far back for any span but one of the greatest length penalty: only the best of each parity can win.
