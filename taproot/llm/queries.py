@@ -14,7 +14,8 @@ from taproot.llm.scans import repaired
 from taproot.llm.sentences import learn, sentences
 from taproot.llm.stuffing import stuffing
 from taproot.llm.termweight import LATIN_6, log_entropy
-from taproot.operators.current import current_rows, newest
+from taproot.operators.current import current_rows
+from taproot.operators.current import newest as newest_of
 from taproot.plans.lineage import cut
 from taproot.sources.tables import table
 
@@ -52,7 +53,7 @@ def p1_stretches(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scans(spark: SparkSession, folder: str) -> DataFrame:
     """Scanned documents with their titles: the newest of documents_meta and that of the first title node."""
-    meta = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest("document_type", "ingested_at").alias("kind"), newest("title", "ingested_at").alias("named"))
+    meta = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest_of("document_type", "ingested_at").alias("kind"), newest_of("title", "ingested_at").alias("named"))
     first = table(spark, folder, "graph_snippets").where("label = 'title' and text is not null").groupBy("document_id").agg(F.min(F.struct("sequence_no", "text"))["text"].alias("heading"))
     return meta.where("kind = 'scan'").join(first, "document_id", "left").select("document_id", F.array("named", "heading").alias("titles"))
 
@@ -75,13 +76,16 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms of six or more Latin letters that mark a document: in four or more of its nodes, in at most three documents."""
+    """Terms of six or more Latin letters that mark a document: in four or more of its nodes, in at most three documents.
+
+    Both factors of the log-entropy weight over nodes decide: a local weight of ln(1 + 4) or more, and an entropy of no
+    more than that of a term of three documents.
+    """
     nodes = _current(spark, folder, "text")
-    scored = log_entropy(nodes, "document_id", "text", pattern=LATIN_6)
-    # No such term scores less than this: tf is at least 4 and the entropy at most that of three equal shares.
-    size = F.broadcast(table(spark, folder, "snippet_nodes").agg(F.countDistinct("document_id").alias("size")))
-    least = F.log(F.lit(5.0)) * (1 - F.least(F.lit(1.0), F.log(F.lit(3.0)) / F.log(F.greatest(F.col("size"), F.lit(2)).cast("double")))) - 1e-9
-    return scored.crossJoin(size).where(F.col("score") >= least).where("n_texts >= 4 and n_records <= 3").select("document_id", "term")
+    scored = log_entropy(nodes, "document_id", "text", pattern=LATIN_6, presence=True)
+    size = F.broadcast(nodes.agg(F.countDistinct("document_id").alias("size")))
+    widest = F.log(F.lit(3.0)) / F.log(F.greatest(F.col("size"), F.lit(2)).cast("double"))
+    return scored.crossJoin(size).where((F.col("local") >= F.log(F.lit(5.0)) - 1e-9) & (F.col("entropy") <= widest + 1e-9)).select("document_id", "term")
 
 
 def p4_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +108,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     split = sentences(nodes.select("document_id", "snippet_id", "extracted_at", running), ["document_id", "snippet_id", "extracted_at"], "text", model)
     starts = split.withColumn("starts", F.expr("transform(slice(spans, 2, greatest(size(spans) - 1, 0)), x -> x.start_at)"))
     newest = current_rows(starts, ["document_id", "snippet_id"], ["extracted_at"], ["starts"])
-    scans = table(spark, folder, "documents_meta").where("document_type = 'scan'").select("document_id").distinct()
+    meta = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest_of("document_type", "ingested_at").alias("kind"))
+    scans = meta.where("kind = 'scan'").select("document_id")
     return newest.join(scans, "document_id", "left_anti").select("document_id", "snippet_id", F.explode("starts").alias("start_at"))
 
 

@@ -78,12 +78,13 @@ def test_cosine_is_that_of_the_bundle():
     texts = ["the dose of the patients the dose the dose the dose", "Die Dosis wird nach der Mahlzeit gemessen", "", "12", "食事の前に血糖を測る"]
     cosines, counts = judge(texts)
     for text, found, n in zip(texts, cosines, counts):
-        words, names = langid.telling(text)
+        words, named = langid.telling(text)
         assert n == len(words)
         if not words:
             assert not found.any()
             continue
-        direct = sum((langid.NAME if name else 1.0) * judge.letters.ngram(g) for w, name in zip(words, names) for g in langid.ngrams(w))
+        names = [named and langid.is_name(w, i == 0) for i, w in enumerate(words)]
+        direct = sum((langid.NAME if name else 1.0) * judge.letters.ngram(g) for w, name in zip(words, names) for g in langid.ngrams(w.lower()))
         assert np.allclose(model.prototypes @ direct / np.linalg.norm(direct), found, rtol=0.15, atol=0.01)
 
 
@@ -112,10 +113,25 @@ def test_log_entropy(spark):
     rows = [("a", "rare rare common"), ("a", "rare"), ("b", "common"), ("c", "common"), ("d", None), (None, "rare")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record string, text string, term int")
     got = {(r.record, r.term): r for r in termweight.log_entropy(df, "record", "text").collect()}
-    assert got["a", "rare"].tf == 3 and got["a", "rare"].n_texts == 2 and got["a", "rare"].score == pytest.approx(np.log(4))
+    assert got["a", "rare"].tf == 3 and got["a", "rare"].score == pytest.approx(np.log(4))
     h = np.log(3) / np.log(4)
     assert got["b", "common"].score == pytest.approx(np.log(2) * (1 - h)) and got["b", "common"].n_records == 3
     assert termweight.log_entropy(df.limit(0), "record", "text").count() == 0
+    seen = {(r.record, r.term): r for r in termweight.log_entropy(df, "record", "text", presence=True).collect()}
+    assert seen["a", "rare"].tf == 2 and seen["a", "rare"].local == pytest.approx(np.log(3)) and seen["a", "rare"].entropy == 0
+    assert seen["a", "common"].entropy == pytest.approx(np.log(3) / np.log(4)) and seen["a", "common"].spread == pytest.approx(1 - np.log(3) / np.log(4))
+
+
+def test_log_entropy_splits_hot_records_and_terms(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [("hot" if i % 3 else f"r{i % 7}", " ".join(f"w{chr(97 + x)}" for x in rng.zipf(1.6, 12) % 26)) for i in range(300)]
+    df = spark.createDataFrame(rows, "record string, text string")
+    plain = sorted(termweight.log_entropy(df, "record", "text").collect())
+    monkeypatch.setattr(termweight, "HOT_TEXTS", 5)
+    monkeypatch.setattr(termweight, "PARTS", 4)
+    monkeypatch.setattr(termweight, "HOT_TERMS", 50)
+    split = sorted(termweight.log_entropy(df, "record", "text").collect())
+    assert [r[:4] for r in plain] == [r[:4] for r in split] and np.allclose([r.score for r in plain], [r.score for r in split])
 
 
 def test_perfect_hash():
