@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from taproot.plans.lineage import cut
 
+#: Tasks that blocks are spread over, at most.
+MOST_TASKS = 20_000
+
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container of each item, numbered from 0; sizes run from 0 to ``capacity`` and are placed in the given order.
@@ -65,7 +68,9 @@ def _round(items: DataFrame, keys: list[str], capacity: int, block_items: int, n
         rows = rows.sort_values(["size", *keys], ascending=[False, *[True] * len(keys)], kind="stable")
         return rows[[*keys, "block"]].assign(bin=sum_of_squares(rows["size"].to_numpy(np.int64), capacity))
 
-    return items.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks))).groupBy("block").applyInPandas(pack, schema)
+    # A number of partitions of our own is left as it is; else small blocks would be put into one task.
+    spread = items.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks))).repartition(min(blocks, MOST_TASKS), "block")
+    return spread.groupBy("block").applyInPandas(pack, schema)
 
 
 def pack(df: DataFrame, key: str, size: str, capacity: int, *, block_items: int = 20_000, full: float = 0.995) -> DataFrame:
@@ -101,3 +106,12 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, *, block_items: int
     packed = first.withColumn("name", F.concat_ws("-", "block", "bin")).join(again, "name", "left")
     packed = packed.select(F.coalesce("joined", F.concat(F.lit("a-"), "name")).alias("container"), "key", "piece", "start", "size")
     return own.unionByName(packed).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
+
+
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row on containers made by :func:`pack`: ``containers``, ``tokens``, ``least`` (containers that so many tokens take
+    in any case), ``unused`` (share of the space left over) and ``fullest`` (tokens of the fullest)."""
+    used = packed.groupBy("container").agg(F.sum("size").alias("used"))
+    total = F.coalesce(F.sum("used"), F.lit(0))
+    unused = F.when(F.count("*") > 0, 1 - total / (F.count("*") * capacity)).otherwise(0.0)
+    return used.agg(F.count("*").alias("containers"), total.alias("tokens"), F.ceil(total / capacity).alias("least"), unused.alias("unused"), F.coalesce(F.max("used"), F.lit(0)).alias("fullest"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproot.llm.bpe import encode
 from taproot.llm.langid import languages
 from taproot.llm.langid import learn as learn_languages
-from taproot.llm.packing import pack
+from taproot.llm.packing import fill, pack
 from taproot.llm.scans import learn as learn_lines
 from taproot.llm.scans import repaired
 from taproot.llm.sentences import learn, sentences
@@ -127,21 +129,34 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"), "doc_id", "text", name="byte_bpe_50k")
 
 
-def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document in containers of each capacity of pack_capacity (a table of a fixed few rows)."""
+def _packed(spark: SparkSession, folder: str) -> list[tuple[int, int, DataFrame]]:
+    """Capacity id, capacity and packing of each row of pack_capacity (a table of a fixed few rows)."""
     documents = table(spark, folder, "documents")
-    out = None
     counted: dict[str, DataFrame] = {}
+    out = []
     for row in table(spark, folder, "pack_capacity").orderBy("capacity_id").collect():
         if row.tokenizer not in counted:
             # Written once, so that not every capacity has the texts encoded again.
             counted[row.tokenizer] = cut(encode(documents, "doc_id", "text", name=row.tokenizer, ids=None, count="n_tokens"))
-        packed = pack(counted[row.tokenizer], "doc_id", "n_tokens", row.capacity)
-        part = packed.select(F.lit(row.capacity_id).alias("capacity_id"), F.col("container").alias("container_id"), "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
-        out = part if out is None else out.unionByName(part)
+        out.append((row.capacity_id, row.capacity, pack(counted[row.tokenizer], "doc_id", "n_tokens", row.capacity)))
     return out
 
 
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each capacity."""
+    parts = [
+        packed.select(F.lit(no).alias("capacity_id"), F.col("container").alias("container_id"), "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+        for no, _, packed in _packed(spark, folder)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    parts = [fill(packed, capacity).select(F.lit(no).alias("capacity_id"), F.lit(capacity).alias("capacity"), "containers", "tokens", "least", F.round("unused", 6).alias("unused"), "fullest") for no, capacity, packed in _packed(spark, folder)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that consist of repeated keywords, links or product tags for more than half of their characters."""
     return stuffing(table(spark, folder, "documents"), "doc_id", "text").where("stuffed").select("doc_id")
@@ -153,7 +168,7 @@ def p8_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_stretches": p1_stretches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing,
+    "p1_found": p1_found, "p1_stretches": p1_stretches, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_shapes": p8_shapes,
 }
 

@@ -180,7 +180,10 @@ def test_packing(spark):
         assert max(by_container.values()) <= 100
         assert {k: sum(s for _, s in v) for k, v in by_item.items()} == {0: 50, 1: 50, 2: 30, 3: 70, 4: 250, 5: 0, 6: 100}
         assert sorted(by_item[4]) == [(0, 100), (100, 100), (200, 50)]
+        n, total = len(by_container), sum(by_container.values())
+        assert tuple(packing.fill(packing.pack(df, "id", "n", 100, block_items=block), 100).first()) == (n, total, -(-total // 100), pytest.approx(1 - total / n / 100), max(by_container.values()))
     assert packing.pack(df.limit(0), "id", "n", 100).count() == 0
+    assert tuple(packing.fill(packing.pack(df.limit(0), "id", "n", 100), 100).first()) == (0, 0, 0, 0.0, 0)
     with pytest.raises(ValueError):
         packing.pack(df, "id", "n", 0)
 
