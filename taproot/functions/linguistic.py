@@ -143,6 +143,11 @@ def _count_in(words: Column, listed: str) -> Column:
     return F.size(F.filter(words, lambda w: F.array_contains(own, w)))
 
 
+def marker_votes(text: Column, lang: str) -> Column:
+    """How many function words of a language a text has."""
+    return _count_in(_words(text), MARKERS[lang])
+
+
 def language_of(text: Column) -> Column:
     words = _words(text)
     return F.when(_count_in(words, MARKERS["en"]) > _count_in(words, MARKERS["de"]), "en").otherwise("de")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters, digits and underscore of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
+#: White space of any script, as a class of characters.
+SPACE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tokens(text: Column) -> Column:
@@ -19,8 +21,14 @@ def stems(text: Column, length: int = 6) -> Column:
     return F.transform(tokens(text), lambda t: F.substring(t, 1, length))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def n_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    """Runs of characters between white space of any kind."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+"))
 
 
 def n_chars(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Document graphs as tables: nodes and edges, relations, roots, parents and mentions.
+"""Document graphs as tables: nodes and edges, relations, roots and connectivity.
 
 Nodes have ``document_id, node_id, text, seq, level, level_label, kind, grouped, page_no``; edges have ``document_id,
 parent_id, child_id, weight, relation``.
@@ -6,13 +6,10 @@ parent_id, child_id, weight, relation``.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taproot.functions.text import strip
 from taproot.operators.current import current_rows
 from taproot.operators.hierarchy import hierarchy
 
@@ -36,7 +33,7 @@ def nodes(snippets: DataFrame) -> DataFrame:
     """Nodes of snippets that may be delivered more than once; NUL characters are taken out and texts stripped."""
     rows = current_rows(snippets, ["document_id", "snippet_id"], ["extracted_at"], ["text", "sequence_no", "level", "level_label", "label", "snippet_type", "page_no"])
     return rows.select(
-        "document_id", F.col("snippet_id").alias("node_id"), F.trim(F.translate(F.coalesce("text", F.lit("")), "\x00", "")).alias("text"),
+        "document_id", F.col("snippet_id").alias("node_id"), strip(F.translate(F.coalesce("text", F.lit("")), "\x00", "")).alias("text"),
         F.col("sequence_no").alias("seq"), "level", "level_label", F.col("snippet_type").alias("kind"), (F.col("label") == "list_item").alias("grouped"), "page_no",
     )
 
@@ -84,39 +81,12 @@ def best_parents(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.groupBy("document_id", "child_id").agg(F.max(F.struct("weight", "parent_id")).alias("b")).select("document_id", F.col("child_id").alias("node_id"), F.col("b.parent_id"), F.col("b.weight"))
 
 
-def resolve_parents(items: DataFrame) -> DataFrame:
-    """Parent of each item in reading order: the nearest item before it with a lower level; else the first of level 0.
-
-    ``items`` have ``document_id, node_id, seq, level``.  A null level counts as deeper than all others.  The items of a
-    document pass in order by a stack of rising levels, so no pairs are made and no more is held than the levels in use.
-    """
-    key = Window.partitionBy("document_id")
-    order = key.orderBy("seq", "node_id")
-    top = F.first(F.when(F.col("level") == 0, F.col("node_id")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = items.select("document_id", "node_id", "seq", "level").repartition("document_id").select("*", top.alias("top"), F.row_number().over(order).alias("at"))
-
-    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[tuple[float, str]] = []
-        for batch in batches:
-            found = []
-            for node, level, first, at in zip(batch["node_id"].tolist(), batch["level"].astype(float).fillna(math.inf).tolist(), batch["top"].tolist(), batch["at"].tolist()):
-                if at == 1:
-                    stack = []
-                while stack and stack[-1][0] >= level:
-                    stack.pop()
-                found.append(stack[-1][1] if stack else first if first != node else None)
-                stack.append((level, node))
-            yield batch[["document_id", "node_id"]].assign(parent_id=pd.Series(found, batch.index, object))
-
-    return rows.sortWithinPartitions("document_id", "at").mapInPandas(climb, "document_id string, node_id string, parent_id string")
-
-
 def root_ids(node_rows: DataFrame, titles: DataFrame) -> DataFrame:
     """Root of each document: the first node that reads like its title, else the first Title, else a synthetic one."""
-    named = titles.select("document_id", F.lower(F.trim("title")).alias("title")).groupBy("document_id").agg(F.max("title").alias("title"))
+    named = titles.select("document_id", F.lower(strip(F.col("title"))).alias("title")).groupBy("document_id").agg(F.max("title").alias("title"))
     rows = node_rows.join(named, "document_id", "left")
     key = F.struct("seq", "node_id")
-    found = rows.groupBy("document_id").agg(F.min(F.when(F.lower(F.trim("text")) == F.col("title"), key)).alias("a"), F.min(F.when(F.col("level_label") == "Title", key)).alias("b"))
+    found = rows.groupBy("document_id").agg(F.min(F.when(F.lower(strip(F.col("text"))) == F.col("title"), key)).alias("a"), F.min(F.when(F.col("level_label") == "Title", key)).alias("b"))
     return found.select("document_id", F.coalesce("a.node_id", "b.node_id", F.lit("#/document-root")).alias("root_id"))
 
 
@@ -130,15 +100,3 @@ def connect(node_rows: DataFrame, edge_rows: DataFrame, roots: DataFrame) -> Dat
     own = rows.join(roots, "document_id").where("node_id = root_id").select("document_id", F.col("part"))
     loose = heads.join(own, ["document_id", "part"], "left_anti").join(roots, "document_id")
     return loose.select("document_id", F.col("root_id").alias("parent_id"), F.col("head.node_id").alias("child_id"), F.lit(STRUCTURAL_WEIGHTS["root"]).alias("weight"), F.lit("root").alias("relation")).where("parent_id <> child_id")
-
-
-#: Words that name media, with the number that follows.
-MENTION = r"(?i)\b(tab(?:elle|le)?|abb(?:ildung)?|fig(?:ure)?)\s*\.?\s*(\d+)(?!\d)"
-
-
-def mentions(node_rows: DataFrame) -> DataFrame:
-    """Every mention of a table or figure in running text: ``document_id, node_id, medium, number``."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0))))
-    rows = node_rows.select("document_id", "node_id", found.alias("m"))
-    medium = F.when(F.lower("m").startswith("tab"), "table").otherwise("figure")
-    return rows.select("document_id", "node_id", medium.alias("medium"), F.regexp_extract("m", r"(\d+)", 1).cast("int").alias("number")).distinct()

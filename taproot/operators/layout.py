@@ -8,10 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from taproot.functions.text import SPACE
+from taproot.operators.construct import CAPTION
 
 # Sizes in points and words that decide on page structure.
 RULE_HEIGHT, RULE_SHARE, BOX_WIDTH, BOX_HEIGHT, PAGE_SHARE = 3.0, 0.6, 40.0, 20.0, 0.95
 PADDING, ROW_GAP, PICTURE_HEIGHT, PICTURE_PAGES, CELL_SHARE = 2.0, 2.0, 15.0, 3, 0.8
+LINE_GAP, LINE_GAP_SHARE, LINE_OVERLAP = 4.0, 0.35, 0.3
+# How an entry of a bibliography begins, and what a hyphen before isn't one of a broken word.
+CITATION = r"^[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)?\s+[A-Z]{1,3}[,.]"
 CONNECTIVES = ("und", "oder", "bzw", "sowie", "beziehungsweise", "and", "or")
 
 
@@ -56,15 +63,17 @@ def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def unfinished(text: Column) -> Column:
-    """Whether a text breaks off: no full stop, and a small last word, a comma or a hyphen at its end."""
-    t = F.rtrim(text)
-    return ~t.rlike(r"[.!?:;]$") & ~t.rlike(r"\S+@\S+\.\S+$") & (t.rlike(r"[,\-­]$") | F.regexp_extract(t, r"(\p{L}+)\W*$", 1).rlike(r"^\p{Ll}"))
+    """Whether a text breaks off: no final mark or address at its end, but a comma, a hyphen or a word in small letters."""
+    t = F.regexp_replace(text, f"[{SPACE}]+$", "")
+    final = t.rlike(r'[.!?:;)\]"”’»]$') | t.rlike(r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}[.,;:]?$")
+    return (t != "") & ~final & (t.rlike(r"[,\-\u00ad]$") | F.regexp_extract(t, f"([^{SPACE}]+)$", 1).rlike(r"^\p{Ll}"))
 
 
 def resumes(text: Column) -> Column:
-    """Whether a text goes on with another: it begins with a letter and is no caption, number or citation."""
-    t = F.ltrim(text)
-    return t.rlike(r"^[(\[]*\p{L}") & ~t.rlike(r"(?i)^(tab(elle|le)?|abb(ildung)?|fig(ure)?)\b") & ~t.rlike(r"^\d+[.)]")
+    """Whether a text goes on with another: it begins with a letter and is no caption, numbered entry or citation."""
+    t = F.regexp_replace(text, f"^[{SPACE}]+", "")
+    bare = F.regexp_replace(t, r"^[(\[]+", "")
+    return ~t.rlike(f"(?iU){CAPTION}") & ~bare.rlike(r"^\d+[\s.)]") & ~bare.rlike(CITATION) & bare.rlike(r"^\p{L}")
 
 
 def join_continuation(head: Column, tail: Column) -> Column:
@@ -81,20 +90,44 @@ def stitch(rows: DataFrame) -> DataFrame:
     """Paragraphs that run over columns or pages put together; other items stay as they are.
 
     A part continues the one before it (of running text) if that one breaks off at the foot of its column and this one
-    goes on at the head of a later column or page.
+    goes on at the head of a later column or page.  ``provenance`` has the page and box of every part.
     """
     running = F.col("label").isin("text", "list_item", "footnote") & ~F.coalesce(F.col("parent_ref").contains("pictures"), F.lit(False))
     column = Window.partitionBy("document_id", "page_no", "block", "column")
-    rows = rows.withColumns({"_run": running, "_foot": F.min(F.when(running, F.col("b"))).over(column), "_head": F.max(F.when(running, F.col("t"))).over(column)})
-    order = Window.partitionBy("document_id", "_run").orderBy("place")
+    rows = rows.withColumns({"_foot": F.min(F.when(running, F.col("b"))).over(column), "_head": F.max(F.when(running, F.col("t"))).over(column)})
+    order = Window.partitionBy("document_id").orderBy("place")
     was = lambda c: F.lag(c).over(order)
     later = (F.col("page_no") > was("page_no")) | ((F.col("page_no") == was("page_no")) & (F.col("block") == was("block")) & (F.col("column") > was("column")))
-    goes_on = F.col("_run") & later & (was("b") == was("_foot")) & (F.col("t") == F.col("_head")) & unfinished(was("text")) & resumes(F.col("text"))
-    rows = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
-    parts = rows.groupBy("document_id", "_run", "_island").agg(F.array_sort(F.collect_list(F.struct("place", "ord", "page_no", "label", "text"))).alias("p"))
+    goes_on = later & (was("b") == was("_foot")) & (F.col("t") == F.col("_head")) & unfinished(was("text")) & resumes(F.col("text"))
+    return _joined(rows, goes_on, order)
+
+
+def _joined(rows: DataFrame, goes_on: Column, order: WindowSpec) -> DataFrame:
+    """Rows that go on with the one before them, put together with it."""
+    rows = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("_first", F.last(F.when(F.col("_new") == 1, F.col("place")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = rows.groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b"))).alias("p"))
     texts = F.transform("p", lambda x: F.coalesce(x["text"], F.lit("")))
     whole = F.aggregate(F.slice(texts, 2, F.size(texts)), texts[0], join_continuation)
-    return parts.select("document_id", F.col("p")[0]["place"].alias("place"), F.col("p")[0]["ord"].alias("ord"), F.col("p")[0]["page_no"].alias("page_no"), F.col("p")[0]["label"].alias("label"), whole.alias("text"), F.size("p").alias("parts"))
+    places = F.transform("p", lambda x: F.struct(x["page_no"].alias("page_no"), x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b")))
+    head = F.col("p")[0]
+    return parts.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), places.alias("provenance"))
+
+
+def line_fragments(rows: DataFrame) -> DataFrame:
+    """Lines of one block put together where pages are read line by line: in figures, sidebars and the front matter.
+
+    Placed rows with ``region``.  A line goes on with the one before it on its page if both are of one such region, that
+    one breaks off, this one resumes, it lies right below, and the two overlap.  Other rows stay as they are.
+    """
+    order = Window.partitionBy("document_id", "page_no").orderBy("place")
+    was = lambda c: F.lag(c).over(order)
+    gap = was("b") - F.col("t")
+    lower = F.least(was("t") - was("b"), F.col("t") - F.col("b"))
+    shared, narrow = F.least(was("r"), F.col("r")) - F.greatest(was("l"), F.col("l")), F.least(was("r") - was("l"), F.col("r") - F.col("l"))
+    near = (gap >= 0) & (gap <= F.greatest(F.lit(LINE_GAP), LINE_GAP_SHARE * lower)) & (narrow > 0) & (shared / narrow > LINE_OVERLAP)
+    alike = (F.col("region") == was("region")) & F.col("region").isin("figure", "sidebar", "front_matter")
+    return _joined(rows, alike & near & unfinished(was("text")) & resumes(F.col("text")), order)
 
 
 def regions(rows: DataFrame, title_page: int = 2) -> DataFrame:
@@ -133,6 +166,21 @@ def rows_of_text(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_new", F.when(F.coalesce(middle - F.lag(middle).over(order) > ROW_GAP, F.lit(True)), 1).otherwise(0)).groupBy("document_id", "ord").agg(F.sum("_new").alias("rows"))
 
 
+def line_heights(items: DataFrame, cells: DataFrame) -> DataFrame:
+    """``document_id, ord, line_heights`` (to a tenth) of the items that have lines; ``cells`` are lines.
+
+    Lines count whose text stands in the item.  Fonts whose boxes are far too flat, less than half the pitch of the printed
+    rows, get the pitch.
+    """
+    inside = cells_in(items, cells)
+    rows = rows_of_text(inside)
+    height = F.col("c_t") - F.col("c_b")
+    found = inside.where(F.col("text").contains(F.col("c_text"))).groupBy("document_id", "ord").agg(F.array_sort(F.collect_list(F.struct((-F.col("c_t")).alias("o"), "c_l", height.alias("h")))).alias("x"), F.max(F.abs(F.col("t") - F.col("b"))).alias("high"))
+    h, pitch = F.transform("x", lambda x: x["h"]), F.col("high") / F.col("rows")
+    fixed = F.when(F.array_max(h) < 0.5 * pitch, F.transform(h, lambda _: pitch)).otherwise(h)
+    return found.join(rows, ["document_id", "ord"]).select("document_id", "ord", F.transform(fixed, lambda x: F.round(x, 1)).alias("line_heights"))
+
+
 def font_key(cells: DataFrame) -> DataFrame:
     """Most frequent font of each item, of equal ones the first met; cells have ``document_id, ord, cell_no, font_key``."""
     counted = cells.where("font_key is not null").groupBy("document_id", "ord", "font_key").agg(F.count("*").alias("n"), F.min("cell_no").alias("first"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taproot.functions.text import n_chars, n_words, token_count
+from taproot.functions.linguistic import marker_votes
+from taproot.functions.text import SPACE, n_chars, n_words, strip, token_count
+from taproot.operators import retrieval, weights
 from taproot.operators.current import current_rows
 from taproot.operators.graph import contexts, is_heading, supply_relation
+from taproot.plans.lineage import stored
 
 
 def relation_mix(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
@@ -29,17 +32,110 @@ def summary(tree_rows: DataFrame) -> DataFrame:
     )
 
 
-def checks(tree_rows: DataFrame, long_heading: int = 20) -> DataFrame:
-    """Faults of each kind in each document: orphans, inverted levels, long headings, empty nodes, repeated texts."""
-    up = tree_rows.select("document_id", F.col("node_id").alias("parent_id"), F.col("level").alias("p_level"))
-    link = F.col("chain")[0]
-    rows = tree_rows.join(up, ["document_id", "parent_id"], "left").withColumn("copies", F.count("*").over(Window.partitionBy("document_id", F.xxhash64("text"), "text")))
-    faults = {
-        "orphan": F.col("parent_id").isNull() & ~F.coalesce(F.col("level_label") == "Title", F.lit(False)), "inverted_level": F.col("p_level") >= F.col("level"),
-        "long_heading": link["heading"] & (link["words"] > long_heading), "empty": F.col("text") == "", "repeated": (F.col("text") != "") & (F.col("copies") > 1),
-    }
-    found = F.explode(F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in faults.items()]), lambda x: x.isNotNull()))
-    return rows.select("document_id", found.alias("fault")).groupBy("document_id", "fault").agg(F.count("*").alias("n"))
+def checks(tree_rows: DataFrame, edge_rows: DataFrame, *, long_heading: int = 120, far: int = 10) -> DataFrame:
+    """``document_id, fault, n``: how often each kind of fault comes in each document.
+
+    orphan: a node that is no heading and has no parent; inverted_level: a heading that doesn't rank below the heading that
+    holds it; long_heading: one of more than ``long_heading`` characters; distant_edge: an edge over more than ``far`` pages;
+    unreferenced_media; empty: a node without a text.
+    """
+    head, own = is_heading(F.col("level_label")), F.col("chain")[0]
+    unnamed = F.col("kind").isin("image", "table") & F.coalesce(F.col("level_label") == "Unreferenced Image", F.lit(False))
+    alone = {"orphan": F.col("parent_id").isNull() & ~head, "long_heading": (F.col("level_label") == "Heading") & (own["chars"] > long_heading), "unreferenced_media": unnamed, "empty": F.col("text") == ""}
+    found = tree_rows.select("document_id", F.explode(F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in alone.items()]), lambda x: x.isNotNull())).alias("fault"))
+    ends = contexts(tree_rows.select("document_id", "node_id", "level", "level_label", "page_no"), edge_rows)
+    pairs = {
+        "inverted_level": F.col("p_level_label").isin("Title", "Heading") & F.col("c_level_label").isin("Title", "Heading") & (F.col("c_level") <= F.col("p_level")),
+        "distant_edge": (F.col("p_page_no") > 0) & (F.col("c_page_no") > 0) & (F.abs(F.col("c_page_no") - F.col("p_page_no")) > far),
+    }
+    crossed = ends.select("document_id", F.explode(F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in pairs.items()]), lambda x: x.isNotNull())).alias("fault"))
+    return found.unionByName(crossed).groupBy("document_id", "fault").agg(F.count("*").alias("n"))
+
+
+def repeated_texts(node_rows: DataFrame, least: int = 3, longest_short: int = 20) -> DataFrame:
+    """``document_id, text, n``: texts of more than ``longest_short`` characters that come ``least`` times or more in a document
+    (a running header read as content?); runs of white space count as one space."""
+    flat = F.regexp_replace(strip(F.col("text")), f"[{SPACE}]+", " ")
+    return node_rows.select("document_id", flat.alias("text")).where(F.length("text") > longest_short).groupBy("document_id", "text").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def outline(tree_rows: DataFrame, longest: int = 90) -> DataFrame:
+    """``document_id, node_id, depth, way, line``: each node as an indented line; ``way`` orders them like the printed tree.
+
+    A way has the place of each node on the path, so no document is gathered to be sorted.
+    """
+    flat = F.regexp_replace(strip(F.col("text")), f"[{SPACE}]+", " ")
+    steps = tree_rows.select("document_id", "node_id", F.posexplode(F.transform("chain", lambda x: x["id"])).alias("far", "at_id"))
+    place = tree_rows.select("document_id", F.col("node_id").alias("at_id"), F.format_string("%08d:%s", F.coalesce(F.col("seq"), F.lit(99_999_999)).cast("int"), F.col("node_id")).alias("spot"))
+    ways = steps.join(place, ["document_id", "at_id"]).groupBy("document_id", "node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("o"), "spot"))).alias("w"))
+    rows = tree_rows.join(ways.select("document_id", "node_id", F.array_join(F.transform("w", lambda x: x["spot"]), "/").alias("way")), ["document_id", "node_id"])
+    depth = F.coalesce("depth", F.lit(0))
+    return rows.select("document_id", "node_id", depth.alias("depth"), "way", F.concat(F.repeat(F.lit("  "), depth), F.coalesce("level_label", F.lit("-")), F.lit(" "), F.substring(flat, 1, longest)).alias("line"))
+
+
+def document_languages(node_rows: DataFrame, first: int = 200) -> DataFrame:
+    """``document_id, lang``: en if the first nodes of a document have more English function words than German ones, else de."""
+    order = Window.partitionBy("document_id").orderBy("seq", "node_id")
+    rows = node_rows.select("document_id", "node_id", "seq", "text").withColumn("at", F.row_number().over(order)).where(F.col("at") <= first)
+    votes = rows.groupBy("document_id").agg(*[F.sum(marker_votes(F.col("text"), lang)).alias(lang) for lang in ("en", "de")])
+    return votes.select("document_id", F.when(F.col("en") > F.col("de"), "en").otherwise("de").alias("lang"))
+
+
+def relation_mix_by_language(node_rows: DataFrame, edge_rows: DataFrame, language_rows: DataFrame) -> DataFrame:
+    """``lang, supply_relation, edges, share``: edges by relation within each language; the language "all" has all documents."""
+    context = contexts(node_rows, edge_rows)
+    rows = context.select("document_id", supply_relation(context).alias("supply_relation")).join(language_rows, "document_id")
+    counted = rows.groupBy("lang", "supply_relation").agg(F.count("*").alias("edges"))
+    counted = counted.unionByName(counted.groupBy("supply_relation").agg(F.sum("edges").alias("edges")).withColumn("lang", F.lit("all")))
+    total = counted.groupBy("lang").agg(F.sum("edges").alias("total"))
+    return counted.join(F.broadcast(total), "lang").select("lang", "supply_relation", "edges", F.round(F.col("edges") / F.col("total"), 6).alias("share"))
+
+
+def _mean(column: str) -> Column:
+    return F.round(F.avg(column), 6).alias(column)
+
+
+def prior_report(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame) -> DataFrame:
+    """By relation: edges, means of the parts of supply, share of edges where the prior decides, and measured less prior."""
+    context = contexts(node_rows, edge_rows)
+    rows = weights.supply(node_rows, edge_rows, idf_rows).join(context.select(*weights.KEY, supply_relation(context).alias("supply_relation")), weights.KEY)
+    bound = F.round(F.avg(F.col("floor_bound").cast("int")), 6).alias("floor_bound")
+    return rows.groupBy("supply_relation").agg(F.count("*").alias("edges"), *map(_mean, ("coverage", "complementarity", "measured", "prior", "supply")), bound, F.round(F.avg(F.col("measured") - F.col("prior")), 6).alias("gap"))
+
+
+def evidence_report(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, config: weights.NeedConfig | None = None, band: float = 0.05) -> DataFrame:
+    """By relation, and for "all": means of the parts of evidence, and which way it moves edges from the middle by ``band``."""
+    context = contexts(node_rows, edge_rows)
+    rows = weights.evidence(node_rows, edge_rows, idf_rows, config).join(context.select(*weights.KEY, supply_relation(context).alias("r")), weights.KEY)
+    rows = rows.withColumns({"merging": F.col("need") * F.col("supply"), "independence": (1 - F.col("need")) * F.col("confidence")})
+    up, down = (F.col("weight") > 0.5 + band).cast("int"), (F.col("weight") < 0.5 - band).cast("int")
+    shares = [F.round(F.avg(up), 6).alias("toward_1"), F.round(F.avg(1 - up - down), 6).alias("neutral"), F.round(F.avg(down), 6).alias("toward_0")]
+    found = rows.rollup("r").agg(F.count("*").alias("edges"), *map(_mean, ("need", "supply", "merging", "independence", "weight")), *shares)
+    return found.select(F.coalesce("r", F.lit("all")).alias("supply_relation"), *found.columns[1:])
+
+
+def spread(metrics: dict[str, DataFrame]) -> DataFrame:
+    """By metric: edges, mean, population deviation, least and greatest weight, distinct weights (to four places) and zeros."""
+    rows = reduce(DataFrame.unionByName, [m.select(F.lit(name).alias("metric"), "weight") for name, m in metrics.items()])
+    return rows.groupBy("metric").agg(
+        F.count("*").alias("edges"), F.round(F.avg("weight"), 6).alias("mean"), F.round(F.stddev_pop("weight"), 6).alias("deviation"), F.round(F.min("weight"), 6).alias("least"),
+        F.round(F.max("weight"), 6).alias("most"), F.countDistinct(F.round("weight", 4)).alias("different"), F.count(F.when(F.col("weight") == 0, 1)).alias("zeros"),
+    )
+
+
+def merge_costs(node_rows: DataFrame, edge_rows: DataFrame, metrics: dict[str, DataFrame]) -> DataFrame:
+    """By metric: the threshold that brings merged units to the middle between none and all merged, the mean it reaches, its
+    error, the share of units merged and the cost against unmerged units.  One calibration for each metric named."""
+    spark, out = node_rows.sparkSession, []
+    for name, metric in metrics.items():
+        own = edge_rows.drop("weight").join(metric.select(*weights.KEY, "weight"), weights.KEY).select(*edge_rows.columns)
+        rows = stored(retrieval.tree(node_rows, own))
+        bare, whole = (retrieval.means_at(rows, [0.0], retrieval.MergePolicy(strategy=x)).first().mean_tokens for x in ("none", "all_ancestors"))
+        c = retrieval.calibrate(rows, own, max(1e-9, (bare + whole) / 2))
+        units = retrieval.bare_units(rows, retrieval.MergePolicy(min_weight=c.min_weight))
+        merged = units.agg(F.avg((F.size("member_ids") > 1).cast("int"))).first()[0] or 0.0
+        out.append((name, float(c.min_weight), round(c.achieved, 6), round(c.relative_error, 6), round(float(merged), 6), round(c.achieved / bare, 6) if bare else 0.0))
+    return spark.createDataFrame(out, "metric string, min_weight double, mean_tokens double, error double, merged double, cost double")
 
 
 def agreement(metrics: dict[str, DataFrame]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from taproot.functions.text import n_chars, n_words, token_count
 from taproot.operators.graph import best_parents, is_heading
 from taproot.operators.hierarchy import hierarchy
-from taproot.plans.lineage import cut
+from taproot.plans.lineage import cut, stored
 
 ID = ["document_id", "node_id"]
 
@@ -63,15 +63,16 @@ class ExpansionPolicy:
 def tree(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Nodes with ``parent_id, weight`` (of the best edge up), ``depth`` and ``chain``.
 
-    Links are array elements ``id, up`` (weight of the edge to its parent), ``words, chars, heading, unit, text``.  A node
-    that reaches no root has a chain of itself alone.
+    Links are array elements ``id, up`` (weight of the edge to its parent), ``words, chars, heading, unit``; they hold what
+    decisions need and no texts, which are joined once the members of a unit are known.  A node that reaches no root has a
+    chain of itself alone.
     """
     rows = node_rows.join(best_parents(edge_rows), ID, "left").withColumn("unit", (F.col("text") != "") & ~F.coalesce(F.col("kind") == "root", F.lit(False)))
     rows = rows.withColumn("words", n_words(F.col("text"))).withColumn("chars", n_chars(F.col("text")))
     rows = cut(rows)
     h = hierarchy(rows, "document_id", "node_id", "parent_id").select(F.col("group").alias("document_id"), F.col("node").alias("node_id"), "depth", F.coalesce("path", F.array("node")).alias("path"))
     steps = h.select("document_id", "node_id", "depth", F.posexplode(F.reverse("path")).alias("far", "link_id"))
-    link = rows.select("document_id", F.col("node_id").alias("link_id"), F.struct(F.col("node_id").alias("id"), F.col("weight").alias("up"), "words", "chars", is_heading(F.col("level_label")).alias("heading"), "unit", "text").alias("link"))
+    link = rows.select("document_id", F.col("node_id").alias("link_id"), F.struct(F.col("node_id").alias("id"), F.col("weight").alias("up"), "words", "chars", is_heading(F.col("level_label")).alias("heading"), "unit").alias("link"))
     chains = steps.join(link, ["document_id", "link_id"]).groupBy(*ID).agg(F.max("depth").alias("depth"), F.array_sort(F.collect_list(F.struct("far", "link"))).alias("c"))
     return rows.drop("words", "chars", "unit").join(chains.select(*ID, "depth", F.transform("c", lambda x: x["link"]).alias("chain")), ID)
 
@@ -133,23 +134,19 @@ def _hosts(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
     up = F.reverse(F.filter(F.slice("chain", 2, F.size("chain")), lambda x: x["unit"]))
     host = F.aggregate(up, F.lit(None).cast("string"), lambda s, x: F.when(s.isNull() | (size(x) >= policy.min_tokens), x["id"]).otherwise(s))
     own = F.col("chain")[0]
-    return tree_rows.where(own["unit"] & (size(own) < policy.min_tokens)).select(*ID, "seq", own["words"].alias("words"), own["chars"].alias("chars"), own["text"].alias("text"), host.alias("host")).where("host is not null")
+    return tree_rows.where(own["unit"] & (size(own) < policy.min_tokens)).select(*ID, "seq", own["words"].alias("words"), own["chars"].alias("chars"), host.alias("host")).where("host is not null")
 
 
 def _with_tails(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
-    """Unit nodes with the small ones folded into them: ``tail`` (ids, in reading order), its texts, words and chars."""
+    """Unit nodes with the small ones folded into them: ``tail`` (ids, in reading order), their words and characters."""
     units = tree_rows.where(F.col("chain")[0]["unit"])
+    none = F.array().cast("array<string>")
     if policy.min_tokens <= 0:
-        none = F.array().cast("array<string>")
-        return units.withColumns({"tail": none, "tail_texts": none, "tail_words": F.lit(0), "tail_chars": F.lit(0)})
+        return units.withColumns({"tail": none, "tail_words": F.lit(0), "tail_chars": F.lit(0)})
     hosts = _hosts(tree_rows, policy)
-    tails = hosts.groupBy("document_id", F.col("host").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "text"))).alias("t"), F.sum("words").alias("w"), F.sum("chars").alias("c"))
+    tails = hosts.groupBy("document_id", F.col("host").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("t"), F.sum("words").alias("w"), F.sum("chars").alias("c"))
     rows = units.join(hosts.select(*ID), ID, "left_anti").join(tails, ID, "left")
-    empty = F.array().cast("array<string>")
-    return rows.select(
-        *units.columns, F.coalesce(F.transform("t", lambda x: x["node_id"]), empty).alias("tail"), F.coalesce(F.transform("t", lambda x: x["text"]), empty).alias("tail_texts"),
-        F.coalesce("w", F.lit(0)).alias("tail_words"), F.coalesce("c", F.lit(0)).alias("tail_chars"),
-    )
+    return rows.select(*units.columns, F.coalesce(F.transform("t", lambda x: x["node_id"]), none).alias("tail"), F.coalesce("w", F.lit(0)).alias("tail_words"), F.coalesce("c", F.lit(0)).alias("tail_chars"))
 
 
 def _fitted(rows: DataFrame, threshold: Column, policy: MergePolicy) -> DataFrame:
@@ -158,46 +155,88 @@ def _fitted(rows: DataFrame, threshold: Column, policy: MergePolicy) -> DataFram
     return rows.withColumn("fit", _fit(F.col("chain"), n, own["words"] + F.col("tail_words"), own["chars"] + F.col("tail_chars"), 1 + F.size("tail"), policy))
 
 
+def crumbs(chain: Column) -> Column:
+    """Ids of the headings above a node that have a text, outermost first."""
+    up = F.filter(F.slice(chain, 2, F.size(chain)), lambda x: x["heading"] & (x["chars"] > 0))
+    return F.reverse(F.transform(up, lambda x: x["id"]))
+
+
+def with_texts(units: DataFrame, tree_rows: DataFrame, separator: str) -> DataFrame:
+    """Units (``member_ids`` and ``crumb_ids`` in order) with ``text, breadcrumb, pages`` and ``page_no`` (the first).
+
+    Only what a unit is made of is looked up; ``pages`` are the distinct pages of its members with a text, in order, or that of
+    its own node if none has one.
+    """
+    parts = F.concat(F.transform("member_ids", lambda x: F.struct(F.lit(0).alias("k"), x.alias("node_id"))), F.transform("crumb_ids", lambda x: F.struct(F.lit(1).alias("k"), x.alias("node_id"))))
+    keys = [c for c in ("query_id",) if c in units.columns] + ["document_id", "unit_id"]
+    named = units.select(*keys, F.posexplode(parts).alias("at", "p")).select(*keys, "at", "p.k", "p.node_id")
+    texts = tree_rows.select(*ID, "text", "page_no")
+    found = named.join(texts, ID).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "k", "text", "page_no", "node_id"))).alias("m"))
+    of = lambda k: F.filter("m", lambda x: (x["k"] == k) & (x["text"] != ""))
+    text = F.array_join(F.transform(of(0), lambda x: x["text"]), separator)
+    pages = F.array_distinct(F.filter(F.transform(F.filter("m", lambda x: (x["k"] == 0) & ((x["text"] != "") | (x["node_id"] == F.col("unit_id")))), lambda x: x["page_no"]), lambda x: x.isNotNull()))
+    found = found.select(*keys, text.alias("text"), F.transform(of(1), lambda x: x["text"]).alias("breadcrumb"), pages.alias("pages"), F.get(pages, F.lit(0)).alias("page_no"))
+    return units.drop("crumb_ids").join(found, keys)
+
+
 def merge_units(tree_rows: DataFrame, policy: MergePolicy | None = None) -> DataFrame:
-    """Units of all documents: ``document_id, unit_id, seq, text, member_ids, breadcrumb, token_count``.
+    """Units of all documents: ``document_id, unit_id, seq, text, member_ids, breadcrumb, token_count, pages, page_no,
+    node_type, merged`` (the links taken: parent, child, weight, cumulative).
 
     No text is lost: every non-blank node is in some unit.  A unit passes the budget only by its own text.
     """
     policy = policy or MergePolicy()
-    if policy.strategy == "subtree":
-        return _subtrees(tree_rows, policy)
+    return with_texts(bare_units(tree_rows, policy), tree_rows, policy.separator).select("document_id", "unit_id", "seq", "text", "member_ids", "breadcrumb", "token_count", "pages", "page_no", "node_type", "merged")
+
+
+def bare_units(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
+    """Units without their texts: what they are made of, and how large they are."""
+    return _subtrees(tree_rows, policy) if policy.strategy == "subtree" else _merged(tree_rows, policy)
+
+
+_LINKS = "array<struct<parent:string,child:string,weight:double,cumulative:double>>"
+
+
+def _taken(chain: Column, n: Column) -> Column:
+    """The first ``n`` links up from a node, nearest first, with the product of the weights up to each."""
+    start = F.struct(F.lit(1.0).alias("cum"), F.array().cast(_LINKS).alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        link = chain[i]
+        cum = s["cum"] * link["up"]
+        new = F.struct(chain[i + 1]["id"].alias("parent"), link["id"].alias("child"), link["up"].alias("weight"), cum.alias("cumulative"))
+        return F.struct(cum.alias("cum"), F.concat(s["out"], F.array(new)).alias("out"))
+
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)["out"]
+
+
+def _merged(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
     rows = _fitted(_with_tails(tree_rows, policy), F.lit(policy.min_weight), policy)
     taken = F.reverse(F.slice("chain", 2, F.col("fit.n")))
-    texts = F.concat(F.transform(taken, lambda x: x["text"]), F.array(F.col("chain")[0]["text"]), F.col("tail_texts"))
     return rows.select(
-        "document_id", F.col("node_id").alias("unit_id"), "seq", F.array_join(F.filter(texts, lambda x: x != ""), policy.separator).alias("text"),
-        F.concat(F.transform(taken, lambda x: x["id"]), F.array("node_id"), "tail").alias("member_ids"), breadcrumb(F.col("chain")).alias("breadcrumb"),
-        F.col("fit.tokens").alias("token_count"),
+        "document_id", F.col("node_id").alias("unit_id"), "seq", F.concat(F.transform(taken, lambda x: x["id"]), F.array("node_id"), "tail").alias("member_ids"),
+        crumbs(F.col("chain")).alias("crumb_ids"), F.col("fit.tokens").alias("token_count"), F.col("kind").alias("node_type"), _taken(F.col("chain"), F.col("fit.n")).alias("merged"),
     )
 
 
-def breadcrumb(chain: Column) -> Column:
-    """Texts of the headings above a node, outermost first."""
-    up = F.filter(F.slice(chain, 2, F.size(chain)), lambda x: x["heading"] & (x["text"] != ""))
-    return F.reverse(F.transform(up, lambda x: x["text"]))
-
-
 def _subtrees(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
     folded = _hosts(tree_rows, policy).select(*ID) if policy.min_tokens > 0 else None
     own = F.col("chain")[0]
     units = tree_rows.where(own["unit"])
     standing = units if folded is None else units.join(folded, ID, "left_anti")
-    flat = units.select(*ID, "seq", own["text"].alias("text"), own["words"].alias("words"), own["chars"].alias("chars"), own["heading"].alias("heading"), F.transform("chain", lambda x: x["id"]).alias("line"))
+    flat = units.select(*ID, "seq", own["words"].alias("words"), own["chars"].alias("chars"), F.transform("chain", lambda x: x["id"]).alias("line"))
     heads = standing.where(own["heading"]).select("document_id", F.col("node_id").alias("head"))
-    under = flat.select("*", F.posexplode("line").alias("far", "head")).join(heads, ["document_id", "head"])
+    under = flat.select("*", F.posexplode("line").alias("far", "head")).drop("line").join(heads, ["document_id", "head"])
     order = Window.partitionBy("document_id", "head").orderBy(F.col("far") > 0, "seq", "node_id")
+    # Every node has a token or more, so what comes after max_tokens rows can't fit; the window drops it before the shuffle.
+    under = under.withColumn("at", F.row_number().over(order)).where(F.col("at") <= policy.max_tokens + 1)
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = under.withColumn("t", _tokens(F.sum("words").over(run), F.sum("chars").over(run), F.count("*").over(run), policy.separator)).withColumn("at", F.row_number().over(order))
+    sums = under.withColumn("t", _tokens(F.sum("words").over(run), F.sum("chars").over(run), F.count("*").over(run), policy.separator))
     # The first that doesn't fit stops the walk; the heading itself always stays.
     stopped = F.max(F.when((F.col("t") > policy.max_tokens) & (F.col("at") > 1), 1).otherwise(0)).over(run)
-    carried = cut(sums.withColumn("stopped", stopped).where("stopped = 0"))
-    made = carried.groupBy("document_id", F.col("head").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "text"))).alias("m"), F.max("t").alias("token_count"))
-    made = made.select("document_id", "unit_id", F.array_join(F.transform("m", lambda x: x["text"]), policy.separator).alias("text"), F.transform("m", lambda x: x["node_id"]).alias("member_ids"), "token_count")
+    carried = cut(sums.withColumn("stopped", stopped).where("stopped = 0").select(*ID, "head", "at", "t"))
+    made = carried.groupBy("document_id", F.col("head").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("at", "node_id"))).alias("m"), F.max("t").alias("token_count"))
+    made = made.select("document_id", "unit_id", F.transform("m", lambda x: x["node_id"]).alias("member_ids"), "token_count")
     done = carried.select(*ID).distinct()
     # What no heading carries stands alone, with the small nodes that belong to it; so do small ones whose host is gone.
     alone = _with_tails(tree_rows, policy).join(done, ID, "left_anti")
@@ -206,12 +245,10 @@ def _subtrees(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
         stray = hosts.join(alone.select("document_id", F.col("node_id").alias("host")), ["document_id", "host"], "left_anti").select(*ID)
         alone = alone.unionByName(_with_tails(units.join(stray, ID, "left_semi"), replace(policy, min_tokens=0)))
     free = replace(policy, strategy="none", max_tokens=2**31 - 1)
-    rest = _fitted(alone, F.lit(0.0), free).select(
-        "document_id", F.col("node_id").alias("unit_id"), F.array_join(F.concat(F.array(own["text"]), "tail_texts"), policy.separator).alias("text"),
-        F.concat(F.array("node_id"), "tail").alias("member_ids"), F.col("fit.tokens").alias("token_count"),
-    )
-    crumbs = tree_rows.select("document_id", F.col("node_id").alias("unit_id"), "seq", breadcrumb(F.col("chain")).alias("breadcrumb"))
-    return made.unionByName(rest).join(crumbs, ["document_id", "unit_id"]).select("document_id", "unit_id", "seq", "text", "member_ids", "breadcrumb", "token_count")
+    rest = _fitted(alone, F.lit(0.0), free).select("document_id", F.col("node_id").alias("unit_id"), F.concat(F.array("node_id"), "tail").alias("member_ids"), F.col("fit.tokens").alias("token_count"))
+    above = tree_rows.select("document_id", F.col("node_id").alias("unit_id"), "seq", crumbs(F.col("chain")).alias("crumb_ids"), F.col("kind").alias("node_type"))
+    none = F.array().cast(_LINKS).alias("merged")
+    return made.unionByName(rest).join(above, ["document_id", "unit_id"]).select("document_id", "unit_id", "seq", "member_ids", "crumb_ids", "token_count", "node_type", none)
 
 
 def mean_unit_tokens(units: DataFrame) -> DataFrame:
@@ -235,45 +272,61 @@ class Calibration:
         return abs(self.relative_error) <= tolerance
 
 
-def means_at(tree_rows: DataFrame, thresholds: list[float], policy: MergePolicy) -> DataFrame:
-    """``min_weight, units, mean_tokens`` of every threshold in one pass over the tree; only sizes are worked out."""
+def _sizing(tree_rows: DataFrame, policy: MergePolicy) -> DataFrame:
+    """What sizes of units depend on, and nothing else."""
+    return _with_tails(tree_rows, policy).select("chain", "tail", "tail_words", "tail_chars")
+
+
+def means_at(sizing: DataFrame, thresholds: list[float], policy: MergePolicy) -> DataFrame:
+    """``min_weight, units, mean_tokens`` of every threshold in one pass over :func:`_sizing` or a tree."""
+    if "node_id" in sizing.columns:
+        sizing = _sizing(sizing, policy)
     grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    rows = _with_tails(tree_rows, policy).select("chain", "tail", "tail_words", "tail_chars", grid)
-    sized = _fitted(rows, F.col("threshold"), policy)
+    sized = _fitted(sizing.select("*", grid), F.col("threshold"), policy)
     return sized.groupBy(F.col("threshold").alias("min_weight")).agg(F.count("*").alias("units"), F.avg("fit.tokens").alias("mean_tokens"))
 
 
 def calibrate(tree_rows: DataFrame, edge_rows: DataFrame, target: float, policy: MergePolicy | None = None, *, exhaustive_below: int = 64, iterations: int = 24) -> Calibration:
     """The min_weight whose units come nearest to a mean of ``target`` tokens.
 
-    With few distinct weights all are tried in one job, with many the threshold is bisected.  The first that is strictly
-    better wins, beginning with 0.
+    With few distinct weights all are tried in one job, with many the threshold is bisected, three steps a job over rows
+    that are written once.  The first that is strictly better wins, beginning with 0.
     """
     if target <= 0:
         raise ValueError("the target must be positive")
     policy = replace(policy or MergePolicy(), strategy="weighted")
     weights = [r.weight for r in edge_rows.select("weight").distinct().orderBy("weight").limit(exhaustive_below + 1).collect()]
     exhaustive = len(weights) <= exhaustive_below
+    rows = _sizing(tree_rows, policy) if exhaustive else stored(_sizing(tree_rows, policy))
     best, tried = (0.0, 0.0, float("inf")), 0
 
-    def consider(thresholds: list[float]) -> float:
+    def means(thresholds: list[float]) -> dict[float, float]:
+        return {r.min_weight: r.mean_tokens for r in means_at(rows, thresholds, policy).collect()}
+
+    def consider(t: float, mean: float) -> None:
         nonlocal best, tried
-        got = {r.min_weight: r.mean_tokens for r in means_at(tree_rows, thresholds, policy).collect()}
-        for t in thresholds:
-            tried += 1
-            mean = got.get(t, 0.0)
-            if abs(mean - target) < best[2]:
-                best = (t, mean, abs(mean - target))
-        return mean
+        tried += 1
+        if abs(mean - target) < best[2]:
+            best = (t, mean, abs(mean - target))
 
     if exhaustive:
-        consider(list(dict.fromkeys([0.0, *weights, min(1.0, weights[-1] + 1e-9) if weights else 1.0])))
+        grid = list(dict.fromkeys([0.0, *weights, min(1.0, weights[-1] + 1e-9) if weights else 1.0]))
+        got = means(grid)
+        for t in grid:
+            consider(t, got.get(t, 0.0))
     else:
-        consider([0.0])
-        low, high = 0.0, 1.0
-        for _ in range(iterations):
-            middle = (low + high) / 2
-            low, high = (middle, high) if consider([middle]) > target else (low, middle)
+        low, high, left = 0.0, 1.0, iterations
+        consider(0.0, means([0.0]).get(0.0, 0.0))
+        while left > 0:
+            ahead = [low + (high - low) * i / 8 for i in range(1, 8)]
+            got = means(ahead)
+            at, step = 3, 2
+            for _ in range(min(3, left)):
+                mean = got.get(ahead[at], 0.0)
+                consider(ahead[at], mean)
+                low, high = (ahead[at], high) if mean > target else (low, ahead[at])
+                at, step = (at + step if mean > target else at - step), step // 2
+            left -= 3
     return Calibration(best[0], target, best[1], tried, exhaustive)
 
 
@@ -296,7 +349,9 @@ def _candidates(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy,
         rows = known.join(place.withColumnRenamed("p", "parent_id"), ["document_id", "parent_id"]).where("member <> node_id")
         return rows.select(*keys, "member", F.row_number().over(by_order).alias("rank"))
     if policy.mode == "subtree":
-        down = ancestors(tree_rows).select("document_id", F.col("ancestor_id").alias("node_id"), F.col("node_id").alias("member"))
+        # Only documents with hits are unfolded.
+        asked = tree_rows.join(hits.select("document_id").distinct(), "document_id", "left_semi")
+        down = asked.select("document_id", F.col("node_id").alias("member"), F.explode(F.transform(F.slice("chain", 2, F.size("chain")), lambda x: x["id"])).alias("node_id"))
         rows = hits.join(down, ID).join(place, ["document_id", "member"])
         return rows.select(*keys, "member", F.row_number().over(by_order).alias("rank"))
     if policy.mode == "reference_edges" and reference_rows is not None:
@@ -306,7 +361,7 @@ def _candidates(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy,
     return hits.select(*keys, F.lit(None).cast("string").alias("member"), F.lit(0).alias("rank")).limit(0)
 
 
-_HIT = "query_id string, document_id string, unit_id string, score double, reason string, member_ids array<string>, absorbed_ids array<string>, added_tokens int"
+_HIT = "query_id string, document_id string, unit_id string, hit_id string, score double, reason string, member_ids array<string>, absorbed_ids array<string>, added_tokens int, token_count int"
 
 
 def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None = None, reference_rows: DataFrame | None = None) -> DataFrame:
@@ -316,7 +371,8 @@ def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None
     budget of added tokens; what doesn't fit is returned bare.  Auto-merge puts a parent in the place of enough of its
     children; with ``dedupe`` off every hit comes bare.  Ancestors read outermost first and the nearest are kept when the
     budget is short.  Candidates beyond the budget of a hit are cut off before they are gathered, so a group holds no more
-    than its hits and what they may add.
+    than its hits and what they may add.  Units have ``hit_id`` (the hit they came from), ``text, breadcrumb, token_count,
+    pages`` and ``page_no``.
     """
     policy = policy or ExpansionPolicy()
     known = hits.groupBy("query_id", *ID).agg(F.max("score").alias("score")).join(tree_rows.select(*ID), ID)
@@ -357,7 +413,7 @@ def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None
         query, document = group["query_id"].iloc[0], group["document_id"].iloc[0]
         for node in sorted(info, key=lambda x: (-info[x][3], x)):
             seq, words, chars, score = info[node]
-            bare = (query, document, node, score, "hit", [node], [], 0)
+            bare = (query, document, node, node, score, "hit", [node], [], 0, cost([(words, chars)]))
             if mode == "auto_merge":
                 host = extra[node][0] if node in extra and policy.dedupe else None
                 if host is None:
@@ -379,7 +435,7 @@ def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None
                 done.add(host[0])
                 budget -= added
                 members = sorted([(host[1], host[0]), *[(info[x][0], x) for x in taken]])
-                out.append((query, document, host[0], max(info[x][3] for x in children), "auto_merge", [m for _, m in members], [c for c in children if c != node], added))
+                out.append((query, document, host[0], node, max(info[x][3] for x in children), "auto_merge", [m for _, m in members], [c for c in children if c != node], added, base + added))
                 continue
             base, taken, added = cost([(words, chars)]), [], 0
             for item in extra.get(node, []):
@@ -395,7 +451,9 @@ def expand(hits: DataFrame, tree_rows: DataFrame, policy: ExpansionPolicy | None
                 members = [x[0] for x in reversed(taken)] + [node]
             else:
                 members = [m for _, m in sorted([(seq, node), *[(x[1], x[0]) for x in taken]])]
-            out.append((query, document, node, score, mode, members, [], added))
-        return pd.DataFrame(out, columns=["query_id", "document_id", "unit_id", "score", "reason", "member_ids", "absorbed_ids", "added_tokens"])
+            out.append((query, document, node, node, score, mode, members, [], added, base + added))
+        return pd.DataFrame(out, columns=["query_id", "document_id", "unit_id", "hit_id", "score", "reason", "member_ids", "absorbed_ids", "added_tokens", "token_count"])
 
-    return rows.groupBy("query_id", "document_id").applyInPandas(serve, _HIT)
+    served = rows.groupBy("query_id", "document_id").applyInPandas(serve, _HIT)
+    above = tree_rows.select("document_id", F.col("node_id").alias("unit_id"), crumbs(F.col("chain")).alias("crumb_ids"))
+    return with_texts(served.join(above, ["document_id", "unit_id"]), tree_rows, policy.separator)

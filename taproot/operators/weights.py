@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from taproot.functions import linguistic as ling
 from taproot.functions.text import cosine, stems, tokens
 from taproot.operators.graph import STRUCTURAL_WEIGHTS, SUPPLY_PRIORS, contexts, is_heading, lookup, supply_relation
-from taproot.plans.lineage import cut
+from taproot.plans.lineage import cut, stored
 
 KEY = ["document_id", "parent_id", "child_id"]
 
@@ -42,12 +43,11 @@ def bm25(node_rows: DataFrame, edge_rows: DataFrame, *, k1: float = 1.5, b: floa
     lengths = words.select("document_id", "node_id", F.size("t").alias("len"))
     tf = words.select("document_id", "node_id", F.explode("t").alias("term")).groupBy("document_id", "node_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, ["document_id", "term"])
 
     def directed(query: str, target: str) -> DataFrame:
-        pairs = edge_rows.select(*KEY).join(weighted.select("document_id", F.col("node_id").alias(query), "term"), ["document_id", query])
-        hit = weighted.select("document_id", F.col("node_id").alias(target), "term", "tf", "df")
-        rows = pairs.join(hit, ["document_id", target, "term"]).join(lengths.select("document_id", F.col("node_id").alias(target), "len"), ["document_id", target]).join(stats, "document_id")
+        asked = edge_rows.select(*KEY).join(tf.select("document_id", F.col("node_id").alias(query), "term"), ["document_id", query])
+        hit = asked.join(tf.select("document_id", F.col("node_id").alias(target), "term", "tf"), ["document_id", target, "term"]).join(df, ["document_id", "term"])
+        rows = hit.join(lengths.select("document_id", F.col("node_id").alias(target), "len"), ["document_id", target]).join(stats, "document_id")
         norm = k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
         part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
         return rows.groupBy(*KEY).agg(F.greatest(F.lit(0.0), F.sum(part)).alias("score"))
@@ -58,9 +58,9 @@ def bm25(node_rows: DataFrame, edge_rows: DataFrame, *, k1: float = 1.5, b: floa
         both = score.join(back, KEY, "full").na.fill(0.0, ["score", "back"])
         joined = (F.col("score") + F.col("back")) / 2 if scoring == "symmetric_mean" else F.greatest("score", "back")
         score = both.select(*KEY, joined.alias("score"))
-    rows = edge_rows.select(*KEY).join(score, KEY, "left").na.fill(0.0, ["score"])
-    top = F.max("score").over(Window.partitionBy("document_id"))
-    return rows.select(*KEY, F.when(top > 0, F.col("score") / top).otherwise(0.0).alias("weight"))
+    top = score.groupBy("document_id").agg(F.max("score").alias("top"))
+    rows = edge_rows.select(*KEY).join(score.join(top, "document_id"), KEY, "left")
+    return rows.select(*KEY, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("weight"))
 
 
 def semantic(edge_rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def pointers(node_rows: DataFrame) -> DataFrame:
     return node_rows.select("document_id", "node_id", F.pandas_udf(_pointers, _POINTERS)("text").alias("pointers"))
 
 
-def reference_need(node_rows: DataFrame, default: float = 0.0) -> DataFrame:
-    """Share of a node's pointers that it can't resolve by itself."""
+def reference_need(node_rows: DataFrame, default: float = 0.0, pointed: DataFrame | None = None) -> DataFrame:
+    """Share of a node's pointers (``pointed``, if they are at hand) that it can't resolve by itself."""
     n = F.size("pointers")
     open_ = F.size(F.filter("pointers", lambda p: ~p["resolved"]))
-    return pointers(node_rows).select("document_id", "node_id", F.when(n > 0, open_ / n).otherwise(default).alias("need"))
+    return (pointers(node_rows) if pointed is None else pointed).select("document_id", "node_id", F.when(n > 0, open_ / n).otherwise(default).alias("need"))
 
 
 # Weights of the signs that a unit isn't a sentence of its own.
@@ -131,8 +131,48 @@ def surprisal_need(edge_rows: DataFrame, control_rows: DataFrame, scorer: Callab
     rows = rows.select(*KEY, F.when(F.trim("c_text") == "", 0.0).otherwise(gain).alias("gain"))
     if mode == "tanh":
         return rows.select(*KEY, F.greatest(F.lit(0.0), F.tanh(F.col("gain") / (2 * scale))).alias("need"))
-    top = F.max("gain").over(Window.partitionBy("document_id"))
-    return rows.select(*KEY, F.when(top > 0, F.greatest(F.lit(0.0), F.col("gain") / top)).otherwise(0.0).alias("need"))
+    top = rows.groupBy("document_id").agg(F.max("gain").alias("top"))
+    return rows.join(top, "document_id").select(*KEY, F.when(F.col("top") > 0, F.greatest(F.lit(0.0), F.col("gain") / F.col("top"))).otherwise(0.0).alias("need"))
+
+
+@dataclass(frozen=True)
+class NeedConfig:
+    """How need is estimated: uniform, reference_density, syntactic, surprisal, or a blend of them by ``blend_weights``."""
+
+    estimator: str = "reference_density"
+    blend_weights: tuple[tuple[str, float], ...] = (("reference_density", 0.5), ("syntactic", 0.5))
+
+
+def need(node_rows: DataFrame, edge_rows: DataFrame, config: NeedConfig | None = None, *, scorer: Callable[[Column, Column], Column] | None = None, control_rows: DataFrame | None = None, pointed: DataFrame | None = None) -> DataFrame:
+    """Need of every edge, between 0 and 1, by the configured estimator.
+
+    An edge whose child has no text on record needs nothing.  Surprisal takes a ``scorer`` and ``control_rows``.
+    """
+    config = config or NeedConfig()
+    edge_keys = edge_rows.select(*KEY)
+    if config.estimator == "uniform":
+        return edge_keys.withColumn("need", F.lit(1.0))
+    if config.estimator == "reference_density":
+        own = reference_need(node_rows, pointed=pointed).select("document_id", F.col("node_id").alias("child_id"), "need")
+        return edge_keys.join(own, ["document_id", "child_id"], "left").select(*KEY, F.coalesce("need", F.lit(0.0)).alias("need"))
+    if config.estimator == "syntactic":
+        return syntactic_need(contexts(node_rows, edge_rows))
+    if config.estimator == "surprisal":
+        if scorer is None or control_rows is None:
+            raise ValueError("surprisal takes a scorer and control rows")
+        return surprisal_need(contexts(node_rows, edge_rows), control_rows, scorer)
+    if config.estimator != "blend":
+        raise ValueError(f"unknown estimator {config.estimator!r}")
+    weights = {name: w for name, w in config.blend_weights if w > 0}
+    if not weights:
+        raise ValueError("a blend takes at least one positive weight")
+    if unknown := set(weights) - {"uniform", "reference_density", "syntactic", "surprisal"}:
+        raise ValueError(f"unknown estimators {sorted(unknown)}")
+    total, out = sum(weights.values()), edge_keys.withColumn("need", F.lit(0.0))
+    for name, w in weights.items():
+        part = need(node_rows, edge_rows, NeedConfig(name), scorer=scorer, control_rows=control_rows, pointed=pointed).withColumnRenamed("need", "x")
+        out = out.join(part, KEY, "left").select(*KEY, (F.col("need") + w / total * F.coalesce("x", F.lit(0.0))).alias("need"))
+    return out
 
 
 # --- supply ----------------------------------------------------------------
@@ -147,12 +187,12 @@ def _resolved_in(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series(out)
 
 
-def coverage(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame | None = None, default: float = 0.0, prose_only: bool = True) -> DataFrame:
+def coverage(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame | None = None, default: float = 0.0, prose_only: bool = True, pointed: DataFrame | None = None) -> DataFrame:
     """Share (by idf) of the child's open pointers that the parent resolves; ``support`` is how many there are.
 
     An edge below a heading isn't measured if ``prose_only``; it and a child without open pointers get the default.
     """
-    asked = pointers(node_rows).select("document_id", F.col("node_id").alias("child_id"), F.filter("pointers", lambda p: ~p["resolved"]).alias("asked"))
+    asked = (pointers(node_rows) if pointed is None else pointed).select("document_id", F.col("node_id").alias("child_id"), F.filter("pointers", lambda p: ~p["resolved"]).alias("asked"))
     if idf_rows is not None:
         # Weights come by a join: the table of terms grows with the corpus, so it isn't broadcast.
         top = idf_rows.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("most"))
@@ -173,14 +213,22 @@ def coverage(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame | N
 
 
 def complementarity(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, top_k: int = 8, min_idf: float = 0.0) -> DataFrame:
-    """What is new in the parent (its ``top_k`` rarest terms) against what the child says, in idf."""
+    """What is new in the parent (its ``top_k`` rarest terms) against what the child says, in idf.
+
+    A term that ``idf_rows`` don't know counts like the rarest, as 1 if they are empty.
+    """
+    rarest = F.broadcast(idf_rows.agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("rarest")))
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return rows.join(idf_rows, "term", "left").crossJoin(rarest).withColumn("idf", F.coalesce("idf", "rarest"))
+
     terms = node_rows.select("document_id", "node_id", F.array_distinct(stems(F.col("text"))).alias("t"))
     p = terms.select("document_id", F.col("node_id").alias("parent_id"), F.col("t").alias("pt"))
     c = terms.select("document_id", F.col("node_id").alias("child_id"), F.col("t").alias("ct"))
     pairs = edge_rows.select(*KEY).join(p, ["document_id", "parent_id"]).join(c, ["document_id", "child_id"])
-    new = pairs.select(*KEY, F.explode(F.array_except("pt", "ct")).alias("term")).join(idf_rows, "term").where(F.col("idf") >= min_idf)
+    new = pairs.select(*KEY, F.explode(F.array_except("pt", "ct")).alias("term")).transform(weighed).where(F.col("idf") >= min_idf)
     novel = new.groupBy(*KEY).agg(F.slice(F.sort_array(F.collect_list("idf"), False), 1, top_k).alias("w")).select(*KEY, F.aggregate("w", F.lit(0.0), lambda s, x: s + x).alias("novel"))
-    mass = terms.select("document_id", F.col("node_id").alias("child_id"), F.explode("t").alias("term")).join(idf_rows, "term").groupBy("document_id", "child_id").agg(F.sum("idf").alias("mass"))
+    mass = terms.select("document_id", F.col("node_id").alias("child_id"), F.explode("t").alias("term")).transform(weighed).groupBy("document_id", "child_id").agg(F.sum("idf").alias("mass"))
     rows = edge_rows.select(*KEY).join(novel, KEY, "left").join(mass, ["document_id", "child_id"], "left").na.fill(0.0, ["novel", "mass"])
     return rows.select(*KEY, F.when(F.col("novel") + F.col("mass") > 0, F.col("novel") / (F.col("novel") + F.col("mass"))).otherwise(0.0).alias("complementarity"))
 
@@ -189,9 +237,9 @@ def priors(context: DataFrame) -> DataFrame:
     return context.select(*KEY, lookup(supply_relation(context), SUPPLY_PRIORS, 0.0).alias("prior"))
 
 
-def supply(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, combine: str = "max", floor: str = "prior") -> DataFrame:
+def supply(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, combine: str = "max", floor: str = "prior", pointed: DataFrame | None = None) -> DataFrame:
     """All components of supply: coverage, complementarity, prior, measured, supply and floor_bound."""
-    rows = coverage(node_rows, edge_rows, idf_rows).join(complementarity(node_rows, edge_rows, idf_rows), KEY).join(priors(contexts(node_rows, edge_rows)), KEY)
+    rows = coverage(node_rows, edge_rows, idf_rows, pointed=pointed).join(complementarity(node_rows, edge_rows, idf_rows), KEY).join(priors(contexts(node_rows, edge_rows)), KEY)
     measured = F.greatest("coverage", "complementarity") if combine == "max" else (F.col("coverage") + F.col("complementarity")) / 2
     value = F.greatest("measured", "prior") if floor == "prior" else F.col("measured")
     bound = (F.col("prior") > F.col("measured")) if floor == "prior" else F.lit(False)
@@ -246,22 +294,25 @@ def recentred(scores: Callable[[DataFrame], DataFrame], edge_rows: DataFrame, co
 HALF_LENGTH = 20
 
 
-def evidence(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame) -> DataFrame:
-    """Evidence for merging: 0.5 x (1 + need x supply - (1 - need) x confidence), with its terms."""
-    context = contexts(node_rows, edge_rows)
-    n = F.size(F.regexp_extract_all("c_text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    sure = F.when(F.col("c_kind").isin("image", "table"), 0.0).otherwise(n / (n + HALF_LENGTH))
-    need = reference_need(node_rows).select("document_id", F.col("node_id").alias("child_id"), "need")
-    measured = supply(node_rows, edge_rows, idf_rows, floor="none").select(*KEY, "supply")
-    rows = context.select(*KEY, sure.alias("confidence")).join(need, ["document_id", "child_id"]).join(measured, KEY)
+def evidence(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, config: NeedConfig | None = None, **extra) -> DataFrame:
+    """Evidence for merging: 0.5 x (1 + need x supply - (1 - need) x confidence), with its terms.
+
+    What points at something is worked out once for need and supply.
+    """
+    pointed = stored(pointers(node_rows))
+    kinds = node_rows.select("document_id", F.col("node_id").alias("child_id"), F.when(F.col("kind").isin("image", "table"), 0).otherwise(F.size(tokens(F.col("text")))).alias("n"))
+    confidence = (F.col("n") / (F.col("n") + HALF_LENGTH)).alias("confidence")
+    measured = supply(node_rows, edge_rows, idf_rows, floor="none", pointed=pointed).select(*KEY, "supply")
+    rows = measured.join(need(node_rows, edge_rows, config, pointed=pointed, **extra), KEY).join(kinds, ["document_id", "child_id"]).select(*KEY, "need", "supply", confidence)
     weight = 0.5 * (1 + F.col("need") * F.col("supply") - (1 - F.col("need")) * F.col("confidence"))
     return rows.select(*KEY, "need", "supply", "confidence", weight.alias("weight"))
 
 
-def product(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame) -> DataFrame:
+def product(node_rows: DataFrame, edge_rows: DataFrame, idf_rows: DataFrame, config: NeedConfig | None = None, **extra) -> DataFrame:
     """need x supply, supply floored at the prior of the relation."""
-    need = reference_need(node_rows).select("document_id", F.col("node_id").alias("child_id"), "need")
-    return supply(node_rows, edge_rows, idf_rows).join(need, ["document_id", "child_id"]).select(*KEY, (F.col("need") * F.col("supply")).alias("weight"))
+    pointed = stored(pointers(node_rows))
+    wanted = need(node_rows, edge_rows, config, pointed=pointed, **extra)
+    return supply(node_rows, edge_rows, idf_rows, pointed=pointed).join(wanted, KEY).select(*KEY, (F.col("need") * F.col("supply")).alias("weight"))
 
 
 def combine(own: DataFrame, metric: DataFrame, how: str = "replace") -> DataFrame:
@@ -271,12 +322,63 @@ def combine(own: DataFrame, metric: DataFrame, how: str = "replace") -> DataFram
     return rows.select(*KEY, F.coalesce(value, F.col("a")).alias("weight"))
 
 
-Metric = Callable[[DataFrame, DataFrame], DataFrame]
+@dataclass(frozen=True)
+class WeightConfig:
+    """What edges are weighed by.
+
+    ``backend`` of similarity is bm25, embedding or blend (``alpha`` is the share of embeddings); ``composition`` of need and
+    supply is evidence or product; ``combination`` with the own weights is replace, multiply or mean.
+    """
+
+    metric: str = "structural"
+    backend: str = "bm25"
+    alpha: float = 0.5
+    k1: float = 1.5
+    b: float = 0.75
+    scoring: str = "child_query"
+    need: NeedConfig = NeedConfig()
+    composition: str = "evidence"
+    combination: str = "replace"
+
+    def __post_init__(self) -> None:
+        if self.backend not in ("bm25", "embedding", "blend") or self.composition not in ("evidence", "product") or self.combination not in ("replace", "multiply", "mean"):
+            raise ValueError("unknown backend, composition or combination")
+        if not 0 <= self.alpha <= 1:
+            raise ValueError("alpha must lie between 0 and 1")
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What metrics may need besides the graph: vectors of the nodes, idf of a corpus, a scorer and controls of surprisal."""
+
+    vectors: DataFrame | None = None
+    idf_rows: DataFrame | None = None
+    scorer: Callable[[Column, Column], Column] | None = None
+    control_rows: DataFrame | None = None
+
+
+def similarity(node_rows: DataFrame, edge_rows: DataFrame, config: WeightConfig, inputs: Inputs) -> DataFrame:
+    """Similarity of the ends' texts by the configured backend."""
+    if config.backend != "bm25" and inputs.vectors is None:
+        raise ValueError("embeddings take vectors")
+    if config.backend == "embedding":
+        return semantic(edge_rows, inputs.vectors)
+    lexical = bm25(node_rows, edge_rows, k1=config.k1, b=config.b, scoring=config.scoring)
+    return lexical if config.backend == "bm25" else blend(semantic(edge_rows, inputs.vectors), lexical, config.alpha)
+
+
+def need_supply(node_rows: DataFrame, edge_rows: DataFrame, config: WeightConfig, inputs: Inputs) -> DataFrame:
+    terms = idf(node_rows) if inputs.idf_rows is None else inputs.idf_rows
+    composed = evidence if config.composition == "evidence" else product
+    return composed(node_rows, edge_rows, terms, config.need, scorer=inputs.scorer, control_rows=inputs.control_rows).select(*KEY, "weight")
+
+
+Metric = Callable[[DataFrame, DataFrame, WeightConfig, Inputs], DataFrame]
 _metrics: dict[str, Metric] = {}
 
 
 def register(name: str, metric: Metric) -> None:
-    """Add a metric: a function of nodes and edges that gives the key and ``weight``."""
+    """Add a metric: a function of nodes, edges, configuration and inputs that gives the key and ``weight``."""
     _metrics[name] = metric
 
 
@@ -284,15 +386,38 @@ def available() -> list[str]:
     return sorted(_metrics)
 
 
-def compute(name: str, node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    if name not in _metrics:
-        raise ValueError(f"unknown metric {name!r}; there are {', '.join(available())}")
-    return _metrics[name](node_rows, edge_rows)
+def compute(config: WeightConfig | str, node_rows: DataFrame, edge_rows: DataFrame, inputs: Inputs | None = None) -> DataFrame:
+    """Weights of a metric, named or configured, before they are combined with the own ones."""
+    config = WeightConfig(config) if isinstance(config, str) else config
+    if config.metric not in _metrics:
+        raise ValueError(f"unknown metric {config.metric!r}; there are {', '.join(available())}")
+    return _metrics[config.metric](node_rows, edge_rows, config, inputs or Inputs())
+
+
+def reweigh(config: WeightConfig, node_rows: DataFrame, edge_rows: DataFrame, inputs: Inputs | None = None) -> DataFrame:
+    """Edges with new weights.  Tree and reference edges are weighed in one pass, so that they share one scale.
+
+    Edges that don't say how they came about can't be weighed anew.
+    """
+    if edge_rows.where("relation is null").limit(1).count():
+        raise ValueError("there are edges without a relation")
+    own = structural(edge_rows)
+    if config.metric == "structural" and config.combination == "replace":
+        new = own
+    else:
+        new = combine(own, compute(config, node_rows, edge_rows, inputs), config.combination)
+    return edge_rows.drop("weight").join(new, KEY).select(*edge_rows.columns)
+
+
+def metric_grid() -> dict[str, WeightConfig]:
+    """The configurations that reports compare: one for each metric and way to estimate need."""
+    ns = {name: WeightConfig("need_supply", need=NeedConfig(name)) for name in ("reference_density", "syntactic", "blend")}
+    plain = {name: WeightConfig(name) for name in ("uniform", "structural", "similarity", "inverted_similarity")}
+    return plain | {f"ns/{name}": c for name, c in ns.items()} | {"ns/blend/product": WeightConfig("need_supply", need=NeedConfig("blend"), composition="product")}
 
 
-register("structural", lambda n, e: structural(e))
-register("uniform", lambda n, e: uniform(e))
-register("bm25", lambda n, e: bm25(n, e))
-register("inverted_bm25", lambda n, e: inverted(bm25(n, e)))
-register("evidence", lambda n, e: evidence(n, e, idf(n)).select(*KEY, "weight"))
-register("product", lambda n, e: product(n, e, idf(n)))
+register("structural", lambda n, e, c, i: structural(e))
+register("uniform", lambda n, e, c, i: uniform(e))
+register("similarity", similarity)
+register("inverted_similarity", lambda n, e, c, i: inverted(similarity(n, e, c, i)))
+register("need_supply", need_supply)

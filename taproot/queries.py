@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taproot.functions.ids import snippet_id
-from taproot.functions.text import cosine, n_chars, n_words, token_count
-from taproot.operators import chunks, graph, layout, levels, reports, retrieval, weights
+from taproot.functions.text import cosine, n_chars, n_words, strip, token_count
+from taproot.operators import chunks, construct, graph, layout, levels, metadata, reports, retrieval, weights
 from taproot.sources import graphs
 from taproot.operators.current import current_rows, newest
 from taproot.operators.hierarchy import descendants, hierarchy, looped_descendants
+from taproot.plans.lineage import stored
 from taproot.sources.tables import table
 
 
@@ -40,37 +41,6 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return descendants(tree).unionByName(looped_descendants(tree)).select(F.col("group").alias("document_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("snippet_id"), "distance")
 
 
-_FOREST = r"""
-WITH RECURSIVE newest AS (
-  SELECT document_id, snippet_id, nullif(regexp_replace(max_by(coalesce(parent_id, ''), extracted_at), '^\s+|\s+$', '', 'g'), '') AS parent_id
-  FROM snippet_nodes GROUP BY 1, 2),
-forest AS (
-  SELECT a.document_id, a.snippet_id, b.snippet_id AS parent_id
-  FROM newest a LEFT JOIN newest b ON a.document_id = b.document_id AND a.parent_id = b.snippet_id),
-down AS (
-  SELECT document_id, snippet_id, snippet_id AS root_id, 0 AS depth, [snippet_id] AS path FROM forest WHERE parent_id IS NULL
-  UNION ALL
-  SELECT f.document_id, f.snippet_id, d.root_id, d.depth + 1, list_append(d.path, f.snippet_id)
-  FROM forest f JOIN down d ON f.document_id = d.document_id AND f.parent_id = d.snippet_id),
-lost AS (SELECT f.* FROM forest f ANTI JOIN down d ON f.document_id = d.document_id AND f.snippet_id = d.snippet_id),
-way AS (
-  SELECT document_id, snippet_id, parent_id AS stop FROM lost
-  UNION
-  SELECT w.document_id, w.snippet_id, l.parent_id FROM way w JOIN lost l ON w.document_id = l.document_id AND w.stop = l.snippet_id),
-ring AS (SELECT document_id, snippet_id FROM way WHERE snippet_id = stop),
-cycles AS (
-  SELECT w.document_id, w.snippet_id, min(w.stop) AS cycle_id
-  FROM way w JOIN ring r ON w.document_id = r.document_id AND w.stop = r.snippet_id GROUP BY 1, 2)
-"""
-_P2_SIZES = """,
-lost_sizes AS (
-  SELECT w.document_id, w.stop AS snippet_id, count(*) + 1 AS subtree FROM way w
-  ANTI JOIN ring r ON w.document_id = r.document_id AND w.stop = r.snippet_id GROUP BY 1, 2),
-sizes AS (SELECT document_id, unnest(path) AS snippet_id FROM down),
-subtree AS (SELECT document_id, snippet_id, count(*) AS subtree FROM sizes GROUP BY 1, 2)
-"""
-
-
 # --- graphs -------------------------------------------------------------------
 
 
@@ -112,8 +82,14 @@ def supply_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolved_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents by level alone."""
     items = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "level"])
-    return graph.resolve_parents(items.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), "level"))
+    return construct.parents(items.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), "level"))
+
+
+def ruled_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents by all rules: groups, given parents, levels and regions."""
+    return construct.parents(_items(spark, folder))
 
 
 def document_roots(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,7 +97,8 @@ def document_roots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def media_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.mentions(_nodes(spark, folder))
+    rows = _nodes(spark, folder).select("document_id", "node_id", F.explode(construct.named_media(F.col("text"))).alias("m"))
+    return rows.select("document_id", "node_id", "m.base", "m.number")
 
 
 def component_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +106,92 @@ def component_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.connect(n, e, graph.root_ids(n, table(spark, folder, "documents_meta")))
 
 
+# --- parsed items ---------------------------------------------------------------
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """Current texts as parsed items: lists are groups under what the delivered parent names, figure texts hang from a
+    picture of their page, boxes count from the bottom left."""
+    items, _ = _boxed(spark, folder)
+    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["level", "level_label", "is_grouped", "parent_id", "region"])
+    rows = rows.select("document_id", F.col("snippet_id").alias("node_id"), "level", "level_label", F.coalesce("is_grouped", F.lit(False)).alias("grouped"), F.coalesce("region", F.lit("body")).alias("region"), strip(F.coalesce("parent_id", F.lit(""))).alias("up"))
+    rows = items.drop("parent_ref").join(rows, ["document_id", "node_id"])
+    ref = F.when(F.col("grouped"), F.concat(F.lit("#/groups/"), "up")).when(F.col("region") == "figure", F.concat(F.lit("#/pictures/"), F.col("page_no").cast("string"))).otherwise(F.lit("#/body"))
+    return rows.withColumn("parent_ref", ref).drop("up").withColumnRenamed("ord", "seq").withColumns({"block": F.lit(0), "column": F.lit(0)})
+
+
+def _media(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pictures that figure texts stand in, and the texts with a caption below each, which the test data lack.
+
+    A caption has the number of its page, so that texts name some of them.
+    """
+    figures = items.where("region = 'figure' and page_no is not null")
+    pictures = figures.groupBy("document_id", "page_no").agg(F.min("l").alias("l"), F.max("t").alias("t"), F.max("r").alias("r"), F.min("b").alias("b"), F.max("seq").cast("int").alias("seq"))
+    pictures = pictures.select("document_id", F.concat(F.lit("#/pictures/"), F.col("page_no").cast("string")).alias("node_id"), F.lit("image").alias("kind"), "seq", "page_no", "l", "t", "r", "b", F.lit(0).alias("block"), F.lit(0).alias("column"), F.lit(None).cast("string").alias("content"))
+    notes = pictures.select(
+        "document_id", F.concat(F.lit("#/captions/"), F.col("page_no").cast("string")).alias("node_id"), "seq", "page_no", F.lit("caption").alias("label"), F.concat(F.lit("Fig. "), F.col("page_no").cast("string")).alias("text"),
+        "l", (F.col("b") - 10).alias("t"), "r", (F.col("b") - 20).alias("b"), F.lit(1000).alias("level"), F.lit("Body").alias("level_label"), F.lit(False).alias("grouped"), F.lit("figure").alias("region"),
+        F.col("node_id").alias("parent_ref"), "block", "column",
+    )
+    return pictures, items.unionByName(notes)
+
+
+def _graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    pictures, texts = _media(_items(spark, folder))
+    meta = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest("title", "ingested_at").alias("title"))
+    return construct.build(texts, pictures, meta)
+
+
+def _parented(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    pictures, texts = _media(stored(_items(spark, folder)))
+    return stored(pictures), stored(texts.join(construct.parents(texts), ["document_id", "node_id"]))
+
+
+def media_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions found by where they stand."""
+    pictures, texts = _media(_items(spark, folder))
+    return construct.captions(pictures, texts).select("document_id", "media_id", "node_id", "text")
+
+
+def media_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents and levels of media, by their first mention or the heading before them."""
+    pictures, texts = _parented(spark, folder)
+    placed, _ = construct.place_media(pictures, texts, construct.captions(pictures, texts))
+    return placed.select("document_id", "node_id", "parent_id", "level", "level_label")
+
+
+def media_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of media with the labels printed in them."""
+    pictures, texts = _parented(spark, folder)
+    return construct.absorb(pictures, texts, construct.captions(pictures, texts))[0].select("document_id", "node_id", "caption", "text")
+
+
+def built_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many nodes of each kind and label the graphs of all documents have."""
+    return _graph(spark, folder)["nodes"].groupBy("document_id", "kind", "level_label").agg(F.count("*").alias("n"))
+
+
+def built_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The trees of all documents."""
+    return _rounded(_graph(spark, folder)["edges"], "weight")
+
+
+def reference_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _graph(spark, folder)["references"]
+
+
+def document_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles by the height of print on the first page."""
+    items = _items(spark, folder).join(_typed(spark, folder).select("document_id", "node_id", "line_heights"), ["document_id", "node_id"])
+    return metadata.titles(items.withColumnRenamed("seq", "ord"), title_page=1)
+
+
+def document_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What stands under headings that name therapy and control."""
+    items = _items(spark, folder).withColumnRenamed("seq", "ord")
+    return metadata.fields(items, {"therapy": ("treat", 1, 2), "control": ("monitor", 1, 3), "none": ("xyzzy", 1, 9)})
+
+
 # --- weights ------------------------------------------------------------------
 
 
@@ -191,7 +254,8 @@ def evidence_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def product_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(weights.compute("product", *_both(spark, folder)), "weight")
+    config = weights.WeightConfig("need_supply", composition="product")
+    return _rounded(weights.compute(config, *_both(spark, folder)), "weight")
 
 
 def combined_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,6 +263,35 @@ def combined_weights(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(weights.combine(e, weights.bm25(n, e), "mean"), "weight")
 
 
+def blended_needs(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.need(*_both(spark, folder), weights.NeedConfig("blend")), "need")
+
+
+def inverted_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(weights.compute("inverted_similarity", *_both(spark, folder)), "weight")
+
+
+def reweighed_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of saved graphs weighed anew: structural weight times similarity."""
+    return _rounded(weights.reweigh(weights.WeightConfig("similarity", combination="multiply"), *_both(spark, folder)), "weight")
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """A vector for each node: the embedding whose vec_id is its sequence number."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    return _nodes(spark, folder).select("document_id", "node_id", F.col("seq").cast("long").alias("seq")).join(vectors, "seq").select("document_id", "node_id", "vector")
+
+
+def semantic_weights(spark: SparkSession, folder: str) -> DataFrame:
+    rows = weights.compute(weights.WeightConfig("similarity", backend="embedding"), *_both(spark, folder), weights.Inputs(vectors=_vectors(spark, folder)))
+    return rows.withColumn("weight", F.round("weight", 5))
+
+
+def blended_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = weights.compute(weights.WeightConfig("similarity", backend="blend", alpha=0.25), *_both(spark, folder), weights.Inputs(vectors=_vectors(spark, folder)))
+    return rows.withColumn("weight", F.round("weight", 5))
+
+
 # --- retrieval ----------------------------------------------------------------
 
 
@@ -218,7 +311,7 @@ def tree_ancestors(spark: SparkSession, folder: str) -> DataFrame:
 def _merged(strategy: str, **settings):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         units = retrieval.merge_units(_tree(spark, folder), retrieval.MergePolicy(strategy=strategy, **settings))
-        return units.select("document_id", "unit_id", "text", F.array_join("member_ids", ",").alias("members"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), "token_count")
+        return units.select("document_id", "unit_id", "text", F.array_join("member_ids", ",").alias("members"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), "token_count", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), F.size("merged").alias("links"))
 
     query.__name__ = f"merge_{strategy}"
     return query
@@ -245,9 +338,10 @@ def _expanded(mode: str):
         asked = {"insulin": ["insulin", "insulintherapie", "insuline"], "control": ["control", "kontrolle", "contrôle"]}
         hit = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.size(F.array_intersect("w", F.array(*map(F.lit, terms)))).alias("n")) for q, terms in asked.items()])).alias("h")
         hits = words.select("document_id", "node_id", F.size("w").alias("size"), hit).where("h.n > 0").select(F.col("h.q").alias("query_id"), "document_id", "node_id", F.round(F.col("h.n") / F.col("size"), 6).alias("score"))
+        # The saved edges have no references; those that make lists stand in for them.
         references = e.where("relation = 'list_item'")
         got = retrieval.expand(hits, retrieval.tree(n, e), retrieval.ExpansionPolicy(mode=mode), references)
-        return got.select("query_id", "document_id", "unit_id", "score", "reason", F.array_join("member_ids", ",").alias("members"), F.array_join("absorbed_ids", ",").alias("absorbed"), "added_tokens")
+        return got.select("query_id", "document_id", "unit_id", "score", "reason", F.array_join("member_ids", ",").alias("members"), F.array_join("absorbed_ids", ",").alias("absorbed"), "added_tokens", "token_count", "text", F.array_join("breadcrumb", " > ").alias("breadcrumb"))
 
     query.__name__ = f"expand_{mode}"
     return query
@@ -265,7 +359,7 @@ def graph_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.checks(_tree(spark, folder))
+    return reports.checks(_tree(spark, folder), _edges(spark, folder))
 
 
 def metric_agreement(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,6 +367,44 @@ def metric_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return reports.agreement({"structural": weights.structural(e), "bm25": weights.bm25(n, e)})
 
 
+def metric_spread(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.spread({"structural": weights.structural(e), "bm25": weights.bm25(n, e), "uniform": weights.uniform(e)})
+
+
+def document_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.document_languages(_nodes(spark, folder))
+
+
+def relation_mix_by_language(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.relation_mix_by_language(n, e, reports.document_languages(n))
+
+
+def prior_report(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.prior_report(n, e, weights.idf(n))
+
+
+def evidence_report(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.evidence_report(n, e, weights.idf(n))
+
+
+def merge_costs(spark: SparkSession, folder: str) -> DataFrame:
+    """What each metric costs when its threshold is set to the middle between nothing and everything merged."""
+    n, e = _both(spark, folder)
+    return reports.merge_costs(n, e, {"uniform": weights.uniform(e), "structural": weights.structural(e), "bm25": weights.bm25(n, e)})
+
+
+def graph_outline(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.outline(_tree(spark, folder))
+
+
+def repeated_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.repeated_texts(_nodes(spark, folder))
+
+
 def chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return reports.chunk_sizes(table(spark, folder, "chunks"))
 
@@ -303,14 +435,22 @@ def _boxed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return items, pages
 
 
+def _shapes(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """Drawn shapes, which the test data lack: a rule above and below each title, a box around each text of a sidebar."""
+    titles = items.where("label = 'title'")
+    rules = [titles.select("document_id", "page_no", F.lit(0.0).alias("l"), y.alias("t"), F.lit(2000.0).alias("r"), y.alias("b")) for y in (F.col("t") + 1, F.col("b"))]
+    boxes = items.join(regions.where("region = 'sidebar'"), ["document_id", "node_id"]).select("document_id", "page_no", (F.col("l") - 1).alias("l"), (F.col("t") + 12).alias("t"), (F.col("r") + 1).alias("r"), (F.col("b") - 12).alias("b"))
+    return rules[0].unionByName(rules[1]).unionByName(boxes)
+
+
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
     items, pages = _boxed(spark, folder)
-    shapes = items.where("label = 'title'").select("document_id", "page_no", F.lit(0.0).alias("l"), F.col("b").alias("t"), F.lit(2000.0).alias("r"), F.col("b").alias("b"))
-    return layout.placed(items, pages, shapes)
+    regions = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["region"]).withColumnRenamed("snippet_id", "node_id")
+    return layout.placed(items, pages, _shapes(items, regions))
 
 
 def page_places(spark: SparkSession, folder: str) -> DataFrame:
-    """Block, column and repaired place of every text item; the foot of a title counts as a rule."""
+    """Block, column and repaired place of every text item."""
     return _placed(spark, folder).select("document_id", "node_id", "page_no", "block", "column", "place")
 
 
@@ -319,7 +459,12 @@ def stitched_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_regions(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.regions(_placed(spark, folder)).select("document_id", "node_id", "region")
+    """Regions as rules and boxes give them; a title page is the first here."""
+    return layout.regions(_placed(spark, folder), title_page=1).select("document_id", "node_id", "region")
+
+
+def line_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.line_fragments(layout.regions(_placed(spark, folder), title_page=1)).select("document_id", "place", "page_no", "text", "parts")
 
 
 def _typed(spark: SparkSession, folder: str) -> DataFrame:
@@ -327,14 +472,30 @@ def _typed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), "label", "font_key", "line_heights")
 
 
+def _classified(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    rows = _typed(spark, folder).join(_items(spark, folder).select("document_id", "node_id", "text", "region", F.col("level").alias("given")), ["document_id", "node_id"])
+    titles = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest("title", "ingested_at").alias("title"))
+    return levels.classify(rows.withColumn("heading", F.col("label").isin("title", "section_header")), titles, source)
+
+
 def heading_styles(spark: SparkSession, folder: str) -> DataFrame:
-    return levels.heading_levels(_typed(spark, folder).where("label in ('title', 'section_header')"))
+    rows = _typed(spark, folder).join(_items(spark, folder).select("document_id", "node_id", "region"), ["document_id", "node_id"])
+    return levels.heading_styles(rows.where("label in ('title', 'section_header')"))
 
 
 def text_levels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _typed(spark, folder)
-    deepest = levels.heading_levels(rows.where("label in ('title', 'section_header')")).groupBy("document_id").agg(F.max("level").alias("level"))
-    return levels.text_levels(rows.where("label not in ('title', 'section_header')"), deepest)
+    """Level of every item by type and nesting."""
+    return _classified(spark, folder, "hybrid")
+
+
+def typed_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Level of every item by type alone."""
+    return _classified(spark, folder, "typography")
+
+
+def given_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Level of every item with the delivered levels of headings."""
+    return _classified(spark, folder, "given")
 
 
 def height_histogram(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,7 +503,7 @@ def height_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def baseline_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunks.baseline_chunks(_tree(spark, folder)).withColumn("node_ids", F.array_join("node_ids", ","))
+    return chunks.baseline_chunks(_tree(spark, folder)).withColumn("node_ids", F.array_join("node_ids", ",")).drop("pages")
 
 
 def graph_gexf(spark: SparkSession, folder: str) -> DataFrame:
@@ -359,128 +520,14 @@ QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants":
 QUERIES |= {
     f.__name__: f
     for f in (
-        current_snippets, snippet_ids, graph_edges, supply_relations, resolved_parents, document_roots, media_mentions, component_edges, structural_weights, idf_terms,
-        bm25_weights, bm25_symmetric, embedding_cosines, reference_needs, syntactic_needs, antecedent_coverage, complementarity, supply_components,
-        recentred_complementarity, evidence_weights, product_weights, combined_weights, node_tokens, tree_parents, tree_ancestors, _merged("none"), _merged("all_ancestors"),
-        _merged("weighted"), _merged("subtree"), merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
-        relation_mix, graph_summary, graph_checks, metric_agreement, chunk_sizes, fragmentation, edge_sample,
-        page_places, stitched_paragraphs, page_regions, heading_styles, text_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships,
+        current_snippets, snippet_ids, graph_edges, supply_relations, resolved_parents, ruled_parents, document_roots, media_mentions, component_edges,
+        media_captions, media_parents, media_texts, built_nodes, built_edges, reference_edges, document_titles, document_fields,
+        structural_weights, idf_terms, bm25_weights, bm25_symmetric, embedding_cosines, reference_needs, syntactic_needs, antecedent_coverage, complementarity,
+        supply_components, recentred_complementarity, evidence_weights, product_weights, combined_weights, blended_needs, inverted_similarity, reweighed_edges,
+        semantic_weights, blended_similarity, node_tokens, tree_parents, tree_ancestors, _merged("none"), _merged("all_ancestors"), _merged("weighted"), _merged("subtree"),
+        merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
+        relation_mix, relation_mix_by_language, document_languages, graph_summary, graph_checks, graph_outline, repeated_texts, metric_agreement, metric_spread,
+        prior_report, evidence_report, merge_costs, chunk_sizes, fragmentation, edge_sample, page_places, stitched_paragraphs, page_regions, line_fragments,
+        heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships,
     )
 }
-
-
-SQL = {
-    "p2_found": _FOREST + "SELECT document_id, snippet_id, cycle_id FROM cycles",
-    "p2_hierarchy": _FOREST + _P2_SIZES + """
-SELECT d.document_id, d.snippet_id, d.root_id, CAST(d.depth AS INTEGER) AS depth, CAST(s.subtree AS INTEGER) AS subtree, CAST(NULL AS VARCHAR) AS cycle_id,
-       array_to_string(d.path, ' > ') AS path
-FROM down d JOIN subtree s ON d.document_id = s.document_id AND d.snippet_id = s.snippet_id
-UNION ALL
-SELECT c.document_id, c.snippet_id, NULL, NULL, CASE WHEN r.snippet_id IS NULL THEN CAST(coalesce(s.subtree, 1) AS INTEGER) END, c.cycle_id, NULL
-FROM cycles c LEFT JOIN ring r ON c.document_id = r.document_id AND c.snippet_id = r.snippet_id
-LEFT JOIN lost_sizes s ON c.document_id = s.document_id AND c.snippet_id = s.snippet_id""",
-    "p2_descendants": _FOREST + """
-SELECT document_id, path[i] AS ancestor_id, snippet_id, CAST(depth - i + 1 AS INTEGER) AS distance
-FROM (SELECT document_id, snippet_id, depth, path, unnest(range(1, depth + 1)) AS i FROM down)""",
-}
-
-
-_NODES = """nodes AS (
-  SELECT document_id, snippet_id AS node_id, trim(replace(coalesce(text, ''), chr(0), ''), ' ') AS text, sequence_no AS seq, level, level_label, snippet_type AS kind, label = 'list_item' AS grouped
-  FROM graph_snippets QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1)"""
-_EDGES = """links AS (
-  SELECT document_id, parent_id, child_id, coalesce(max(weight), CASE max(relation) WHEN 'section' THEN 1.0 WHEN 'list_item' THEN 0.6 WHEN 'root' THEN 0.1 ELSE 0.8 END) AS weight, max(relation) AS relation
-  FROM edges GROUP BY 1, 2, 3)"""
-_RELATION = """CASE WHEN e.relation IN ('reference', 'unreferenced_media', 'root') THEN e.relation WHEN c.kind = 'table' THEN 'media_table' WHEN c.kind = 'image' THEN 'media_figure'
-  WHEN p.h AND c.h THEN 'section' WHEN c.grouped AND p.h THEN 'heading_list' WHEN c.grouped THEN 'text_list' WHEN p.h THEN 'heading_text' ELSE 'text_text' END"""
-_CONTEXT = f"""{_NODES}, {_EDGES}, named AS (SELECT *, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h FROM nodes),
-related AS (SELECT e.document_id, e.parent_id, e.child_id, e.weight, {_RELATION} AS supply_relation FROM links e
-  JOIN named p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN named c ON e.document_id = c.document_id AND e.child_id = c.node_id)"""
-_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-_BEST = "best AS (SELECT document_id, child_id AS node_id, max({'weight': weight, 'parent_id': parent_id}) AS b FROM links GROUP BY 1, 2)"
-_CHAIN = f"""{_NODES}, {_EDGES}, {_BEST},
-tied AS (SELECT n.document_id, n.node_id, p.node_id AS up_id, b.b.weight AS up FROM nodes n LEFT JOIN best b ON n.document_id = b.document_id AND n.node_id = b.node_id
-  LEFT JOIN nodes p ON p.document_id = n.document_id AND p.node_id = b.b.parent_id),
-rooted AS (
-  SELECT document_id, node_id FROM tied WHERE up_id IS NULL
-  UNION ALL
-  SELECT t.document_id, t.node_id FROM tied t JOIN rooted r ON t.document_id = r.document_id AND t.up_id = r.node_id),
-sized AS (SELECT n.*, CASE WHEN r.node_id IS NOT NULL THEN t.up_id END AS up_id, t.up, len(regexp_extract_all(text, '\\S+')) AS words, length(text) AS chars, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h
-  FROM nodes n JOIN tied t USING (document_id, node_id) LEFT JOIN rooted r USING (document_id, node_id)),
-far AS (
-  SELECT document_id, node_id, node_id AS spot, 0 AS distance, 1.0::DOUBLE AS cumulative FROM sized
-  UNION ALL
-  SELECT f.document_id, f.node_id, s.up_id, f.distance + 1, f.cumulative * s.up FROM far f JOIN sized s ON f.document_id = s.document_id AND f.spot = s.node_id WHERE s.up_id IS NOT NULL)"""
-
-
-def _merge_sql(gate: str) -> str:
-    """Units by a recursion that stops at the first ancestor that isn't let in or doesn't fit."""
-    return f"""WITH RECURSIVE {_CHAIN},
-grown AS (
-  SELECT document_id, node_id, node_id AS spot, words::BIGINT AS w, chars::BIGINT AS c, 1 AS k, 1.0::DOUBLE AS cum, greatest(words, chars // 4)::BIGINT AS token_count, text, node_id AS members, 0 AS n
-  FROM sized WHERE text <> '' AND coalesce(kind, '') <> 'root'
-  UNION ALL
-  SELECT g.document_id, g.node_id, t.node_id, g.w + t.words, g.c + t.chars, g.k + (t.text <> '')::INT, g.cum * s.up,
-         greatest(g.w + t.words, (g.c + t.chars + 2 * (g.k + (t.text <> '')::INT - 1)) // 4), CASE WHEN t.text = '' THEN g.text ELSE t.text || chr(10) || chr(10) || g.text END, t.node_id || ',' || g.members, g.n + 1
-  FROM grown g JOIN sized s ON g.document_id = s.document_id AND g.spot = s.node_id JOIN sized t ON t.document_id = s.document_id AND t.node_id = s.up_id
-  WHERE g.token_count <= 1024 AND {gate} AND greatest(g.w + t.words, (g.c + t.chars + 2 * (g.k + (t.text <> '')::INT - 1)) // 4) <= 1024),
-crumbs AS (SELECT f.document_id, f.node_id, string_agg(s.text, ' > ' ORDER BY f.distance DESC) AS breadcrumb FROM far f JOIN sized s ON f.document_id = s.document_id AND f.spot = s.node_id
-  WHERE f.distance > 0 AND s.h AND s.text <> '' GROUP BY 1, 2)
-SELECT g.document_id, g.node_id AS unit_id, g.text, g.members, coalesce(breadcrumb, '') AS breadcrumb, g.token_count FROM grown g
-LEFT JOIN crumbs USING (document_id, node_id) QUALIFY row_number() OVER (PARTITION BY g.document_id, g.node_id ORDER BY g.n DESC) = 1"""
-
-
-_IDF = f"""stems AS (SELECT document_id, node_id, list_distinct(list_transform({_WORDS}, lambda x: x[1:6])) AS t FROM nodes),
-idf AS (SELECT term, ln(((SELECT count(*) FROM nodes) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(t) AS term FROM stems) GROUP BY 1)"""
-
-SQL |= {
-    "current_snippets": "SELECT document_id, snippet_id, label, sequence_no, text FROM snippet_nodes QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1",
-    "snippet_ids": "SELECT DISTINCT document_id, local_ref, snippet_id AS node_id FROM graph_snippets",
-    "graph_edges": f"WITH {_EDGES} SELECT document_id, parent_id, child_id, round(weight, 6) AS weight, relation FROM links",
-    "supply_relations": f"WITH {_CONTEXT} SELECT document_id, parent_id, child_id, supply_relation FROM related",
-    "resolved_parents": """
-WITH items AS (SELECT document_id, snippet_id AS node_id, sequence_no AS seq, least(coalesce(level, 12), 12) AS level FROM snippet_nodes
-  QUALIFY row_number() OVER (PARTITION BY document_id, snippet_id ORDER BY extracted_at DESC) = 1),
-near AS (SELECT a.document_id, a.node_id, max({'seq': b.seq, 'node_id': b.node_id}).node_id AS parent_id FROM items a
-  JOIN items b ON a.document_id = b.document_id AND b.level < a.level AND (b.seq, b.node_id) < (a.seq, a.node_id) GROUP BY 1, 2),
-top AS (SELECT document_id, min({'seq': seq, 'node_id': node_id}).node_id AS top FROM items WHERE level = 0 GROUP BY 1)
-SELECT i.document_id, i.node_id, coalesce(n.parent_id, nullif(t.top, i.node_id)) AS parent_id
-FROM items i LEFT JOIN near n ON i.document_id = n.document_id AND i.node_id = n.node_id LEFT JOIN top t ON i.document_id = t.document_id""",
-    "document_roots": f"""
-WITH {_NODES}, named AS (SELECT document_id, max(lower(trim(title))) AS title FROM documents_meta GROUP BY 1)
-SELECT document_id, coalesce(arg_min(node_id, {{'a': seq, 'b': node_id}}) FILTER (lower(trim(text)) = title), arg_min(node_id, {{'a': seq, 'b': node_id}}) FILTER (level_label = 'Title'), '#/document-root') AS root_id
-FROM nodes LEFT JOIN named USING (document_id) GROUP BY 1""",
-    "structural_weights": f"WITH {_EDGES} SELECT document_id, parent_id, child_id, CASE relation WHEN 'section' THEN 1.0 WHEN 'text' THEN 0.8 WHEN 'list_item' THEN 0.6 WHEN 'root' THEN 0.1 ELSE 0.8 END::DOUBLE AS weight FROM links",
-    "idf_terms": f"WITH {_NODES}, {_IDF} SELECT term, round(idf, 6) AS idf FROM idf",
-    "bm25_weights": f"""
-WITH {_NODES}, {_EDGES}, words AS (SELECT document_id, node_id, {_WORDS} AS t FROM nodes),
-stats AS (SELECT document_id, count(*) AS n, avg(len(t)) AS avgdl FROM words GROUP BY 1),
-tf AS (SELECT document_id, node_id, term, count(*) AS tf FROM (SELECT document_id, node_id, unnest(t) AS term FROM words) GROUP BY 1, 2, 3),
-df AS (SELECT document_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
-scored AS (SELECT e.document_id, e.parent_id, e.child_id, greatest(0, sum(ln((n - df + 0.5) / (df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len(w.t) / avgdl)))) AS score
-  FROM links e JOIN tf c ON e.document_id = c.document_id AND e.child_id = c.node_id JOIN tf p ON e.document_id = p.document_id AND e.parent_id = p.node_id AND p.term = c.term
-  JOIN df ON df.document_id = e.document_id AND df.term = c.term JOIN words w ON w.document_id = e.document_id AND w.node_id = e.parent_id JOIN stats s ON s.document_id = e.document_id GROUP BY 1, 2, 3),
-filled AS (SELECT e.document_id, e.parent_id, e.child_id, coalesce(score, 0) AS score FROM links e LEFT JOIN scored USING (document_id, parent_id, child_id))
-SELECT document_id, parent_id, child_id, round(CASE WHEN max(score) OVER d > 0 THEN score / max(score) OVER d ELSE 0 END, 6) AS weight FROM filled WINDOW d AS (PARTITION BY document_id)""",
-    "embedding_cosines": """
-SELECT vec_id, before, round(greatest(0, least(1, list_dot_product(a, b) / (CASE WHEN list_dot_product(a, a) = 0 THEN 1 ELSE sqrt(list_dot_product(a, a)) END * CASE WHEN list_dot_product(b, b) = 0 THEN 1 ELSE sqrt(list_dot_product(b, b)) END))), 5) AS weight
-FROM (SELECT vec_id, lag(vec_id) OVER w AS before, embedding::DOUBLE[] AS a, lag(embedding) OVER w::DOUBLE[] AS b FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE before IS NOT NULL""",
-    "complementarity": f"""
-WITH {_NODES}, {_EDGES}, {_IDF},
-pairs AS (SELECT e.document_id, e.parent_id, e.child_id, p.t AS pt, c.t AS ct FROM links e JOIN stems p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN stems c ON e.document_id = c.document_id AND e.child_id = c.node_id),
-novel AS (SELECT document_id, parent_id, child_id, sum(idf) AS novel FROM (SELECT document_id, parent_id, child_id, idf, row_number() OVER (PARTITION BY document_id, parent_id, child_id ORDER BY idf DESC) AS r
-  FROM (SELECT document_id, parent_id, child_id, unnest(pt) AS term, ct FROM pairs) JOIN idf USING (term) WHERE NOT list_contains(ct, term)) WHERE r <= 8 GROUP BY 1, 2, 3),
-mass AS (SELECT document_id, node_id AS child_id, sum(idf) AS mass FROM (SELECT document_id, node_id, unnest(t) AS term FROM stems) JOIN idf USING (term) GROUP BY 1, 2)
-SELECT e.document_id, e.parent_id, e.child_id, round(CASE WHEN coalesce(novel, 0) + coalesce(mass, 0) > 0 THEN coalesce(novel, 0) / (coalesce(novel, 0) + coalesce(mass, 0)) ELSE 0 END, 6) AS complementarity
-FROM links e LEFT JOIN novel USING (document_id, parent_id, child_id) LEFT JOIN mass USING (document_id, child_id)""",
-    "node_tokens": f"WITH {_NODES} SELECT document_id, node_id, greatest(len(regexp_extract_all(text, '\\S+')), length(text) // 4)::BIGINT AS tokens FROM nodes",
-    "tree_parents": f"WITH {_EDGES}, {_BEST} SELECT document_id, node_id, b.parent_id AS parent_id, round(b.weight, 6) AS weight FROM best",
-    "tree_ancestors": f"WITH RECURSIVE {_CHAIN} SELECT document_id, node_id, spot AS ancestor_id, distance, round(cumulative, 6) AS cumulative FROM far WHERE distance > 0",
-    "merge_none": _merge_sql("false"),
-    "merge_all_ancestors": _merge_sql("true"),
-    "merge_weighted": _merge_sql("s.up >= 0.5 AND g.cum * s.up >= 0"),
-    "relation_mix": f"WITH {_CONTEXT} SELECT supply_relation, count(*) AS edges, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(weight), 6) AS mean_weight FROM related GROUP BY 1",
-    "chunk_sizes": r"""
-WITH newest AS (SELECT variant, text FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1)
-SELECT variant, count(*) AS chunks, round(avg(greatest(len(regexp_extract_all(coalesce(text, ''), '\S+')), length(coalesce(text, '')) // 4)), 6) AS mean_tokens FROM newest GROUP BY 1""",
-}
