@@ -6,7 +6,8 @@ depth, path and cycle from its parent.
 
 Groups (documents) of at most ``local_limit`` nodes are peeled in memory, many groups to a task.  Larger groups are
 peeled by Spark, one layer a round, until what remains of them fits the same limit; a remainder that resists (a very
-long chain or cycle) is resolved by pointer doubling, whose rounds grow with the logarithm of the depth.
+long chain or cycle, which would take a round for each of its nodes) is resolved by pointer doubling, whose rounds grow with
+the logarithm of the depth.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taproot.plans.lineage import cut
+from taproot.plans.lineage import cut, stored
 
 #: White space as stripped from parent ids: everything Unicode calls white space.
 _SPACE = r"(?U)^\s+|\s+$"
@@ -132,39 +133,59 @@ def _local(df: DataFrame, paths: bool, only_cycles: bool) -> DataFrame:
     return df.select("group", "node", "parent", "below").mapInPandas(run, _RESULT)
 
 
-def _doubled(left: DataFrame, n: int) -> DataFrame:
-    """Root, depth, path and cycle of a remainder by pointer doubling; every parent is null or a node of it."""
+def _doubled(left: DataFrame, n: int, paths: bool) -> DataFrame:
+    """Root, depth, size, cycle and, if asked for, path of a remainder by pointer doubling; every parent is null or a node of it.
+
+    Without paths a row holds two pointers and two numbers, however deep its node lies.
+    """
     rounds = max(1, math.ceil(math.log2(n + 1)))
     base = left.select("group", "node", "parent")
     step = cut(base.select("group", "node", F.col("parent").alias("to")))
     for _ in range(rounds):
         far = step.select(F.col("group").alias("g"), F.col("node").alias("to"), F.col("to").alias("next"))
         step = cut(step.join(far, (step["group"] == far["g"]) & (step["to"] == far["to"]), "left").select("group", "node", F.col("next").alias("to")))
+        if not step.where("to is not null").limit(1).count():
+            break
     looped = step.where("to is not null")
     ring = looped.select("group", F.col("to").alias("node")).distinct()
     walk = cut(base.join(ring, ["group", "node"], "left_semi").select("group", "node", F.col("parent").alias("to"), F.col("node").alias("least")))
-    for _ in range(rounds):
+    n_ring = walk.count()
+    for _ in range(math.ceil(math.log2(n_ring + 1)) if n_ring else 0):
         far = walk.select(F.col("group").alias("g"), F.col("node").alias("t"), F.col("to").alias("next"), F.col("least").alias("other"))
         walk = cut(walk.join(far, (walk["group"] == far["g"]) & (walk["to"] == far["t"])).select("group", "node", F.col("next").alias("to"), F.least("least", "other").alias("least")))
     cycles = looped.join(walk.select("group", F.col("node").alias("to"), F.col("least").alias("cycle")), ["group", "to"]).select("group", "node", "cycle")
     rings = walk.select("group", "node", F.lit(True).alias("on_cycle"))
-    # Ring nodes count as tops here, so what hangs from a cycle gets its subtree too.
-    line = cut(base.join(rings, ["group", "node"], "left").select("group", "node", F.when(F.col("on_cycle").isNull(), F.col("parent")).alias("to"), F.array("node").alias("path")))
+    # Ring nodes count as tops here, so what hangs from a cycle gets its size too.
+    open_ = left.join(rings, ["group", "node"], "left").select("group", "node", F.when(F.col("on_cycle").isNull(), F.col("parent")).alias("to"), F.col("below"))
+    line = cut(
+        open_.select(
+            "group", "node", F.col("to").alias("exact"), "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("hops"), (F.col("below") + 1).alias("size"),
+            (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("path"),
+        )
+    )
+    # ``exact`` is the ancestor a power of two above, null beyond the top; ``to`` stays on the top once it is there.
     for _ in range(rounds):
-        far = line.select(F.col("group").alias("g"), F.col("node").alias("t"), F.col("to").alias("next"), F.col("path").alias("upper"))
+        sent = line.where("exact is not null").groupBy(F.col("group").alias("g"), F.col("exact").alias("t")).agg(F.sum("size").alias("sent"))
+        grown = line.join(sent, (line["group"] == sent["g"]) & (line["node"] == sent["t"]), "left").drop("g", "t")
+        far = line.select(F.col("group").alias("g"), F.col("node").alias("t"), F.col("exact").alias("e"), F.col("to").alias("next"), F.col("hops").alias("more"), F.col("path").alias("upper"))
+        on = F.col("next").isNotNull()
         line = cut(
-            line.join(far, (line["group"] == far["g"]) & (line["to"] == far["t"]), "left").select(
-                "group", "node", F.col("next").alias("to"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")
+            grown.join(far, (grown["group"] == far["g"]) & (grown["to"] == far["t"]), "left").select(
+                "group", "node", F.when(F.col("exact") == F.col("to"), F.col("e")).alias("exact"), F.when(on, F.col("next")).otherwise(F.col("to")).alias("to"),
+                (F.col("hops") + F.when(on, F.col("more")).otherwise(0)).alias("hops"), (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"),
+                F.when(on, F.concat("upper", "path")).otherwise(F.col("path")).alias("path"),
             )
-        )
-    lines = line.join(looped, ["group", "node"], "left_anti").select("group", "node", "path")
-    sizes = line.select("group", F.explode("path").alias("node")).groupBy("group", "node").agg(F.count("*").alias("n"))
-    below = line.join(left.select("group", "node", "below"), ["group", "node"]).select("group", F.explode("path").alias("node"), "below").groupBy("group", "node").agg(F.sum("below").alias("b"))
+        )
+        if not line.where("exact is not null").limit(1).count():
+            break
+    top = F.coalesce("to", "node")
+    whole = F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat(F.array("to"), "path"))
+    free = F.col("cycle").isNull()
     return (
-        base.join(lines, ["group", "node"], "left").join(cycles, ["group", "node"], "left").join(sizes, ["group", "node"], "left").join(below, ["group", "node"], "left").join(rings, ["group", "node"], "left")
+        base.join(line.select("group", "node", top.alias("top"), "hops", "size", whole.alias("whole")), ["group", "node"]).join(cycles, ["group", "node"], "left").join(rings, ["group", "node"], "left")
         .select(
-            "group", "node", "parent", F.col("path")[0].alias("root"), (F.when(F.col("path").isNotNull(), F.size("path")) - 1).cast("int").alias("depth"),
-            F.when(F.col("on_cycle").isNull(), F.col("n") + F.col("b")).cast("int").alias("subtree"), "cycle", "path",
+            "group", "node", "parent", F.when(free, F.col("top")).alias("root"), F.when(free, F.col("hops")).cast("int").alias("depth"),
+            F.when(F.col("on_cycle").isNull(), F.col("size")).cast("int").alias("subtree"), "cycle", F.when(free, F.col("whole")).alias("path"),
         )
     )
 
@@ -189,8 +210,8 @@ def _distributed(df: DataFrame, paths: bool, local_limit: int, max_rounds: int)
             break
         layers.append(leaves)
         active, n = rest, left
-    solved = _local(active.repartition(1), paths, False) if n <= local_limit else _doubled(active, n)
-    solved = cut(solved)
+    # Every layer is written once; what lies above it is the union of those written before.
+    solved = stored(_local(active.repartition(1), paths, False) if n <= local_limit else _doubled(active, n, paths))
     for leaves in reversed(layers):
         up = solved.select("group", F.col("node").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cycle").alias("c"), F.col("path").alias("p"))
         top = F.col("parent").isNull()
@@ -199,7 +220,7 @@ def _distributed(df: DataFrame, paths: bool, local_limit: int, max_rounds: int)
             (F.col("below") + 1).cast("int").alias("subtree"), F.col("c").alias("cycle"),
             (F.when(top, F.array("node")).when(F.col("p").isNotNull(), F.concat("p", F.array("node"))) if paths else F.lit(None).cast("array<string>")).alias("path"),
         )
-        solved = cut(solved.unionByName(got))
+        solved = solved.unionByName(stored(got))
     return solved
 
 

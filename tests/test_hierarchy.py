@@ -90,3 +90,12 @@ def test_current_rows(spark):
     df = spark.createDataFrame(rows, "k string, at int, v string")
     assert sorted((str(r.k), r.v) for r in current_rows(df, ["k"], ["at"], ["v"]).collect()) == [("None", "y"), ("a", "new"), ("b", "only")]
     assert current_rows(df.limit(0), ["k"], ["at"]).count() == 0
+
+
+@pytest.mark.parametrize("limit, rounds", [(5, 1), (5, 40), (1000, 40)])
+def test_without_paths(spark, limit, rounds):
+    rows = [("g", f"n{i:03}", f"n{i - 1:03}" if i % 50 else None) for i in range(150)] + [("g", f"r{i}", f"r{(i + 1) % 3}") for i in range(3)] + [("g", "x", "r0"), ("g", "y", "x")]
+    df = spark.createDataFrame(rows, "g string, n string, p string")
+    full = {tuple(r)[:7] for r in hierarchy(df, "g", "n", "p").collect()}
+    bare = hierarchy(df, "g", "n", "p", paths=False, local_limit=limit, max_rounds=rounds).collect()
+    assert {tuple(r)[:7] for r in bare} == full and all(r.path is None for r in bare)
