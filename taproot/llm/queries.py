@@ -12,7 +12,7 @@ from taproot.llm.langid import languages
 from taproot.llm.langid import learn as learn_languages
 from taproot.llm.packing import fill, pack
 from taproot.llm.scans import learn as learn_lines
-from taproot.llm.scans import repaired
+from taproot.llm.scans import repaired, running_headers
 from taproot.llm.sentences import learn, sentences
 from taproot.llm.stuffing import stuffing
 from taproot.llm.termweight import LATIN_6, log_entropy
@@ -60,20 +60,23 @@ def _scans(spark: SparkSession, folder: str) -> DataFrame:
     return meta.where("kind = 'scan'").join(first, "document_id", "left").select("document_id", F.array("named", "heading").alias("titles"))
 
 
+def _repaired(texts: DataFrame, scans: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts of scanned documents repaired, with a model of all texts and the running headers of each document."""
+    model = learn_lines(texts, "text")
+    scanned = texts.join(scans, "document_id")
+    headed = scanned.join(running_headers(scanned, "document_id", "text", model), "document_id", "left")
+    return repaired(headed, keys, "text", "titles", model, "running")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Kinds of noise in the texts of scanned documents."""
     snippets = table(spark, folder, "graph_snippets").select("document_id", "snippet_id", "text").where("text is not null").distinct()
-    model = learn_lines(snippets, "text")
-    found = repaired(snippets.join(_scans(spark, folder), "document_id"), ["snippet_id"], "text", "titles", model)
-    return found.select("snippet_id", F.explode("kinds").alias("kind")).distinct()
+    return _repaired(snippets, _scans(spark, folder), ["snippet_id"]).select("snippet_id", F.explode("kinds").alias("kind")).distinct()
 
 
 def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Current texts of scanned documents as continuous paragraphs."""
-    nodes = _current(spark, folder, "text")
-    scanned = nodes.join(_scans(spark, folder), "document_id")
-    model = learn_lines(nodes, "text")
-    found = repaired(scanned, ["document_id", "snippet_id"], "text", "titles", model)
+    found = _repaired(_current(spark, folder, "text"), _scans(spark, folder), ["document_id", "snippet_id"])
     return found.select("document_id", "snippet_id", F.array_join("kinds", ",").alias("kinds"), "repaired")
 
 

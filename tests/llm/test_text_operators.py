@@ -88,20 +88,68 @@ def test_cosine_is_that_of_the_bundle():
         assert np.allclose(model.prototypes @ direct / np.linalg.norm(direct), found, rtol=0.15, atol=0.01)
 
 
+WORDS = {"wurde": 900, "gemessen": 500, "Dosis": 400, "Die": 800, "vermerkt": 300, "und": 900, "self-monitoring": 20, "Kosten": 90, "Tage": 80, "Tagen": 50}
+LINES = scans.clean(scans.LineModel(WORDS, {("Die", "Dosis"): 300}, 10_000))
+
+
 def repair(text, titles=()):
-    words = {"wurde": 900, "gemessen": 500, "Dosis": 400, "Die": 800, "vermerkt": 300, "und": 900, "self-monitoring": 20, "Kosten": 90}
-    return scans.repair(text, [scans.fold(t) for t in titles], scans.Decoder(scans.LineModel(words, {("Die", "Dosis"): 300}, 10_000)))
+    return scans.repair(text, [scans.fold(t) for t in titles], scans.Decoder(LINES))
 
 
 def test_scans():
     assert repair("Die Dosis wurde gemes-\n[3]\nDiabetes im Alter | 2012\nsen und vermerkt", ["Diabetes im Alter"]) == ("Die Dosis wurde gemessen und vermerkt", {"hyphen", "page_number", "header"})
     assert repair("Die Dosis wurdc gemessen") == ("Die Dosis wurde gemessen", {"misread"})
     assert repair("Die D o s i s wurde") == ("Die Dosis wurde", {"misread"})
+    assert repair("Die Messunq wurde")[1] == set() and repair("Die T@gen wurde") == ("Die Tagen wurde", {"misread"})
     assert repair("self-\nmonitoring und Vor-\nund Nachteile")[1] == set()
     assert repair("Die Kosten:\n60\nDie Dosis:\n67")[1] == set()
     assert repair(None) == (None, set()) and repair("") == ("", set()) and repair("Diabetes im Alter", ["Diabetes im Alter"])[1] == set()
 
 
+def test_confusions_are_estimated():
+    words = {f"{x}werden{x}": 5000 for x in "abcdefghij"} | {f"{x}wcrden{x}": 50 for x in "abcdefghij"}
+    model = scans.clean(scans.LineModel(words, {}, sum(words.values())))
+    assert model.channel["e", "c"] > model.channel["n", "ri"] + 3 and set(model.words) == {w for w in words if "werden" in w}
+    assert scans.Decoder(model)(["awcrdena"]) == ["awerdena"]
+    # Two confusions in one word, however many or few letters it has.
+    assert scans.Decoder(LINES)(["vvurdc"]) == ["wurde"] and scans.Decoder(LINES)(["unc1"]) == ["und"]
+
+
+def test_planted_noise_is_repaired(spark):
+    rng = np.random.default_rng(4)
+    nouns, verbs, ends = ("Dosis", "Salbe", "Kontrolle", "Messung", "Schulung"), ("wurde", "sollte", "konnte"), ("gemessen", "vermerkt", "wiederholt", "besprochen")
+    clean = [" ".join(f"Die {rng.choice(nouns)} {rng.choice(verbs)} am Morgen {rng.choice(ends)}." for _ in range(3)) for _ in range(3000)]
+    rows, want = [], {}
+    for i, text in enumerate(clean):
+        words, kinds, lines = text.split(), set(), []
+        if i % 30 == 0:
+            j = int(rng.integers(len(words)))
+            for right, wrong in (("e", "c"), ("n", "ri"), ("o", "0")):
+                if right in words[j][1:]:
+                    words[j] = words[j][0] + words[j][1:].replace(right, wrong, 1)
+                    kinds.add("misread")
+                    break
+        for j in range(0, len(words), 5):
+            lines.append(" ".join(words[j : j + 5]))
+        if i % 4 == 0:
+            lines.insert(1, f"Pflegekreis Nord {1990 + i % 9}   {i % 90 + 1}")
+            kinds |= {"header", "page_number"}
+        if i % 5 == 0:
+            head, tail = lines[-1][:-6], lines[-1][-6:]
+            if head[-1:].isalpha() and tail[0].isalpha():
+                lines[-1:] = [head + "-", tail]
+                kinds.add("hyphen")
+        rows.append((f"d{i % 10}", i, "\n".join(lines), None))
+        want[i] = (text, kinds)
+    df = spark.createDataFrame(rows, "doc string, id int, text string, titles array<string>")
+    model = scans.learn(df, "text")
+    headed = df.join(scans.running_headers(df, "doc", "text", model), "doc", "left")
+    got = {r.id: (r.repaired, set(r.kinds)) for r in scans.repaired(headed, ["id"], "text", "titles", model, "running").collect()}
+    assert sum(got[i][0] == want[i][0] for i in want) >= 0.97 * len(want)
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.97 * len(want)
+    assert scans.running_headers(df.limit(0), "doc", "text", model).count() == 0
+
+
 def test_scan_operator(spark):
     df = spark.createDataFrame([(1, "Die Dosis", ["x", None], 0), (1, "Die Dosis", None, 0), (2, None, None, 0)], "id int, text string, titles array<string>, kinds int")
     model = scans.learn(df, "text")
