@@ -44,6 +44,7 @@ RUNNING, HEADER = 2, 80
 
 _EDGE = ".,;:!?()\"„“”«»‘’…¿¡[]。！？、，"
 _HYPHENS = "-‐‑­¬"
+_GOING_ON = ",;" + _HYPHENS
 _breaks = re.compile("\r\n|[\n\r  \x0b\x0c\x85]").split
 _odd = re.compile(r"[@¢ſ|]")
 _letters = re.compile(r"[^\W\d_]")
@@ -98,7 +99,7 @@ def key(line: str) -> str:
 
 def may_run(line: str) -> bool:
     """Whether a line is short enough for a header and doesn't end like a sentence or a part of one."""
-    return len(line) <= HEADER and _ended(line) is None and line[-1] not in ",;" + _HYPHENS and len(key(line)) >= 4
+    return 5 <= len(line) <= HEADER and line[-1] not in _GOING_ON and _ended(line) is None
 
 
 def layout(text: str, titles: list[str], running: frozenset[str] = frozenset(), model: LineModel | None = None) -> Page:
@@ -139,7 +140,8 @@ def _header(line: str, titles: list[str], running: frozenset[str]) -> bool:
     own = key(line)
     if own in running:
         return True
-    folded = fold(_year.sub("", line))
+    bare = _year.sub("", line)
+    folded = fold(bare) if bare != line or _digits.search(line) else own
     return folded in titles or any(
         len(x) >= 8 and abs(len(x) - len(t)) <= 2 and SequenceMatcher(None, x, t, False).ratio() >= 0.85 for x, near in ((folded, titles), (own, running)) for t in near
     )
@@ -458,9 +460,10 @@ def running_headers(df: DataFrame, document: str, text: str, model: LineModel) -
                     continue
                 keys: dict[str, tuple[bool, str]] = {}
                 for i, line in enumerate(lines):
-                    if may_run(line):
-                        met = i and reads_on(lines[i - 1], line, shared.value) or i + 1 < len(lines) and reads_on(line, lines[i + 1], shared.value)
-                        keys[key(line)] = bool(met), key(lines[i + 1]) if i + 1 < len(lines) else ""
+                    if may_run(line) and len(own := key(line)) >= 4:
+                        after = lines[i + 1] if i + 1 < len(lines) else ""
+                        met = i and reads_on(lines[i - 1], line, shared.value) or after and reads_on(line, after, shared.value)
+                        keys[own] = bool(met), after
                 out += [(doc, k, 1, int(met), after) for k, (met, after) in keys.items()]
             yield pd.DataFrame(out, columns=["d", "k", "n", "met", "after"])
 
