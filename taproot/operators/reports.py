@@ -12,9 +12,14 @@ from taproot.functions.text import SPACE, n_chars, n_words, strip, token_count
 from taproot.operators import retrieval, weights
 from taproot.operators.current import current_rows
 from taproot.operators.graph import contexts, is_heading, supply_relation
+from taproot.operators.layout import CITATION, resumes, unfinished
 from taproot.plans.lineage import stored
 
 
+#: How far below a line the next one of its block begins at most (points).
+PITCH = 16.0
+
+
 def relation_mix(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Edges, their share and mean weight by supply relation."""
     context = contexts(node_rows, edge_rows)
@@ -176,6 +181,32 @@ def fragmentation(node_rows: DataFrame) -> DataFrame:
     return rows.where(near & ~is_heading(F.col("level_label"))).withColumn("score", score).where("score >= 2").select("document_id", "node_id", "next_id", "score")
 
 
+def fragmented(items: DataFrame) -> DataFrame:
+    """``document_id, node_id, next_id, kind, score``: neighbouring texts that seem to be one, from 0 to 1.
+
+    Items have ``seq, label, text, region, grouped, parent_ref, page_no, column`` and a box.  The first breaks off and the
+    second resumes; kind says where: same-column, column-break, page-break or out-of-order.  A hyphen, a small letter, lines
+    right below each other and a break speak for it; two bullets of one list and a new citation against.
+    """
+    order = Window.partitionBy("document_id").orderBy("seq", "node_id")
+    names = ["node_id", "label", "text", "page_no", "column", "t", "grouped", "parent_ref"]
+    rows = items.select("document_id", "seq", *names, "b").withColumns({f"x_{c}": F.lead(c).over(order) for c in names})
+    flow = [F.col(c).isin("text", "list_item", "footnote") for c in ("label", "x_label")]
+    rows = rows.where(flow[0] & flow[1] & unfinished(F.col("text")) & resumes(F.col("x_text")))
+    same = F.col("x_page_no") == F.col("page_no")
+    kind = F.when(same & (F.col("x_column") == F.col("column")), "same-column").when(same & (F.col("x_column") > F.col("column")), "column-break").when(F.col("x_page_no") == F.col("page_no") + 1, "page-break").otherwise("out-of-order")
+    head, tail = strip(F.col("text")), strip(F.col("x_text"))
+    small = tail.rlike(r"^\p{Ll}")
+    score = F.lit(0.3)
+    signs = [
+        (head.rlike(r"[-\u00ad]$"), 0.35), (small, 0.3), ((kind == "same-column") & (F.col("b") - F.col("x_t")).between(-2, PITCH), 0.25), (kind.isin("column-break", "page-break"), 0.15),
+        (F.col("grouped") & F.col("x_grouped") & (F.col("parent_ref") == F.col("x_parent_ref")) & head.rlike(r"[,;]$") & ~small, -0.45), (tail.rlike(CITATION), -0.3),
+    ]
+    for test, points in signs:
+        score = score + F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
+    return rows.select("document_id", "node_id", F.col("x_node_id").alias("next_id"), kind.alias("kind"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"))
+
+
 def stratified_sample(rows: DataFrame, per_cell: int, seed: int = 42) -> DataFrame:
     """``per_cell`` rows of every cell, taken in turn from its documents; a hash of the seed decides, so it can be repeated."""
     mixed = F.xxhash64(*[c for c in rows.columns], F.lit(seed))

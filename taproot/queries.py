@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taproot.functions.ids import snippet_id
 from taproot.functions.text import cosine, n_chars, n_words, strip, token_count
 from taproot.operators import chunks, construct, graph, layout, levels, metadata, reports, retrieval, weights
-from taproot.sources import graphs
+from taproot.sources import graphs, parsed
 from taproot.operators.current import current_rows, newest
 from taproot.operators.hierarchy import descendants, hierarchy, looped_descendants
 from taproot.plans.lineage import stored
@@ -507,7 +507,28 @@ def baseline_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_gexf(spark: SparkSession, folder: str) -> DataFrame:
-    return graphs.gexf(*_both(spark, folder))
+    n, e = _both(spark, folder)
+    meta = table(spark, folder, "documents_meta")
+    return graphs.gexf(n, e, graph.root_ids(n, meta), meta)
+
+
+def graph_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of snippets for a property graph."""
+    n, e = _both(spark, folder)
+    meta = table(spark, folder, "documents_meta").select("document_id", "filename", "title")
+    rows = graphs.property_graph(meta, n, e, graph.root_ids(n, meta))["snippets"]
+    return rows.select("snippet_id", "document_id", "seq", "level", "preview", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
+
+
+def chunk_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings that the newest state of each chunk says it stands under, and how many places it comes from."""
+    rows = current_rows(table(spark, folder, "chunks"), ["chunk_id"], ["loaded_at"], ["meta"])
+    return rows.select("chunk_id", F.array_join(parsed.chunk_headings(F.col("meta")), " > ").alias("headings"), F.size(parsed.chunk_provenance(F.col("meta"))).alias("places"))
+
+
+def fragmented_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring texts that read as one paragraph cut in two, by strength."""
+    return reports.fragmented(_items(spark, folder).join(_placed(spark, folder).select("document_id", "node_id", F.col("column").alias("side")), ["document_id", "node_id"]).drop("column").withColumnRenamed("side", "column"))
 
 
 def graph_relationships(spark: SparkSession, folder: str) -> DataFrame:
@@ -528,6 +549,6 @@ QUERIES |= {
         merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
         relation_mix, relation_mix_by_language, document_languages, graph_summary, graph_checks, graph_outline, repeated_texts, metric_agreement, metric_spread,
         prior_report, evidence_report, merge_costs, chunk_sizes, fragmentation, edge_sample, page_places, stitched_paragraphs, page_regions, line_fragments,
-        heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships,
+        heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships, graph_snippets, chunk_headings, fragmented_paragraphs,
     )
 }

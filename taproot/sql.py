@@ -379,4 +379,7 @@ said AS (SELECT *, {_votes("w", "en")} > {_votes("w", "de")} AS en, regexp_extra
 signs AS (SELECT *, len(list_filter(w, lambda x: list_contains(CASE WHEN en THEN {_listed(ling.FINITE["en"])} ELSE {_listed(ling.FINITE["de"])} END, x))) = 0 AS a, NOT regexp_matches(trim(text, ' '), '[.!?]$') AS b,
   list_contains(CASE WHEN en THEN {_listed(ling.CONNECTIVES["en"])} ELSE {_listed(ling.CONNECTIVES["de"])} END, first) OR {" OR ".join(f"starts_with(opened, '{x}')" for x in ling.PHRASES)} AS c, regexp_matches(letter, '^\\p{{Ll}}') AS d, ends_with(rtrim(p_text, ' '), ':') AS e FROM said)
 SELECT document_id, parent_id, child_id, round((a::INT + b::INT + c::INT + d::INT + 2 * e::INT) / 6, 6) AS need FROM signs""",
+    "graph_snippets": f"WITH {_NODES} SELECT sha256(document_id || ':' || node_id) AS snippet_id, document_id, seq, level, substr(text, 1, 100) AS preview, coalesce(page_no::VARCHAR, '') AS pages FROM nodes",
+    "chunk_headings": """WITH newest AS (SELECT chunk_id, meta FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1)
+SELECT chunk_id, coalesce(array_to_string(from_json(json_extract(meta, '$.headings'), '["VARCHAR"]'), ' > '), '') AS headings, 0 AS places FROM newest""",
 }

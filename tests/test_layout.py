@@ -1,10 +1,12 @@
+import json
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from taproot.operators import chunks, layout, levels, media_tables, metadata
-from taproot.sources import graphs
+from taproot.sources import graphs, parsed
 from taproot.streaming import ingest
 
 
@@ -158,7 +160,17 @@ def test_chunks_and_sources(spark, tmp_path):
     graphs.write_graphs(meta, n, e, pages, str(tmp_path / "g"))
     back = graphs.read_graphs(spark, str(tmp_path / "g"))
     assert back["nodes"].select(n.columns).exceptAll(n).count() == 0 and back["edges"].select(e.columns).exceptAll(e).count() == 0 and back["pages"].count() == 1
-    assert graphs.gexf(n, e).first().xml.count("<edge ") == 5
+    roots = meta.select("document_id", F.lit("#/root").alias("root_id"))
+    both = e.unionByName(e.limit(1).withColumns({"relation": F.lit("reference"), "weight": F.lit(0.99)}))
+    xml = ElementTree.fromstring("".join(r.line for r in graphs.gexf(n.withColumn("text", F.lit('<"&')), both, roots, meta).orderBy("no").collect()))
+    ns = "{http://gexf.net/1.3}"
+    assert len(xml.findall(f".//{ns}edge")) == 5 and {x.get("weight") for x in xml.findall(f".//{ns}edge")} == {"0.8"}
+    assert {x.get("id"): x.get("label") for x in xml.findall(f".//{ns}node")} == {r.node_id: '<"&' for r in n.collect()} | {"#/root": "Titel"}
+    graphs.write_gexf(graphs.gexf(n, e), str(tmp_path / "gexf"))
+    assert spark.read.text(str(tmp_path / "gexf")).count() == 6 + 5 + 3
+    boxed = n.withColumns({"bbox": F.struct(F.lit(1.0).alias("l"), F.lit(2.0).alias("t"), F.lit(3.0).alias("r"), F.lit(0.0).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin")), "charspan": F.array(F.lit(0), F.lit(9))})
+    row = graphs.property_graph(meta, boxed, e, meta.select("document_id", "root_id"))["snippets"].where("node_id = 't'").first()
+    assert (row.preview, row.pages, row.bbox_t, row.charspan_end) == ("Titel", [1], 2.0, 9) and len(row.snippet_id) == 64
     assert graphs.property_graph(meta, n, e, meta.select("document_id", "root_id"))["relationships"].count() == 6
 
 
@@ -169,3 +181,30 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         ingest.follow(spark, source, schema, target, str(tmp_path / "mark"), ["k"], ["at"]).awaitTermination()
     assert sorted(map(tuple, ingest.snapshot(spark, target, ["k"], ["at"]).select("k", "v").collect())) == [("a", "new"), ("b", "x")]
+
+
+def test_parsed_documents(spark, tmp_path):
+    ref = lambda x: {"$ref": x}
+    prov = [{"page_no": 1, "bbox": {"l": 1.0, "t": 9.0, "r": 5.0, "b": 2.0, "coord_origin": "BOTTOMLEFT"}, "charspan": [0, 4]}]
+    item = lambda kind, i, parent="#/body", children=(), layer="body", **more: {"self_ref": f"#/{kind}/{i}", "parent": ref(parent), "children": [ref(x) for x in children], "content_layer": layer, "label": kind, "prov": prov} | more
+    doc = {
+        "name": "x", "body": {"self_ref": "#/body", "children": [ref(x) for x in ("#/texts/1", "#/texts/0", "#/groups/0", "#/pictures/0", "#/tables/0")]},
+        "texts": [item("texts", 0, text="Zweiter", orig="Zweiter"), item("texts", 1, text="Erster", orig="Erster"), item("texts", 2, "#/groups/0", text="Punkt", orig="Punkt"), item("texts", 3, layer="furniture", text="Seite 1"), item("texts", 4, "#/pictures/0", text="Abb. 1")],
+        "groups": [item("groups", 0, children=["#/texts/2"], name="list")], "pictures": [item("pictures", 0, captions=[ref("#/texts/4")])],
+        "tables": [item("tables", 0, captions=[], data={"num_rows": 1, "num_cols": 2, "table_cells": [{"start_row_offset_idx": 0, "start_col_offset_idx": i, "text": t, "column_header": True} for i, t in enumerate("ab")]})],
+        "pages": {"1": {"page_no": 1, "size": {"width": 600.0, "height": 800.0}}},
+    }
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "leitfaden.json").write_text(json.dumps(doc, indent=1))
+    got = parsed.read_parsed(spark, str(tmp_path / "in"))
+    assert got["items"].count() == 8 and got["pages"].first().height == 800.0 and got["cells"].count() == 2 and [tuple(r) for r in got["captions"].collect()] == [("leitfaden", "#/pictures/0", "#/texts/4", 0)]
+    rows = parsed.serialized(got).orderBy("way").collect()
+    assert [(r.text, r.depth) for r in rows] == [("Erster", 0), ("Zweiter", 0), ("Punkt", 1), ("Abb. 1", 0), ("| a | b |\n| --- | --- |", 0)]
+    kinds = got["items"].select(parsed.is_kind(F.col("node_id"), "texts").alias("t"), "furniture").collect()
+    assert sum(r.t for r in kinds) == 5 and sum(r.furniture for r in kinds) == 1
+    meta = spark.createDataFrame([(json.dumps({"headings": ["A", "B"], "doc_items": [{"prov": prov}, {}]}),), ("kaputt",), (None,)], "meta string").select(parsed.chunk_provenance(F.col("meta")).alias("p"), parsed.chunk_headings(F.col("meta")).alias("h")).collect()
+    assert [len(r.p) for r in meta] == [1, 0, 0] and meta[0].p[0].charspan == [0, 4] and [r.h for r in meta] == [["A", "B"], [], []]
+    chunk = spark.createDataFrame([("c", "baseline", "x")], "chunk_id string, variant string, text string")
+    parsed.write_chunks(chunk, str(tmp_path / "chunks"))
+    parsed.write_snippets(chunk, str(tmp_path / "snippets"))
+    assert spark.read.json(str(tmp_path / "chunks")).first().variant == "baseline" and spark.read.json(str(tmp_path / "snippets")).count() == 1
