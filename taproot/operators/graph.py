@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taproot.functions.text import strip
 from taproot.operators.current import current_rows
 from taproot.operators.hierarchy import hierarchy
+from taproot.plans.lineage import stored
 
 # Relations of the structure with their weights, and labels of nodes that head a section.
 STRUCTURAL_WEIGHTS = {"section": 1.0, "text": 0.8, "list_item": 0.6, "media": 0.9, "unreferenced_media": 0.3, "reference": 0.7, "root": 0.1}
@@ -100,3 +101,29 @@ def connect(node_rows: DataFrame, edge_rows: DataFrame, roots: DataFrame) -> Dat
     own = rows.join(roots, "document_id").where("node_id = root_id").select("document_id", F.col("part"))
     loose = heads.join(own, ["document_id", "part"], "left_anti").join(roots, "document_id")
     return loose.select("document_id", F.col("root_id").alias("parent_id"), F.col("head.node_id").alias("child_id"), F.lit(STRUCTURAL_WEIGHTS["root"]).alias("weight"), F.lit("root").alias("relation")).where("parent_id <> child_id")
+
+
+def ancestors_of(edge_rows: DataFrame) -> DataFrame:
+    """``document_id, node_id, ancestor_id, distance``: every node reachable upwards over edges of any kind, by the shortest way.
+
+    References may give a node several parents and may close circles; a node is never its own ancestor.  Each round goes one
+    edge up from what the last one found, so there are as many rounds as the longest of the shortest ways.
+    """
+    up = stored(edge_rows.where("parent_id <> child_id").select("document_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id")).distinct())
+    step = up.select("document_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
+    found = last = stored(up.withColumn("distance", F.lit(1)))
+    while True:
+        far = last.join(step, ["document_id", "ancestor_id"]).where("next <> node_id").groupBy("document_id", "node_id", F.col("next").alias("ancestor_id")).agg((F.max("distance") + 1).alias("distance"))
+        last = stored(far.join(found.drop("distance"), ["document_id", "node_id", "ancestor_id"], "left_anti"))
+        if not last.limit(1).count():
+            return found
+        found = found.unionByName(last)
+
+
+def from_texts(texts: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """Nodes from bare texts (``document_id, node_id, text``), for measures that need nothing else; ends of edges that have no
+    text get an empty one."""
+    ends = edge_rows.select("document_id", F.explode(F.array("parent_id", "child_id")).alias("node_id")).distinct().join(texts, ["document_id", "node_id"], "left_anti").withColumn("text", F.lit(""))
+    rows = texts.select("document_id", "node_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(ends)
+    blank = {"seq": F.lit(0), "level": F.lit(0), "level_label": F.lit("Body"), "kind": F.lit("text"), "grouped": F.lit(False), "page_no": F.lit(0)}
+    return rows.withColumns(blank)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproot.functions import linguistic as ling
-from taproot.functions.text import cosine, stems, tokens
+from taproot.functions.text import cosine, stems, strip, tokens
 from taproot.operators.graph import STRUCTURAL_WEIGHTS, SUPPLY_PRIORS, contexts, is_heading, lookup, supply_relation
 from taproot.plans.lineage import cut, stored
 
@@ -121,11 +121,12 @@ def syntactic_need(context: DataFrame, weights: dict[str, float] | None = None)
 def surprisal_need(edge_rows: DataFrame, control_rows: DataFrame, scorer: Callable[[Column, Column], Column], mode: str = "max", scale: float = 1.0) -> DataFrame:
     """How much the parent lowers the child's surprisal, beyond what a control parent does.
 
-    ``edge_rows`` have ``p_text, c_text``, ``control_rows`` ``document_id, child_id, text``; ``scorer(text, context)`` gives
+    ``edge_rows`` have ``p_text, c_text``, ``control_rows`` ``document_id, child_id, text`` and perhaps ``parent_id``; ``scorer(text, context)`` gives
     the mean negative log likelihood.  Mode max divides by the document's greatest, tanh squashes by ``scale``.
     """
     empty = F.lit("")
-    rows = edge_rows.join(control_rows.select("document_id", "child_id", F.col("text").alias("k_text")), ["document_id", "child_id"], "left")
+    by = [c for c in KEY if c in control_rows.columns]
+    rows = edge_rows.join(control_rows.select(*by, F.col("text").alias("k_text")), by, "left")
     alone = scorer(F.col("c_text"), empty)
     gain = (alone - scorer(F.col("c_text"), F.col("p_text"))) - F.greatest(F.lit(0.0), F.coalesce(alone - scorer(F.col("c_text"), F.col("k_text")), F.lit(0.0)))
     rows = rows.select(*KEY, F.when(F.trim("c_text") == "", 0.0).otherwise(gain).alias("gain"))
@@ -279,6 +280,32 @@ def controls(node_rows: DataFrame, edge_rows: DataFrame, ancestor_rows: DataFram
     return cut(pairs.join(up, ["document_id", "child_id", "control"], "left_anti").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(*KEY, "control"))
 
 
+def counterfactual_parents(node_rows: DataFrame, edge_rows: DataFrame, ancestor_rows: DataFrame) -> DataFrame:
+    """One stand-in parent of every edge that has one: ``document_id, parent_id, child_id, control, text``.
+
+    The parents of a document stand in a ring by id; from half the ring on behind an edge's parent the first counts that has
+    a text and is neither end nor an ancestor of the child.  Of the ring each edge sees as many members as may be barred.
+    """
+    pool = stored(edge_rows.select("document_id", F.col("parent_id").alias("control")).distinct().join(node_rows.select("document_id", F.col("node_id").alias("control"), "text"), ["document_id", "control"]))
+    ring = stored(pool.withColumn("at", F.row_number().over(Window.partitionBy("document_id").orderBy("control")) - 1))
+    sizes = ring.groupBy("document_id").agg(F.count("*").alias("n"))
+    # Those with a text are numbered once more; each place of the ring knows how many of them come before it.
+    full = strip(F.col("text")) != ""
+    before = F.sum(F.when(full, 1).otherwise(0)).over(Window.partitionBy("document_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    ring = stored(ring.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("full", full).drop("text"))
+    said = ring.where("full").select("document_id", "control", "before")
+    m = said.groupBy("document_id").agg(F.count("*").alias("m"))
+    barred = ancestor_rows.select("document_id", F.col("node_id").alias("child_id"), F.col("ancestor_id").alias("control")).distinct()
+    counts = barred.groupBy("document_id", "child_id").agg(F.count("*").alias("k"))
+    own = edge_rows.select(*KEY).join(ring.select("document_id", F.col("control").alias("parent_id"), "at"), ["document_id", "parent_id"]).join(sizes, "document_id").join(m, "document_id")
+    own = own.withColumn("start", (F.col("at") + F.greatest(F.lit(1), F.floor(F.col("n") / 2))) % F.col("n"))
+    own = own.join(ring.select("document_id", F.col("at").alias("start"), F.col("before").alias("first")), ["document_id", "start"]).join(counts, ["document_id", "child_id"], "left")
+    seen = own.select(*KEY, "first", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m") - 1, F.coalesce("k", F.lit(0)) + 2))).alias("step"))
+    seen = seen.withColumn("before", (F.col("first") + F.col("step")) % F.col("m")).join(said, ["document_id", "before"]).where((F.col("control") != F.col("parent_id")) & (F.col("control") != F.col("child_id")))
+    free = seen.join(barred, ["document_id", "child_id", "control"], "left_anti").groupBy(*KEY).agg(F.min(F.struct("step", "control"))["control"].alias("control"))
+    return free.join(node_rows.select("document_id", F.col("node_id").alias("control"), "text"), ["document_id", "control"]).select(*KEY, "control", "text")
+
+
 def recentred(scores: Callable[[DataFrame], DataFrame], edge_rows: DataFrame, control_rows: DataFrame, value: str) -> DataFrame:
     """A measure of every edge minus its mean over the controls, cut at 0; without controls 0.  Both are scored in one pass."""
     extra = control_rows.select("document_id", F.col("control").alias("parent_id"), "child_id").distinct().withColumn("relation", F.lit("text")).withColumn("weight", F.lit(0.0))

@@ -106,6 +106,24 @@ def component_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.connect(n, e, graph.root_ids(n, table(spark, folder, "documents_meta")))
 
 
+def edge_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """What each node reaches upwards over all edges, with an edge more that makes nodes reach by several ways."""
+    return graph.ancestors_of(_crossed(spark, folder))
+
+
+def _crossed(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree and, as references, an edge from each list item's text to the next node."""
+    n, e = _both(spark, folder)
+    order = Window.partitionBy("document_id").orderBy("seq", "node_id")
+    ahead = n.withColumn("next", F.lead("node_id").over(order)).where("grouped and next is not null")
+    return e.unionByName(ahead.select("document_id", F.col("node_id").alias("parent_id"), F.col("next").alias("child_id"), F.lit(0.7).alias("weight"), F.lit("reference").alias("relation")))
+
+
+def counterfactual_parents(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return weights.counterfactual_parents(n, e, graph.ancestors_of(e)).select("document_id", "parent_id", "child_id", "control")
+
+
 # --- parsed items ---------------------------------------------------------------
 
 
@@ -549,6 +567,6 @@ QUERIES |= {
         merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
         relation_mix, relation_mix_by_language, document_languages, graph_summary, graph_checks, graph_outline, repeated_texts, metric_agreement, metric_spread,
         prior_report, evidence_report, merge_costs, chunk_sizes, fragmentation, edge_sample, page_places, stitched_paragraphs, page_regions, line_fragments,
-        heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, graph_gexf, graph_relationships, graph_snippets, chunk_headings, fragmented_paragraphs,
+        heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, edge_ancestors, counterfactual_parents, graph_gexf, graph_relationships, graph_snippets, chunk_headings, fragmented_paragraphs,
     )
 }

@@ -382,4 +382,14 @@ SELECT document_id, parent_id, child_id, round((a::INT + b::INT + c::INT + d::IN
     "graph_snippets": f"WITH {_NODES} SELECT sha256(document_id || ':' || node_id) AS snippet_id, document_id, seq, level, substr(text, 1, 100) AS preview, coalesce(page_no::VARCHAR, '') AS pages FROM nodes",
     "chunk_headings": """WITH newest AS (SELECT chunk_id, meta FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) = 1)
 SELECT chunk_id, coalesce(array_to_string(from_json(json_extract(meta, '$.headings'), '["VARCHAR"]'), ' > '), '') AS headings, 0 AS places FROM newest""",
+    "edge_ancestors": f"""WITH RECURSIVE {_NODES}, {_EDGES}, ahead AS (SELECT document_id, node_id, grouped, lead(node_id) OVER (PARTITION BY document_id ORDER BY seq, node_id) AS next FROM nodes),
+up AS (SELECT DISTINCT * FROM (SELECT document_id, child_id AS node_id, parent_id AS ancestor_id FROM links UNION ALL SELECT document_id, next, node_id FROM ahead WHERE grouped AND next IS NOT NULL) WHERE node_id <> ancestor_id),
+way AS (SELECT *, 1 AS distance FROM up UNION SELECT w.document_id, w.node_id, u.ancestor_id, w.distance + 1 FROM way w JOIN up u ON w.document_id = u.document_id AND w.ancestor_id = u.node_id WHERE w.distance < 100 AND u.ancestor_id <> w.node_id)
+SELECT document_id, node_id, ancestor_id, min(distance)::INTEGER AS distance FROM way GROUP BY 1, 2, 3""",
+    "counterfactual_parents": f"""WITH RECURSIVE {_NODES}, {_EDGES}, up AS (SELECT DISTINCT document_id, child_id AS node_id, parent_id AS ancestor_id FROM links),
+way AS (SELECT * FROM up UNION SELECT w.document_id, w.node_id, u.ancestor_id FROM way w JOIN up u ON w.document_id = u.document_id AND w.ancestor_id = u.node_id),
+ring AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY control) - 1 AS at, count(*) OVER (PARTITION BY document_id) AS n FROM (SELECT DISTINCT l.document_id, parent_id AS control, {_strip("text")} AS text FROM links l JOIN nodes x ON x.document_id = l.document_id AND x.node_id = l.parent_id)),
+tried AS (SELECT e.document_id, e.parent_id, e.child_id, k.control, (k.at - p.at - greatest(1, p.n // 2) + 2 * p.n) % p.n AS step FROM links e JOIN ring p ON e.document_id = p.document_id AND e.parent_id = p.control JOIN ring k ON k.document_id = e.document_id
+  LEFT JOIN way w ON w.document_id = e.document_id AND w.node_id = e.child_id AND w.ancestor_id = k.control WHERE k.text <> '' AND k.control NOT IN (e.parent_id, e.child_id) AND w.node_id IS NULL)
+SELECT document_id, parent_id, child_id, arg_min(control, step) AS control FROM tried GROUP BY 1, 2, 3""",
 }
