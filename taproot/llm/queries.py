@@ -151,13 +151,15 @@ def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
         packed.select(F.lit(no).alias("capacity_id"), F.col("container").alias("container_id"), "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
         for no, _, packed in _packed(spark, folder)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    none = spark.createDataFrame([], "capacity_id int, container_id string, doc_id long, piece int, start_token long, n_tokens long")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How well the containers of each capacity are filled."""
     parts = [fill(packed, capacity).select(F.lit(no).alias("capacity_id"), F.lit(capacity).alias("capacity"), "containers", "tokens", "least", F.round("unused", 6).alias("unused"), "fullest") for no, capacity, packed in _packed(spark, folder)]
-    return reduce(DataFrame.unionByName, parts)
+    none = spark.createDataFrame([], "capacity_id int, capacity int, containers long, tokens long, least long, unused double, fullest long")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
