@@ -158,7 +158,7 @@ def shape(line: str, exempt: bool = False, alike: bool = False) -> str:
     Marks: H an ``exempt`` line of an honest list, T a label of tags, P a price or article number, # hashtags (two, or
     nothing else), C a counter at the end, K many short items that are alike or many, A a line that opens like others of its
     page (``alike``), R repetition within the line.  Words are counted without links; of a plain sentence only the first
-    capital counts.
+    capital counts, and a line that ends like one is one item.
     """
     bare = line.strip()
     end = _ended(bare)
@@ -168,22 +168,21 @@ def shape(line: str, exempt: bool = False, alike: bool = False) -> str:
     rest = _markup.sub(" ", _link.sub(" ", bare)) if n_links else bare
     end = end if not n_links else _ended(rest)
     words = _word(rest)
-    items = [x for x in _items(bare) if x]
-    marks = "H" if exempt else ""
+    marks, n_items = "H" if exempt else "", 1
     if not exempt:
         hashes = _hash(bare) if "#" in bare or "＃" in bare else ()
-        own = tokens(bare)
-        same = repetition(own)
-        marks += "T" if _tags(bare) else ""
+        marks += "T" if (":" in bare or "：" in bare) and _tags(bare) else ""
         marks += "P" if _price(bare) else ""
         marks += "#" if len(hashes) >= 2 or (len(hashes) == 1 and len(hashes[0]) >= 0.8 * len(bare)) else ""
         marks += "C" if bare[-1:] in "0123456789])" and _counter(bare) else ""
-        if not end and len(items) >= 4 and len(own) <= 5 * len(items) and max(map(len, items)) <= 60 and not any(x[0].isdecimal() for x in items):
-            named = {x.casefold() for x in items}
-            marks += "K" if same >= ALIKE or len(named) < len(items) or len(items) >= 5 else ""
-        marks += "A" if alike else ""
-        marks += "R" if same >= REPEATED and (not end and len(_units(bare)) == 1) else ""
-    return f"w{_grade(len(words))}c{_grade(sum(w[0].isupper() for w in words))}i{_grade(len(items))}l{_grade(n_links)}{marks}{'.' if end else '-'}"
+        if not end:
+            items, own = [x for x in _items(bare) if x], tokens(bare)
+            n_items, same = len(items), repetition(own)
+            if n_items >= 4 and len(own) <= 5 * n_items and max(map(len, items)) <= 60 and not any(x[0].isdecimal() for x in items):
+                marks += "K" if same >= ALIKE or len({x.casefold() for x in items}) < n_items or n_items >= 5 else ""
+            marks += "A" if alike else ""
+            marks += "R" if same >= REPEATED and len(_units(bare)) == 1 else ""
+    return f"w{_grade(len(words))}c{_grade(sum(w[0].isupper() for w in words))}i{_grade(n_items)}l{_grade(n_links)}{marks}{'.' if end else '-'}"
 
 
 _shape = re.compile(r"w(.)c.i.l(.)(\D*)([.-])\Z").match
