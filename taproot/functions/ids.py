@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taproot.functions.text import SPACE, strip
+
 
 def document_name(path: Column) -> Column:
     """Base name without its last extension; a name that is all extension stays whole."""
@@ -37,3 +39,9 @@ def snippet_id(document_id: Column, local_ref: Column) -> Column:
 
 def edge_uid(document: Column, parent_ref: Column, child_ref: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", document, parent_ref, child_ref), 256), 1, 16)
+
+
+def clip(text: Column, longest: int = 1200, keep_lines: bool = False) -> Column:
+    """A text for a reader: on one line, or with its lines but single spaces, cut after ``longest`` characters."""
+    flat = strip(F.regexp_replace(text, "[ \\t]+", " ")) if keep_lines else strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.when(F.length(flat) > longest, F.concat(F.substring(flat, 1, longest), F.lit(" […]"))).otherwise(flat)

@@ -127,3 +127,15 @@ def from_texts(texts: DataFrame, edge_rows: DataFrame) -> DataFrame:
     rows = texts.select("document_id", "node_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(ends)
     blank = {"seq": F.lit(0), "level": F.lit(0), "level_label": F.lit("Body"), "kind": F.lit("text"), "grouped": F.lit(False), "page_no": F.lit(0)}
     return rows.withColumns(blank)
+
+
+def relation_of(edge_rows: DataFrame, document_id: str, parent_id: str, child_id: str) -> str | None:
+    """Relation of one edge, None if there is no such edge."""
+    row = edge_rows.where((F.col("document_id") == document_id) & (F.col("parent_id") == parent_id) & (F.col("child_id") == child_id)).select("relation").first()
+    return row and row.relation
+
+
+def page_of(pages: DataFrame, document_id: str, page_no: int) -> tuple[float, float] | None:
+    """Width and height of one page, None if it isn't known."""
+    row = pages.where((F.col("document_id") == document_id) & (F.col("page_no") == page_no)).select("width", "height").first()
+    return row and (row.width, row.height)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taproot.functions.ids import clip, edge_uid
 from taproot.functions.linguistic import marker_votes
 from taproot.functions.text import SPACE, n_chars, n_words, strip, token_count
 from taproot.operators import retrieval, weights
@@ -207,6 +208,32 @@ def fragmented(items: DataFrame) -> DataFrame:
     return rows.select("document_id", "node_id", F.col("x_node_id").alias("next_id"), kind.alias("kind"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"))
 
 
+def edge_cards(node_rows: DataFrame, edge_rows: DataFrame, longest: int = 1200) -> DataFrame:
+    """``uid, document_id, parent_id, child_id, relation, parent_text, child_text``: edges for a reader to judge.
+
+    The uid depends on the ends alone, so judgements outlive a new build.  Tables keep their lines.
+    """
+    context = contexts(node_rows, edge_rows)
+    text = lambda side: F.when(F.col(f"{side}_kind") == "table", clip(F.col(f"{side}_text"), longest, True)).otherwise(clip(F.col(f"{side}_text"), longest))
+    return context.select(edge_uid(F.col("document_id"), F.col("parent_id"), F.col("child_id")).alias("uid"), *weights.KEY, supply_relation(context).alias("relation"), text("p").alias("parent_text"), text("c").alias("child_text"))
+
+
+def strongest(node_rows: DataFrame, edge_rows: DataFrame, metrics: dict[str, DataFrame], top: int = 10) -> DataFrame:
+    """The ``top`` heaviest edges by each metric: ``metric, place, weight`` and the edge with its texts."""
+    rows = reduce(DataFrame.unionByName, [m.select(F.lit(name).alias("metric"), *weights.KEY, "weight") for name, m in metrics.items()])
+    # The window keeps no more than ``top`` rows of a task before they are shuffled.
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("weight"), *weights.KEY))).where(F.col("place") <= top)
+    return best.join(edge_cards(node_rows, edge_rows, 60), weights.KEY).select("metric", "place", F.round("weight", 6).alias("weight"), *weights.KEY, "relation", "parent_text", "child_text")
+
+
+def review_bundle(fragments: DataFrame, items: DataFrame, least: float = 0.3) -> DataFrame:
+    """Pairs of :func:`fragmented` for a reader, one row each: ``uid``, both texts, their pages and boxes."""
+    side = lambda p, key: items.select("document_id", F.col("node_id").alias(key), F.col("text").alias(f"{p}_text"), F.struct("page_no", "l", "t", "r", "b").alias(f"{p}_place"))
+    rows = fragments.where(F.col("score") >= least).join(side("a", "node_id"), ["document_id", "node_id"]).join(side("b", "next_id"), ["document_id", "next_id"])
+    uid = F.substring(F.sha1(F.concat_ws("|", "document_id", F.lit("paragraph"), "node_id", "next_id")), 1, 16)
+    return rows.select(uid.alias("uid"), "document_id", "node_id", "next_id", "kind", "score", "a_text", "b_text", "a_place", "b_place")
+
+
 def stratified_sample(rows: DataFrame, per_cell: int, seed: int = 42) -> DataFrame:
     """``per_cell`` rows of every cell, taken in turn from its documents; a hash of the seed decides, so it can be repeated."""
     mixed = F.xxhash64(*[c for c in rows.columns], F.lit(seed))

@@ -431,6 +431,15 @@ def fragmentation(spark: SparkSession, folder: str) -> DataFrame:
     return reports.fragmentation(_nodes(spark, folder))
 
 
+def edge_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.edge_cards(*_both(spark, folder), 80)
+
+
+def strongest_edges(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = _both(spark, folder)
+    return reports.strongest(n, e, {"structural": weights.structural(e), "bm25": weights.bm25(n, e).withColumn("weight", F.round("weight", 9))})
+
+
 def edge_sample(spark: SparkSession, folder: str) -> DataFrame:
     context = graph.contexts(*_both(spark, folder))
     return reports.stratified_sample(context.select("document_id", "parent_id", "child_id", graph.supply_relation(context).alias("cell")), 20)
@@ -566,7 +575,7 @@ QUERIES |= {
         semantic_weights, blended_similarity, node_tokens, tree_parents, tree_ancestors, _merged("none"), _merged("all_ancestors"), _merged("weighted"), _merged("subtree"),
         merge_means, merge_calibration, *map(_expanded, ("parent", "ancestors", "siblings", "subtree", "reference_edges", "auto_merge")),
         relation_mix, relation_mix_by_language, document_languages, graph_summary, graph_checks, graph_outline, repeated_texts, metric_agreement, metric_spread,
-        prior_report, evidence_report, merge_costs, chunk_sizes, fragmentation, edge_sample, page_places, stitched_paragraphs, page_regions, line_fragments,
+        prior_report, evidence_report, merge_costs, chunk_sizes, fragmentation, edge_sample, edge_cards, strongest_edges, page_places, stitched_paragraphs, page_regions, line_fragments,
         heading_styles, text_levels, typed_levels, given_levels, height_histogram, baseline_chunks, edge_ancestors, counterfactual_parents, graph_gexf, graph_relationships, graph_snippets, chunk_headings, fragmented_paragraphs,
     )
 }

@@ -270,6 +270,16 @@ def _spreads(parts: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{name}' AS metric, weight FROM ({select})" for name, select in parts.items())
 
 
+def _cards(longest: int) -> str:
+    def cut(text: str) -> str:
+        flat = _strip(f"regexp_replace({text}, '[{_SPACE}]+', ' ', 'g')")
+        return f"CASE WHEN length({flat}) > {longest} THEN substr({flat}, 1, {longest}) || ' […]' ELSE {flat} END"
+
+    return f"""named AS (SELECT *, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h FROM nodes),
+cards AS (SELECT substr(sha256(e.document_id || ':' || e.parent_id || ':' || e.child_id), 1, 16) AS uid, e.document_id, e.parent_id, e.child_id, {_RELATION} AS relation, {cut("p.text")} AS parent_text, {cut("c.text")} AS child_text
+  FROM links e JOIN named p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN named c ON e.document_id = c.document_id AND e.child_id = c.node_id)"""
+
+
 _LEVELS = ", ".join(f"({x})" for x in (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0))
 # Sizes of the units at each threshold, by a recursion up the chain of every node.
 _SIZES = """grown AS (
@@ -392,4 +402,11 @@ ring AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY control)
 tried AS (SELECT e.document_id, e.parent_id, e.child_id, k.control, (k.at - p.at - greatest(1, p.n // 2) + 2 * p.n) % p.n AS step FROM links e JOIN ring p ON e.document_id = p.document_id AND e.parent_id = p.control JOIN ring k ON k.document_id = e.document_id
   LEFT JOIN way w ON w.document_id = e.document_id AND w.node_id = e.child_id AND w.ancestor_id = k.control WHERE k.text <> '' AND k.control NOT IN (e.parent_id, e.child_id) AND w.node_id IS NULL)
 SELECT document_id, parent_id, child_id, arg_min(control, step) AS control FROM tried GROUP BY 1, 2, 3""",
+    "edge_cards": f"WITH {_NODES}, {_EDGES}, {_cards(80)} SELECT * FROM cards",
+    "strongest_edges": f"""WITH {_SIMILAR}, {_cards(60)}, pooled AS (SELECT 'structural' AS metric, document_id, parent_id, child_id, {_STRUCTURAL} AS weight FROM links UNION ALL SELECT 'bm25', document_id, parent_id, child_id, round(x, 9) FROM alike),
+best AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY weight DESC, document_id, parent_id, child_id)::INTEGER AS place FROM pooled QUALIFY place <= 10)
+SELECT metric, place, round(weight, 6) AS weight, document_id, parent_id, child_id, relation, parent_text, child_text FROM best JOIN cards USING (document_id, parent_id, child_id)""",
+    "fragmentation": rf"""WITH {_NODES}, ahead AS (SELECT *, lead(node_id) OVER w AS next_id, lead(text) OVER w AS next, lead(page_no) OVER w AS next_page FROM nodes WHERE text <> '' WINDOW w AS (PARTITION BY document_id ORDER BY seq, node_id)),
+scored AS (SELECT *, (NOT regexp_matches(text, '[.!?:;…][^A-Za-z0-9_]*$'))::INT + coalesce(regexp_matches(next, '^[^A-Za-z0-9_]*\p{{Ll}}'), false)::INT + coalesce(next_page = page_no + 1, false)::INT AS score FROM ahead WHERE next_page - page_no <= 1 AND NOT coalesce(level_label IN ('Title', 'Heading', 'Root'), false))
+SELECT document_id, node_id, next_id, score FROM scored WHERE score >= 2""",
 }
