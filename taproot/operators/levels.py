@@ -11,6 +11,10 @@ small as its styles and heights, however many items it has.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from statistics import median
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,12 +27,33 @@ STEP_POINTS, STEP_SHARE = 1.5, 0.10
 # What a smaller style needs to stand above a larger one: evidence, how many times that of the reverse,
 # sections, and the share of the larger one's headings inside them.
 OVERRIDE_EVIDENCE, OVERRIDE_RATIO, OVERRIDE_SECTIONS, OVERRIDE_SHARE = 0.5, 5.0, 3, 0.7
+Row = Any
 #: Where levels come from: type and nesting, type alone, or the levels that the items bring along.
 SOURCES = ("hybrid", "typography", "given")
 #: Level of a text without line heights.
 UNKNOWN = 1000
 
 
+def by_document(df: DataFrame, work: Callable[[str, list[Row]], list[tuple]], schema: str) -> DataFrame:
+    """``work`` done on the rows of each document; they are few, so many documents go through one task without a frame each."""
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name="Row"):
+                if row.document_id != at:
+                    out += work(at, held) if held else []
+                    at, held = row.document_id, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(work(at, held) if held else [], columns=columns)
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return df.select(*names).repartition("document_id").sortWithinPartitions("document_id").mapInPandas(run, schema)
+
+
 def median_height(heights: Column) -> Column:
     """Median of the line heights, null without any."""
     s = F.array_sort(F.filter(heights, lambda x: x.isNotNull()))
@@ -127,22 +152,22 @@ def _styled(headings: DataFrame) -> DataFrame:
     rows = headings.withColumn("height", F.coalesce(median_height(F.col("line_heights")), F.lit(0.0))).withColumn("tenth", F.round("height", 1))
     met = rows.groupBy("document_id", "font_key", "tenth").agg(F.count("*").alias("n"))
 
-    def cluster(own: pd.DataFrame) -> pd.DataFrame:
+    def cluster(document: str, own: list[Row]) -> list[tuple]:
         fonts: dict[str, list[float]] = {}
-        use = own["font_key"].notna().any()
-        for font, h in zip(own["font_key"].tolist(), own["tenth"].tolist()):
-            if not use or isinstance(font, str):
-                fonts.setdefault(font if use else "", []).append(h)
+        use = any(isinstance(r.font_key, str) for r in own)
+        for r in own:
+            if not use or isinstance(r.font_key, str):
+                fonts.setdefault(r.font_key if use else "", []).append(r.tenth)
         out = []
         for font, heights in fonts.items():
             made = clusters([h for h in heights if h > 0])
-            sizes = [float(np.median(c)) for c in made]
+            sizes = [median(c) for c in made]
             for h in set(heights):
                 own_size = next((s for s, c in zip(sizes, made) if h in c), min(sizes, key=lambda s: abs(s - h), default=None))
-                out.append((own["document_id"].iloc[0], font, h, own_size))
-        return pd.DataFrame(out, columns=["document_id", "font", "tenth", "size"])
+                out.append((document, font, h, own_size))
+        return out
 
-    made = met.groupBy("document_id").applyInPandas(cluster, "document_id string, font string, tenth double, size double")
+    made = by_document(met, cluster, "document_id string, font string, tenth double, size double")
     fonts = met.groupBy("document_id").agg(F.max("font_key").isNotNull().alias("use"))
     rows = rows.join(fonts, "document_id").withColumn("font", F.when(F.col("use"), F.col("font_key")).otherwise(F.lit("")))
     return rows.drop("use").join(made, ["document_id", "font", "tenth"], "left")
@@ -168,25 +193,25 @@ def _ranked(rows: DataFrame, source: str) -> DataFrame:
     at = lambda c: (F.array_position("places", F.col(c)) - 1).cast("int").alias(c)
     rows = styles.join(places, "document_id").select("document_id", "font", "size", "n", at("first"), at("last")).join(spread, ["document_id", "font", "size"])
 
-    def rank(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("first")
-        size, n, first, last = (own[c].tolist() for c in ("size", "n", "first", "last"))
+    def rank(document: str, own: list[Row]) -> list[tuple]:
+        own = sorted(own, key=lambda r: r.first)
+        size, n, first, last = ([getattr(r, c) for r in own] for c in ("size", "n", "first", "last"))
         inside = {}
         for a in range(len(own)):
-            for b, found in enumerate(own["spread"]):
+            for b, r in enumerate(own):
                 # A heading on place k lies strictly after first if k > first, one between places k - 1 and k if k > first.
-                held = sum(x["n"] for x in found if x["after"] > first[a] and (x["after"] < last[a] if x["on"] else x["after"] <= last[a]))
+                held = sum(x["n"] for x in r.spread if x["after"] > first[a] and (x["after"] < last[a] if x["on"] else x["after"] <= last[a]))
                 if a != b and held:
                     inside[a, b] = held
-        return own[["document_id", "font", "size", "n"]].assign(level=rank_styles(size, n, first, inside, source))
+        return [(document, r.font, r.size, r.n, level) for r, level in zip(own, rank_styles(size, n, first, inside, source))]
 
-    return rows.groupBy("document_id").applyInPandas(rank, "document_id string, font string, size double, n long, level int")
+    return by_document(rows, rank, "document_id string, font string, size double, n long, level int")
 
 
-def _text_steps(own: pd.DataFrame) -> pd.DataFrame:
+def _text_steps(document: str, own: list[Row]) -> list[tuple]:
     """Levels of the heights (in tenths) of a document's texts; rows: height, n (all items), texts (texts alone), deepest."""
-    own = own.sort_values("tenth")
-    height, n = own["tenth"].to_numpy(float), own["n"].to_numpy(np.int64)
+    own = sorted(own, key=lambda r: r.tenth)
+    height, n = np.array([r.tenth for r in own], float), np.array([r.n for r in own], np.int64)
     out = []
 
     def percentile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
@@ -197,8 +222,8 @@ def _text_steps(own: pd.DataFrame) -> pd.DataFrame:
     body, spread = percentile(height, n, 0.5), percentile(height, n, 0.75) - percentile(height, n, 0.25)
     small = height < body - spread
     middle = percentile(height[small], n[small], 0.5) if small.any() else 0.0
-    level, label = int(own["deepest"].iloc[0]), {}
-    used = [(h, s) for h, s, t in zip(height[::-1], small[::-1], own["texts"].to_numpy()[::-1]) if t > 0]
+    level, label = int(own[0].deepest), {}
+    used = [(h, s) for h, s, t in zip(height[::-1], small[::-1], [r.texts for r in own[::-1]]) if t > 0]
     for h, under in used:
         if not under:
             label[level] = "Body"
@@ -213,7 +238,7 @@ def _text_steps(own: pd.DataFrame) -> pd.DataFrame:
                 level += 1
                 label[level] = "Subsubtext"
             out.append((int(h), level))
-    return pd.DataFrame([(own["document_id"].iloc[0], h, x, label[x]) for h, x in out], columns=["document_id", "step", "level", "level_label"])
+    return [(document, h, x, label[x]) for h, x in out]
 
 
 def classify(items: DataFrame, titles: DataFrame, source: str = "hybrid") -> DataFrame:
@@ -260,7 +285,7 @@ def classify(items: DataFrame, titles: DataFrame, source: str = "hybrid") -> Dat
     lines = rows.select("document_id", "heading", F.explode("line_heights").alias("h")).where("h is not null").groupBy("document_id", F.round(F.round("h", 1) * 10).cast("int").alias("tenth"))
     lines = lines.agg(F.count("*").alias("n"), F.count(F.when(~F.col("heading"), 1)).alias("texts"))
     lines = lines.join(frame.select("document_id", F.coalesce(F.col("aside") + 1, F.lit(1)).alias("deepest")), "document_id")
-    steps = lines.groupBy("document_id").applyInPandas(_text_steps, "document_id string, step int, level int, level_label string")
+    steps = by_document(lines, _text_steps, "document_id string, step int, level int, level_label string")
     # Largest step first, as of equally near ones the larger counts.
     steps = steps.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("step", "level", "level_label")), False).alias("steps"))
     own = median_height(F.transform("line_heights", lambda x: F.floor(x * 10 + 1e-9).cast("double")))

@@ -130,12 +130,13 @@ def counterfactual_parents(spark: SparkSession, folder: str) -> DataFrame:
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     """Current texts as parsed items: lists are groups under what the delivered parent names, figure texts hang from a
     picture of their page, boxes count from the bottom left."""
-    items, _ = _boxed(spark, folder)
-    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["level", "level_label", "is_grouped", "parent_id", "region"])
-    rows = rows.select("document_id", F.col("snippet_id").alias("node_id"), "level", "level_label", F.coalesce("is_grouped", F.lit(False)).alias("grouped"), F.coalesce("region", F.lit("body")).alias("region"), strip(F.coalesce("parent_id", F.lit(""))).alias("up"))
-    rows = items.drop("parent_ref").join(rows, ["document_id", "node_id"])
-    ref = F.when(F.col("grouped"), F.concat(F.lit("#/groups/"), "up")).when(F.col("region") == "figure", F.concat(F.lit("#/pictures/"), F.col("page_no").cast("string"))).otherwise(F.lit("#/body"))
-    return rows.withColumn("parent_ref", ref).drop("up").withColumnRenamed("ord", "seq").withColumns({"block": F.lit(0), "column": F.lit(0)})
+    rows, _ = _boxed(spark, folder, "level", "level_label", "is_grouped", "parent_id", "font_key", "line_heights")
+    up, grouped, region = strip(F.coalesce("parent_id", F.lit(""))), F.coalesce("is_grouped", F.lit(False)), F.coalesce("region", F.lit("body"))
+    ref = F.when(grouped, F.concat(F.lit("#/groups/"), up)).when(region == "figure", F.concat(F.lit("#/pictures/"), F.col("page_no").cast("string"))).otherwise(F.lit("#/body"))
+    return rows.select(
+        "document_id", "node_id", F.col("ord").alias("seq"), "page_no", "label", "text", "l", "t", "r", "b", "level", "level_label", grouped.alias("grouped"), region.alias("region"), ref.alias("parent_ref"),
+        F.lit(0).alias("block"), F.lit(0).alias("column"), "font_key", "line_heights",
+    )
 
 
 def _media(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +152,7 @@ def _media(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         "l", (F.col("b") - 10).alias("t"), "r", (F.col("b") - 20).alias("b"), F.lit(1000).alias("level"), F.lit("Body").alias("level_label"), F.lit(False).alias("grouped"), F.lit("figure").alias("region"),
         F.col("node_id").alias("parent_ref"), "block", "column",
     )
-    return pictures, items.unionByName(notes)
+    return pictures, items.drop("font_key", "line_heights").unionByName(notes)
 
 
 def _graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -200,8 +201,7 @@ def reference_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Titles by the height of print on the first page."""
-    items = _items(spark, folder).join(_typed(spark, folder).select("document_id", "node_id", "line_heights"), ["document_id", "node_id"])
-    return metadata.titles(items.withColumnRenamed("seq", "ord"), title_page=1)
+    return metadata.titles(_items(spark, folder).withColumnRenamed("seq", "ord"), title_page=1)
 
 
 def document_fields(spark: SparkSession, folder: str) -> DataFrame:
@@ -448,32 +448,31 @@ def edge_sample(spark: SparkSession, folder: str) -> DataFrame:
 # --- pages and levels -----------------------------------------------------------
 
 
-def _boxed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _boxed(spark: SparkSession, folder: str, *more: str) -> tuple[DataFrame, DataFrame]:
     """Current text items with their boxes from the bottom left, and the pages.
 
     Without a height a box from the top left is measured down from the top edge, which keeps the order on its page.
     """
     pages = table(spark, folder, "page_geometry").groupBy("document_id", "page_no").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "page_no", "text", "bbox", "region"])
+    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "page_no", "text", "bbox", "region", *more])
     rows = rows.join(pages.select("document_id", "page_no", F.col("height").alias("_h")), ["document_id", "page_no"], "left").where("bbox is not null")
     box = layout.bottom_left(F.col("bbox"), F.coalesce("_h", F.lit(0.0)))
     parent = F.when(F.col("region") == "figure", "#/pictures/0").otherwise("#/body")
-    items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b")
+    items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b", "region", *more)
     return items, pages
 
 
-def _shapes(items: DataFrame, regions: DataFrame) -> DataFrame:
+def _shapes(items: DataFrame) -> DataFrame:
     """Drawn shapes, which the test data lack: a rule above and below each title, a box around each text of a sidebar."""
     titles = items.where("label = 'title'")
     rules = [titles.select("document_id", "page_no", F.lit(0.0).alias("l"), y.alias("t"), F.lit(2000.0).alias("r"), y.alias("b")) for y in (F.col("t") + 1, F.col("b"))]
-    boxes = items.join(regions.where("region = 'sidebar'"), ["document_id", "node_id"]).select("document_id", "page_no", (F.col("l") - 1).alias("l"), (F.col("t") + 12).alias("t"), (F.col("r") + 1).alias("r"), (F.col("b") - 12).alias("b"))
+    boxes = items.where("region = 'sidebar'").select("document_id", "page_no", (F.col("l") - 1).alias("l"), (F.col("t") + 12).alias("t"), (F.col("r") + 1).alias("r"), (F.col("b") - 12).alias("b"))
     return rules[0].unionByName(rules[1]).unionByName(boxes)
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
     items, pages = _boxed(spark, folder)
-    regions = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["region"]).withColumnRenamed("snippet_id", "node_id")
-    return layout.placed(items, pages, _shapes(items, regions))
+    return layout.placed(items.drop("region"), pages, _shapes(items))
 
 
 def page_places(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,14 +499,15 @@ def _typed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    rows = _typed(spark, folder).join(_items(spark, folder).select("document_id", "node_id", "text", "region", F.col("level").alias("given")), ["document_id", "node_id"])
     titles = table(spark, folder, "documents_meta").groupBy("document_id").agg(newest("title", "ingested_at").alias("title"))
-    return levels.classify(rows.withColumn("heading", F.col("label").isin("title", "section_header")), titles, source)
+    rows = _items(spark, folder).withColumnRenamed("level", "given").withColumn("heading", F.col("label").isin("title", "section_header"))
+    return levels.classify(rows.select("document_id", "node_id", "seq", "heading", "text", "region", "font_key", "line_heights", "given"), titles, source)
 
 
 def heading_styles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _typed(spark, folder).join(_items(spark, folder).select("document_id", "node_id", "region"), ["document_id", "node_id"])
-    return levels.heading_styles(rows.where("label in ('title', 'section_header')"))
+    rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "font_key", "line_heights", "region"])
+    rows = rows.where("label in ('title', 'section_header')")
+    return levels.heading_styles(rows.select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("seq"), F.coalesce("region", F.lit("body")).alias("region"), "font_key", "line_heights"))
 
 
 def text_levels(spark: SparkSession, folder: str) -> DataFrame:
