@@ -409,4 +409,51 @@ SELECT metric, place, round(weight, 6) AS weight, document_id, parent_id, child_
     "fragmentation": rf"""WITH {_NODES}, ahead AS (SELECT *, lead(node_id) OVER w AS next_id, lead(text) OVER w AS next, lead(page_no) OVER w AS next_page FROM nodes WHERE text <> '' WINDOW w AS (PARTITION BY document_id ORDER BY seq, node_id)),
 scored AS (SELECT *, (NOT regexp_matches(text, '[.!?:;…][^A-Za-z0-9_]*$'))::INT + coalesce(regexp_matches(next, '^[^A-Za-z0-9_]*\p{{Ll}}'), false)::INT + coalesce(next_page = page_no + 1, false)::INT AS score FROM ahead WHERE next_page - page_no <= 1 AND NOT coalesce(level_label IN ('Title', 'Heading', 'Root'), false))
 SELECT document_id, node_id, next_id, score FROM scored WHERE score >= 2""",
+    "built_nodes": f"""WITH {_PLACED_MEDIA},
+holding AS (SELECT DISTINCT document_id, parent_id FROM parents),
+gone AS (SELECT i.document_id, i.node_id FROM inside i LEFT JOIN holding h ON h.document_id = i.document_id AND h.parent_id = i.node_id WHERE h.parent_id IS NULL AND greatest({_count("coalesce(text, '')", f"[^{_SPACE}]+")}, length(coalesce(text, '')) // 4) <= 8),
+kept AS (SELECT x.document_id, 'text' AS kind, level_label FROM texts x ANTI JOIN gone g ON g.document_id = x.document_id AND g.node_id = x.node_id),
+meta AS (SELECT document_id, lower({_strip("arg_max(title, ingested_at)")}) AS title FROM documents_meta WHERE title IS NOT NULL GROUP BY 1),
+bare AS (SELECT x.document_id FROM texts x ANTI JOIN gone g ON g.document_id = x.document_id AND g.node_id = x.node_id LEFT JOIN meta m ON m.document_id = x.document_id GROUP BY 1
+  HAVING count(*) FILTER (level_label = 'Title') = 0 AND count(*) FILTER (lower({_strip("replace(coalesce(text, ''), chr(0), '')")}) = title) = 0)
+SELECT document_id, kind, level_label, count(*) AS n FROM (SELECT * FROM kept UNION ALL SELECT document_id, 'image', level_label FROM placed UNION ALL SELECT document_id, 'root', 'Root' FROM bare) GROUP BY 1, 2, 3""",
+    "document_fields": f"""WITH {_ITEMS}, refs AS (SELECT *, coalesce(CASE WHEN grouped THEN '#/groups/' || up WHEN region = 'figure' THEN '#/pictures/' || page_no ELSE '#/body' END, '#/body') AS ref FROM items),
+wanted AS (SELECT * FROM (VALUES ('therapy', 'treat', 1, 2), ('control', 'monitor', 1, 3), ('none', 'xyzzy', 1, 9)) x(field, label, low, high)),
+rows AS (SELECT r.document_id, w.field, w.label AS word, r.node_id, r.seq, r.text, r.ref, r.l, r.t, r.b FROM refs r JOIN wanted w ON r.page_no BETWEEN w.low AND w.high),
+held AS (SELECT * FROM rows WHERE contains(lower(text), word) QUALIFY row_number() OVER (PARTITION BY document_id, field ORDER BY seq, node_id) = 1),
+near AS (SELECT r.document_id, r.field, CASE WHEN r.ref = h.ref THEN r.node_id ELSE r.ref END AS ref FROM rows r JOIN held h ON r.document_id = h.document_id AND r.field = h.field AND abs(h.b - r.t) < 6 AND abs(h.l - r.l) < 6
+  QUALIFY row_number() OVER (PARTITION BY r.document_id, r.field ORDER BY r.seq, CASE WHEN r.ref = h.ref THEN r.node_id ELSE r.ref END) = 1)
+SELECT h.document_id, h.field, coalesce(n.ref, h.node_id) AS ref FROM held h LEFT JOIN near n ON h.document_id = n.document_id AND h.field = n.field""",
+    "expand_parent": rf"""WITH RECURSIVE {_CHAIN}, asked AS (SELECT * FROM (VALUES ('insulin', ['insulin', 'insulintherapie', 'insuline']), ('control', ['control', 'kontrolle', 'contrôle'])) x(query_id, terms)),
+worded AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS w FROM sized),
+hits AS (SELECT a.query_id, s.document_id, s.node_id, round(len(list_filter(w, lambda x: list_contains(a.terms, x))) / len(w), 6) AS score, t.up_id, t.up FROM worded s JOIN tied t USING (document_id, node_id), asked a WHERE len(list_filter(w, lambda x: list_contains(a.terms, x))) > 0),
+sides AS (SELECT h.query_id, h.document_id, h.node_id, h.score, p.node_id AS parent_id, s.text, p.text AS p_text, greatest(s.words, s.chars // 4) AS own,
+    greatest(s.words + p.words, (s.chars + p.chars + CASE WHEN s.chars > 0 AND p.chars > 0 THEN 2 ELSE 0 END) // 4) AS both_tokens, row_number() OVER (PARTITION BY h.query_id, h.document_id ORDER BY h.score DESC, h.node_id) AS place
+  FROM hits h JOIN sized s ON s.document_id = h.document_id AND s.node_id = h.node_id LEFT JOIN sized p ON p.document_id = h.document_id AND p.node_id = h.up_id AND h.up >= 0),
+served AS (
+  SELECT query_id, document_id, 0 AS place, 2000 AS budget FROM sides GROUP BY 1, 2
+  UNION ALL
+  SELECT s.query_id, s.document_id, v.place + 1, (v.budget - CASE WHEN s.parent_id IS NOT NULL AND s.both_tokens <= 2048 AND s.both_tokens - s.own <= v.budget THEN s.both_tokens - s.own ELSE 0 END)::INTEGER
+  FROM served v JOIN sides s ON s.query_id = v.query_id AND s.document_id = v.document_id AND s.place = v.place + 1),
+fitted AS (SELECT s.*, s.parent_id IS NOT NULL AND s.both_tokens <= 2048 AND s.both_tokens - s.own <= v.budget AS fits FROM sides s JOIN served v ON s.query_id = v.query_id AND s.document_id = v.document_id AND v.place = s.place - 1),
+crumbs AS (SELECT f.document_id, f.node_id, string_agg(s.text, ' > ' ORDER BY f.distance DESC) AS breadcrumb FROM far f JOIN sized s ON f.document_id = s.document_id AND f.spot = s.node_id WHERE f.distance > 0 AND s.h AND s.text <> '' GROUP BY 1, 2)
+SELECT query_id, document_id, node_id AS unit_id, score, CASE WHEN fits THEN 'parent' ELSE 'hit' END AS reason, CASE WHEN fits THEN parent_id || ',' || node_id ELSE node_id END AS members, '' AS absorbed,
+  CASE WHEN fits THEN both_tokens - own ELSE 0 END::INTEGER AS added_tokens, CASE WHEN fits THEN both_tokens ELSE own END::INTEGER AS token_count,
+  CASE WHEN fits AND p_text <> '' THEN p_text || chr(10) || chr(10) || text ELSE text END AS text, coalesce(breadcrumb, '') AS breadcrumb FROM fitted LEFT JOIN crumbs USING (document_id, node_id)""",
+    "recentred_complementarity": f"""WITH RECURSIVE {_CHAIN}, {_IDF}, named AS (SELECT *, coalesce(level_label IN ('Title', 'Heading', 'Root'), false) AS h FROM nodes), rarest AS (SELECT coalesce(max(idf), 1.0) AS rarest FROM idf),
+counted AS (SELECT document_id, node_id, len({_WORDS}) AS len FROM nodes),
+ends AS (SELECT e.document_id, e.parent_id, e.child_id, ({_RELATION}) IN ('section', 'heading_list', 'heading_text') AS heads, k.len FROM links e JOIN named p ON e.document_id = p.document_id AND e.parent_id = p.node_id
+  JOIN named c ON e.document_id = c.document_id AND e.child_id = c.node_id JOIN counted k ON k.document_id = e.document_id AND k.node_id = e.parent_id),
+stand AS (SELECT DISTINCT n.document_id, n.node_id AS control, n.h, k.len FROM links e JOIN named n ON n.document_id = e.document_id AND n.node_id = e.parent_id JOIN counted k ON k.document_id = n.document_id AND k.node_id = n.node_id WHERE n.text <> ''),
+kept AS (SELECT e.document_id, e.parent_id, e.child_id, s.control FROM ends e JOIN stand s ON s.document_id = e.document_id AND s.h = e.heads AND s.control NOT IN (e.parent_id, e.child_id)
+  ANTI JOIN (SELECT document_id, node_id AS child_id, spot AS control FROM far WHERE distance > 0) u ON u.document_id = e.document_id AND u.child_id = e.child_id AND u.control = s.control
+  QUALIFY row_number() OVER (PARTITION BY e.document_id, e.parent_id, e.child_id ORDER BY abs(s.len - e.len), s.control) <= 8),
+wanted AS (SELECT document_id, parent_id, child_id FROM links UNION SELECT document_id, control, child_id FROM kept),
+pairs AS (SELECT w.document_id, w.parent_id, w.child_id, p.t AS pt, c.t AS ct FROM wanted w JOIN stems p ON w.document_id = p.document_id AND w.parent_id = p.node_id JOIN stems c ON w.document_id = c.document_id AND w.child_id = c.node_id),
+novel AS (SELECT document_id, parent_id, child_id, sum(idf) AS novel FROM (SELECT *, row_number() OVER (PARTITION BY document_id, parent_id, child_id ORDER BY idf DESC) AS r
+  FROM (SELECT document_id, parent_id, child_id, coalesce(idf, rarest) AS idf FROM (SELECT document_id, parent_id, child_id, unnest(list_filter(pt, lambda x: NOT list_contains(ct, x))) AS term FROM pairs) LEFT JOIN idf USING (term), rarest)) WHERE r <= 8 GROUP BY 1, 2, 3),
+mass AS (SELECT document_id, node_id AS child_id, sum(coalesce(idf, rarest)) AS mass FROM (SELECT document_id, node_id, unnest(t) AS term FROM stems) LEFT JOIN idf USING (term), rarest GROUP BY 1, 2),
+scored AS (SELECT w.document_id, w.parent_id, w.child_id, CASE WHEN coalesce(novel, 0) + coalesce(mass, 0) > 0 THEN coalesce(novel, 0) / (coalesce(novel, 0) + coalesce(mass, 0)) ELSE 0 END AS v FROM wanted w LEFT JOIN novel USING (document_id, parent_id, child_id) LEFT JOIN mass USING (document_id, child_id)),
+base AS (SELECT k.document_id, k.parent_id, k.child_id, avg(s.v) AS base FROM kept k JOIN scored s ON s.document_id = k.document_id AND s.parent_id = k.control AND s.child_id = k.child_id GROUP BY 1, 2, 3)
+SELECT e.document_id, e.parent_id, e.child_id, round(greatest(0, CASE WHEN base IS NULL THEN 0 ELSE v - base END), 6) AS complementarity FROM links e JOIN scored USING (document_id, parent_id, child_id) LEFT JOIN base USING (document_id, parent_id, child_id)""",
 }
