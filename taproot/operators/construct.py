@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from taproot.functions.text import n_chars, n_words, strip, token_count
 from taproot.operators import graph
+from taproot.plans.grouping import by_document
 from taproot.plans.lineage import stored
 
+#: Places of a document that are walked in one go.
+BLOCK = 20_000
 ASIDES = ("sidebar", "figure")
 ROOT = "#/document-root"
 
@@ -51,8 +55,9 @@ def parents(texts: DataFrame) -> DataFrame:
     from the first text of level 0 but themselves.  A text may hold those of its own region, one of the body also those of
     sidebars and figures.  A null level is deeper than all others.
 
-    The texts of a document pass in order; held are one stack of rising levels a region and the groups met, so no pairs are
-    made.  An empty table gives an empty table.
+    A document is walked in blocks of ``BLOCK`` places, side by side.  A block leaves the stack of rising levels of each region
+    and the last text of each; what all blocks before it left is put together first, which is as small as the levels in use.
+    So no pairs are made and no document is one task.  An empty table gives an empty table.
     """
     for name, value in (("region", "body"), ("grouped", False), ("parent_ref", "#/body")):
         if name not in texts.columns:
@@ -61,48 +66,98 @@ def parents(texts: DataFrame) -> DataFrame:
     tops = texts.where("level = 0").groupBy("document_id").agg(F.min(key).alias("top"))
     others = texts.where("level = 0").select("document_id", key.alias("k")).join(tops, "document_id").where(F.col("k") > F.col("top"))
     tops = tops.join(others.groupBy("document_id").agg(F.min("k").alias("next")), "document_id", "left").select("document_id", F.col("top.node_id").alias("top"), F.col("next.node_id").alias("next"))
-    rows = texts.select("document_id", "node_id", "seq", "level", F.coalesce("region", F.lit("body")).alias("region"), F.coalesce("grouped", F.lit(False)).alias("grouped"), F.coalesce("parent_ref", F.lit("#/body")).alias("ref"))
-    rows = rows.join(tops, "document_id", "left").repartition("document_id").sortWithinPartitions("document_id", "seq", "node_id")
-
-    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        document = None
-        stacks: dict[str, tuple[list[float], list[tuple[int, str]]]] = {}
-        last: dict[str, tuple[int, str]] = {}
-        groups: dict[tuple[str, str], str | None] = {}
-        at = 0
-        for batch in batches:
-            found = []
-            columns = (batch[c].tolist() for c in ("document_id", "node_id", "region", "grouped", "ref", "top", "next"))
-            for doc, node, region, grouped, ref, top, after, level in zip(*columns, batch["level"].astype(float).fillna(math.inf).tolist()):
-                if doc != document:
-                    document, stacks, last, groups, at = doc, {}, {}, {}, 0
-                at += 1
-                homes = (region, "body") if region in ASIDES else (region,)
-                parent = None
-                if grouped:
-                    if (ref, region) not in groups:
-                        groups[ref, region] = max((last[h] for h in homes if h in last), default=(0, None))[1]
-                    parent = groups[ref, region]
-                elif ref != "#/body":
-                    parent = ref
-                if parent is None:
-                    near = []
-                    for h in homes:
-                        levels, nodes = stacks.get(h, ((), ()))
-                        i = bisect_left(levels, level)
-                        if i:
-                            near.append(nodes[i - 1])
-                    parent = max(near)[1] if near else top if top != node else after
-                found.append(parent)
-                levels, nodes = stacks.setdefault(region, ([], []))
-                i = bisect_left(levels, level)
-                del levels[i:], nodes[i:]
-                levels.append(level)
-                nodes.append((at, node))
-                last[region] = (at, node)
-            yield batch[["document_id", "node_id"]].assign(parent_id=pd.Series(found, batch.index, object))
-
-    return rows.mapInPandas(climb, "document_id string, node_id string, parent_id string")
+    rows = stored(texts.select(
+        "document_id", "node_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), F.coalesce(F.col("level").cast("double"), F.lit(math.inf)).alias("level"),
+        F.coalesce("region", F.lit("body")).alias("region"), F.coalesce("grouped", F.lit(False)).alias("grouped"), F.coalesce("parent_ref", F.lit("#/body")).alias("ref"),
+    ).withColumn("block", F.floor(F.col("seq") / BLOCK)))
+    by_block = ["document_id", "block"]
+    left = rows.select(*by_block, "seq", "node_id", "level", "region").repartition(*by_block).sortWithinPartitions(*by_block, "seq", "node_id").mapInPandas(_summaries, f"document_id string, block long, {_STATE}")
+    start = by_document(left, _incoming, f"document_id string, block long, {_STATE}")
+    blank = {c: F.lit(None).cast(kind) for c, kind in dict(start.dtypes).items() if c in ("stack", "last")}
+    fed = rows.withColumns(blank).withColumn("fed", F.lit(1)).unionByName(start.withColumn("fed", F.lit(0)), allowMissingColumns=True)
+    walked = fed.repartition(*by_block).sortWithinPartitions(*by_block, "fed", "seq", "node_id").mapInPandas(_walk, "document_id string, node_id string, seq long, region string, grouped boolean, ref string, near string, before string")
+    walked = stored(walked)
+    opened = walked.where("grouped").groupBy("document_id", "ref", "region").agg(F.min(F.struct("seq", "node_id", "before"))["before"].alias("intro")).where("intro is not null")
+    found = walked.where("grouped").join(opened, ["document_id", "ref", "region"], "left").unionByName(walked.where("not grouped").withColumn("intro", F.lit(None).cast("string")))
+    given = F.when(F.col("grouped"), F.col("intro")).when(F.col("ref") != "#/body", F.col("ref"))
+    first = F.when(F.col("top") != F.col("node_id"), F.col("top")).otherwise(F.col("next"))
+    return found.join(tops, "document_id", "left").select("document_id", "node_id", F.coalesce(given, "near", first).alias("parent_id"))
+
+
+_STATE = "stack array<struct<region:string,level:double,seq:long,node:string>>, last array<struct<region:string,level:double,seq:long,node:string>>"
+Entry = tuple[float, int, str]
+
+
+def _push(stack: list[Entry], entry: Entry) -> None:
+    """Put an entry on a stack of rising levels."""
+    del stack[bisect_left(stack, entry[0], key=lambda x: x[0]) :]
+    stack.append(entry)
+
+
+def _flat(of: dict[str, list[Entry]]) -> list[dict]:
+    return [{"region": region, "level": e[0], "seq": e[1], "node": e[2]} for region, own in of.items() for e in own]
+
+
+def _deep(rows: Any) -> dict[str, list[Entry]]:
+    out: dict[str, list[Entry]] = {}
+    for x in rows:
+        out.setdefault(x["region"], []).append((x["level"], x["seq"], x["node"]))
+    return out
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each block leaves: its stacks and last texts by region."""
+    at, stacks, last = None, {}, {}
+    columns = ["document_id", "block", "stack", "last"]
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if (r.document_id, r.block) != at:
+                if at:
+                    out.append((*at, _flat(stacks), _flat(last)))
+                at, stacks, last = (r.document_id, r.block), {}, {}
+            entry = (r.level, r.seq, r.node_id)
+            _push(stacks.setdefault(r.region, []), entry)
+            last[r.region] = [entry]
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame([(*at, _flat(stacks), _flat(last))] if at else [], columns=columns)
+
+
+def _incoming(document: str, blocks: list[Any]) -> list[tuple]:
+    """What lies before each block of a document but the first."""
+    stacks: dict[str, list[Entry]] = {}
+    last: dict[str, list[Entry]] = {}
+    out = []
+    for r in sorted(blocks, key=lambda x: x.block):
+        if stacks:
+            out.append((document, r.block, _flat(stacks), _flat(last)))
+        for region, own in _deep(r.stack).items():
+            for entry in own:
+                _push(stacks.setdefault(region, []), entry)
+        last |= _deep(r.last)
+    return out
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each text the nearest one before it of a lower level, and the nearest at all, of those that may hold it."""
+    at, stacks, last = None, {}, {}
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if (r.document_id, r.block) != at:
+                at, stacks, last = (r.document_id, r.block), {}, {}
+            if not r.fed:
+                stacks, last = _deep(r.stack), _deep(r.last)
+                continue
+            homes = (r.region, "body") if r.region in ASIDES else (r.region,)
+            lower = [own[i - 1] for h in homes if (own := stacks.get(h)) and (i := bisect_left(own, r.level, key=lambda x: x[0]))]
+            near = max(lower, key=lambda x: x[1:])[2] if lower else None
+            before = max((last[h][0] for h in homes if h in last), key=lambda x: x[1:], default=(0, 0, None))[2]
+            out.append((r.document_id, r.node_id, r.seq, r.region, r.grouped, r.ref, near, before))
+            entry = (r.level, r.seq, r.node_id)
+            _push(stacks.setdefault(r.region, []), entry)
+            last[r.region] = [entry]
+        yield pd.DataFrame(out, columns=["document_id", "node_id", "seq", "region", "grouped", "ref", "near", "before"])
 
 
 # --- media --------------------------------------------------------------------

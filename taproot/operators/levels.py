@@ -11,15 +11,13 @@ small as its styles and heights, however many items it has.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from statistics import median
-from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taproot.plans.grouping import Row, by_document
 from taproot.plans.lineage import stored
 
 # A height is smaller if it differs by more than this many points and this share of the larger.
@@ -27,33 +25,12 @@ STEP_POINTS, STEP_SHARE = 1.5, 0.10
 # What a smaller style needs to stand above a larger one: evidence, how many times that of the reverse,
 # sections, and the share of the larger one's headings inside them.
 OVERRIDE_EVIDENCE, OVERRIDE_RATIO, OVERRIDE_SECTIONS, OVERRIDE_SHARE = 0.5, 5.0, 3, 0.7
-Row = Any
 #: Where levels come from: type and nesting, type alone, or the levels that the items bring along.
 SOURCES = ("hybrid", "typography", "given")
 #: Level of a text without line heights.
 UNKNOWN = 1000
 
 
-def by_document(df: DataFrame, work: Callable[[str, list[Row]], list[tuple]], schema: str) -> DataFrame:
-    """``work`` done on the rows of each document; they are few, so many documents go through one task without a frame each."""
-    names = df.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False, name="Row"):
-                if row.document_id != at:
-                    out += work(at, held) if held else []
-                    at, held = row.document_id, []
-                held.append(row)
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(work(at, held) if held else [], columns=columns)
-
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return df.select(*names).repartition("document_id").sortWithinPartitions("document_id").mapInPandas(run, schema)
-
-
 def median_height(heights: Column) -> Column:
     """Median of the line heights, null without any."""
     s = F.array_sort(F.filter(heights, lambda x: x.isNotNull()))
