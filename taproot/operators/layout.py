@@ -1,17 +1,17 @@
 """Repair of parsed page items: reading order, broken paragraphs, regions, page furniture and tables.
 
 Items have ``document_id, ord, page_no, label, text, parent_ref`` and a box ``l, t, r, b`` with the origin at the bottom
-left.  Everything is expressed by windows and folds within a document.
+left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from taproot.functions.text import SPACE
 from taproot.operators.construct import CAPTION
+from taproot.plans.lineage import stored
 
 # Sizes in points and words that decide on page structure.
 RULE_HEIGHT, RULE_SHARE, BOX_WIDTH, BOX_HEIGHT, PAGE_SHARE = 3.0, 0.6, 40.0, 20.0, 0.95
@@ -58,8 +58,20 @@ def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
     block = F.size(F.filter(F.coalesce("dividers", F.array().cast("array<double>")), lambda d: F.col("t") < d))
     column = F.when(F.col("width").isNull() | ((F.col("l") + F.col("r")) / 2 < F.col("width") / 2), 0).otherwise(1)
     rows = rows.withColumns({"block": block, "column": column})
-    order = ["page_no", "block", "ord", *[c for c in ("node_id",) if c in items.columns]]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
+    # Places count within a block of a page, from where the blocks before it end; so no window runs over a document's items.
+    at = ["document_id", "_p", "block"]
+    rows = rows.withColumn("_p", page_key())
+    sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("document_id").orderBy("_p", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*at, F.coalesce(before, F.lit(0)).alias("_before"))
+    order = ["ord", *[c for c in ("node_id",) if c in items.columns]]
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
+    return rows.withColumn("_own", own).join(starts, at).withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).drop("_p", "_own", "_before")
+
+
+def page_key() -> Column:
+    """The page of an item, one without a page before all others."""
+    return F.coalesce("page_no", F.lit(-(2**31))).alias("_p")
 
 
 def unfinished(text: Column) -> Column:
@@ -94,18 +106,27 @@ def stitch(rows: DataFrame) -> DataFrame:
     """
     running = F.col("label").isin("text", "list_item", "footnote") & ~F.coalesce(F.col("parent_ref").contains("pictures"), F.lit(False))
     column = Window.partitionBy("document_id", "page_no", "block", "column")
-    rows = rows.withColumns({"_foot": F.min(F.when(running, F.col("b"))).over(column), "_head": F.max(F.when(running, F.col("t"))).over(column)})
-    order = Window.partitionBy("document_id").orderBy("place")
-    was = lambda c: F.lag(c).over(order)
+    rows = rows.withColumns({"_foot": F.min(F.when(running, F.col("b"))).over(column), "_head": F.max(F.when(running, F.col("t"))).over(column), "_p": page_key()})
+    rows = stored(rows)
+    # The item before the first of a page is the last of the page before; that takes one row a page.
+    seen = F.struct("page_no", "block", "column", "b", "_foot", "text")
+    ends = rows.groupBy("document_id", "_p").agg(F.max_by(seen, "place").alias("_end"))
+    ends = ends.select("document_id", "_p", F.lag("_end").over(Window.partitionBy("document_id").orderBy("_p")).alias("_end"))
+    page = Window.partitionBy("document_id", "_p").orderBy("place")
+    rows = rows.join(ends, ["document_id", "_p"]).withColumn("_was", F.coalesce(F.lag(seen).over(page), "_end")).drop("_end")
+    was = lambda c: F.col("_was")[c]
     later = (F.col("page_no") > was("page_no")) | ((F.col("page_no") == was("page_no")) & (F.col("block") == was("block")) & (F.col("column") > was("column")))
     goes_on = later & (was("b") == was("_foot")) & (F.col("t") == F.col("_head")) & unfinished(was("text")) & resumes(F.col("text"))
-    return _joined(rows, goes_on, order)
+    return _joined(rows, goes_on)
 
 
-def _joined(rows: DataFrame, goes_on: Column, order: WindowSpec) -> DataFrame:
-    """Rows that go on with the one before them, put together with it."""
-    rows = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("_first", F.last(F.when(F.col("_new") == 1, F.col("place")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def _joined(rows: DataFrame, goes_on: Column) -> DataFrame:
+    """Rows (with their page ``_p``) that go on with the one before them, put together with it, over pages if need be."""
+    rows = stored(rows.withColumn("_start", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("place"))))
+    open_ = rows.groupBy("document_id", "_p").agg(F.max("_start").alias("_open"))
+    carried = F.last("_open", True).over(Window.partitionBy("document_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    page = Window.partitionBy("document_id", "_p").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(open_.select("document_id", "_p", carried.alias("_carried")), ["document_id", "_p"]).withColumn("_first", F.coalesce(F.last("_start", True).over(page), "_carried"))
     parts = rows.groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b"))).alias("p"))
     texts = F.transform("p", lambda x: F.coalesce(x["text"], F.lit("")))
     whole = F.aggregate(F.slice(texts, 2, F.size(texts)), texts[0], join_continuation)
@@ -120,14 +141,15 @@ def line_fragments(rows: DataFrame) -> DataFrame:
     Placed rows with ``region``.  A line goes on with the one before it on its page if both are of one such region, that
     one breaks off, this one resumes, it lies right below, and the two overlap.  Other rows stay as they are.
     """
-    order = Window.partitionBy("document_id", "page_no").orderBy("place")
+    rows = rows.withColumn("_p", page_key())
+    order = Window.partitionBy("document_id", "_p").orderBy("place")
     was = lambda c: F.lag(c).over(order)
     gap = was("b") - F.col("t")
     lower = F.least(was("t") - was("b"), F.col("t") - F.col("b"))
     shared, narrow = F.least(was("r"), F.col("r")) - F.greatest(was("l"), F.col("l")), F.least(was("r") - was("l"), F.col("r") - F.col("l"))
     near = (gap >= 0) & (gap <= F.greatest(F.lit(LINE_GAP), LINE_GAP_SHARE * lower)) & (narrow > 0) & (shared / narrow > LINE_OVERLAP)
     alike = (F.col("region") == was("region")) & F.col("region").isin("figure", "sidebar", "front_matter")
-    return _joined(rows, alike & near & unfinished(was("text")) & resumes(F.col("text")), order)
+    return _joined(rows, alike & near & unfinished(was("text")) & resumes(F.col("text")))
 
 
 def regions(rows: DataFrame, title_page: int = 2) -> DataFrame:

@@ -26,6 +26,42 @@ def test_continuations(spark):
     assert (joined.x, joined.y) == ("Vor- und Nachteile", "Vorteil")
 
 
+def test_paragraphs_over_columns_and_pages(spark):
+    """Stitching against a walk over the items in order."""
+    rng = random.Random(7)
+    texts = ["Die Sohle ist weich und", "passt gut,", "läuft weiter mit", "Fertig.", "Müller AB, Quelle", "1. Punkt"]
+    rows = []
+    for d in range(25):
+        for i in range(rng.randint(1, 14)):
+            page, col = rng.choice([1, 2, 3, None]), rng.randint(0, 1)
+            top = rng.choice([700.0, 500.0])
+            rows.append((f"d{d}", f"n{i:02}", i, page, rng.choice(["text", "text", "text", "section_header"]), rng.choice(texts), "#/body", 50.0 + 300 * col, top, 250.0 + 300 * col, top - 100))
+    items = spark.createDataFrame(rows, "document_id string, node_id string, ord int, page_no int, label string, text string, parent_ref string, l double, t double, r double, b double")
+    pages = spark.createDataFrame([(f"d{d}", p, 600.0, 800.0) for d in range(25) for p in (1, 2, 3)], "document_id string, page_no int, width double, height double")
+    placed = layout.placed(items, pages, items.limit(0).select("document_id", "page_no", "l", "t", "r", "b"))
+    tests = {r.t: (r.u, r.r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", layout.unfinished(F.col("t")).alias("u"), layout.resumes(F.col("t")).alias("r")).collect()}
+    want, order = [], {}
+    own = sorted(placed.collect(), key=lambda r: (r.document_id, r.place))
+    for r in own:
+        order.setdefault(r.document_id, []).append(r)
+    for d, rs in order.items():
+        assert [r.place for r in rs] == list(range(1, len(rs) + 1)) and [r.node_id for r in rs] == [r.node_id for r in sorted(rs, key=lambda r: (r.page_no or 0, r.ord))]
+        flow = [r for r in rs if r.label == "text"]
+        spot = lambda r: (r.page_no, r.column)
+        foot, head = {k: min(r.b for r in flow if spot(r) == k) for k in map(spot, flow)}, {k: max(r.t for r in flow if spot(r) == k) for k in map(spot, flow)}
+        parts = []
+        for i, r in enumerate(rs):
+            p = rs[i - 1] if i else None
+            on = p and p.page_no and r.page_no and (r.page_no > p.page_no or r.page_no == p.page_no and r.column > p.column) and p.b == foot.get(spot(p)) and r.t == head.get(spot(r)) and tests[p.text][0] and tests[r.text][1]
+            if on:
+                parts[-1].append(r)
+            else:
+                parts.append([r])
+        want += [(d, x[0].place, len(x)) for x in parts]
+    got = [(r.document_id, r.place, r.parts) for r in layout.stitch(placed).collect()]
+    assert sorted(got) == sorted(want) and max(n for _, _, n in want) > 1
+
+
 def test_pages_without_geometry(spark, tmp_path):
     from taproot import queries
 
