@@ -105,34 +105,50 @@ def stitch(rows: DataFrame) -> DataFrame:
     goes on at the head of a later column or page.  ``provenance`` has the page and box of every part.
     """
     running = F.col("label").isin("text", "list_item", "footnote") & ~F.coalesce(F.col("parent_ref").contains("pictures"), F.lit(False))
-    column = Window.partitionBy("document_id", "page_no", "block", "column")
-    rows = rows.withColumns({"_foot": F.min(F.when(running, F.col("b"))).over(column), "_head": F.max(F.when(running, F.col("t"))).over(column), "_p": page_key()})
-    rows = stored(rows)
+    rows, bare = _bare(rows, running=running)
+    column = Window.partitionBy("document_id", "_p", "block", "column")
+    bare = bare.withColumns({"_foot": F.min(F.when(F.col("running"), F.col("b"))).over(column), "_head": F.max(F.when(F.col("running"), F.col("t"))).over(column)})
     # The item before the first of a page is the last of the page before; that takes one row a page.
-    seen = F.struct("page_no", "block", "column", "b", "_foot", "text")
-    ends = rows.groupBy("document_id", "_p").agg(F.max_by(seen, "place").alias("_end"))
+    seen = F.struct("page_no", "block", "column", "b", "_foot", "breaks")
+    bare = stored(bare)
+    ends = bare.groupBy("document_id", "_p").agg(F.max_by(seen, "place").alias("_end"))
     ends = ends.select("document_id", "_p", F.lag("_end").over(Window.partitionBy("document_id").orderBy("_p")).alias("_end"))
     page = Window.partitionBy("document_id", "_p").orderBy("place")
-    rows = rows.join(ends, ["document_id", "_p"]).withColumn("_was", F.coalesce(F.lag(seen).over(page), "_end")).drop("_end")
+    bare = bare.join(ends, ["document_id", "_p"]).withColumn("_was", F.coalesce(F.lag(seen).over(page), "_end"))
     was = lambda c: F.col("_was")[c]
     later = (F.col("page_no") > was("page_no")) | ((F.col("page_no") == was("page_no")) & (F.col("block") == was("block")) & (F.col("column") > was("column")))
-    goes_on = later & (was("b") == was("_foot")) & (F.col("t") == F.col("_head")) & unfinished(was("text")) & resumes(F.col("text"))
-    return _joined(rows, goes_on)
+    return _joined(rows, bare, later & (was("b") == was("_foot")) & (F.col("t") == F.col("_head")) & was("breaks") & F.col("resumes"))
 
 
-def _joined(rows: DataFrame, goes_on: Column) -> DataFrame:
-    """Rows (with their page ``_p``) that go on with the one before them, put together with it, over pages if need be."""
-    rows = stored(rows.withColumn("_start", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("place"))))
-    open_ = rows.groupBy("document_id", "_p").agg(F.max("_start").alias("_open"))
+def _bare(rows: DataFrame, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """Placed rows, written once, and what decides on them without their texts."""
+    rows = stored(rows.withColumns({"_p": page_key(), "breaks": unfinished(F.coalesce("text", F.lit(""))), "resumes": resumes(F.coalesce("text", F.lit("")))} | more))
+    return rows, rows.select("document_id", "place", "_p", "page_no", "block", "column", "l", "t", "r", "b", "breaks", "resumes", *more)
+
+
+def _joined(rows: DataFrame, bare: DataFrame, goes_on: Column) -> DataFrame:
+    """Rows that go on with the one before them, put together with it, over pages if need be.
+
+    Where islands begin is found without texts; only those of more than one row are gathered.
+    """
+    bare = stored(bare.select("document_id", "place", "_p", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("place")).alias("_start")))
+    open_ = bare.groupBy("document_id", "_p").agg(F.max("_start").alias("_open"))
     carried = F.last("_open", True).over(Window.partitionBy("document_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     page = Window.partitionBy("document_id", "_p").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(open_.select("document_id", "_p", carried.alias("_carried")), ["document_id", "_p"]).withColumn("_first", F.coalesce(F.last("_start", True).over(page), "_carried"))
-    parts = rows.groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b"))).alias("p"))
+    bare = bare.join(open_.select("document_id", "_p", carried.alias("_carried")), ["document_id", "_p"]).select("document_id", "place", F.coalesce(F.last("_start", True).over(page), "_carried").alias("_first"))
+    later = stored(bare.where("place <> _first"))
+    # Rows of islands of several: their later parts, and the first that those name.
+    several = later.unionByName(later.select("document_id", F.col("_first").alias("place"), "_first").distinct())
+    part = F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b")
+    parts = rows.join(several, ["document_id", "place"]).groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(part)).alias("p"))
     texts = F.transform("p", lambda x: F.coalesce(x["text"], F.lit("")))
     whole = F.aggregate(F.slice(texts, 2, F.size(texts)), texts[0], join_continuation)
-    places = F.transform("p", lambda x: F.struct(x["page_no"].alias("page_no"), x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b")))
+    box = lambda x: F.struct(x["page_no"].alias("page_no"), x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b"))
     head = F.col("p")[0]
-    return parts.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), places.alias("provenance"))
+    made = parts.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), F.transform("p", box).alias("provenance"))
+    alone = rows.join(several.select("document_id", "place"), ["document_id", "place"], "left_anti")
+    own = F.array(F.struct("page_no", "l", "t", "r", "b")).alias("provenance")
+    return made.unionByName(alone.select("document_id", "place", "ord", "page_no", "label", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("parts"), own))
 
 
 def line_fragments(rows: DataFrame) -> DataFrame:
@@ -141,7 +157,7 @@ def line_fragments(rows: DataFrame) -> DataFrame:
     Placed rows with ``region``.  A line goes on with the one before it on its page if both are of one such region, that
     one breaks off, this one resumes, it lies right below, and the two overlap.  Other rows stay as they are.
     """
-    rows = rows.withColumn("_p", page_key())
+    rows, bare = _bare(rows, region=F.col("region"))
     order = Window.partitionBy("document_id", "_p").orderBy("place")
     was = lambda c: F.lag(c).over(order)
     gap = was("b") - F.col("t")
@@ -149,7 +165,7 @@ def line_fragments(rows: DataFrame) -> DataFrame:
     shared, narrow = F.least(was("r"), F.col("r")) - F.greatest(was("l"), F.col("l")), F.least(was("r") - was("l"), F.col("r") - F.col("l"))
     near = (gap >= 0) & (gap <= F.greatest(F.lit(LINE_GAP), LINE_GAP_SHARE * lower)) & (narrow > 0) & (shared / narrow > LINE_OVERLAP)
     alike = (F.col("region") == was("region")) & F.col("region").isin("figure", "sidebar", "front_matter")
-    return _joined(rows, alike & near & unfinished(was("text")) & resumes(F.col("text")))
+    return _joined(rows, bare, alike & near & was("breaks") & F.col("resumes"))
 
 
 def regions(rows: DataFrame, title_page: int = 2) -> DataFrame:

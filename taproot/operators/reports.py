@@ -17,8 +17,14 @@ from taproot.operators.layout import CITATION, resumes, unfinished
 from taproot.plans.lineage import stored
 
 
-#: How far below a line the next one of its block begins at most (points).
-PITCH = 16.0
+# Longest heading (characters), most pages that an edge spans, how often a text comes and how long it is to
+# count as repeated.
+LONG_HEADING, FAR, REPEATS, REPEAT_CHARS = 120, 2, 3, 25
+# What speaks for and against two texts being one, how far below a line the next begins (points at least,
+# and heights of the line at most), and how one bullet of an enumeration ends.
+FRAGMENT = {"base": 0.3, "hyphen": 0.35, "small letter": 0.3, "next line": 0.25, "break": 0.15, "same list": -0.45, "citation": -0.3}
+LINE_OVERLAP, LINE_PITCH = -2.0, 1.6
+ENUMERATION = r"(?iU)(,|\bund|\boder|\bbzw\.?|\bsowie|/oder)\s*$"
 
 
 def relation_mix(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def summary(tree_rows: DataFrame) -> DataFrame:
     )
 
 
-def checks(tree_rows: DataFrame, edge_rows: DataFrame, *, long_heading: int = 120, far: int = 10) -> DataFrame:
+def checks(tree_rows: DataFrame, edge_rows: DataFrame, *, long_heading: int = LONG_HEADING, far: int = FAR) -> DataFrame:
     """``document_id, fault, n``: how often each kind of fault comes in each document.
 
     orphan: a node that is no heading and has no parent; inverted_level: a heading that doesn't rank below the heading that
@@ -58,7 +64,7 @@ def checks(tree_rows: DataFrame, edge_rows: DataFrame, *, long_heading: int = 12
     return found.unionByName(crossed).groupBy("document_id", "fault").agg(F.count("*").alias("n"))
 
 
-def repeated_texts(node_rows: DataFrame, least: int = 3, longest_short: int = 20) -> DataFrame:
+def repeated_texts(node_rows: DataFrame, least: int = REPEATS, longest_short: int = REPEAT_CHARS) -> DataFrame:
     """``document_id, text, n``: texts of more than ``longest_short`` characters that come ``least`` times or more in a document
     (a running header read as content?); runs of white space count as one space."""
     flat = F.regexp_replace(strip(F.col("text")), f"[{SPACE}]+", " ")
@@ -185,26 +191,25 @@ def fragmentation(node_rows: DataFrame) -> DataFrame:
 def fragmented(items: DataFrame) -> DataFrame:
     """``document_id, node_id, next_id, kind, score``: neighbouring texts that seem to be one, from 0 to 1.
 
-    Items have ``seq, label, text, region, grouped, parent_ref, page_no, column`` and a box.  The first breaks off and the
-    second resumes; kind says where: same-column, column-break, page-break or out-of-order.  A hyphen, a small letter, lines
-    right below each other and a break speak for it; two bullets of one list and a new citation against.
+    Items have ``seq, label, text, region, grouped, parent_ref, page_no, column, line_heights`` and a box.  The first breaks
+    off and the second resumes; kind says where: same-column, column-break, page-break or out-of-order.  A hyphen, a small
+    letter, lines right below each other and a break speak for it; two bullets of one list and a new citation against.
     """
     order = Window.partitionBy("document_id").orderBy("seq", "node_id")
     names = ["node_id", "label", "text", "page_no", "column", "t", "grouped", "parent_ref"]
-    rows = items.select("document_id", "seq", *names, "b").withColumns({f"x_{c}": F.lead(c).over(order) for c in names})
+    rows = items.select("document_id", "seq", *names, "b", "line_heights").withColumns({f"x_{c}": F.lead(c).over(order) for c in names})
     flow = [F.col(c).isin("text", "list_item", "footnote") for c in ("label", "x_label")]
     rows = rows.where(flow[0] & flow[1] & unfinished(F.col("text")) & resumes(F.col("x_text")))
     same = F.col("x_page_no") == F.col("page_no")
     kind = F.when(same & (F.col("x_column") == F.col("column")), "same-column").when(same & (F.col("x_column") > F.col("column")), "column-break").when(F.col("x_page_no") == F.col("page_no") + 1, "page-break").otherwise("out-of-order")
     head, tail = strip(F.col("text")), strip(F.col("x_text"))
-    small = tail.rlike(r"^\p{Ll}")
-    score = F.lit(0.3)
-    signs = [
-        (head.rlike(r"[-\u00ad]$"), 0.35), (small, 0.3), ((kind == "same-column") & (F.col("b") - F.col("x_t")).between(-2, PITCH), 0.25), (kind.isin("column-break", "page-break"), 0.15),
-        (F.col("grouped") & F.col("x_grouped") & (F.col("parent_ref") == F.col("x_parent_ref")) & head.rlike(r"[,;]$") & ~small, -0.45), (tail.rlike(CITATION), -0.3),
-    ]
-    for test, points in signs:
-        score = score + F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
+    small, gap = tail.rlike(r"^\p{Ll}"), F.col("b") - F.col("x_t")
+    signs = {
+        "hyphen": head.rlike(r"[-\u00ad]$"), "small letter": small, "next line": (kind == "same-column") & (gap >= LINE_OVERLAP) & (gap <= LINE_PITCH * F.array_max("line_heights")),
+        "break": kind.isin("column-break", "page-break"), "same list": F.col("grouped") & F.col("x_grouped") & (F.col("parent_ref") == F.col("x_parent_ref")) & F.col("text").rlike(ENUMERATION) & ~small,
+        "citation": tail.rlike(CITATION),
+    }
+    score = reduce(lambda total, sign: total + F.when(F.coalesce(sign[1], F.lit(False)), FRAGMENT[sign[0]]).otherwise(0.0), signs.items(), F.lit(FRAGMENT["base"]))
     return rows.select("document_id", "node_id", F.col("x_node_id").alias("next_id"), kind.alias("kind"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"))
 
 

@@ -350,14 +350,14 @@ SELECT document_id, CASE WHEN sum({_votes("w", "en")}) > sum({_votes("w", "de")}
 langs AS (SELECT document_id, CASE WHEN sum({_votes("w", "en")}) > sum({_votes("w", "de")}) THEN 'en' ELSE 'de' END AS lang FROM head GROUP BY 1),
 pooled AS (SELECT lang, supply_relation FROM related JOIN langs USING (document_id) UNION ALL SELECT 'all', supply_relation FROM related)
 SELECT lang, supply_relation, count(*) AS edges, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM pooled GROUP BY 1, 2""",
-    "repeated_texts": f"WITH {_NODES}, flat AS (SELECT document_id, regexp_replace({_strip('text')}, '[{_SPACE}]+', ' ', 'g') AS text FROM nodes) SELECT document_id, text, count(*) AS n FROM flat WHERE length(text) > 20 GROUP BY 1, 2 HAVING count(*) >= 3",
+    "repeated_texts": f"WITH {_NODES}, flat AS (SELECT document_id, regexp_replace({_strip('text')}, '[{_SPACE}]+', ' ', 'g') AS text FROM nodes) SELECT document_id, text, count(*) AS n FROM flat WHERE length(text) > 25 GROUP BY 1, 2 HAVING count(*) >= 3",
     "graph_checks": f"""WITH {_CONTEXT}, {_BEST}, faults AS (
   SELECT n.document_id, unnest(list_filter([CASE WHEN b.node_id IS NULL AND NOT h THEN 'orphan' END, CASE WHEN level_label = 'Heading' AND length(text) > 120 THEN 'long_heading' END,
     CASE WHEN kind IN ('image', 'table') AND level_label = 'Unreferenced Image' THEN 'unreferenced_media' END, CASE WHEN text = '' THEN 'empty' END], lambda x: x IS NOT NULL)) AS fault
   FROM named n LEFT JOIN (SELECT document_id, node_id FROM best) b USING (document_id, node_id)
   UNION ALL
   SELECT e.document_id, unnest(list_filter([CASE WHEN p.level_label IN ('Title', 'Heading') AND c.level_label IN ('Title', 'Heading') AND c.level <= p.level THEN 'inverted_level' END,
-    CASE WHEN p.page_no > 0 AND c.page_no > 0 AND abs(c.page_no - p.page_no) > 10 THEN 'distant_edge' END], lambda x: x IS NOT NULL))
+    CASE WHEN p.page_no > 0 AND c.page_no > 0 AND abs(c.page_no - p.page_no) > 2 THEN 'distant_edge' END], lambda x: x IS NOT NULL))
   FROM links e JOIN named p ON e.document_id = p.document_id AND e.parent_id = p.node_id JOIN named c ON e.document_id = c.document_id AND e.child_id = c.node_id)
 SELECT document_id, fault, count(*) AS n FROM faults GROUP BY 1, 2""",
     "metric_spread": f"""WITH {_SIMILAR}, pooled AS ({_spreads({"structural": f"SELECT {_STRUCTURAL} AS weight FROM links", "bm25": "SELECT x AS weight FROM alike", "uniform": "SELECT 1.0 AS weight FROM links"})})
