@@ -17,6 +17,8 @@ from taproot.plans.lineage import stored
 RULE_HEIGHT, RULE_SHARE, BOX_WIDTH, BOX_HEIGHT, PAGE_SHARE = 3.0, 0.6, 40.0, 20.0, 0.95
 PADDING, ROW_GAP, PICTURE_HEIGHT, PICTURE_PAGES, CELL_SHARE = 2.0, 2.0, 15.0, 3, 0.8
 LINE_GAP, LINE_GAP_SHARE, LINE_OVERLAP = 4.0, 0.35, 0.3
+#: Rows that are broadcast, at most.
+SENT = 50_000
 # How an entry of a bibliography begins, and what a hyphen before isn't one of a broken word.
 CITATION = r"^[A-ZÄÖÜ][a-zäöüß]+(?:-[A-ZÄÖÜ][a-zäöüß]+)?\s+[A-Z]{1,3}[,.]"
 CONNECTIVES = ("und", "oder", "bzw", "sowie", "beziehungsweise", "and", "or")
@@ -54,19 +56,19 @@ def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
     page is in block 0 and column 0.
     """
     pages = sized(items, pages)
-    rows = items.join(pages, ["document_id", "page_no"], "left").join(structure(shapes, pages), ["document_id", "page_no"], "left")
+    # Everything is joined and counted by document and page, so that the items are shuffled once.
+    at = ["document_id", "_p"]
+    known = pages.where("page_no is not null").join(structure(shapes, pages), ["document_id", "page_no"], "left").select("document_id", page_key(), "width", "height", "dividers", "boxes").dropDuplicates(at)
     block = F.size(F.filter(F.coalesce("dividers", F.array().cast("array<double>")), lambda d: F.col("t") < d))
     column = F.when(F.col("width").isNull() | ((F.col("l") + F.col("r")) / 2 < F.col("width") / 2), 0).otherwise(1)
-    rows = rows.withColumns({"block": block, "column": column})
+    rows = items.withColumn("_p", page_key()).join(known, at, "left").withColumns({"block": block, "column": column})
     # Places count within a block of a page, from where the blocks before it end; so no window runs over a document's items.
-    at = ["document_id", "_p", "block"]
-    rows = rows.withColumn("_p", page_key())
-    sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("document_id").orderBy("_p", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*at, F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = rows.groupBy(*at, "block").agg(F.count("*").alias("_n")).select(*at, "block", F.coalesce(before, F.lit(0)).alias("n"))
+    starts = starts.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("_starts"))
     order = ["ord", *[c for c in ("node_id",) if c in items.columns]]
-    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
-    return rows.withColumn("_own", own).join(starts, at).withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).drop("_p", "_own", "_before")
+    own = F.row_number().over(Window.partitionBy(*at, "block").orderBy(*order))
+    return rows.join(starts, at).withColumn("place", (F.try_element_at("_starts", F.col("block")) + own).cast("int")).drop("_p", "_starts")
 
 
 def page_key() -> Column:
@@ -137,8 +139,10 @@ def _joined(rows: DataFrame, bare: DataFrame, goes_on: Column) -> DataFrame:
     page = Window.partitionBy("document_id", "_p").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bare = bare.join(open_.select("document_id", "_p", carried.alias("_carried")), ["document_id", "_p"]).select("document_id", "place", F.coalesce(F.last("_start", True).over(page), "_carried").alias("_first"))
     later = stored(bare.where("place <> _first"))
-    # Rows of islands of several: their later parts, and the first that those name.
+    # Rows of islands of several: their later parts, and the first that those name.  Few enough of them are sent to all tasks.
     several = later.unionByName(later.select("document_id", F.col("_first").alias("place"), "_first").distinct())
+    if later.limit(SENT + 1).count() <= SENT:
+        several = F.broadcast(several)
     part = F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b")
     parts = rows.join(several, ["document_id", "place"]).groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(part)).alias("p"))
     texts = F.transform("p", lambda x: F.coalesce(x["text"], F.lit("")))
@@ -146,7 +150,7 @@ def _joined(rows: DataFrame, bare: DataFrame, goes_on: Column) -> DataFrame:
     box = lambda x: F.struct(x["page_no"].alias("page_no"), x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b"))
     head = F.col("p")[0]
     made = parts.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), F.transform("p", box).alias("provenance"))
-    alone = rows.join(several.select("document_id", "place"), ["document_id", "place"], "left_anti")
+    alone = rows.join(several, ["document_id", "place"], "left_anti")
     own = F.array(F.struct("page_no", "l", "t", "r", "b")).alias("provenance")
     return made.unionByName(alone.select("document_id", "place", "ord", "page_no", "label", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("parts"), own))
 

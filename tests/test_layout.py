@@ -42,6 +42,7 @@ def test_paragraphs_over_columns_and_pages(spark):
     tests = {r.t: (r.u, r.r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", layout.unfinished(F.col("t")).alias("u"), layout.resumes(F.col("t")).alias("r")).collect()}
     want, order = [], {}
     own = sorted(placed.collect(), key=lambda r: (r.document_id, r.place))
+    assert all(r.block == 0 and r.column == (0 if r.page_no is None else int(r.l > 300)) for r in own)
     for r in own:
         order.setdefault(r.document_id, []).append(r)
     for d, rs in order.items():
