@@ -470,14 +470,16 @@ def _shapes(items: DataFrame) -> DataFrame:
     return rules[0].unionByName(rules[1]).unionByName(boxes)
 
 
-def _placed(spark: SparkSession, folder: str) -> DataFrame:
+def _placed(spark: SparkSession, folder: str, *, texts: bool = True) -> DataFrame:
     items, pages = _boxed(spark, folder)
+    # Written once, as pages, shapes and places all come from them.
+    items = stored(items if texts else items.drop("text"))
     return layout.placed(items.drop("region"), pages, _shapes(items))
 
 
 def page_places(spark: SparkSession, folder: str) -> DataFrame:
     """Block, column and repaired place of every text item."""
-    return _placed(spark, folder).select("document_id", "node_id", "page_no", "block", "column", "place")
+    return _placed(spark, folder, texts=False).select("document_id", "node_id", "page_no", "block", "column", "place")
 
 
 def stitched_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -486,7 +488,7 @@ def stitched_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_regions(spark: SparkSession, folder: str) -> DataFrame:
     """Regions as rules and boxes give them; a title page is the first here."""
-    return layout.regions(_placed(spark, folder), title_page=1).select("document_id", "node_id", "region")
+    return layout.regions(_placed(spark, folder, texts=False), title_page=1).select("document_id", "node_id", "region")
 
 
 def line_fragments(spark: SparkSession, folder: str) -> DataFrame:
