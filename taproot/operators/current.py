@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taproot.plans.lineage import cut
+from taproot.plans.lineage import cut, stored
 
 #: Bits of the filter of repeated keys: so many for each, and never more than MOST_BITS (8 MB).
 KEY_BITS, MOST_BITS = 24, 1 << 26
@@ -15,7 +15,8 @@ def _may_repeat(df: DataFrame, keys: list[str]) -> Column | None:
     """True for every row whose key comes more than once, and for few others.
 
     The keys are counted by their hashes, then sent out as a Bloom filter of bounded size.  Null where no key repeats
-    or the session has no JVM at hand; then all rows or none need a closer look.
+    or the session has no JVM at hand; then all rows or none need a closer look.  The filter comes from a table by a
+    subquery: as a literal it would stand in every text of the plan that the driver keeps, twice its size in each place.
     """
     jvm = getattr(df.sparkSession, "_jvm", None)
     h = F.xxhash64(*keys)
@@ -28,10 +29,9 @@ def _may_repeat(df: DataFrame, keys: list[str]) -> Column | None:
     bits = min(MOST_BITS, max(1 << 16, KEY_BITS * n))
     out = jvm.java.io.ByteArrayOutputStream()
     repeated._jdf.stat().bloomFilter("h", n, bits).writeTo(out)
+    sent = stored(df.sparkSession.createDataFrame([(bytearray(out.toByteArray()),)], "bits binary"))
     columns = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-        columns.expression(F.lit(bytearray(out.toByteArray()))._jc), columns.expression(h._jc)
-    )
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(columns.expression(sent.scalar()._jc), columns.expression(h._jc))
     return Column(columns.column(test))
 
 
