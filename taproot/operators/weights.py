@@ -38,26 +38,30 @@ def bm25(node_rows: DataFrame, edge_rows: DataFrame, *, k1: float = 1.5, b: floa
     N, lengths and document frequencies are over all nodes of the document.  Only the sum is cut at zero.  Scoring:
     child_query, symmetric_mean or symmetric_max.  A document whose greatest score isn't positive gets zeros.
     """
-    words = node_rows.select("document_id", "node_id", tokens(F.col("text")).alias("t"))
+    # Written once, as counts and pairs all come from them; so no plan holds the nodes' own more than once.
+    words = stored(node_rows.select("document_id", "node_id", tokens(F.col("text")).alias("t")))
     stats = words.groupBy("document_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    lengths = words.select("document_id", "node_id", F.size("t").alias("len"))
-    tf = words.select("document_id", "node_id", F.explode("t").alias("term")).groupBy("document_id", "node_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df"))
-
-    def directed(query: str, target: str) -> DataFrame:
-        asked = edge_rows.select(*KEY).join(tf.select("document_id", F.col("node_id").alias(query), "term"), ["document_id", query])
-        hit = asked.join(tf.select("document_id", F.col("node_id").alias(target), "term", "tf"), ["document_id", target, "term"]).join(df, ["document_id", "term"])
-        rows = hit.join(lengths.select("document_id", F.col("node_id").alias(target), "len"), ["document_id", target]).join(stats, "document_id")
+    terms = words.select("document_id", "node_id", F.array_distinct("t").alias("d"))
+    df = terms.select("document_id", F.explode("d").alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("df"))
+    # Only terms that both ends have count, whichever asks; they are few, and nothing else goes out by term.
+    asked = edge_rows.select(*KEY).join(terms.withColumnsRenamed({"node_id": "child_id", "d": "c"}), ["document_id", "child_id"]).join(terms.withColumnsRenamed({"node_id": "parent_id", "d": "p"}), ["document_id", "parent_id"])
+    shared = stored(asked.select(*KEY, F.explode(F.array_intersect("c", "p")).alias("term")).join(df, ["document_id", "term"]).join(stats, "document_id"))
+
+    def directed(target: str) -> DataFrame:
+        ends = shared.select("document_id", F.col(target).alias("node_id")).distinct()
+        held = words.join(ends, ["document_id", "node_id"], "left_semi").select("document_id", F.col("node_id").alias(target), F.size("t").alias("len"), F.explode("t").alias("term"))
+        rows = shared.join(held.groupBy("document_id", target, "term", "len").agg(F.count("*").alias("tf")), ["document_id", target, "term"])
         norm = k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
         part = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
         return rows.groupBy(*KEY).agg(F.greatest(F.lit(0.0), F.sum(part)).alias("score"))
 
-    score = directed("child_id", "parent_id")
+    score = directed("parent_id")
     if scoring != "child_query":
-        back = directed("parent_id", "child_id").withColumnRenamed("score", "back")
+        back = directed("child_id").withColumnRenamed("score", "back")
         both = score.join(back, KEY, "full").na.fill(0.0, ["score", "back"])
         joined = (F.col("score") + F.col("back")) / 2 if scoring == "symmetric_mean" else F.greatest("score", "back")
         score = both.select(*KEY, joined.alias("score"))
+    score = stored(score)
     top = score.groupBy("document_id").agg(F.max("score").alias("top"))
     rows = edge_rows.select(*KEY).join(score.join(top, "document_id"), KEY, "left")
     return rows.select(*KEY, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("weight"))
