@@ -6,13 +6,18 @@ parent_id, child_id, weight, relation``.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taproot.functions.text import strip
 from taproot.operators.current import current_rows
 from taproot.operators.hierarchy import hierarchy
-from taproot.plans.lineage import stored
+from taproot.plans.lineage import cut, stored
 
 # Relations of the structure with their weights, and labels of nodes that head a section.
 STRUCTURAL_WEIGHTS = {"section": 1.0, "text": 0.8, "list_item": 0.6, "media": 0.9, "unreferenced_media": 0.3, "reference": 0.7, "root": 0.1}
@@ -24,6 +29,10 @@ SUPPLY_PRIORS = {
     "media_table": 0.6, "root": 0.6, "heading_text": 0.5, "media_figure": 0.5, "text_text": 0.4,
 }
 
+_REACHED = ["document_id", "node_id", "ancestor_id", "distance"]
+#: Pairs that one output batch may hold, and edges that a task walks.
+_BATCH, _EDGES_A_TASK = 100_000, 20_000
+
 
 def lookup(key: Column, values: dict[str, float], default: float) -> Column:
     table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
@@ -103,13 +112,50 @@ def connect(node_rows: DataFrame, edge_rows: DataFrame, roots: DataFrame) -> Dat
     return loose.select("document_id", F.col("root_id").alias("parent_id"), F.col("head.node_id").alias("child_id"), F.lit(STRUCTURAL_WEIGHTS["root"]).alias("weight"), F.lit("root").alias("relation")).where("parent_id <> child_id")
 
 
-def ancestors_of(edge_rows: DataFrame) -> DataFrame:
+def _climbed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the nodes of each document reach; rows ``document_id, node_id, ancestor_id`` come by document."""
+    at, above, out = None, {}, []
+
+    def walks() -> Iterator[tuple]:
+        for node, near in above.items():
+            seen, line, distance = {node}, near, 1
+            while line:
+                line = [x for x in dict.fromkeys(line) if x not in seen]
+                seen.update(line)
+                yield from ((at, node, x, distance) for x in line)
+                # Documents without an id aren't one document.
+                line, distance = [y for x in line for y in above.get(x, ())] if at is not None else [], distance + 1
+
+    for batch in chain(batches, [None]):
+        for document, node, up in zip(*(batch[c] for c in batch.columns)) if batch is not None else [(object(), None, None)]:
+            if document != at:
+                for row in walks():
+                    out.append(row)
+                    if len(out) == _BATCH:
+                        yield pd.DataFrame(out, columns=_REACHED)
+                        out = []
+                at, above = document, {}
+            above.setdefault(node, []).append(up)
+    yield pd.DataFrame(out, columns=_REACHED)
+
+
+def ancestors_of(edge_rows: DataFrame, local_limit: int = 50_000) -> DataFrame:
     """``document_id, node_id, ancestor_id, distance``: every node reachable upwards over edges of any kind, by the shortest way.
 
-    References may give a node several parents and may close circles; a node is never its own ancestor.  Each round goes one
-    edge up from what the last one found, so there are as many rounds as the longest of the shortest ways.
+    References may give a node several parents and may close circles; a node is never its own ancestor.  Documents of at most
+    ``local_limit`` edges are walked in memory, many to a task.  In larger ones each round goes one edge up from what the last
+    one found, so there are as many rounds as the longest of the shortest ways.
     """
     up = stored(edge_rows.where("parent_id <> child_id").select("document_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id")).distinct())
+    large = cut(up.groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") > local_limit).select("document_id"))
+    n_large = large.count()
+    small = up if not n_large else up.join(large, "document_id", "left_anti")
+    parts = max(1, math.ceil(up.count() / _EDGES_A_TASK))
+    out = stored(small.repartition(parts, "document_id").sortWithinPartitions("document_id").mapInPandas(_climbed, "document_id string, node_id string, ancestor_id string, distance int"))
+    return out if not n_large else out.unionByName(_by_rounds(stored(up.join(large, "document_id", "left_semi"))))
+
+
+def _by_rounds(up: DataFrame) -> DataFrame:
     step = up.select("document_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
     found = last = stored(up.withColumn("distance", F.lit(1)))
     while True:
