@@ -51,7 +51,7 @@ def sized(items: DataFrame, pages: DataFrame) -> DataFrame:
 def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
     """Items with their ``block`` (dividers above), ``column`` (0 left, 1 right of the middle) and repaired ``place``.
 
-    The place orders by page and block and keeps the given order inside; of equal ``ord`` the lesser ``node_id``, if
+    ``last_block`` is the greatest block of the page.  The place orders by page and block and keeps the given order inside; of equal ``ord`` the lesser ``node_id``, if
     there is one, comes first.  Every item is kept: a page without a size gets that of :func:`sized`, an item without a
     page is in block 0 and column 0.
     """
@@ -59,16 +59,15 @@ def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
     # Everything is joined and counted by document and page, so that the items are shuffled once.
     at = ["document_id", "_p"]
     known = pages.where("page_no is not null").join(structure(shapes, pages), ["document_id", "page_no"], "left").select("document_id", page_key(), "width", "height", "dividers", "boxes").dropDuplicates(at)
+    # Places count within a page, from where the pages before it end; so no window runs over a document's items.
+    before = F.sum("_n").over(Window.partitionBy("document_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = items.groupBy("document_id", page_key()).agg(F.count("*").alias("_n")).select(*at, F.coalesce(before, F.lit(0)).alias("_before"))
     block = F.size(F.filter(F.coalesce("dividers", F.array().cast("array<double>")), lambda d: F.col("t") < d))
     column = F.when(F.col("width").isNull() | ((F.col("l") + F.col("r")) / 2 < F.col("width") / 2), 0).otherwise(1)
-    rows = items.withColumn("_p", page_key()).join(known, at, "left").withColumns({"block": block, "column": column})
-    # Places count within a block of a page, from where the blocks before it end; so no window runs over a document's items.
-    before = F.sum("_n").over(Window.partitionBy("document_id").orderBy("_p", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy(*at, "block").agg(F.count("*").alias("_n")).select(*at, "block", F.coalesce(before, F.lit(0)).alias("n"))
-    starts = starts.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("_starts"))
-    order = ["ord", *[c for c in ("node_id",) if c in items.columns]]
-    own = F.row_number().over(Window.partitionBy(*at, "block").orderBy(*order))
-    return rows.join(starts, at).withColumn("place", (F.try_element_at("_starts", F.col("block")) + own).cast("int")).drop("_p", "_starts")
+    rows = items.withColumn("_p", page_key()).join(starts.join(known, at, "left"), at).withColumns({"block": block, "column": column})
+    page, order = Window.partitionBy(*at), ["block", "ord", *[c for c in ("node_id",) if c in items.columns]]
+    own = F.row_number().over(page.orderBy(*order))
+    return rows.withColumns({"place": (F.col("_before") + own).cast("int"), "last_block": F.max("block").over(page)}).drop("_p", "_before")
 
 
 def page_key() -> Column:
@@ -176,8 +175,7 @@ def regions(rows: DataFrame, title_page: int = 2) -> DataFrame:
     """Region of each placed item: figure, sidebar (in a box), front_matter or body, the first that holds."""
     inside = F.exists(F.coalesce("boxes", F.array().cast("array<struct<l:double,t:double,r:double,b:double>>")), lambda x: (F.col("l") >= x["l"] - PADDING) & (F.col("r") <= x["r"] + PADDING) & (F.col("t") <= x["t"] + PADDING) & (F.col("b") >= x["b"] - PADDING))
     n = F.size(F.coalesce("dividers", F.array().cast("array<double>")))
-    below = F.max(F.when(F.col("block") == n, 1).otherwise(0)).over(Window.partitionBy("document_id", "page_no"))
-    front = (F.col("page_no") == title_page) & (n >= 2) & (F.col("block") == n - 1) & (below == 1)
+    front = (F.col("page_no") == title_page) & (n >= 2) & (F.col("block") == n - 1) & (F.col("last_block") == n)
     region = F.when(F.coalesce(F.col("parent_ref").contains("pictures"), F.lit(False)), "figure").when(inside, "sidebar").when(front, "front_matter").otherwise("body")
     return rows.withColumn("region", region)
 
