@@ -48,26 +48,28 @@ def sized(items: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("document_id", "page_no", F.coalesce("width", "_w").alias("width"), F.coalesce("height", "_h").alias("height"))
 
 
-def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame) -> DataFrame:
+def placed(items: DataFrame, pages: DataFrame, shapes: DataFrame, bare: DataFrame | None = None) -> DataFrame:
     """Items with their ``block`` (dividers above), ``column`` (0 left, 1 right of the middle) and repaired ``place``.
 
-    ``last_block`` is the greatest block of the page.  The place orders by page and block and keeps the given order inside; of equal ``ord`` the lesser ``node_id``, if
+    ``last_block`` is the greatest block of the page, ``_p`` its :func:`page_key`, by which the rows lie.  The place orders by page and block and keeps the given order inside; of equal ``ord`` the lesser ``node_id``, if
     there is one, comes first.  Every item is kept: a page without a size gets that of :func:`sized`, an item without a
-    page is in block 0 and column 0.
+    page is in block 0 and column 0.  ``bare`` are the items without what places don't need, if they are at hand.  Items
+    that have ``_p`` and lie by it are shuffled no more.
     """
-    pages = sized(items, pages)
+    bare = items if bare is None else bare
+    pages = sized(bare, pages)
     # Everything is joined and counted by document and page, so that the items are shuffled once.
     at = ["document_id", "_p"]
     known = pages.where("page_no is not null").join(structure(shapes, pages), ["document_id", "page_no"], "left").select("document_id", page_key(), "width", "height", "dividers", "boxes").dropDuplicates(at)
     # Places count within a page, from where the pages before it end; so no window runs over a document's items.
     before = F.sum("_n").over(Window.partitionBy("document_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = items.groupBy("document_id", page_key()).agg(F.count("*").alias("_n")).select(*at, F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = bare.groupBy("document_id", page_key()).agg(F.count("*").alias("_n")).select(*at, F.coalesce(before, F.lit(0)).alias("_before"))
     block = F.size(F.filter(F.coalesce("dividers", F.array().cast("array<double>")), lambda d: F.col("t") < d))
     column = F.when(F.col("width").isNull() | ((F.col("l") + F.col("r")) / 2 < F.col("width") / 2), 0).otherwise(1)
-    rows = items.withColumn("_p", page_key()).join(starts.join(known, at, "left"), at).withColumns({"block": block, "column": column})
+    rows = (items if "_p" in items.columns else items.withColumn("_p", page_key())).join(starts.join(known, at, "left"), at).withColumns({"block": block, "column": column})
     page, order = Window.partitionBy(*at), ["block", "ord", *[c for c in ("node_id",) if c in items.columns]]
     own = F.row_number().over(page.orderBy(*order))
-    return rows.withColumns({"place": (F.col("_before") + own).cast("int"), "last_block": F.max("block").over(page)}).drop("_p", "_before")
+    return rows.withColumns({"place": (F.col("_before") + own).cast("int"), "last_block": F.max("block").over(page)}).drop("_before")
 
 
 def page_key() -> Column:
@@ -142,16 +144,24 @@ def _joined(rows: DataFrame, bare: DataFrame, goes_on: Column) -> DataFrame:
     several = later.unionByName(later.select("document_id", F.col("_first").alias("place"), "_first").distinct())
     if later.limit(SENT + 1).count() <= SENT:
         several = F.broadcast(several)
-    part = F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b")
-    parts = rows.join(several, ["document_id", "place"]).groupBy("document_id", "_first").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    made = _whole(rows.join(several, ["document_id", "place"]).groupBy("document_id", "_first").agg(_parts()))
+    alone = rows.join(several, ["document_id", "place"], "left_anti")
+    own = F.array(F.struct("page_no", "l", "t", "r", "b")).alias("provenance")
+    return made.unionByName(alone.select("document_id", "place", "ord", "page_no", "label", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("parts"), own))
+
+
+def _parts() -> Column:
+    """Aggregate: the rows of an island in their order."""
+    return F.array_sort(F.collect_list(F.struct("place", "ord", "page_no", "label", "text", "l", "t", "r", "b"))).alias("p")
+
+
+def _whole(islands: DataFrame) -> DataFrame:
+    """Islands with their parts ``p`` as one row each."""
     texts = F.transform("p", lambda x: F.coalesce(x["text"], F.lit("")))
     whole = F.aggregate(F.slice(texts, 2, F.size(texts)), texts[0], join_continuation)
     box = lambda x: F.struct(x["page_no"].alias("page_no"), x["l"].alias("l"), x["t"].alias("t"), x["r"].alias("r"), x["b"].alias("b"))
     head = F.col("p")[0]
-    made = parts.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), F.transform("p", box).alias("provenance"))
-    alone = rows.join(several, ["document_id", "place"], "left_anti")
-    own = F.array(F.struct("page_no", "l", "t", "r", "b")).alias("provenance")
-    return made.unionByName(alone.select("document_id", "place", "ord", "page_no", "label", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("parts"), own))
+    return islands.select("document_id", *[head[c].alias(c) for c in ("place", "ord", "page_no", "label")], whole.alias("text"), F.size("p").alias("parts"), F.transform("p", box).alias("provenance"))
 
 
 def line_fragments(rows: DataFrame) -> DataFrame:
@@ -159,16 +169,22 @@ def line_fragments(rows: DataFrame) -> DataFrame:
 
     Placed rows with ``region``.  A line goes on with the one before it on its page if both are of one such region, that
     one breaks off, this one resumes, it lies right below, and the two overlap.  Other rows stay as they are.
+
+    Nothing goes on over a page, and placed rows lie by page already; so they are neither written nor shuffled here.
     """
-    rows, bare = _bare(rows, region=F.col("region"))
-    order = Window.partitionBy("document_id", "_p").orderBy("place")
+    page, by_line = ["document_id", "_p"], F.col("region").isin("figure", "sidebar", "front_matter")
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select(*page, "place", "ord", "page_no", "label", "text", "l", "t", "r", "b", "region", F.when(by_line, unfinished(text)).alias("breaks"), F.when(by_line, resumes(text)).alias("resumes"))
+    order = Window.partitionBy(*page).orderBy("place")
     was = lambda c: F.lag(c).over(order)
     gap = was("b") - F.col("t")
     lower = F.least(was("t") - was("b"), F.col("t") - F.col("b"))
     shared, narrow = F.least(was("r"), F.col("r")) - F.greatest(was("l"), F.col("l")), F.least(was("r") - was("l"), F.col("r") - F.col("l"))
     near = (gap >= 0) & (gap <= F.greatest(F.lit(LINE_GAP), LINE_GAP_SHARE * lower)) & (narrow > 0) & (shared / narrow > LINE_OVERLAP)
-    alike = (F.col("region") == was("region")) & F.col("region").isin("figure", "sidebar", "front_matter")
-    return _joined(rows, bare, alike & near & was("breaks") & F.col("resumes"))
+    goes_on = (F.col("region") == was("region")) & by_line & near & was("breaks") & F.col("resumes")
+    rows = rows.withColumn("_start", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("place")))
+    first = F.last("_start", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _whole(rows.withColumn("_first", first).groupBy(*page, "_first").agg(_parts()))
 
 
 def regions(rows: DataFrame, title_page: int = 2) -> DataFrame:

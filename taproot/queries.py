@@ -455,10 +455,12 @@ def _boxed(spark: SparkSession, folder: str, *more: str) -> tuple[DataFrame, Dat
     """
     pages = table(spark, folder, "page_geometry").groupBy("document_id", "page_no").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     rows = current_rows(table(spark, folder, "snippet_nodes"), ["document_id", "snippet_id"], ["extracted_at"], ["sequence_no", "label", "page_no", "text", "bbox", "region", *more])
-    rows = rows.join(pages.select("document_id", "page_no", F.col("height").alias("_h")), ["document_id", "page_no"], "left").where("bbox is not null")
+    # By the key that places are found by, so that what is placed need not be shuffled again.
+    heights = pages.where("page_no is not null").select("document_id", layout.page_key(), F.col("height").alias("_h"))
+    rows = rows.withColumn("_p", layout.page_key()).join(heights, ["document_id", "_p"], "left").where("bbox is not null")
     box = layout.bottom_left(F.col("bbox"), F.coalesce("_h", F.lit(0.0)))
     parent = F.when(F.col("region") == "figure", "#/pictures/0").otherwise("#/body")
-    items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b", "region", *more)
+    items = rows.withColumn("box", box).select("document_id", F.col("snippet_id").alias("node_id"), F.col("sequence_no").alias("ord"), "page_no", "label", "text", parent.alias("parent_ref"), "box.l", "box.t", "box.r", "box.b", "region", "_p", *more)
     return items, pages
 
 
@@ -492,7 +494,11 @@ def page_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.line_fragments(layout.regions(_placed(spark, folder), title_page=1)).select("document_id", "place", "page_no", "text", "parts")
+    items, pages = _boxed(spark, folder)
+    # Texts go out once, by page: only what sizes and shapes need is written.
+    bare = stored(items.select("document_id", "page_no", "label", "region", "l", "t", "r", "b"))
+    rows = layout.placed(items.drop("region"), pages, _shapes(bare), bare)
+    return layout.line_fragments(layout.regions(rows, title_page=1)).select("document_id", "place", "page_no", "text", "parts")
 
 
 def _typed(spark: SparkSession, folder: str) -> DataFrame:
