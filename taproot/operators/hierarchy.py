@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from taproot.plans.lineage import cut, stored
 
 #: White space as stripped from parent ids: everything Unicode calls white space.
-_SPACE = r"(?U)^\s+|\s+$"
+PARENT_SPACE = r"(?U)^\s+|\s+$"
 _RESULT = "group string, node string, parent string, root string, depth int, subtree int, cycle string, path array<string>"
 #: Path entries that one output batch may hold.
 _BATCH_PATH = 1_000_000
@@ -242,7 +242,7 @@ def hierarchy(
     rows = (
         df.select(F.col(group).cast("string").alias("group"), F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"))
         .where("node is not null")
-        .withColumn("parent", F.nullif(F.regexp_replace("parent", _SPACE, ""), F.lit("")))
+        .withColumn("parent", F.nullif(F.regexp_replace("parent", PARENT_SPACE, ""), F.lit("")))
         .groupBy("group", "node")
         .agg(F.max("parent").alias("parent"))
         .withColumn("no_group", F.col("group").isNull())

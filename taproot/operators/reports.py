@@ -13,8 +13,9 @@ from taproot.functions.text import SPACE, n_chars, n_words, strip, token_count
 from taproot.operators import retrieval, weights
 from taproot.operators.current import current_rows
 from taproot.operators.graph import contexts, is_heading, supply_relation
+from taproot.operators.hierarchy import PARENT_SPACE
 from taproot.operators.layout import CITATION, resumes, unfinished
-from taproot.plans.lineage import stored
+from taproot.plans.lineage import cut, stored
 
 
 # Longest heading (characters), most pages that an edge spans, how often a text comes and how long it is to
@@ -135,18 +136,55 @@ def spread(metrics: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _shared_tree(node_rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """One tree for ``n`` metrics: rows ``node_id, copy, chain`` of its units, whose links hold the weights of all metrics.
+
+    ``own`` are edges with ``m0, m1, ..`` (weight and parent, null where a metric lacks the edge).  Documents in which all
+    metrics choose the same parents come once, ``copy`` is null there; others come once for each metric.  Ids are replaced by
+    numbers once the parents are chosen, as they make most of the rows; documents by hashes, which may meet without harm.
+    """
+    sized = stored(
+        retrieval.measured(node_rows).where("document_id is not null and node_id is not null")
+        .select("document_id", "node_id", "level_label", "unit", "words", "chars", F.monotonically_increasing_id().cast("string").alias("at"))
+    )
+    best = own.groupBy("document_id", F.col("child_id").alias("node_id")).agg(*[F.max(f"m{i}").alias(f"m{i}") for i in range(n)])
+    parents, ups = (F.array(*[F.col(f"m{i}")[c] for i in range(n)]) for c in ("parent_id", "weight"))
+    best = stored(best.select("document_id", "node_id", parents.alias("parents"), ups.alias("weight")))
+    split = cut(best.where(F.exists("parents", lambda p: ~p.eqNullSafe(F.col("parents")[0]))).select("document_id").distinct())
+    one, each = F.array(F.lit(None).cast("int")), F.array(*[F.lit(i) for i in range(n)])
+    some = split.count() > 0
+
+    def copied(rows: DataFrame) -> DataFrame:
+        if not some:
+            return rows.withColumn("copy", F.lit(None).cast("int"))
+        named = rows.join(split.withColumn("apart", F.lit(True)), "document_id", "left")
+        return named.withColumn("copy", F.explode(F.when(F.col("apart"), each).otherwise(one))).drop("apart")
+
+    document = F.concat_ws("-", "copy", F.hash("document_id")).alias("document_id")
+    up = F.nullif(F.regexp_replace(F.col("parents")[F.coalesce("copy", F.lit(0))], PARENT_SPACE, ""), F.lit(""))
+    links = copied(best).join(sized.select("document_id", "node_id", F.col("at").alias("child")), ["document_id", "node_id"])
+    links = links.select("document_id", "copy", "child", "weight", up.alias("node_id")).join(sized.select("document_id", "node_id", F.col("at").alias("parent")), ["document_id", "node_id"], "left")
+    nodes = copied(sized).select(document, "copy", F.col("at").alias("node_id"), "level_label", "unit", "words", "chars")
+    tree = retrieval.tree(nodes, links.select(document, F.col("parent").alias("parent_id"), F.col("child").alias("child_id"), "weight"))
+    return stored(tree.where(F.col("chain")[0]["unit"]).select("node_id", "copy", F.transform("chain", lambda x: x.dropFields("id", "heading")).alias("chain")))
+
+
 def merge_costs(node_rows: DataFrame, edge_rows: DataFrame, metrics: dict[str, DataFrame]) -> DataFrame:
     """By metric: the threshold that brings merged units to the middle between none and all merged, the mean it reaches, its
     error, the share of units merged and the cost against unmerged units.  One calibration for each metric named."""
     spark, out = node_rows.sparkSession, []
-    for name, metric in metrics.items():
-        own = edge_rows.drop("weight").join(metric.select(*weights.KEY, "weight"), weights.KEY).select(*edge_rows.columns)
-        rows = stored(retrieval.tree(node_rows, own))
-        bare, whole = (retrieval.means_at(rows, [0.0], retrieval.MergePolicy(strategy=x)).first().mean_tokens for x in ("none", "all_ancestors"))
-        c = retrieval.calibrate(rows, own, max(1e-9, (bare + whole) / 2))
-        units = retrieval.bare_units(rows, retrieval.MergePolicy(min_weight=c.min_weight))
-        merged = units.agg(F.avg((F.size("member_ids") > 1).cast("int"))).first()[0] or 0.0
-        out.append((name, float(c.min_weight), round(c.achieved, 6), round(c.relative_error, 6), round(float(merged), 6), round(c.achieved / bare, 6) if bare else 0.0))
+    own = edge_rows.select(*weights.KEY)
+    for i, metric in enumerate(metrics.values()):
+        own = own.join(metric.select(*weights.KEY, F.struct("weight", "parent_id").alias(f"m{i}")), weights.KEY, "left")
+    own = stored(own)
+    units = _shared_tree(node_rows, own, len(metrics)) if metrics else own
+    for i, name in enumerate(metrics):
+        own_up = F.transform("chain", lambda x: x.withField("up", x["up"][i]))
+        rows = units.where(F.coalesce(F.col("copy") == i, F.lit(True))).select("node_id", own_up.alias("chain"))
+        bare, whole = retrieval.extremes(rows)
+        c = retrieval.calibrate(rows, own.where(F.col(f"m{i}").isNotNull()).select(f"m{i}.weight"), max(1e-9, (bare + whole) / 2))
+        merged = retrieval.merged_share(rows, retrieval.MergePolicy(min_weight=c.min_weight))
+        out.append((name, float(c.min_weight), round(c.achieved, 6), round(c.relative_error, 6), round(merged, 6), round(c.achieved / bare, 6) if bare else 0.0))
     return spark.createDataFrame(out, "metric string, min_weight double, mean_tokens double, error double, merged double, cost double")
 
 

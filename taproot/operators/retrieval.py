@@ -60,16 +60,21 @@ class ExpansionPolicy:
             raise ValueError("policy out of range")
 
 
+def measured(node_rows: DataFrame) -> DataFrame:
+    """Nodes with ``unit, words, chars``: what a tree needs of their texts."""
+    rows = node_rows.withColumn("unit", (F.col("text") != "") & ~F.coalesce(F.col("kind") == "root", F.lit(False)))
+    return rows.withColumn("words", n_words(F.col("text"))).withColumn("chars", n_chars(F.col("text")))
+
+
 def tree(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Nodes with ``parent_id, weight`` (of the best edge up), ``depth`` and ``chain``.
 
     Links are array elements ``id, up`` (weight of the edge to its parent), ``words, chars, heading, unit``; they hold what
     decisions need and no texts, which are joined once the members of a unit are known.  A node that reaches no root has a
-    chain of itself alone.
+    chain of itself alone.  Nodes that are :func:`measured` need no texts.
     """
-    rows = node_rows.join(best_parents(edge_rows), ID, "left").withColumn("unit", (F.col("text") != "") & ~F.coalesce(F.col("kind") == "root", F.lit(False)))
-    rows = rows.withColumn("words", n_words(F.col("text"))).withColumn("chars", n_chars(F.col("text")))
-    rows = cut(rows)
+    rows = node_rows.join(best_parents(edge_rows), ID, "left")
+    rows = cut(rows if "words" in rows.columns else measured(rows))
     h = hierarchy(rows, "document_id", "node_id", "parent_id").select(F.col("group").alias("document_id"), F.col("node").alias("node_id"), "depth", F.coalesce("path", F.array("node")).alias("path"))
     steps = h.select("document_id", "node_id", "depth", F.posexplode(F.reverse("path")).alias("far", "link_id"))
     link = rows.select("document_id", F.col("node_id").alias("link_id"), F.struct(F.col("node_id").alias("id"), F.col("weight").alias("up"), "words", "chars", is_heading(F.col("level_label")).alias("heading"), "unit").alias("link"))
@@ -286,6 +291,20 @@ def means_at(sizing: DataFrame, thresholds: list[float], policy: MergePolicy) ->
     return sized.groupBy(F.col("threshold").alias("min_weight")).agg(F.count("*").alias("units"), F.avg("fit.tokens").alias("mean_tokens"))
 
 
+def extremes(tree_rows: DataFrame) -> tuple[float, float]:
+    """Mean size of the units with nothing merged and with all ancestors, in one pass; 0 if there are none."""
+    none, whole = MergePolicy(strategy="none"), MergePolicy(strategy="all_ancestors")
+    rows = _fitted(_fitted(_sizing(tree_rows, none), F.lit(0.0), none).withColumnRenamed("fit", "bare"), F.lit(0.0), whole)
+    found = rows.agg(F.avg("bare.tokens"), F.avg("fit.tokens")).first()
+    return found[0] or 0.0, found[1] or 0.0
+
+
+def merged_share(tree_rows: DataFrame, policy: MergePolicy) -> float:
+    """Share of the units that hold more than one node; 0 if there are none.  Not for subtrees."""
+    rows = _fitted(_sizing(tree_rows, policy), F.lit(policy.min_weight), policy)
+    return float(rows.agg(F.avg((F.col("fit.n") + F.size("tail") > 0).cast("int"))).first()[0] or 0.0)
+
+
 def calibrate(tree_rows: DataFrame, edge_rows: DataFrame, target: float, policy: MergePolicy | None = None, *, exhaustive_below: int = 64, iterations: int = 24) -> Calibration:
     """The min_weight whose units come nearest to a mean of ``target`` tokens.
 

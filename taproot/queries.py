@@ -11,7 +11,7 @@ from taproot.operators import chunks, construct, graph, layout, levels, metadata
 from taproot.sources import graphs, parsed
 from taproot.operators.current import current_rows, newest
 from taproot.operators.hierarchy import descendants, hierarchy, looped_descendants
-from taproot.plans.lineage import stored
+from taproot.plans.lineage import shuffles_removed, stored
 from taproot.sources.tables import table
 
 
@@ -411,8 +411,9 @@ def evidence_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_costs(spark: SparkSession, folder: str) -> DataFrame:
     """What each metric costs when its threshold is set to the middle between nothing and everything merged."""
-    n, e = _both(spark, folder)
-    return reports.merge_costs(n, e, {"uniform": weights.uniform(e), "structural": weights.structural(e), "bm25": weights.bm25(n, e)})
+    with shuffles_removed(spark):
+        n, e = _nodes(spark, folder), stored(_edges(spark, folder))
+        return reports.merge_costs(n, e, {"uniform": weights.uniform(e), "structural": weights.structural(e), "bm25": weights.bm25(n, e)})
 
 
 def graph_outline(spark: SparkSession, folder: str) -> DataFrame:
