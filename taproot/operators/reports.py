@@ -136,12 +136,13 @@ def spread(metrics: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _shared_tree(node_rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
-    """One tree for ``n`` metrics: rows ``node_id, copy, chain`` of its units, whose links hold the weights of all metrics.
+def _steps(node_rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """One tree for ``n`` metrics, made into the steps of each (``metric`` is its number).
 
-    ``own`` are edges with ``m0, m1, ..`` (weight and parent, null where a metric lacks the edge).  Documents in which all
-    metrics choose the same parents come once, ``copy`` is null there; others come once for each metric.  Ids are replaced by
-    numbers once the parents are chosen, as they make most of the rows; documents by hashes, which may meet without harm.
+    ``own`` are edges with ``m0, m1, ..`` (weight and parent, null where a metric lacks the edge); links hold the weights of
+    all metrics.  Documents in which all metrics choose the same parents come once, ``copy`` is null there; others come once
+    for each metric.  Ids are replaced by numbers once the parents are chosen, as they make most of the rows; documents by
+    hashes, which may meet without harm.
     """
     sized = stored(
         retrieval.measured(node_rows).where("document_id is not null and node_id is not null")
@@ -166,7 +167,9 @@ def _shared_tree(node_rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
     links = links.select("document_id", "copy", "child", "weight", up.alias("node_id")).join(sized.select("document_id", "node_id", F.col("at").alias("parent")), ["document_id", "node_id"], "left")
     nodes = copied(sized).select(document, "copy", F.col("at").alias("node_id"), "level_label", "unit", "words", "chars")
     tree = retrieval.tree(nodes, links.select(document, F.col("parent").alias("parent_id"), F.col("child").alias("child_id"), "weight"))
-    return stored(tree.where(F.col("chain")[0]["unit"]).select("node_id", "copy", F.transform("chain", lambda x: x.dropFields("id", "heading")).alias("chain")))
+    metric = F.explode(F.when(F.col("copy").isNull(), each).otherwise(F.array("copy"))).alias("metric")
+    rows = tree.where(F.col("chain")[0]["unit"]).select("node_id", "chain", metric)
+    return stored(retrieval.merge_steps(rows.withColumn("chain", F.transform("chain", lambda x: x.withField("up", x["up"][F.col("metric")]))), by=("metric",)))
 
 
 def merge_costs(node_rows: DataFrame, edge_rows: DataFrame, metrics: dict[str, DataFrame]) -> DataFrame:
@@ -177,13 +180,13 @@ def merge_costs(node_rows: DataFrame, edge_rows: DataFrame, metrics: dict[str, D
     for i, metric in enumerate(metrics.values()):
         own = own.join(metric.select(*weights.KEY, F.struct("weight", "parent_id").alias(f"m{i}")), weights.KEY, "left")
     own = stored(own)
-    units = _shared_tree(node_rows, own, len(metrics)) if metrics else own
+    steps = _steps(node_rows, own, len(metrics)) if metrics else own
     for i, name in enumerate(metrics):
-        own_up = F.transform("chain", lambda x: x.withField("up", x["up"][i]))
-        rows = units.where(F.coalesce(F.col("copy") == i, F.lit(True))).select("node_id", own_up.alias("chain"))
-        bare, whole = retrieval.extremes(rows)
+        rows = steps.where(F.col("metric") == i)
+        n, least, most = rows.agg(F.sum("units"), F.sum(F.when(F.col("units") > 0, F.col("tokens"))), F.sum("tokens")).first()
+        bare, whole = (least / n, most / n) if n else (0.0, 0.0)
         c = retrieval.calibrate(rows, own.where(F.col(f"m{i}").isNotNull()).select(f"m{i}.weight"), max(1e-9, (bare + whole) / 2))
-        merged = retrieval.merged_share(rows, retrieval.MergePolicy(min_weight=c.min_weight))
+        merged = (rows.where(F.col("weight") >= c.min_weight).agg(F.sum("merged")).first()[0] or 0) / n if n else 0.0
         out.append((name, float(c.min_weight), round(c.achieved, 6), round(c.relative_error, 6), round(merged, 6), round(c.achieved / bare, 6) if bare else 0.0))
     return spark.createDataFrame(out, "metric string, min_weight double, mean_tokens double, error double, merged double, cost double")
 

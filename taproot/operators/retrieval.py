@@ -291,36 +291,57 @@ def means_at(sizing: DataFrame, thresholds: list[float], policy: MergePolicy) ->
     return sized.groupBy(F.col("threshold").alias("min_weight")).agg(F.count("*").alias("units"), F.avg("fit.tokens").alias("mean_tokens"))
 
 
-def extremes(tree_rows: DataFrame) -> tuple[float, float]:
-    """Mean size of the units with nothing merged and with all ancestors, in one pass; 0 if there are none."""
-    none, whole = MergePolicy(strategy="none"), MergePolicy(strategy="all_ancestors")
-    rows = _fitted(_fitted(_sizing(tree_rows, none), F.lit(0.0), none).withColumnRenamed("fit", "bare"), F.lit(0.0), whole)
-    found = rows.agg(F.avg("bare.tokens"), F.avg("fit.tokens")).first()
-    return found[0] or 0.0, found[1] or 0.0
+def merge_steps(tree_rows: DataFrame, policy: MergePolicy | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """What thresholds do to all units of a tree at once: ``weight, tokens, units, merged`` for each weight.
 
+    A threshold lets in what stands at its weight or above: tokens that ancestors add to units, and units that get more than
+    one node by it.  What units have by themselves stands at infinity with their number, what fits but is kept out by its
+    weights alone at minus infinity.  So sizes at any threshold are sums over few numbers; ``by`` are columns to tell trees apart.
+    """
+    policy = replace(policy or MergePolicy(), strategy="weighted")
+    chain, own, folded = F.col("chain"), F.col("chain")[0], F.size("tail")
+    w, c, k = (own["words"] + F.col("tail_words")).cast("long"), (own["chars"] + F.col("tail_chars")).cast("long"), (1 + folded).cast("int")
+    start = _tokens(w, c, k, policy.separator)
+    row = lambda weight, tokens, units, merged: F.struct(weight.cast("double").alias("weight"), tokens.alias("tokens"), units.cast("long").alias("units"), merged.cast("long").alias("merged"))
+    zero = F.struct(
+        w.alias("w"), c.alias("c"), k.alias("k"), (start <= policy.max_tokens).alias("fits"), F.lit(True).alias("go"), start.alias("tokens"), F.lit(1.0).alias("cum"),
+        F.lit(float("inf")).alias("least"), F.array(row(F.lit(float("inf")), start, F.lit(1), (folded > 0).cast("int"))).alias("out"),
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        w, c = s["w"] + x["words"], s["c"] + x["chars"]
+        k = (s["k"] + F.when(x["chars"] > 0, 1).otherwise(0)).cast("int")
+        t, cum = _tokens(w, c, k, policy.separator), F.coalesce(s["cum"] * x["up"], F.lit(float("-inf")))
+        go, least = s["go"] & (cum >= policy.min_cumulative), F.least(s["least"], x["up"])
+        new = row(F.when(go, least).otherwise(float("-inf")), t - s["tokens"], F.lit(0), F.when((F.size(s["out"]) == 1) & (folded == 0), 1).otherwise(0))
+        fits = s["fits"] & (t <= policy.max_tokens)
+        return F.struct(
+            w.alias("w"), c.alias("c"), k.alias("k"), fits.alias("fits"), go.alias("go"), t.alias("tokens"), cum.alias("cum"), least.alias("least"),
+            F.when(fits, F.concat(s["out"], F.array(new))).otherwise(s["out"]).alias("out"),
+        )
 
-def merged_share(tree_rows: DataFrame, policy: MergePolicy) -> float:
-    """Share of the units that hold more than one node; 0 if there are none.  Not for subtrees."""
-    rows = _fitted(_sizing(tree_rows, policy), F.lit(policy.min_weight), policy)
-    return float(rows.agg(F.avg((F.col("fit.n") + F.size("tail") > 0).cast("int"))).first()[0] or 0.0)
+    links = F.zip_with(F.slice(chain, 1, F.size(chain) - 1), F.slice(chain, 2, F.size(chain) - 1), lambda x, up: F.struct(x["up"].alias("up"), up["words"].alias("words"), up["chars"].alias("chars")))
+    rows = _with_tails(tree_rows, policy).select(*by, F.inline(F.aggregate(links, zero, step)["out"]))
+    return rows.groupBy(*by, "weight").agg(*[F.sum(x).alias(x) for x in ("tokens", "units", "merged")])
 
 
 def calibrate(tree_rows: DataFrame, edge_rows: DataFrame, target: float, policy: MergePolicy | None = None, *, exhaustive_below: int = 64, iterations: int = 24) -> Calibration:
     """The min_weight whose units come nearest to a mean of ``target`` tokens.
 
-    With few distinct weights all are tried in one job, with many the threshold is bisected, three steps a job over rows
-    that are written once.  The first that is strictly better wins, beginning with 0.
+    With few distinct weights all are tried in one job, with many the threshold is bisected, three steps a job; both over
+    :func:`merge_steps`, which may be given in place of a tree.  The first that is strictly better wins, beginning with 0.
     """
     if target <= 0:
         raise ValueError("the target must be positive")
     policy = replace(policy or MergePolicy(), strategy="weighted")
     weights = [r.weight for r in edge_rows.select("weight").distinct().orderBy("weight").limit(exhaustive_below + 1).collect()]
     exhaustive = len(weights) <= exhaustive_below
-    rows = _sizing(tree_rows, policy) if exhaustive else stored(_sizing(tree_rows, policy))
+    rows = tree_rows if "tokens" in tree_rows.columns else stored(merge_steps(tree_rows, policy))
     best, tried = (0.0, 0.0, float("inf")), 0
 
     def means(thresholds: list[float]) -> dict[float, float]:
-        return {r.min_weight: r.mean_tokens for r in means_at(rows, thresholds, policy).collect()}
+        units, *sums = rows.agg(F.sum("units"), *[F.sum(F.when(F.col("weight") >= t, F.col("tokens"))) for t in thresholds]).first()
+        return {t: x / units for t, x in zip(thresholds, sums)} if units else {}
 
     def consider(t: float, mean: float) -> None:
         nonlocal best, tried
